@@ -213,9 +213,17 @@ def with_gap_share(df: DataFrame, sessions: int = 5) -> DataFrame:
     return df.withColumn("gap_share", share).drop("_gap", "_drift", "_opens")
 
 
-def technicals(bars: DataFrame) -> DataFrame:
-    """All technicals of every bar in ``bars(ticker, d, o, c, v, ...)``."""
-    df = with_running_sums(with_moves(with_returns(bars)))
+def technicals(bars: DataFrame, moves: tuple[str, str] | None = None) -> DataFrame:
+    """All technicals of every bar in ``bars(ticker, d, o, c, v, ...)``.
+
+    ``moves`` names columns that already hold the 1- and 5-session moves (a rounded series keeps exact ones).
+    """
+    df = with_returns(bars)
+    if moves:
+        df = df.withColumns({"dip_pct_day": F.col(moves[0]), "dip_pct_week": F.col(moves[1])}).drop(*moves)
+    else:
+        df = with_moves(df)
+    df = with_running_sums(df)
     for step in (with_averages, with_rsi, with_volatility):
         df = step(df)
     df = df.drop(*RUNNING_SUMS)

@@ -22,24 +22,26 @@ SNAPSHOT = (
 CARRIED = ("di", "rn", "next_di", "log_ret", "gap_share", "admitted_di", *SNAPSHOT)
 
 
-def indexed_features(bars: DataFrame, cfg: WalkForwardConfig) -> tuple[DataFrame, DataFrame]:
+def indexed_features(
+    bars: DataFrame, cfg: WalkForwardConfig, moves: tuple[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Stage the session axis and the bars with technicals and history positions: one exchange by ticker."""
     axis = staged(panel.date_axis(bars))
-    featured = technicals(bars.join(axis, "d")).withColumns(
+    featured = technicals(bars.join(axis, "d"), moves).withColumns(
         {"price": F.col("c"), "weight": factors.member_weight("market_cap_b")}
     )
     return axis, staged(panel.index_bars(featured.drop("prev_c", "ret"), cfg.min_history))
 
 
 def as_of_decompositions(
-    bars: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig
+    bars: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig, moves: tuple[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """One row per (ticker, as-of session) with snapshot, technicals and decomposition; and the session axis.
 
     ``bars(ticker, d, o, c, v, market_cap_b)`` with positive closes, one row per (ticker, d);
     ``peer_edges(ticker, peer)``. A name without a bar on the session takes part with its last one.
     """
-    axis, indexed = indexed_features(bars, cfg)
+    axis, indexed = indexed_features(bars, cfg, moves)
     segs = staged(panel.segments(indexed, cfg))
     live = panel.live_panel(indexed, axis, segs)
     market = factors.market_levels(live, segs)
