@@ -143,7 +143,7 @@ sig0 as (select *, cast(floor(greatest(0,least(100, case cause when 'MARKET_BETA
       +{sc('abs(dip_pct_day)/greatest(abs(dip_pct_week),0.1)', 0.25, 1)}*0.2+0.5) as int) as dip_character_score,
    cast(floor({sc('-rsi14', -55, -22)}*0.65+(case when support_defined then {sc('-(price-support_level)/price*100', -12, -0.5)} else 0 end)*0.35+0.5) as int) as technical_score
    from dec),
-sig as materialized (select *, cast(floor((catalyst_score*0.22+dip_character_score*0.18+technical_score*0.12)/(0.22+0.18+0.12)+0.5) as int) as signal_score from sig0)"""
+sig as materialized (select *, cast(floor((catalyst_score*0.22e0+dip_character_score*0.18e0+technical_score*0.12e0)/(0.22e0+0.18e0+0.12e0)+0.5e0) as int) as signal_score from sig0)"""
 
 
 def observations(min_history: int = 200) -> str:

@@ -24,8 +24,17 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * p + 0.5) / p
 
 
+def at_most(x: Column, hi: float) -> Column:
+    """Upper bound that keeps NULL (``least`` alone would return the bound)."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(float(hi))))
+
+
+def at_least(x: Column, lo: float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(float(lo))))
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def scale100(x: Column, a: float, b: float) -> Column:
@@ -76,8 +85,12 @@ def years_between(later: ColumnLike, earlier: ColumnLike) -> Column:
 
 
 def rounded(x: ColumnLike, digits: int = 4) -> Column:
-    """Round for publication; adding 0.0 removes the sign of a negative zero."""
-    return F.round(col(x), digits) + F.lit(0.0)
+    """Round for publication.
+
+    A nudge far below the last digit sends exact ties upward instead of leaving them to the noise of the last
+    bit; adding 0.0 removes the sign of a negative zero.
+    """
+    return F.round(col(x) + 1e-9, digits) + F.lit(0.0)
 
 
 def lookup(key: ColumnLike, table: dict, default=None) -> Column:

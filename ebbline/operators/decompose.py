@@ -21,7 +21,7 @@ from ebbline.config import (
     SHOCK_Z,
     SYSTEMATIC_DOMINANT,
 )
-from ebbline.functions.scalar import log_to_pct, lookup, ratio, signed_pct
+from ebbline.functions.scalar import at_least, at_most, log_to_pct, lookup, ratio, signed_pct
 
 NO_VARIANCE = 1e-18
 COLLINEAR = 1e-14
@@ -65,7 +65,7 @@ def _products(prefix: str, t: Column, m: Column, p: Column) -> dict[str, Column]
 def _cov(df_prefix: str, a: str, b: str, n: Column) -> Column:
     pair = "".join(sorted((a, b), key="tmp".index))
     s = F.col(f"{df_prefix}{pair}") / n - F.col(f"{df_prefix}{a}") / n * F.col(f"{df_prefix}{b}") / n
-    return F.greatest(s, F.lit(0.0)) if a == b else s
+    return at_least(s, 0.0) if a == b else s
 
 
 def moments(df: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def resolve(df: DataFrame) -> DataFrame:
     total = F.abs("total_log")
     df = df.withColumn(
         "systematic_share",
-        F.coalesce(F.least(F.lit(1.0), ratio(F.abs(F.col("market_log") + F.col("sector_log")), total)), F.lit(0.0)),
+        F.coalesce(at_most(ratio(F.abs(F.col("market_log") + F.col("sector_log")), total), 1.0), F.lit(0.0)),
     )
     keep_drop = [c for c in df.columns if c[:2] in ("e_", "k_", "h_", "c_", "q_", "r_") or c in ("_b", "_vr", "_ne")]
     return df.drop(*keep_drop, "s5_t", "s5_m", "s5_p")
@@ -184,7 +184,7 @@ def cause_label(c: str = "cause") -> Column:
 
 def share_of_total(part: str, total: str = "total_pct") -> Column:
     """Length of a part's bar relative to the whole move, 0..100."""
-    return F.coalesce(F.least(F.lit(100.0), F.abs(ratio(F.col(part), F.col(total))) * 100.0), F.lit(0.0))
+    return F.coalesce(at_most(F.abs(ratio(F.col(part), F.col(total))) * 100.0, 100.0), F.lit(0.0))
 
 
 def cause_note() -> Column:

@@ -6,6 +6,9 @@ No step moves data.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +86,12 @@ def flow_raw(quality: Column) -> Column:
 
 def composite(pillars) -> Column:
     """Weighted mean over a subset of pillars, renormalised to it."""
-    total = sum(PILLAR_WEIGHTS[p] for p in pillars)
-    return half_up(sum((c(f"{p}_score") * PILLAR_WEIGHTS[p] for p in pillars), F.lit(0.0)) / total)
+    return half_up(weighted_sum(pillars) / reduce(add, [PILLAR_WEIGHTS[p] for p in pillars], 0.0))
+
+
+def weighted_sum(pillars) -> Column:
+    # plain left-to-right addition: halves are decided by the last bit, and Python's sum() compensates it away
+    return reduce(add, [c(f"{p}_score") * PILLAR_WEIGHTS[p] for p in pillars], F.lit(0.0))
 
 
 def with_signal_pillars(df: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def with_overlay_pillars(df: DataFrame) -> DataFrame:
     df = df.withColumns({"quality_score": _raw(quality_raw()), "valuation_score": _raw(valuation_raw())})
     df = df.withColumn("flow_score", _raw(flow_raw(c("quality_score"))))
     others = [p for p in PILLAR_WEIGHTS if p not in SIGNAL_PILLARS]
-    return df.withColumns({"overlay_score": composite(others), "dip_score": composite(list(PILLAR_WEIGHTS))})
+    return df.withColumns({"overlay_score": composite(others), "dip_score": half_up(weighted_sum(PILLAR_WEIGHTS))})
 
 
 def verdict(signal: Column, catalyst: Column, overlay: Column) -> Column:

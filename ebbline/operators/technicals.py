@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import SESSION_WINDOW
-from ebbline.functions.scalar import log_return, ratio
+from ebbline.functions.scalar import at_least, log_return, ratio
 
 
 def by_ticker(*keys: str):
@@ -98,7 +98,7 @@ def with_rsi(df: DataFrame, period: int = 14) -> DataFrame:
 
 
 def _pop_var(s: Column, ss: Column, n: Column) -> Column:
-    return F.greatest(ratio(ss, n) - F.pow(ratio(s, n), F.lit(2.0)), F.lit(0.0))
+    return at_least(ratio(ss, n) - F.pow(ratio(s, n), F.lit(2.0)), 0.0)
 
 
 def with_volatility(df: DataFrame) -> DataFrame:

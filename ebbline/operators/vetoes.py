@@ -80,7 +80,7 @@ def network_columns() -> dict[str, Column]:
         "named_co_investors": F.when(named > 0, F.least(F.lit(1.0), named / 3.0)),
         "syndicate_access": n["syndicate_access"].cast("double"),
         "founder_accessible": n["founder_accessible"].cast("double"),
-        "sector_adjacency": F.when(n["sector_adjacency"].isNotNull(), clamp(n["sector_adjacency"], 0, 1)),
+        "sector_adjacency": clamp(n["sector_adjacency"], 0, 1),
         "investor_scale": F.when(crowd > 2000, 0.15).when(crowd > 500, 0.45).when(crowd.isNotNull(), 0.9),
     }
     earned = sum((F.coalesce(credit * w[k], F.lit(0.0)) for k, credit in credits.items()), F.lit(0.0))

@@ -69,23 +69,26 @@ def forward_closes(bars: DataFrame, axis: DataFrame, horizons: tuple[int, ...])
     )
 
 
-def observations(bars: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
-    """Scored as-of rows with forward returns (%), one row per (ticker, as_of)."""
-    scored, axis = as_of_decompositions(bars, peer_edges, cfg)
-    if cfg.require_dip:
-        scored = scored.filter(F.col("dip_pct_week") < 0)
+def observe(as_of_rows: DataFrame, bars: DataFrame, axis: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
+    """Score as-of rows and attach forward returns (%); rows without any measured horizon are dropped."""
+    scored = as_of_rows.filter(F.col("dip_pct_week") < 0) if cfg.require_dip else as_of_rows
     scored = scoring.with_signal_pillars(scored)
-    future = forward_closes(bars, axis, cfg.horizons)
-    joined = scored.join(future, ["ticker", "t"], "left")
+    joined = scored.join(forward_closes(bars, axis, cfg.horizons), ["ticker", "t"], "left")
+    returns = {}
     for h in cfg.horizons:
         ok = (F.col("price") > 0) & (F.col(f"close_{h}") != 0)
-        joined = joined.withColumn(
-            f"fwd_{h}", F.when(ok, (ratio(F.col(f"close_{h}"), F.col("price")) - 1.0) * 100.0)
-        )
+        returns[f"fwd_{h}"] = F.when(ok, (ratio(F.col(f"close_{h}"), F.col("price")) - 1.0) * 100.0)
+    joined = joined.withColumns(returns)
     measured = reduce(lambda a, b: a | b, [F.col(f"fwd_{h}").isNotNull() for h in cfg.horizons])
     return joined.filter(measured).drop(*[f"close_{h}" for h in cfg.horizons], "di")
 
 
+def observations(bars: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
+    """Scored falls with forward returns, one row per (ticker, as_of)."""
+    rows, axis = as_of_decompositions(bars, peer_edges, cfg)
+    return observe(rows, bars, axis, cfg)
+
+
 def long_observations(obs: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """One row per (observation, horizon) with a measured forward return."""
     keep = [k for k in obs.columns if not k.startswith("fwd_")]

@@ -111,13 +111,14 @@ _TAGS = (
 
 
 def _tag(tag: str) -> Column:
-    """Text of the first element with this name at any depth, in either spelling.
+    """Text of the first element with this name at any depth, else of its lower-case spelling.
 
-    Element text is taken by pattern because the tags sit at varying depths; CDATA and entities are not used in
-    these fields.
+    Taken by pattern because the tags sit at varying depths of the document.
     """
     def grab(name: str) -> Column:
-        inner = F.regexp_extract("body", rf"<(?:\w+:)?{name}(?:\s[^>]*)?>([^<]*)</", 1)
+        inner = F.regexp_extract("body", rf"<{name}(?:\s[^>]*)?>([^<]*)</", 1)
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            inner = F.replace(inner, F.lit(entity), F.lit(char))
         return F.nullif(F.trim(inner), F.lit(""))
 
     return F.coalesce(grab(tag), grab(tag.lower()))

@@ -15,9 +15,9 @@ OVERLAY_SCHEMA = (
 )
 
 
-def read_overlay(spark: SparkSession, path: str) -> DataFrame:
-    """Coverage overlay (one JSON object per line or a JSON array) with the column names the plans use."""
-    raw = spark.read.schema(OVERLAY_SCHEMA).json(path, multiLine=True)
+def read_overlay(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Coverage overlay with the column names the plans use: one JSON object (or array) per line, or per file."""
+    raw = spark.read.schema(OVERLAY_SCHEMA).json(path, multiLine=multi_line)
     return raw.select(
         "ticker", "name", F.col("sector").alias("overlay_sector"), F.col("industry").alias("overlay_industry"),
         F.col("catalyst.type").alias("catalyst_type"), F.col("catalyst.headline").alias("catalyst_headline"),
@@ -49,25 +49,33 @@ def cached_history(spark: SparkSession, path: str, build, refresh: bool = False,
     return spark.read.parquet(path).drop("year")
 
 
-def current_positions(events: DataFrame) -> DataFrame:
-    """Latest state per ticker from an append-only log.
-
-    ``events(ticker, ts, seq, action, entry_price, size_pct)`` with action add / remove / enter / clear, ordered by
-    (ts, seq). A later ``remove`` ends a position; ``enter`` and ``clear`` only act on one that is held.
-    """
+def position_state() -> list:
+    """Aggregates that keep a ticker's state whatever the number of its events (partial sums, no event lists)."""
     at = F.struct("ts", "seq")
-    when = lambda *actions: F.when(F.col("action").isin(*actions), at)
-    entry = F.struct(F.col("action"), F.col("entry_price"), F.col("size_pct"))
-    last = events.groupBy("ticker").agg(
-        F.max_by("action", when("add", "remove")).alias("held"),
-        F.max(when("add")).alias("added"),
-        F.max(when("remove")).alias("removed"),
-        F.max_by(entry, when("enter", "clear")).alias("entry"),
-        F.max(when("enter", "clear")).alias("entered_at"),
-    )
-    active = (F.col("entry.action") == "enter") & (F.col("entered_at") > F.col("added"))
-    return last.filter(F.col("held") == "add").select(
+    toggled = F.when(F.col("action") == "toggle", at)
+    changed = F.when(F.col("action").isin("enter", "clear"), at)
+    entry = F.struct("action", "entry_price", "size_pct")
+    return [
+        F.count(toggled).alias("toggles"),
+        F.max(toggled).alias("added"),
+        F.max_by(entry, changed).alias("entry"),
+        F.max(changed).alias("changed"),
+    ]
+
+
+def held_positions(state: DataFrame) -> DataFrame:
+    """Tickers toggled on, with the entry logged since; entries on a name that is not held have no effect."""
+    active = (F.col("entry.action") == "enter") & (F.col("changed") > F.col("added"))
+    return state.filter(F.col("toggles") % 2 == 1).select(
         "ticker", F.col("added.ts").alias("added_at"),
         F.when(active, F.col("entry.entry_price")).alias("entry_price"),
         F.when(active, F.col("entry.size_pct")).alias("size_pct"),
     )
+
+
+def current_positions(events: DataFrame) -> DataFrame:
+    """Current positions from an append-only log ``events(ticker, ts, seq, action, entry_price, size_pct)``.
+
+    Actions are toggle / enter / clear, ordered by (ts, seq).
+    """
+    return held_positions(events.groupBy("ticker").agg(*position_state()))
