@@ -26,30 +26,35 @@ from ebbline.functions.scalar import at_least, at_most, log_to_pct, lookup, rati
 NO_VARIANCE = 1e-18
 COLLINEAR = 1e-14
 
-W = Window.partitionBy("ticker", "seg").orderBy("d")
-UP_TO_HERE = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_segment():
+    return Window.partitionBy("ticker", "seg").orderBy("d")
+
+
+def up_to_here():
+    return in_segment().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _frame(name: str, newest: int, oldest: int) -> Column:
     """Sum of a term over the rows -oldest+1 .. -newest, from its running sum ``name``."""
-    recent = F.lag(name, newest).over(W) if newest else F.col(name)
-    return F.coalesce(recent, F.lit(0.0)) - F.coalesce(F.lag(name, oldest).over(W), F.lit(0.0))
+    recent = F.lag(name, newest).over(in_segment()) if newest else F.col(name)
+    return F.coalesce(recent, F.lit(0.0)) - F.coalesce(F.lag(name, oldest).over(in_segment()), F.lit(0.0))
 
 
 def factor_returns(rows: DataFrame) -> DataFrame:
     """Forward-fill the levels on the name's own sessions and difference them; 0 before the first level."""
     df = rows.withColumns(
         {
-            "market_level": F.last("market_level", ignorenulls=True).over(UP_TO_HERE),
-            "peer_level": F.last("peer_level", ignorenulls=True).over(UP_TO_HERE),
+            "market_level": F.last("market_level", ignorenulls=True).over(up_to_here()),
+            "peer_level": F.last("peer_level", ignorenulls=True).over(up_to_here()),
         }
     )
     zero = F.lit(0.0)
     return df.withColumns(
         {
             "r_t": F.coalesce(F.col("log_ret"), zero),
-            "r_m": F.coalesce(F.col("market_level") - F.lag("market_level").over(W), zero),
-            "r_p": F.coalesce(F.col("peer_level") - F.lag("peer_level").over(W), zero),
+            "r_m": F.coalesce(F.col("market_level") - F.lag("market_level").over(in_segment()), zero),
+            "r_p": F.coalesce(F.col("peer_level") - F.lag("peer_level").over(in_segment()), zero),
         }
     ).drop("market_level", "peer_level")
 
@@ -71,12 +76,12 @@ def _cov(df_prefix: str, a: str, b: str, n: Column) -> Column:
 def moments(df: DataFrame) -> DataFrame:
     """Sums over the estimation frame (e_), the trailing 120 returns (h_) and the rolling 5-sums (k_)."""
     est, dip = ESTIMATION_SESSIONS, DIP_SESSIONS
-    last5 = W.rowsBetween(-(dip - 1), 0)
+    last5 = in_segment().rowsBetween(-(dip - 1), 0)
     df = df.withColumns({f"s5_{x}": F.sum(f"r_{x}").over(last5) for x in "tmp"})
     valid = F.when(F.col("rn") >= dip + 1, F.lit(1.0)).otherwise(0.0)
     terms = _products("e_", F.col("r_t"), F.col("r_m"), F.col("r_p"))
     terms |= _products("k_", *(F.col(f"s5_{x}") * valid for x in "tmp"))
-    df = df.withColumns({k: F.sum(v).over(UP_TO_HERE) for k, v in terms.items()})
+    df = df.withColumns({k: F.sum(v).over(up_to_here()) for k, v in terms.items()})
     frames = {f"h_{x}": _frame(f"e_{x}", 0, est) for x in ("m", "p", "mm", "pp")}
     frames |= {f"e_{x}": _frame(f"e_{x}", dip, dip + est) for x in ("t", "m", "p", "mm", "pp", "tm", "tp", "mp")}
     # a 5-sum that ends at row -120 is the oldest one lying inside the estimation frame

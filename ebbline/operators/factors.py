@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import ratio
+from ebbline.session import spread
 
 
 def member_weight(market_cap):
@@ -83,7 +84,7 @@ def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame
         F.col("target").alias("ticker"), "seg", "d", F.lit(None).cast(own.schema["own"].dataType).alias("own"),
         F.ln("c").alias("peer_ln"), F.col("enters").cast("int").alias("enters"),
     )
-    stacked = own.unionByName(peers).repartition("ticker", "seg")
+    stacked = spread(own.unionByName(peers), "ticker", "seg")
     merged = stacked.groupBy("ticker", "seg", "d").agg(
         F.first("own", ignorenulls=True).alias("own"),
         F.avg("peer_ln").alias("peer_mean"),

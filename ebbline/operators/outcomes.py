@@ -9,6 +9,7 @@ from ebbline.config import POSITION_GRID, TAIL_GRID, TAIL_MULTIPLE, HurdleTerms,
 from ebbline.functions.raises import edge_vs_index, index_multiple, net_multiple
 from ebbline.functions.scalar import clamp, ratio
 from ebbline.operators.ranking import floor_quantiles
+from ebbline.session import spread
 
 
 def expectations(outcomes: DataFrame, by: list[str], thresholds=(0.0, 1.0), net: Column | None = None) -> DataFrame:
@@ -75,19 +76,28 @@ def uniform(seed: str, *keys) -> Column:
 
 
 def cumulative(outcomes: DataFrame, net: Column) -> DataFrame:
-    """Per distribution an array of (upper bound, net multiple, tail flag), ascending in the multiple."""
+    """Per distribution, ascending in the multiple: upper bounds, net multiples, and where the tail starts."""
     w = Window.partitionBy("dist_id").orderBy("multiple")
     df = outcomes.withColumns(
         {"upper": F.sum("p").over(w) / F.sum("p").over(Window.partitionBy("dist_id")), "net": net}
     )
-    cell = F.struct("upper", "net", (F.col("multiple") >= TAIL_MULTIPLE).alias("tail"))
-    return df.groupBy("dist_id").agg(F.array_sort(F.collect_list(cell)).alias("steps"))
+    steps = df.groupBy("dist_id").agg(
+        F.array_sort(F.collect_list(F.struct("multiple", "upper", "net"))).alias("s"),
+        F.count(F.when(F.col("multiple") < TAIL_MULTIPLE, 1)).alias("tail_from"),
+    )
+    return steps.select(
+        "dist_id", F.transform("s", lambda x: x["upper"]).alias("uppers"), F.transform("s", lambda x: x["net"]).alias("nets"),
+        "tail_from",
+    )
 
 
-def draw(steps: Column, u: Column) -> Column:
-    """The first step whose upper bound is not exceeded; the last one catches rounding."""
-    hit = F.get(F.filter(steps, lambda s: s["upper"] >= u), F.lit(0))
-    return F.coalesce(hit, F.element_at(steps, -1))
+def drawn_step(uppers: Column, u: Column) -> Column:
+    """Zero-based step: how many upper bounds lie below u; the last step catches rounding.
+
+    The one-element array binds u, so that it is computed once per draw and not once per bound.
+    """
+    below = F.transform(F.array(u), lambda x: F.size(F.filter(uppers, lambda b: b < x)))
+    return F.least(F.get(below, F.lit(0)), F.size(uppers) - 1)
 
 
 def trials(investors: DataFrame, outcomes: DataFrame, net: Column, seed: str, grid=POSITION_GRID) -> DataFrame:
@@ -97,15 +107,19 @@ def trials(investors: DataFrame, outcomes: DataFrame, net: Column, seed: str, gr
     per trial serve the whole grid. Draws are aggregated inside the task that makes them.
     """
     top = max(grid)
-    base = investors.join(cumulative(outcomes, net), "dist_id")
+    # spread the trials first: drawing and the per-trial sums then share one partitioning
+    base = spread(investors, "dist_id", "trial").join(cumulative(outcomes, net), "dist_id")
     drawn = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
-    drawn = drawn.withColumn("x", draw(F.col("steps"), uniform(seed, F.col("trial"), F.col("k"))))
+    drawn = drawn.withColumn("b", drawn_step(F.col("uppers"), uniform(seed, F.col("trial"), F.col("k"))))
+    drawn = drawn.select(
+        "dist_id", "trial", "k", F.get("nets", F.col("b")).alias("net"), (F.col("b") >= F.col("tail_from")).alias("tail")
+    )
     aggs = []
     for n in grid:
         inside = F.col("k") <= n
         aggs += [
-            (F.sum(F.when(inside, F.col("x.net")).otherwise(0.0)) / n).alias(f"m_{n}"),
-            F.max(F.when(inside, F.col("x.tail")).otherwise(False)).alias(f"t_{n}"),
+            (F.sum(F.when(inside, F.col("net")).otherwise(0.0)) / n).alias(f"m_{n}"),
+            F.max(F.when(inside, F.col("tail")).otherwise(False)).alias(f"t_{n}"),
         ]
     wide = drawn.groupBy("dist_id", "trial").agg(*aggs)
     cells = [

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbline.config import SESSION_WINDOW
 from ebbline.functions.scalar import at_least, log_return, ratio
+from ebbline.session import spread
 
 
 def by_ticker(*keys: str):
@@ -142,13 +143,16 @@ def _mean(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)
 
 
-def with_levels(df: DataFrame, window: int = SESSION_WINDOW) -> DataFrame:
+def with_levels(df: DataFrame, window: int = SESSION_WINDOW, where: Column | None = None) -> DataFrame:
     """Support shelf and resistance from the closes of the window without its last five sessions.
 
-    Each frame holds at most 295 doubles; the arrays are reduced and dropped in the same projection.
+    Each frame holds at most 295 doubles; the arrays are reduced and dropped in the same projection. ``where``
+    limits the sorting to rows whose levels are read at all; the other rows get NULL levels.
     """
     w = by_ticker().rowsBetween(-(window - 1), -5)
     df = df.withColumn("_prior", F.collect_list("c").over(w))
+    if where is not None:
+        df = df.withColumn("_prior", F.when(where, F.col("_prior")))
     df = df.withColumns(
         {
             "_below": F.sort_array(F.filter("_prior", lambda x: x < F.col("c") * 0.995), asc=False),
@@ -161,8 +165,8 @@ def with_levels(df: DataFrame, window: int = SESSION_WINDOW) -> DataFrame:
     return df.withColumns(
         {
             "support_defined": k >= 5,
-            "support_level": F.when(k >= 5, F.least(shelf, F.col("c") * 0.985)).otherwise(F.col("c") * 0.9),
-            "resistance_level": F.when(F.size("_above") > 0, F.array_min(newest)).otherwise(F.col("high_52w")),
+            "support_level": F.when(k >= 5, F.least(shelf, F.col("c") * 0.985)).when(k >= 0, F.col("c") * 0.9),
+            "resistance_level": F.when(F.size("_above") > 0, F.array_min(newest)).when(k >= 0, F.col("high_52w")),
         }
     ).drop("_prior", "_below", "_above")
 
@@ -213,12 +217,15 @@ def with_gap_share(df: DataFrame, sessions: int = 5) -> DataFrame:
     return df.withColumn("gap_share", share).drop("_gap", "_drift", "_opens")
 
 
-def technicals(bars: DataFrame, moves: tuple[str, str] | None = None) -> DataFrame:
+def technicals(
+    bars: DataFrame, moves: tuple[str, str] | None = None, levels_where: Column | None = None
+) -> DataFrame:
     """All technicals of every bar in ``bars(ticker, d, o, c, v, ...)``.
 
-    ``moves`` names columns that already hold the 1- and 5-session moves (a rounded series keeps exact ones).
+    ``moves`` names columns that already hold the 1- and 5-session moves (a rounded series keeps exact ones);
+    ``levels_where`` limits the price levels to the rows that need them.
     """
-    df = with_returns(bars)
+    df = with_returns(spread(bars, "ticker"))
     if moves:
         df = df.withColumns({"dip_pct_day": F.col(moves[0]), "dip_pct_week": F.col(moves[1])}).drop(*moves)
     else:
@@ -227,9 +234,7 @@ def technicals(bars: DataFrame, moves: tuple[str, str] | None = None) -> DataFra
     for step in (with_averages, with_rsi, with_volatility):
         df = step(df)
     df = df.drop(*RUNNING_SUMS)
-    for step in (with_range, with_levels, with_gap_share, with_volume_ratio):
-        df = step(df)
-    return df
+    return with_volume_ratio(with_gap_share(with_levels(with_range(df), where=levels_where)))
 
 
 def tail(df: DataFrame, sessions: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ebbline.config import MIN_LIVE_SESSIONS, SESSION_WINDOW, WalkForwardConfig
 from ebbline.functions.scalar import finite, finite_or, ratio, text_or
 from ebbline.operators import scoring
 from ebbline.plans.walkforward import as_of_decompositions
+from ebbline.staging import staged
 
 
 def newest_sessions(bars: DataFrame, sessions: int = SESSION_WINDOW) -> DataFrame:
@@ -82,8 +83,8 @@ def last_bars(bars: DataFrame) -> DataFrame:
 def analyses(bars: DataFrame, peer_edges: DataFrame, overlay: DataFrame, profile: DataFrame, ratios: DataFrame,
              metrics: DataFrame, sector_pe: DataFrame) -> DataFrame:
     """Every covered name with at least 60 sessions, fully scored on its newest session."""
-    series = display_prices(admitted(newest_sessions(bars)))
-    snap = snapshot(overlay, last_bars(series), profile, ratios, metrics, sector_pe)
+    series = staged(display_prices(admitted(newest_sessions(bars))))
+    snap = staged(snapshot(overlay, last_bars(series), profile, ratios, metrics, sector_pe))
     caps = snap.select("ticker", "market_cap_b")
     cfg = WalkForwardConfig(min_history=MIN_LIVE_SESSIONS, min_names=1, last_only=True)
     rows, _ = as_of_decompositions(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import WalkForwardConfig
@@ -27,7 +27,13 @@ def indexed_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Stage the session axis and the bars with technicals and history positions: one exchange by ticker."""
     axis = staged(panel.date_axis(bars))
-    featured = technicals(bars.join(axis, "d"), moves).withColumns(
+    # levels are read on as-of rows only, and of those only on falls when nothing else is scored
+    scored = F.col("rn") >= cfg.min_history
+    if cfg.last_only:
+        scored = F.lead("d").over(Window.partitionBy("ticker").orderBy("d")).isNull()
+    elif cfg.require_dip:
+        scored = scored & (F.col("dip_pct_week") < 0)
+    featured = technicals(bars.join(axis, "d"), moves, scored).withColumns(
         {"price": F.col("c"), "weight": factors.member_weight("market_cap_b")}
     )
     return axis, staged(panel.index_bars(featured.drop("prev_c", "ret"), cfg.min_history))

@@ -18,13 +18,14 @@ from ebbline.functions import raises, scalar
 from ebbline.functions.scalar import rounded
 from ebbline.operators import decompose, evidence, factors, outcomes, ranking, scoring, screen, technicals
 from ebbline.plans import assess, live, research, walkforward
-from ebbline.session import tuned
+from ebbline.session import spread, tuned
 from ebbline.sources import filings, payloads, tables
 from ebbline.staging import shared_folder, staged
 from ebbline.streaming import jobs
 
 HORIZONS = (5, 20, 60)
-CONFIG = WalkForwardConfig(horizons=HORIZONS, min_history=200)
+CONFIG = WalkForwardConfig(horizons=HORIZONS, min_history=200, require_dip=False)
+FALLS = WalkForwardConfig(horizons=HORIZONS, min_history=200)
 AS_OF = "2026-07-01"
 TERMS = HurdleTerms()
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
@@ -79,7 +80,7 @@ class Inputs:
     @cached_property
     def observations(self) -> DataFrame:
         axis = walkforward.panel.date_axis(self.bars)
-        return staged(walkforward.observe(self.as_of_rows, self.bars, axis, CONFIG))
+        return staged(walkforward.observe(self.as_of_rows, self.bars, axis, FALLS))
 
     @cached_property
     def long_observations(self) -> DataFrame:
@@ -117,7 +118,7 @@ class Inputs:
         )
         names = F.transform(F.sequence(F.lit(1), c("n_co_investors")), lambda i: F.concat(F.lit("Investor "), i.cast("string")))
         return staged(
-            flat.select(
+            spread(flat, "deal_id").select(
                 "deal_id", "k", "company_name", "country", "platform", "sector", "stage",
                 F.coalesce(F.transform("fs", lambda x: x["f"]), F.array()).cast(filings.DEAL_PARTS["founders"]).alias("founders"),
                 filings.record("traction", **pick("", "revenue_ltm", "revenue_growth_pct", "gross_margin_pct", "runway_months", "ltv_cac", "churn_pct_monthly")).alias("traction"),
@@ -932,7 +933,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     bars = staged(fixtures.capped_bars(spark, sf_dir, grain="region"))
     edges = fixtures.peer_edges(spark, sf_dir, grain="region")
-    obs = walkforward.observations(bars, edges, CONFIG)
+    obs = walkforward.observations(bars, edges, FALLS)
     return publish(obs, "ticker", "as_of", "signal_score", "cause", "dip_pct_week", *[f"fwd_{h}" for h in HORIZONS]).orderBy(
         F.col("signal_score").desc(), "as_of", "ticker"
     )
