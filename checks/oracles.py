@@ -88,12 +88,19 @@ add("deal_skeletons", FEED + "," + OFFER,
   o.offering_amount as target_raise, 'NONE' as tax_wrapper, cast(null as double) as pre_money, 0 as founders, l.cik as company_number,
   case when o.accession_number is null then 'primary_doc' else o.unparsed end as unparsed
   from lk l left join off o on o.accession_number=l.accession_number)""")
+add("deal_listings", FEED + "," + OFFER + ", nl as (select accession_number from lk where kind in ('offering','amendment') order by filed_at desc, accession_number limit 12)",
+    "deal_id, unparsed, form_type, filed_at, filing_path",
+    """(select 'edgar:'||coalesce(nullif(l.accession_number,''),l.cik) as deal_id, case when o.accession_number is null then 'primary_doc' else o.unparsed end as unparsed,
+  form_type, filed_at, filing_path from lk l left join off o on o.accession_number=l.accession_number and o.accession_number in (select accession_number from nl))""")
 POS = f"""pe as ({fx.POSITION_EVENTS}),
 tg as (select ticker, count(*) as n, max(row(ts, seq)) as added, max(ts) as added_at from pe where action='toggle' group by ticker having count(*)%2=1),
 en as (select pe.*, row_number() over (partition by pe.ticker order by pe.ts desc, pe.seq desc) as rk from pe join tg on tg.ticker=pe.ticker
        where action in ('enter','clear') and row(pe.ts, pe.seq)>tg.added),
 pos as (select tg.ticker, tg.added_at, case when action='enter' then entry_price end as entry_price, case when action='enter' then size_pct end as size_pct
         from tg left join en on en.ticker=tg.ticker and rk=1)"""
+add("filing_assessments", FEED, "deal_id, verdict, evidence_score:r, opacity_index:r, network_band",
+    """(select 'edgar:'||coalesce(nullif(accession_number,''),cik) as deal_id, 'INSUFFICIENT_DATA' as verdict, 'NONE' as network_band, 0.74 as opacity_index,
+  floor((22.5e0*74+((0.9e0*3+0.6e0*2.5e0-1)/6.5e0+1)*50*16+50*10)/100*10+0.5e0)/10 as evidence_score from lk)""")
 add("positions_current", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
 
 # --- technicals ---
@@ -153,6 +160,19 @@ def share(part: str) -> str:
 add("decomposition_shares", DEC, "ticker, as_of, label, " + ", ".join(share(p) for p in ("market", "sector", "idio")),
     """(select *, case cause when 'MARKET_BETA' then 'Market Beta' when 'SECTOR_ROTATION' then 'Sector Rotation'
   when 'IDIOSYNCRATIC_NO_NEWS' then 'Idiosyncratic / No News' when 'IDIOSYNCRATIC_SHOCK' then 'Idiosyncratic Shock' else 'Undetermined' end as label from dec)""")
+
+
+def signed(x: str, digits: int = 1, unit: str = "%%") -> str:
+    return f"(case when {x}>=0 then '+' else '' end||printf('%.{digits}f{unit}', cast({x} as double)))"
+
+
+GAP = "case when gap_share is null then '' when gap_share>=0.6 then ' Most of it came between sessions, as news does.' else ' Most of it came during sessions, as order flow does.' end"
+ORACLES["cause_notes"] = f"""with {DEC} select ticker, as_of, cause, case cause
+  when 'MARKET_BETA' then {signed('market_pct')}||' of '||{signed('total_pct')}||' follows from market exposure; '||{signed('idio_pct')}||' is specific to the name.'
+  when 'SECTOR_ROTATION' then {signed('sector_pct')}||' of '||{signed('total_pct')}||' is the peer group moving beyond what the market explains.'
+  when 'IDIOSYNCRATIC_SHOCK' then {signed('idio_pct')}||' of '||{signed('total_pct')}||' is specific to the name, a residual of '||printf('%.1f', residual_z)||' sigma.'||({GAP})||' The pattern points to new information.'
+  when 'IDIOSYNCRATIC_NO_NEWS' then {signed('idio_pct')}||' of '||{signed('total_pct')}||' is specific to the name but ordinary at '||printf('%.1f', residual_z)||' sigma.'||({GAP})
+  else 'History is too short to separate market, sector and name-specific parts.' end as note from dec"""
 add("point_in_time_snapshots", DEC, "ticker, as_of, price:r, dip_pct_day:r, dip_pct_week:r, volume_ratio:r, rsi14:r, sma50:r, sma200:r, support_level:r, dip_z:r", "dec")
 
 # --- live screen ---
@@ -229,11 +249,16 @@ FLAGS = (("leverage", "net_debt_to_ebitda>2.5"), ("earnings_impairment", "cataly
 ORACLES["risk_flags"] = f"with {LIVE}, hits as (" + " union all ".join(f"select ticker, {n} as rule, '{f}' as flag from an where {cond}" for n, (f, cond) in enumerate(FLAGS)) + """)
  select ticker, row_number() over (partition by ticker order by rule)-1 as pos, flag from hits union all select ticker, 0, 'none' from an where ticker not in (select ticker from hits)"""
 add("highlights", LIVE, "ticker, oversold=rsi14<30, volume_climax=volume_ratio>=2.5, large_dip=dip_z>=2, cash_generative=fcf_yield_pct>=4, high_return=roic_pct>=15, levered=net_debt_to_ebitda>2.5, moat=moat>=4, below_own_pe=pe_forward<pe_5y_avg, good_risk_reward=risk_reward>=1.5, residual_extreme=residual_z<=-2, vs_sma50_pct:r=(price/sma50-1)*100, vs_sma200_pct:r=(price/sma200-1)*100, stop_from_last_pct:r=(stop-price)/price*100, target1_from_last_pct:r=(target1-price)/price*100, band=case when signal_score>=72 then 'strong' when signal_score>=60 then 'good' when signal_score>=46 then 'neutral' when signal_score>=32 then 'weak' else 'poor' end", "an")
+ORACLES["display_formats"] = f"""with {LIVE} select ticker, case when price>=1000 then format('{{:,.2f}}', price) else printf('%.2f', price) end as price,
+  case when dip_pct_week>0 then '+' else '' end||printf('%.2f%%', dip_pct_week) as week,
+  case when market_cap_b>=1000 then printf('$%.2fT', market_cap_b/1000) when market_cap_b>=1 then printf('$%.0fB', market_cap_b) else printf('$%.0fM', market_cap_b*1000) end as cap,
+  printf('%.1fx', sector_pe) as sector_pe, lower(replace(verdict,'_',' ')) as verdict from an"""
 SCREEN = "ticker, sector, verdict, signal_score:i, dip_pct_day:r, dip_pct_week:r, market_cap_b:r"
 add("screen_by_score", LIVE, SCREEN, "an where is_dip order by signal_score desc, ticker")
 add("screen_by_day", LIVE, SCREEN, "an where is_dip order by dip_pct_day, ticker")
 add("screen_by_cap_in_sector", LIVE, SCREEN, "an where is_dip and sector='ASIA' order by market_cap_b desc, ticker")
 add("screen_watchlist_by_week", LIVE, SCREEN, "an where is_dip and verdict='WATCHLIST' order by dip_pct_week, ticker")
+add("ranked_analyses", LIVE, SCREEN, "an order by signal_score desc, ticker")
 add("ticker_lookup", LIVE, SCREEN, "an where upper(ticker)='NATION_7'")
 add("top_buys", LIVE, "ticker, signal_score:i", "(select * from an where is_dip and verdict='BUY_THE_DIP' order by signal_score desc, ticker limit 3)")
 add("top_knives", LIVE, "ticker, signal_score:i", "(select * from an where is_dip and verdict in ('FALLING_KNIFE','AVOID') order by signal_score desc, ticker limit 4)")
@@ -270,6 +295,13 @@ METRICS = "n:i, ic:r, top_mean:r, bottom_mean:r, spread:r, hit_rate_high:r"
 add("horizon_metrics", OBS + "," + metrics("horizon"), "horizon:i, " + METRICS, "metrics")
 add("ic_by_year", OBS + ", ly as (select *, year(as_of) as year from long)," + metrics("year, horizon", "ly"), "year:i, horizon:i, " + METRICS, "metrics")
 add("ic_by_half", OBS + ", hd as (select as_of, ntile(2) over (order by as_of) as half from (select distinct as_of from long)), lh as (select * from long join hd using (as_of))," + metrics("half, horizon", "lh"), "half:i, horizon:i, " + METRICS, "metrics")
+HEADS = ", ".join(f"lpad({signed(f'coalesce(avg(fwd_{h}),0)', 2, '')}, 9, ' ')" for h in (5, 20, 60))
+ORACLES["report_lines"] = "with " + OBS + "," + metrics("horizon") + f""", cz as (select cause, count(*) as n, rpad(cause,24,' ')||lpad(cast(count(*) as varchar),8,' ')||concat({HEADS}) as line from obs group by cause)
+ select 0::bigint as section, 0::bigint as pos, 'Observations: '||count(*)||'  (falls only: true)' as line from obs
+ union all select 1, horizon, concat_ws('  ', rpad(horizon||'d',6,' '), lpad(cast(n as varchar),8,' '), lpad(printf('%.3f',cast(ic as double)),6,' '), lpad({signed('top_mean', 2, '')},8,' '),
+   lpad({signed('bottom_mean', 2, '')},8,' '), lpad({signed('spread', 2, '')},8,' '), printf('%3.0f%%',cast(hit_rate_high*100 as double))) from metrics
+ union all select 2, row_number() over (order by n desc, cause), line from cz
+ union all select 3, p, t from (values (0,'Survivors only; observations overlap and are correlated.'),(1,'No costs or slippage.'),(2,'A measured rank correlation can expose a broken score; it cannot prove an edge.')) c(p,t)"""
 MEANS = "n:i=count(*), " + ", ".join(f"mean_{h}:r=coalesce(avg(fwd_{h}),0)" for h in (5, 20, 60))
 add("cause_metrics", OBS, "cause, " + MEANS, "obs group by cause")
 REG = OBS + "," + factor(CAPW) + """, rg as (select d, case when level>avg(level) over (order by d rows between 199 preceding and current row) then 'ABOVE' else 'BELOW' end as regime from factor),

@@ -347,6 +347,16 @@ def filing_assessments(i):
     return publish(assess.assess(deals, AS_OF, TERMS), "deal_id", "verdict", "evidence_score", "opacity_index", "network_band")
 
 
+@query
+def deal_listings(i):
+    """Back from a deal to the filing it came from; only the newest twelve live raises carry offering detail."""
+    rows = filings.listings(filings.feed_entries(i.feeds))
+    deals = filings.deal_skeletons(rows, filings.offerings(i.offering_documents), detail_limit=12)
+    listed = filings.with_deal_id(rows).drop("unparsed")
+    joined = deals.select("deal_id", F.array_join("unparsed", ",").alias("unparsed")).join(listed, "deal_id")
+    return joined.select("deal_id", "unparsed", "form_type", "filed_at", "filing_path")
+
+
 @query
 def positions_current(i):
     return publish(tables.current_positions(i.position_events))
@@ -527,7 +537,7 @@ def display_formats(i):
     return a.select(
         "ticker", scalar.price_text(F.col("price")).alias("price"), scalar.pct_text(F.col("dip_pct_week")).alias("week"),
         scalar.cap_text(F.col("market_cap_b")).alias("cap"), scalar.times_text(F.col("sector_pe")).alias("sector_pe"),
-        F.upper("ticker").alias("upper"), F.initcap(F.regexp_replace(F.lower("verdict"), "_", " ")).alias("verdict"),
+        F.lower(F.regexp_replace("verdict", "_", " ")).alias("verdict"),
     )
 
 
@@ -548,6 +558,11 @@ _screen("screen_by_cap_in_sector", sort="cap", sector="ASIA")
 _screen("screen_watchlist_by_week", sort="week", verdict="WATCHLIST")
 
 
+@query
+def ranked_analyses(i):
+    return publish(i.analyses.orderBy(F.col("signal_score").desc(), "ticker"), *SCREEN)
+
+
 @query
 def ticker_lookup(i):
     return publish(screen.point_lookup(i.analyses, "nation_7"), *SCREEN)
@@ -919,8 +934,8 @@ def stream_positions(i):
 def stream_rescored(i):
     """New bars arrive for some names; only those are re-scored and written."""
     fresh = f"{shared_folder(i.spark)}/fresh-{uuid.uuid4().hex}"
-    newest = i.bars.withColumn("n", F.max("d").over(Window.partitionBy())).filter(F.col("d") == F.col("n"))
-    newest.filter(F.length("ticker") == 8).drop("n").write.parquet(fresh)
+    newest = i.bars.join(i.bars.agg(F.max("d").alias("d")), "d", "left_semi")
+    newest.filter(F.length("ticker") == 8).write.parquet(fresh)
     out, check = _landing(i, "rescored")
     stream = i.spark.readStream.schema(i.bars.schema).parquet(fresh)
     jobs.rescore_changed(stream, lambda: i.bars, lambda _: i.analyses, out, check).awaitTermination()

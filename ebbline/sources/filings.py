@@ -180,19 +180,27 @@ def record(part: str, **known: Column) -> Column:
     return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
-def deal_skeletons(listing_rows: DataFrame, offering_rows: DataFrame) -> DataFrame:
+def with_deal_id(listing_rows: DataFrame) -> DataFrame:
+    key = F.coalesce(F.nullif(F.col("accession_number"), F.lit("")), F.col("cik"))
+    return listing_rows.withColumn("deal_id", F.concat(F.lit("edgar:"), key))
+
+
+def deal_skeletons(listing_rows: DataFrame, offering_rows: DataFrame, detail_limit: int | None = None) -> DataFrame:
     """Listings with their offering, as deals. A US issuer carries no relief; all else absent stays undisclosed.
 
-    Listings without an offering document carry ``unparsed = ['primary_doc']``.
+    Listings without an offering document carry ``unparsed = ['primary_doc']``. ``detail_limit`` attaches
+    documents to that many of the newest live raises only; by default every listing gets its document.
     """
+    if detail_limit is not None:
+        newest = live_raises(listing_rows, None).orderBy(F.col("filed_at").desc(), "accession_number").limit(detail_limit)
+        offering_rows = offering_rows.join(newest.select("accession_number"), "accession_number", "left_semi")
     o = offering_rows.select(
         "accession_number", "issuer_name", "offering_amount", F.col("unparsed").alias("offering_unparsed"),
         F.lit(True).alias("found"),
     )
-    df = listing_rows.drop("unparsed").join(o, "accession_number", "left")
-    key = F.coalesce(F.nullif(F.col("accession_number"), F.lit("")), F.col("cik"))
+    df = with_deal_id(listing_rows).drop("unparsed").join(o, "accession_number", "left")
     return df.select(
-        F.concat(F.lit("edgar:"), key).alias("deal_id"),
+        "deal_id",
         F.coalesce("issuer_name", "company_name").alias("company_name"),
         F.lit("other").alias("platform"), F.lit("other").alias("sector"), F.lit("unknown").alias("stage"),
         F.lit("US").alias("country"), F.col("edgar_url").alias("url"),
