@@ -20,17 +20,14 @@ def member_weight(market_cap):
     return F.when(F.col(market_cap) > 0, F.col(market_cap)).otherwise(F.lit(1.0))
 
 
-def market_levels(panel: DataFrame, segs: DataFrame) -> DataFrame:
+def market_levels(panel: DataFrame) -> DataFrame:
     """(seg, d, market_level) on the sessions all admitted names share (axis-sized)."""
     per_day = panel.groupBy("seg", "d").agg(
-        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n")
-    )
-    size = segs.groupBy("seg").agg(F.max("members").alias("members"))
-    return (
-        per_day.join(size, "seg")
-        .filter(F.col("n") == F.col("members"))
-        .select("seg", "d", ratio(F.col("s"), F.col("w")).alias("market_level"))
+        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n"),
+        F.max("members").alias("members"),
     )
+    level = ratio(F.col("s"), F.col("w")).alias("market_level")
+    return per_day.filter(F.col("n") == F.col("members")).select("seg", "d", level)
 
 
 def factor_series(bars: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -68,6 +65,25 @@ def align_to(targets: DataFrame, factor: DataFrame, keys: list[str] | None = Non
     return joined.withColumn("aligned", F.coalesce(filled, leading, F.lit(1.0)))
 
 
+FOLLOWERS_PER_TASK = 64
+
+
+def followed_bars(panel: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """The peers' bars, once per name that lists them.
+
+    A peer that very many names list is cut into groups of followers: its bars are repeated per group, so that no
+    task expands a popular peer alone. Peers with up to 64 followers stay one group.
+    """
+    edges = peer_edges.select("ticker", "peer").distinct()
+    groups = edges.groupBy("peer").agg(F.ceil(F.count("*") / FOLLOWERS_PER_TASK).cast("int").alias("groups"))
+    sides = edges.join(groups, "peer").select(
+        F.col("ticker").alias("follower"), "peer", F.pmod(F.hash("ticker"), F.col("groups")).alias("part")
+    )
+    bars = panel.select(F.col("ticker").alias("peer"), "seg", "d", "c", "enters").join(groups, "peer")
+    bars = bars.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    return bars.join(sides, ["peer", "part"])
+
+
 def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame, carried: list[str]) -> DataFrame:
     """One row per (ticker, seg, d) of the name's own bars with market and peer-basket levels.
 
@@ -78,10 +94,8 @@ def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame
         "ticker", "seg", "d", F.struct("c", *carried).alias("own"), F.lit(None).cast("double").alias("peer_ln"),
         F.lit(0).alias("enters"),
     )
-    peers = panel.alias("p").join(
-        peer_edges.select(F.col("ticker").alias("target"), "peer").distinct(), F.col("p.ticker") == F.col("peer")
-    ).select(
-        F.col("target").alias("ticker"), "seg", "d", F.lit(None).cast(own.schema["own"].dataType).alias("own"),
+    peers = followed_bars(panel, peer_edges).select(
+        F.col("follower").alias("ticker"), "seg", "d", F.lit(None).cast(own.schema["own"].dataType).alias("own"),
         F.ln("c").alias("peer_ln"), F.col("enters").cast("int").alias("enters"),
     )
     stacked = spread(own.unionByName(peers), "ticker", "seg")

@@ -45,6 +45,7 @@ def index_bars(df: DataFrame, min_history: int) -> DataFrame:
         {
             "next_di": F.lead("di").over(w),
             "expires_di": F.lead("di", SESSION_WINDOW).over(w),
+            "prev_expires_di": F.lead("di", SESSION_WINDOW - 1).over(w),
             "start_di": F.coalesce(F.lag("di", SESSION_WINDOW - 1).over(w), first_di),
             "edge_di": F.coalesce(F.lag("di", FRAME_ROWS).over(w), first_di),
             "admitted_di": F.max(F.when(F.col("rn") == min_history, F.col("di"))).over(Window.partitionBy("ticker")),
@@ -119,25 +120,32 @@ def segments(indexed: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
     return df.select("t", F.sum("_cut").over(w).cast("int").alias("seg"), "members")
 
 
-def live_panel(indexed: DataFrame, axis: DataFrame, segs: DataFrame) -> DataFrame:
-    """Copy each bar into every segment it is live in; mark a name's first bar of a segment."""
-    marks = axis.join(segs, axis.di == segs.t, "left").select(
-        "di",
-        F.max("seg").over(Window.orderBy("di")).alias("seg_before"),
-        F.min("seg").over(Window.orderBy(F.col("di").desc())).alias("seg_after"),
+def calendar(axis: DataFrame, segs: DataFrame) -> DataFrame:
+    """The axis with each session's segment, its bounds, and the nearest segments before and after (axis-sized)."""
+    up, down = Window.orderBy("di"), Window.orderBy(F.col("di").desc())
+    within = Window.partitionBy("seg")
+    return axis.join(segs, axis.di == segs.t, "left").select(
+        "di", "d", "seg", "members",
+        F.min("t").over(within).alias("t_lo"), F.max("t").over(within).alias("t_hi"),
+        F.max("seg").over(up).alias("seg_before"), F.min("seg").over(down).alias("seg_after"),
     )
+
+
+def live_panel(indexed: DataFrame, days: DataFrame) -> DataFrame:
+    """Copy each bar into every segment it is live in; mark a name's first bar of a segment (``enters``).
+
+    Only lookups in the calendar and one explode: the bars are not exchanged here.
+    """
+    spans = days.filter(F.col("di") == F.col("t_lo")).select("seg", "members", "t_lo", "t_hi")
     df = indexed.withColumns(
         {
             "live_from": F.greatest("di", "admitted_di"),
-            "live_to": F.least(F.coalesce(F.col("expires_di") - 1, F.col("last_di")), F.col("last_di")),
+            "live_to": F.coalesce(F.col("expires_di") - 1, F.col("last_di")),
         }
     )
-    df = df.join(marks.select(F.col("di").alias("live_from"), F.col("seg_after").alias("seg_lo")), "live_from", "left")
-    df = df.join(marks.select(F.col("di").alias("live_to"), F.col("seg_before").alias("seg_hi")), "live_to", "left")
-    df = df.withColumn("prev_hi", F.lag("seg_hi").over(by_ticker()))
-    return (
-        df.filter(F.col("seg_lo") <= F.col("seg_hi"))
-        .withColumn("seg", F.explode(F.sequence("seg_lo", "seg_hi")))
-        .withColumn("enters", F.coalesce(F.col("prev_hi") < F.col("seg"), F.lit(True)))
-        .drop("live_from", "live_to", "seg_lo", "seg_hi", "prev_hi", "expires_di", "start_di", "edge_di")
-    )
+    df = df.join(days.select(F.col("di").alias("live_from"), F.col("seg_after").alias("seg_lo")), "live_from")
+    df = df.join(days.select(F.col("di").alias("live_to"), F.col("seg_before").alias("seg_hi")), "live_to")
+    df = df.filter(F.col("seg_lo") <= F.col("seg_hi")).withColumn("seg", F.explode(F.sequence("seg_lo", "seg_hi")))
+    # the previous bar of the name is gone by the segment's first session, or there is none
+    enters = (F.col("rn") == 1) | F.coalesce(F.col("prev_expires_di") - 1 < F.col("t_lo"), F.lit(False))
+    return df.join(spans, "seg").withColumn("enters", enters)

@@ -19,7 +19,7 @@ SNAPSHOT = (
     "drawdown_pct", "range_position", "atr_pct", "realized_vol_pct", "dip_z", "support_level", "support_defined",
     "resistance_level", "avg_volume",
 )
-CARRIED = ("di", "rn", "next_di", "log_ret", "gap_share", "admitted_di", *SNAPSHOT)
+CARRIED = ("di", "rn", "next_di", "log_ret", "gap_share", "admitted_di", "t_lo", "t_hi", *SNAPSHOT)
 
 
 def indexed_features(
@@ -48,19 +48,17 @@ def as_of_decompositions(
     ``peer_edges(ticker, peer)``. A name without a bar on the session takes part with its last one.
     """
     axis, indexed = indexed_features(bars, cfg, moves)
-    segs = staged(panel.segments(indexed, cfg))
-    live = panel.live_panel(indexed, axis, segs)
-    market = factors.market_levels(live, segs)
+    days = staged(panel.calendar(axis, panel.segments(indexed, cfg)))
+    live = panel.live_panel(indexed, days)
+    market = factors.market_levels(live)
     rows = dec.decompose(factors.own_and_peer_rows(live, peer_edges, market, list(CARRIED)))
-    spans = segs.groupBy("seg").agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))
     # halo rows (needed by frames only) have no as-of session in their segment and vanish here
     here = panel.positions(
         F.greatest("di", "admitted_di", "t_lo"), F.least(F.coalesce(F.col("next_di") - 1, F.col("t_hi")), "t_hi")
     )
     as_of = (
-        rows.join(spans, "seg")
-        .withColumn("t", F.explode(here))
-        .join(axis.select(F.col("di").alias("t"), F.col("d").alias("as_of")), "t")
+        rows.withColumn("t", F.explode(here))
+        .join(days.select(F.col("di").alias("t"), F.col("d").alias("as_of")), "t")
         .drop("t_lo", "t_hi", "next_di", "admitted_di", "seg", "rn", "log_ret", "c")
     )
     return as_of, axis

@@ -84,12 +84,18 @@ def _ddl(fields: str) -> str:
 
 
 def history_bars(usable: DataFrame, sessions: int = SESSION_WINDOW) -> DataFrame:
-    """Daily bars of every symbol, last ``sessions`` of each; rows without a date or positive close are dropped."""
+    """Daily bars of every symbol, last ``sessions`` of each; rows without a date or positive close are dropped.
+
+    Landing tables hold many copies of the same bar (each fetch repeats the history), so copies are reduced to
+    one row per (ticker, d) before anything is ordered; of differing copies the greatest row stays.
+    """
     rows = usable.select(F.col("symbol").alias("ticker"), F.inline(_rows(F.col("body"), _ddl(BAR_JSON))))
     bars = rows.filter(F.col("date").isNotNull() & (F.col("close") > 0)).select(
         "ticker", F.col("date").alias("d"), finite("open").alias("o"), finite("high").alias("h"),
         finite("low").alias("l"), F.col("close").alias("c"), finite("volume").alias("v"),
     )
+    bars = bars.groupBy("ticker", "d").agg(F.max(F.struct("c", "o", "h", "l", "v")).alias("b"))
+    bars = bars.select("ticker", "d", "b.o", "b.h", "b.l", "b.c", "b.v")
     newest = Window.partitionBy("ticker").orderBy(F.col("d").desc())
     return bars.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= sessions).drop("_age")
 

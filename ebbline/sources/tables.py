@@ -45,7 +45,9 @@ def cached_history(spark: SparkSession, path: str, build, refresh: bool = False,
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if refresh or not exists:
         bars = with_enough_history(build(), min_history).withColumn("year", F.year("d"))
-        bars.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+        # ranges of (year, ticker): a year is spread over tasks, and a task writes few files
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bars.repartitionByRange(n, "year", "ticker").write.mode("overwrite").partitionBy("year").parquet(path)
     return spark.read.parquet(path).drop("year")
 
 

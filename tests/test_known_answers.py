@@ -203,3 +203,20 @@ def test_short_histories_are_not_admitted(spark):
     df = spark.createDataFrame(rows, "ticker string, d date, c double")
     r = {x.ticker: x["count"] for x in live.admitted(live.newest_sessions(df)).groupBy("ticker").count().collect()}
     assert r == {"LONG": 300}
+
+
+def test_popular_peer_is_split_without_changing_rows(spark):
+    names = [f"F{k}" for k in range(300)]
+    panel = spark.createDataFrame([("HOT", 1, 1, 2.0, True), ("COLD", 1, 1, 3.0, True)], "ticker string, seg int, d int, c double, enters boolean")
+    edges = spark.createDataFrame([(n, "HOT", 0) for n in names] + [("F1", "COLD", 1)], "ticker string, peer string, pos int")
+    got = factors.followed_bars(panel, edges)
+    assert got.count() == 301 and got.filter("peer = 'HOT'").select("part").distinct().count() == 5
+    assert {r.follower for r in got.collect()} == set(names)
+
+
+def test_report_is_written_as_text(spark, tmp_path):
+    obs, long = obs_frame(spark, [(k, "MARKET_BETA" if k % 2 else "UNKNOWN", float(k)) for k in range(50)])
+    path = str(tmp_path / "report")
+    research.write_report(research.report_lines(obs, long, (5,)), path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines[0].startswith("Observations: 50") and lines[1].startswith("5d") and len(lines) == 7

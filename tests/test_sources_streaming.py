@@ -32,7 +32,7 @@ def test_quarantine_reasons(spark):
 
 def test_history_forms_and_cap(spark):
     rows = [bar(f"2024-01-{d:02d}", 100.0 + d) for d in range(20, 0, -1)]
-    df = bodies(spark, ("A", json.dumps(rows)), ("B", json.dumps({"historical": rows[:3] + [bar("2024-02-01", None)]})))
+    df = bodies(spark, ("A", json.dumps(rows)), ("A", json.dumps(rows[:8])), ("B", json.dumps({"historical": rows[:3] + [bar("2024-02-01", None)]})))
     got = payloads.history_bars(df, sessions=5).orderBy("ticker", "d").collect()
     assert [(r.ticker, r.d.day, r.c) for r in got[:5]] == [("A", d, 100.0 + d) for d in range(16, 21)]
     assert [r.d.day for r in got[5:]] == [18, 19, 20]
