@@ -206,9 +206,7 @@ def half(x: str) -> str:
     return f"cast(floor({x}+0.5e0) as int)"
 
 
-LIVE = ",".join([LIVE_BARS, SNAP, LIVE_TECH, LIVE_DEC]) + f""",
-an0 as (select snap.*, dec.*exclude(ticker, sector, price, dip_pct_day, dip_pct_week, volume_ratio, avg_volume, d, t) from snap join dec using (ticker)),
-an1 as (select *, {half(f"({sc('roic_pct',4,30)}*0.22e0+{sc('moat',1,5)}*0.22e0+{sc('gross_margin_pct',20,70)}*0.12e0+{sc('op_margin_pct',5,35)}*0.12e0+{sc('rev_growth_pct',-5,25)}*0.12e0+{sc('-net_debt_to_ebitda',-4,1)}*0.1e0+{sc('balance_sheet',1,5)}*0.1e0)")} as quality_score,
+CHAIN = f"""an1 as (select *, {half(f"({sc('roic_pct',4,30)}*0.22e0+{sc('moat',1,5)}*0.22e0+{sc('gross_margin_pct',20,70)}*0.12e0+{sc('op_margin_pct',5,35)}*0.12e0+{sc('rev_growth_pct',-5,25)}*0.12e0+{sc('-net_debt_to_ebitda',-4,1)}*0.1e0+{sc('balance_sheet',1,5)}*0.1e0)")} as quality_score,
    {half(f"({sc('(pe_5y_avg-pe_forward)/pe_5y_avg*100',-25,40)}*0.35e0+{sc('(sector_pe-pe_forward)/sector_pe*100',-60,40)}*0.2e0+{sc('fcf_yield_pct',0,7)}*0.25e0+(case when eps_growth_pct>0 then {sc('-(pe_forward/nullif(eps_growth_pct,0))',-4,-0.8)} else 15e0 end)*0.2e0)")} as valuation_score,
    {half(f"({sc('dip_z',0.8,3.5)}*0.45e0+{sc('volume_ratio',1,3.5)}*0.35e0+{sc('abs(dip_pct_day)/greatest(abs(dip_pct_week),0.1)',0.25,1)}*0.2e0)")} as dip_character_score,
    {half("greatest(0,least(100, case cause when 'MARKET_BETA' then 82e0 when 'SECTOR_ROTATION' then 66e0 when 'IDIOSYNCRATIC_NO_NEWS' then 60+greatest(-10,least(12,(1.5-abs(residual_z))*8)) when 'IDIOSYNCRATIC_SHOCK' then 22-greatest(0,least(15,(abs(residual_z)-2.5)*6)) else 50e0 end))")} as catalyst_score,
@@ -231,6 +229,9 @@ an as materialized (select *, greatest(pre*0.99e0,target1) as target2, floor((ca
    floor((case verdict when 'BUY_THE_DIP' then 5e0 when 'ACCUMULATE' then 3e0 when 'WATCHLIST' then 1e0 else 0e0 end)*greatest(0.5e0,least(1.2e0,30/greatest(realized_vol_pct,15e0)))*10+0.5e0)/10 as suggested_size_pct,
    1e0 as max_risk_pct, case when catalyst_type in ('earnings_miss','guidance_cut') then '4–8 weeks' when catalyst_type in ('sector_sympathy','macro','no_news') then '2–5 weeks' else '6–12 weeks' end as horizon,
    dip_pct_week<0 and verdict not in ('FALLING_KNIFE','AVOID') as pub from an5)"""
+LIVE = ",".join([LIVE_BARS, SNAP, LIVE_TECH, LIVE_DEC]) + f""",
+an0 as (select snap.*, dec.*exclude(ticker, sector, price, dip_pct_day, dip_pct_week, volume_ratio, avg_volume, d, t) from snap join dec using (ticker)),
+""" + CHAIN
 add("live_snapshot", LIVE, "ticker, sector, name, industry, market_cap_b:r, price:r, dip_pct_day:r, dip_pct_week:r, beta:r, avg_volume_m:r, volume_ratio:r, pe_forward:r, sector_pe:r, ev_to_ebitda:r, fcf_yield_pct:r, gross_margin_pct:r, op_margin_pct:r, roic_pct:r, net_debt_to_ebitda:r", "snap")
 add("live_admission", BARS, "ticker, sessions:i", "(select ticker, least(count(*),300) as sessions from bars group by ticker having count(*)>=60)")
 add("live_decomposition", LIVE, "ticker, as_of, " + DECS, "an")
@@ -241,6 +242,12 @@ add("pillar_scores_long", LIVE, "ticker, pillar, score:i, weight:r, provenance",
         f"select ticker, '{p}' as pillar, {p}_score as score, {w} as weight, '{s}' as provenance from an"
         for p, w, s in (("quality", 0.22, "mixed"), ("catalyst", 0.22, "signal"), ("valuation", 0.18, "mixed"), ("dip_character", 0.18, "signal"), ("technical", 0.12, "signal"), ("flow", 0.08, "mixed"))
     ) + ")")
+PIT = DEC + f""", ov as ({fx.OVERLAY}), an0 as (select dec.*, coalesce(name, ticker) as name, coalesce(catalyst_type,'no_news') as catalyst_type, coalesce(catalyst_severity,5) as catalyst_severity,
+  coalesce(short_interest_pct,0) as short_interest_pct, coalesce(pe_5y_avg,20) as pe_5y_avg, coalesce(pe_5y_avg,20) as pe_forward, coalesce(pe_5y_avg,20)*0.9e0 as sector_pe,
+  coalesce(rev_growth_pct,0) as rev_growth_pct, coalesce(eps_growth_pct,0) as eps_growth_pct, coalesce(moat,3) as moat, coalesce(balance_sheet,3) as balance_sheet,
+  12e0 as ev_to_ebitda, 0e0 as fcf_yield_pct, 0e0 as gross_margin_pct, 0e0 as op_margin_pct, 0e0 as roic_pct, 0e0 as net_debt_to_ebitda
+  from dec left join (select * from ov where right(ticker,1) in ('0','1','2','3','5','7')) using (ticker)), """ + CHAIN
+add("point_in_time_analyses", PIT, f"ticker, as_of, name, {SCORES}, signal_score:i, overlay_score:i, dip_score:i, verdict, conviction, stop:r, target1:r, suggested_size_pct:r", "an")
 add("verdicts", LIVE, "ticker, verdict, conviction, is_dip", "an")
 add("trade_plans", LIVE, "ticker, entry_low:r, entry_high:r, stop:r, target1:r, target2:r, risk_reward:r, win_probability_pct:i, expected_value_pct:r, suggested_size_pct:r, max_risk_pct:r, horizon", "an")
 add("published_plans", LIVE, "ticker, " + ", ".join(f"{x}:r=case when pub then {x} end" for x in ("entry_low", "entry_high", "stop", "target1", "target2")), "an")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import ratio
 from ebbline.session import spread
+from ebbline.staging import broadcast_if_small, staged
 
 
 def member_weight(market_cap):
@@ -76,6 +77,7 @@ def followed_bars(panel: DataFrame, peer_edges: DataFrame) -> DataFrame:
     """
     edges = peer_edges.select("ticker", "peer").distinct()
     groups = edges.groupBy("peer").agg(F.ceil(F.count("*") / FOLLOWERS_PER_TASK).cast("int").alias("groups"))
+    groups = broadcast_if_small(staged(groups))
     sides = edges.join(groups, "peer").select(
         F.col("ticker").alias("follower"), "peer", F.pmod(F.hash("ticker"), F.col("groups")).alias("part")
     )
@@ -88,10 +90,11 @@ def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame
     """One row per (ticker, seg, d) of the name's own bars with market and peer-basket levels.
 
     Own bars and peers' bars are stacked and reduced by key, so the peer basket costs no separate join back: a
-    single exchange by (ticker, seg) feeds the aggregation and all windows that follow.
+    single exchange by (ticker, seg) feeds the aggregation and all windows that follow. ``market`` is a stored
+    axis-sized table and joins before that exchange.
     """
-    own = panel.select(
-        "ticker", "seg", "d", F.struct("c", *carried).alias("own"), F.lit(None).cast("double").alias("peer_ln"),
+    own = panel.join(broadcast_if_small(market), ["seg", "d"], "left").select(
+        "ticker", "seg", "d", F.struct("c", "market_level", *carried).alias("own"), F.lit(None).cast("double").alias("peer_ln"),
         F.lit(0).alias("enters"),
     )
     peers = followed_bars(panel, peer_edges).select(
@@ -106,8 +109,7 @@ def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame
         F.sum("enters").alias("peers_enter"),
     )
     merged = merged.withColumn("peers", F.sum("peers_enter").over(Window.partitionBy("ticker", "seg")))
-    own_rows = merged.filter(F.col("own").isNotNull()).select(
+    return merged.filter(F.col("own").isNotNull()).select(
         "ticker", "seg", "d", "own.*",
         F.when((F.col("peers") > 0) & (F.col("peers_here") == F.col("peers")), F.col("peer_mean")).alias("peer_level"),
     )
-    return own_rows.join(market, ["seg", "d"], "left")

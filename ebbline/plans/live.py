@@ -24,6 +24,13 @@ def admitted(bars: DataFrame, min_sessions: int = MIN_LIVE_SESSIONS) -> DataFram
     return bars.join(counts.select("ticker"), "ticker", "left_semi")
 
 
+def require_names(bars: DataFrame) -> DataFrame:
+    """Fail early on an empty universe (runs one small job)."""
+    if bars.select("ticker").isEmpty():
+        raise ValueError("no name has enough history to be screened")
+    return bars
+
+
 def display_prices(bars: DataFrame) -> DataFrame:
     """Two-decimal series for scoring; the exact moves and the last bar's volume ride along."""
     w = Window.partitionBy("ticker").orderBy("d")
@@ -83,7 +90,7 @@ def last_bars(bars: DataFrame) -> DataFrame:
 def analyses(bars: DataFrame, peer_edges: DataFrame, overlay: DataFrame, profile: DataFrame, ratios: DataFrame,
              metrics: DataFrame, sector_pe: DataFrame) -> DataFrame:
     """Every covered name with at least 60 sessions, fully scored on its newest session."""
-    series = staged(display_prices(admitted(newest_sessions(bars))))
+    series = require_names(staged(display_prices(admitted(newest_sessions(bars)))))
     snap = staged(snapshot(overlay, last_bars(series), profile, ratios, metrics, sector_pe))
     caps = snap.select("ticker", "market_cap_b")
     cfg = WalkForwardConfig(min_history=MIN_LIVE_SESSIONS, min_names=1, last_only=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ebbline.config import BUY_GRADE_SCORE
 from ebbline.operators.factors import factor_series
 from ebbline.operators.ranking import rank_correlation, stable_positions
+from ebbline.staging import broadcast_if_small, staged
 
 MIN_ROWS = 5
 
@@ -58,7 +59,7 @@ def with_regime(obs: DataFrame, bars: DataFrame, sessions: int = 200) -> DataFra
     known = axis.select(
         F.col("d").alias("as_of"), F.last("regime", ignorenulls=True).over(Window.orderBy("d")).alias("regime")
     )
-    return obs.join(known, "as_of")
+    return obs.join(broadcast_if_small(staged(known)), "as_of")
 
 
 def feature_ic(long_obs: DataFrame, features: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def by_half(long_obs: DataFrame) -> DataFrame:
     """First and second half of the distinct as-of sessions."""
     days = long_obs.select("as_of").distinct()
     halves = days.withColumn("half", F.ntile(2).over(Window.orderBy("as_of")))
-    return horizon_metrics(long_obs.join(halves, "as_of"), ["half", "horizon"])
+    return horizon_metrics(long_obs.join(broadcast_if_small(staged(halves)), "as_of"), ["half", "horizon"])
 
 
 def score_buckets(obs: DataFrame, horizons: tuple[int, ...], width: int = 10) -> DataFrame:

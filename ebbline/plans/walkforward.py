@@ -50,7 +50,7 @@ def as_of_decompositions(
     axis, indexed = indexed_features(bars, cfg, moves)
     days = staged(panel.calendar(axis, panel.segments(indexed, cfg)))
     live = panel.live_panel(indexed, days)
-    market = factors.market_levels(live)
+    market = staged(factors.market_levels(live))
     rows = dec.decompose(factors.own_and_peer_rows(live, peer_edges, market, list(CARRIED)))
     # halo rows (needed by frames only) have no as-of session in their segment and vanish here
     here = panel.positions(
@@ -64,6 +64,33 @@ def as_of_decompositions(
     return as_of, axis
 
 
+# fields a past date cannot know, as the constants a run without current fundamentals uses
+NEUTRAL = {
+    "catalyst_type": "no_news", "catalyst_severity": 5.0, "catalyst_transience": 5.0, "short_interest_pct": 0.0,
+    "pe_5y_avg": 20.0, "rev_growth_pct": 0.0, "eps_growth_pct": 0.0, "moat": 3.0, "balance_sheet": 3.0,
+    "overlay_sector": "", "overlay_industry": "",
+}
+UNKNOWN_THEN = {
+    "ev_to_ebitda": 12.0, "fcf_yield_pct": 0.0, "gross_margin_pct": 0.0, "op_margin_pct": 0.0, "roic_pct": 0.0,
+    "net_debt_to_ebitda": 0.0, "beta": 1.0,
+}
+
+
+def with_overlay(as_of_rows: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Complete as-of rows for full scoring: authored overlay where there is one, neutral constants elsewhere.
+
+    Nothing added here feeds the signal score.
+    """
+    side = overlay.select("ticker", "name", *NEUTRAL)
+    df = as_of_rows.join(side, "ticker", "left").withColumns({k: F.coalesce(k, F.lit(v)) for k, v in NEUTRAL.items()})
+    return df.withColumns(
+        {
+            "name": F.coalesce("name", "ticker"), "pe_forward": F.col("pe_5y_avg"),
+            "sector_pe": F.col("pe_5y_avg") * 0.9, **{k: F.lit(v) for k, v in UNKNOWN_THEN.items()},
+        }
+    )
+
+
 def forward_closes(bars: DataFrame, axis: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """(ticker, t, close_h ...): the close exactly ``h`` axis sessions after ``t``, where there is one."""
     legs = [F.struct((F.col("di") - h).alias("t"), F.lit(h).alias("h"), F.col("c").alias("close")) for h in horizons]

@@ -467,6 +467,17 @@ def point_in_time_snapshots(i):
     return publish(i.as_of_rows, "ticker", "as_of", "price", "dip_pct_day", "dip_pct_week", "volume_ratio", "rsi14", "sma50", "sma200", "support_level", "dip_z")
 
 
+@query
+def point_in_time_analyses(i):
+    """Full scoring of every as-of row; a third of the names has no authored overlay."""
+    overlay = i.overlay.filter(F.substring("ticker", -1, 1).isin("0", "1", "2", "3", "5", "7"))
+    scored = scoring.analyze(walkforward.with_overlay(i.as_of_rows, overlay))
+    return publish(
+        scored, "ticker", "as_of", "name", *[f"{p}_score" for p in PILLAR_WEIGHTS], "signal_score", "overlay_score", "dip_score",
+        "verdict", "conviction", "stop", "target1", "suggested_size_pct",
+    )
+
+
 # --- live screen ----------------------------------------------------------------------------------------------
 
 SNAPSHOT = ("sector", "name", "industry", "market_cap_b", "price", "dip_pct_day", "dip_pct_week", "beta", "avg_volume_m",

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -31,3 +32,12 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_LIMIT = 64 << 20
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast hint for a stored table whose files are at most ``limit`` bytes; beyond it an ordinary join."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= limit else table

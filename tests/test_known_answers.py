@@ -220,3 +220,9 @@ def test_report_is_written_as_text(spark, tmp_path):
     research.write_report(research.report_lines(obs, long, (5,)), path)
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines[0].startswith("Observations: 50") and lines[1].startswith("5d") and len(lines) == 7
+
+
+def test_empty_universe_is_an_error(spark):
+    empty = spark.createDataFrame([], "ticker string, d date, c double")
+    with pytest.raises(ValueError, match="enough history"):
+        live.require_names(live.admitted(empty))
