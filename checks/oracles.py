@@ -47,8 +47,8 @@ add("index_strip", "", "symbol, label, value:r, change_pct:r", """(select s.symb
   row_number() over (partition by s.symbol order by o_orderdate desc, o_orderkey desc) as rk from orders
   join (values (0,'SPY','S&P 500'),(1,'QQQ','Nasdaq 100'),(2,'DIA','Dow Jones'),(3,'IWM','Russell 2000')) s(m,symbol,label) on o_orderkey%5=s.m
   where o_orderkey%7<>0) where rk=1""")
-ORACLES["payload_quarantine"] = """with j as (select doc_id, case when doc_id%5=0 then null when doc_id%5=1 then 'plan_limit' when doc_id%5=2 then 'provider_error'
-  when text is null or trim(text)='' then 'empty'
+ORACLES["payload_quarantine"] = """with j as (select doc_id, case when doc_id%5=0 then null when doc_id%5>2 and (text is null or trim(text)='') then 'empty'
+  when doc_id%5=1 and not regexp_matches(text,'(?i)legacy|subscription|restricted|upgrade|special endpoint|limit reach') then 'provider_error'
   when regexp_matches(text,'(?i)legacy|subscription|restricted|upgrade|special endpoint|limit reach') then 'plan_limit' else 'not_json' end as reason from documents)
  select reason, count(*) as bodies, min(doc_id) as first_id, max(doc_id) as last_id from j group by reason"""
 add("overlay_peers", f"{BARS}, ov as ({fx.OVERLAY})", "ticker, pos:i, peer, moat:r, catalyst_type, pe_5y_avg:r", "edges join ov using (ticker)")
@@ -74,7 +74,7 @@ add("live_raises", FEED, "company_name, cik, accession_number, filed_at, kind",
 ORACLES["form_kinds"] = f"""with fl as ({fx.FILINGS}), f as (select regexp_extract(title,'^\\s*([A-Z0-9/-]+)\\s+-\\s+(.+?)\\s*\\((\\d{{7,10}})\\)',1) as form_type from fl)
  select form_type, case when form_type='C' then 'offering' when form_type='C/A' then 'amendment' when form_type like 'C-U%' then 'update'
   when form_type like 'C-AR%' then 'annual_report' when form_type like 'C-W%' then 'withdrawal' else 'other' end as kind, count(*) as filings from f group by 1,2"""
-OFFER = """sp as (select *, s_suppkey as k, abs(s_acctbal) as bal from supplier where s_suppkey%10<>3),
+OFFER = """sp as (select *, s_suppkey as k, abs(s_acctbal) as bal from supplier),
 off as (select lpad(cast(k as varchar),10,'0')||'-26-000001' as accession_number,
   case when k%2=0 then s_name||' & Co' when k%4=1 then s_name end as issuer_name,
   case when k%5<2 then null when k%5=2 then floor(bal*10) else floor(bal*10)+0.5 end as offering_amount,
@@ -246,7 +246,7 @@ PIT = DEC + f""", ov as ({fx.OVERLAY}), an0 as (select dec.*, coalesce(name, tic
   coalesce(short_interest_pct,0) as short_interest_pct, coalesce(pe_5y_avg,20) as pe_5y_avg, coalesce(pe_5y_avg,20) as pe_forward, coalesce(pe_5y_avg,20)*0.9e0 as sector_pe,
   coalesce(rev_growth_pct,0) as rev_growth_pct, coalesce(eps_growth_pct,0) as eps_growth_pct, coalesce(moat,3) as moat, coalesce(balance_sheet,3) as balance_sheet,
   12e0 as ev_to_ebitda, 0e0 as fcf_yield_pct, 0e0 as gross_margin_pct, 0e0 as op_margin_pct, 0e0 as roic_pct, 0e0 as net_debt_to_ebitda
-  from dec left join (select * from ov where right(ticker,1) in ('0','1','2','3','5','7')) using (ticker)), """ + CHAIN
+  from dec left join (select * from ov) using (ticker)), """ + CHAIN
 add("point_in_time_analyses", PIT, f"ticker, as_of, name, {SCORES}, signal_score:i, overlay_score:i, dip_score:i, verdict, conviction, stop:r, target1:r, suggested_size_pct:r", "an")
 add("verdicts", LIVE, "ticker, verdict, conviction, is_dip", "an")
 add("trade_plans", LIVE, "ticker, entry_low:r, entry_high:r, stop:r, target1:r, target2:r, risk_reward:r, win_probability_pct:i, expected_value_pct:r, suggested_size_pct:r, max_risk_pct:r, horizon", "an")
@@ -344,4 +344,4 @@ add("stream_session_bars", "", "ticker, d, o:r, h:r, l:r, c:r, v:i", """(select
 ORACLES["stream_distinct_filings"] = """select distinct lpad(cast(o_custkey as varchar),18,'0') as accession_number,
  case o_custkey%6 when 0 then 'offering' else 'amendment' end as kind from orders where o_custkey%6 in (0,1)"""
 add("stream_positions", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
-add("stream_rescored", LIVE, "ticker, verdict, signal_score:i", "an where length(ticker)=8 and ticker in (select ticker from raw where d=(select max(d) from raw))")
+add("stream_rescored", LIVE, "ticker, verdict, signal_score:i", "an where ticker in (select ticker from raw where d=(select max(d) from raw) and c<o)")

@@ -134,7 +134,7 @@ RAISES = {
     "deal_vetoes": (VETO, "deal_id, code, hard", "vt", 4),
     "deal_verdicts": (VETO, "deal_id, verdict, evidence_score:r, opacity_index:r", "vd", 6),
     "assessment_order": (VETO, "deal_id, verdict, opacity_index:r",
-                         "(select * from vd order by case verdict when 'ELIGIBLE' then 0 when 'ELIGIBLE_WITH_FLAGS' then 1 when 'INSUFFICIENT_DATA' then 2 else 3 end, opacity_index, deal_id limit 100)", 6),
+                         "(select * from vd order by case verdict when 'ELIGIBLE' then 0 when 'ELIGIBLE_WITH_FLAGS' then 1 when 'INSUFFICIENT_DATA' then 2 else 3 end, opacity_index, deal_id)", 6),
     "network_ratings": (DL + """, nw as (select deal_id, case when has_professional_lead is not null then 30e0 else 0e0 end as a1, case when has_professional_lead then 30e0 else 0e0 end as s1,
   case when n_co_investors>0 then 20e0 else 0e0 end as a2, case when n_co_investors>0 then 20e0*least(1e0,n_co_investors/3e0) else 0e0 end as s2,
   case when syndicate_access is not null then 18e0 else 0e0 end as a3, case when syndicate_access then 18e0 else 0e0 end as s3,
@@ -144,7 +144,7 @@ RAISES = {
  nx as (select deal_id, a1+a2+a3+a4+a5+a6 as seen, coalesce((s1+s2+s3+s4+s5+s6)/nullif(a1+a2+a3+a4+a5+a6,0)*100,0) as lv from nw)""",
                         "deal_id, network_band=case when seen/100e0<0.3e0 then 'NONE' when lv>=65 then 'HIGH' when lv>=40 then 'MODERATE' else 'LOW' end, network_score:i=floor(lv+0.5e0)", "nx", 4),
     "research_tasks": (EVID, "deal_id, rank:i, code",
-                       f"(select deal_id, code, row_number() over (partition by deal_id order by weight*pw desc, pp, sp) as rank from sg where missing and {HINTED}) where rank<=6", 4),
+                       f"(select deal_id, code, row_number() over (partition by deal_id order by weight*pw desc, pp, sp) as rank from sg where missing and {HINTED})", 4),
     "deal_hurdles": (DL, f"deal_id, index_multiple:r=pow(1.1e0,8), hurdle_multiple:r={hurdle('8', 'tax_wrapper', 'platform')}, breakeven_multiple:r={hurdle('0', 'tax_wrapper', 'platform')}, "
                      + f"net_cost_fraction:r=1e0-{relief('tax_wrapper')}, downside_multiple:r={net('0e0', 'tax_wrapper', fee('platform'), carry('platform'))}, notes=case when tax_wrapper='NONE' then 'no_relief' else '' end", "dl", 4),
     "net_multiples": (OUT + ", nm as (select oc.*, w.wrapper, q.platform from oc, (values ('SEIS'),('EIS'),('NONE')) w(wrapper), (values ('Crowdcube'),('seedrs'),('startengine'),('none')) q(platform)), nv as (select *, "

@@ -29,13 +29,13 @@ group by n_name, n_nationkey, r_name"""
 
 RATIOS = """
 select n_name as ticker, 0.25e0 + avg(c_acctbal) / 20000e0 as gross_margin, 0.02e0 + (n_nationkey % 9) * 0.04e0 as operating_margin,
- case when n_nationkey % 5 = 2 then null else 8e0 + count(*) % 25 end as pe_ttm
-from customer join nation on c_nationkey = n_nationkey where n_nationkey % 8 <> 7 group by n_name, n_nationkey"""
+ case when n_nationkey % 5 = 2 or n_nationkey % 8 = 7 then null else 8e0 + count(*) % 25 end as pe_ttm
+from customer join nation on c_nationkey = n_nationkey group by n_name, n_nationkey"""
 
 METRICS = """
-select n_name as ticker, case when n_nationkey % 4 = 2 then null else 6e0 + count(*) % 13 end as ev_to_ebitda,
+select n_name as ticker, case when n_nationkey % 4 = 2 or n_nationkey % 9 = 8 then null else 6e0 + count(*) % 13 end as ev_to_ebitda,
  (n_nationkey % 7) - 2e0 as net_debt_ebitda, 0.03e0 + (n_nationkey % 6) * 0.05e0 as roic, (n_nationkey % 8) * 0.01e0 as fcf_yield
-from customer join nation on c_nationkey = n_nationkey where n_nationkey % 9 <> 8 group by n_name, n_nationkey"""
+from customer join nation on c_nationkey = n_nationkey group by n_name, n_nationkey"""
 
 SECTOR_PE = """
 select r_name as sector, case when r_regionkey = 3 then null else 15e0 + 2e0 * count(*) / 5e0 end as pe

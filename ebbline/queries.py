@@ -188,7 +188,7 @@ class Inputs:
             F.lit("</offeringInformation></formData></edgarSubmission>"),
         )
         acc = F.concat(F.lpad(k.cast("string"), 10, "0"), F.lit("-26-000001"))
-        return s.filter(k % 10 != 3).select(acc.alias("accession_number"), body.alias("body"), "s_suppkey")
+        return s.select(acc.alias("accession_number"), body.alias("body"), "s_suppkey")
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
@@ -262,12 +262,13 @@ def index_strip(i):
 
 @query
 def payload_quarantine(i):
-    k = F.col("doc_id")
+    """Every document's whole text as a response: well-formed, as an error message, cut off, or bare."""
+    k, text = F.col("doc_id"), F.col("text")
     body = (
-        F.when(k % 5 == 0, F.lit('[{"pe": 1}]'))
-        .when(k % 5 == 1, F.concat(F.lit('{"Error Message": "Upgrade needed for '), k.cast("string"), F.lit('"}')))
-        .when(k % 5 == 2, F.concat(F.lit('{"Error Message": "Unknown symbol '), k.cast("string"), F.lit('"}')))
-        .otherwise(F.col("text"))
+        F.when(k % 5 == 0, F.to_json(F.array(F.struct(text.alias("note")))))
+        .when(k % 5 == 1, F.to_json(F.struct(text.alias("Error Message"))))
+        .when(k % 5 == 2, F.concat(F.lit('[{"note": "'), text))
+        .otherwise(text)
     )
     judged = i.table("documents").select("doc_id", payloads.rejection(body).alias("reason"))
     return judged.groupBy("reason").agg(F.count("*").alias("bodies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
@@ -469,9 +470,8 @@ def point_in_time_snapshots(i):
 
 @query
 def point_in_time_analyses(i):
-    """Full scoring of every as-of row; a third of the names has no authored overlay."""
-    overlay = i.overlay.filter(F.substring("ticker", -1, 1).isin("0", "1", "2", "3", "5", "7"))
-    scored = scoring.analyze(walkforward.with_overlay(i.as_of_rows, overlay))
+    """Full scoring of every as-of row with the authored overlay."""
+    scored = scoring.analyze(walkforward.with_overlay(i.as_of_rows, i.overlay))
     return publish(
         scored, "ticker", "as_of", "name", *[f"{p}_score" for p in PILLAR_WEIGHTS], "signal_score", "overlay_score", "dip_score",
         "verdict", "conviction", "stop", "target1", "suggested_size_pct",
@@ -797,8 +797,7 @@ def network_ratings(i):
 
 @query
 def assessment_order(i):
-    ranked = assess.in_display_order(i.assessed).limit(100)
-    return publish(ranked, "deal_id", "verdict", "opacity_index", digits=6)
+    return publish(assess.in_display_order(i.assessed), "deal_id", "verdict", "opacity_index", digits=6)
 
 
 @query
@@ -808,7 +807,7 @@ def deal_narratives(i):
 
 @query
 def research_tasks(i):
-    return publish(evidence.research_tasks(i.assessed, 6), "deal_id", "rank", "code")
+    return publish(evidence.research_tasks(i.assessed), "deal_id", "rank", "code")
 
 
 @query
@@ -943,10 +942,10 @@ def stream_positions(i):
 
 @query
 def stream_rescored(i):
-    """New bars arrive for some names; only those are re-scored and written."""
+    """The last session's falling bars arrive as a stream; only their names are re-scored and written."""
     fresh = f"{shared_folder(i.spark)}/fresh-{uuid.uuid4().hex}"
     newest = i.bars.join(i.bars.agg(F.max("d").alias("d")), "d", "left_semi")
-    newest.filter(F.length("ticker") == 8).write.parquet(fresh)
+    newest.filter(F.col("c") < F.col("o")).write.parquet(fresh)
     out, check = _landing(i, "rescored")
     stream = i.spark.readStream.schema(i.bars.schema).parquet(fresh)
     jobs.rescore_changed(stream, lambda: i.bars, lambda _: i.analyses, out, check).awaitTermination()

@@ -226,3 +226,12 @@ def test_empty_universe_is_an_error(spark):
     empty = spark.createDataFrame([], "ticker string, d date, c double")
     with pytest.raises(ValueError, match="enough history"):
         live.require_names(live.admitted(empty))
+
+
+def test_overlay_defaults(spark):
+    rows = spark.createDataFrame([("A", 1.0), ("B", 1.0)], "ticker string, price double")
+    full = {k: (v if isinstance(v, str) else v + 1) for k, v in walkforward.NEUTRAL.items()} | {"ticker": "A", "name": "Alpha"}
+    got = {r.ticker: r for r in walkforward.with_overlay(rows, spark.createDataFrame([full])).collect()}
+    assert (got["A"].name, got["A"].pe_forward, got["A"].moat) == ("Alpha", 21.0, 4.0)
+    assert (got["B"].name, got["B"].pe_forward, got["B"].moat, got["B"].catalyst_type) == ("B", 20.0, 3.0, "no_news")
+    assert got["B"].sector_pe == pytest.approx(18.0) and got["B"].ev_to_ebitda == 12.0
