@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,19 @@ from pyspark.sql import functions as F
 _KEY = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    """One folder per process for runs on a single machine, such as tests."""
+    return tempfile.mkdtemp(prefix="ebbline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_KEY, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{_KEY} must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="ebbline-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    return _local_folder()
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -126,3 +126,13 @@ def test_only_changed_names_are_rescored(spark, tmp_path):
     sink = lambda df, out, check: jobs.rescore_changed(df, lambda: stored, score, out, check)
     got = stream(spark, tmp_path, schema, [[("B", dt.date(2024, 1, 2), 3.0)]], lambda df: df, sink)
     assert [(r.ticker, r.score) for r in jobs.newest_by_key(got).collect()] == [("B", pytest.approx(2.0))]
+
+
+def test_staged_tables_live_in_the_shared_folder(spark, tmp_path):
+    from ebbline.staging import broadcast_if_small, shared_folder, staged
+
+    assert shared_folder(spark) == shared_folder(spark)
+    df = staged(spark.range(1000))
+    assert df.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark).replace("file://", ""))
+    assert "ResolvedHint" in broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in broadcast_if_small(df, limit=10)._jdf.queryExecution().analyzed().toString()
