@@ -48,6 +48,8 @@ def cached_history(spark: SparkSession, path: str, build, refresh: bool = False,
         # ranges of (year, ticker): a year is spread over tasks, and a task writes few files
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         bars.repartitionByRange(n, "year", "ticker").write.mode("overwrite").partitionBy("year").parquet(path)
+        # the declared schema also holds when no name has enough history and nothing was written
+        return spark.read.schema(bars.schema).parquet(path).drop("year")
     return spark.read.parquet(path).drop("year")
 
 
