@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, ngram_join, quality
+from llm import decontaminate, mixing, ngram_join, quality, secrets
 from llm.common import table
 
 
+ENTROPY, MAX_REPEAT = 0.97, 4.0
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), max_repeat=MAX_REPEAT, entropy=ENTROPY)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -16,10 +23,17 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op9_secret_scans, op10_quality_rules)
+}
 ORACLES: dict[str, str] = {}
