@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, mixing, ngram_join, quality, secrets
+from llm import chat, decontaminate, mixing, ngram_join, quality, secrets, url_filters
 from llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(pages, url_filters.rule_table(spark), url_filters.link_targets(pages))
+
+
 ENTROPY, MAX_REPEAT = 0.97, 4.0
 
 
@@ -23,6 +28,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.rendered(chat.fold(chat.events_of_turns(turns.union(added)))))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op9_secret_scans, op10_quality_rules)
+    for f in (
+        op1_url_filters, op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op8_chat_formatting,
+        op9_secret_scans, op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
