@@ -8,11 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ebbline.staging import broadcast_if_small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small(stored: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if its files have at most 8 MB, otherwise without one."""
+    return broadcast_if_small(stored, 8 << 20)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of a table's files; 0 where it has no usable figure."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.staging import broadcast_if_small, staged
+from ebbline.staging import staged
+from llm.common import small
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(a, b) with a > b. Large: neighbours above a node move to its least neighbour; small: those below do."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    moved = both.join(broadcast_if_small(least), "a")
+    moved = both.join(small(least), "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

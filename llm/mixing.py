@@ -14,7 +14,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbline.staging import broadcast_if_small, staged
+from ebbline.staging import staged
+from llm.common import small
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 4096
@@ -91,18 +92,18 @@ def mixture(docs: DataFrame, budget: int | None = None, max_repeat: float = 4.0,
     plan = shares.withColumn("weight", F.round(F.exp(F.col("ls") * e) / F.lit(z), 9)).withColumn("share", F.floor(F.col("weight") * F.lit(float(budget))).cast("bigint"))
     plan = plan.withColumn("passes", F.floor(F.col("share") / F.col("tokens")).cast("int")).withColumn("room", F.col("share") - F.col("passes") * F.col("tokens"))
     plan = staged(plan.select("source", "weight", "passes", "room"))
-    known = u.join(broadcast_if_small(plan), "source")
+    known = u.join(small(plan), "source")
     out = ["doc_id", "source", "n_tokens", "copies", "weight", "b1"]
     whole = known.where("passes > 0").select(*out, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"))
     turn = lambda *c: F.xxhash64(*c, "source", "epoch", F.lit(seed))
     last = known.where("room > 0").withColumn("epoch", F.col("passes"))
     blocks = last.groupBy("source", "b1", "epoch", "room").agg(F.sum("n_tokens").alias("n_tokens"))
     blocks = staged(_cut(blocks, ["source"], [turn("b1"), "b1"]).where("full or edge").select("source", "b1", "full", "left"))
-    taken = last.join(broadcast_if_small(blocks), ["source", "b1"])
+    taken = last.join(small(blocks), ["source", "b1"])
     edge = staged(taken.where("not full").drop("full", "room").withColumnRenamed("left", "room"))
     parts = edge.groupBy("source", "b1", "b2", "epoch", "room").agg(F.sum("n_tokens").alias("n_tokens"))
     parts = staged(_cut(parts, ["source"], [turn("b1", "b2"), "b2"]).where("full or edge").select("source", "b1", "b2", "full", "left"))
-    inner = edge.join(broadcast_if_small(parts), ["source", "b1", "b2"])
+    inner = edge.join(small(parts), ["source", "b1", "b2"])
     single = _cut(inner.where("not full").drop("full", "room").withColumnRenamed("left", "room"), ["source", "b1", "b2"], [turn("doc_id"), "doc_id"])
     rows = whole
     for part in (taken.where("full"), inner.where("full"), single.where("full")):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import chat, decontaminate, html_text, mixing, ngram_join, quality, secrets, url_filters
+from llm import chat, decontaminate, html_text, katz, mixing, ngram_join, quality, secrets, url_filters
 from llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op5_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_html_extraction,
+        op1_url_filters, op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_katz_scoring,
+        op7_html_extraction,
         op8_chat_formatting, op9_secret_scans, op10_quality_rules,
     )
 }

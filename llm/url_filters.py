@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.staging import broadcast_if_small, staged
+from ebbline.staging import staged
+from llm.common import small
 from llm.components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +59,7 @@ def _ruled(places: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     tails = places.where("host <> ''").distinct().withColumn("suffix", F.explode(ends))
-    fit = tails.join(broadcast_if_small(staged(r)), "suffix").where(F.startswith("path", "prefix"))
+    fit = tails.join(small(staged(r)), "suffix").where(F.startswith("path", "prefix"))
     best = F.max(F.struct(F.length("rule"), F.length("suffix"), F.when(F.col("action") == "allow", 1).otherwise(0), "rule", "action"))
     return staged(fit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.action"))
 
@@ -74,12 +75,12 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     df = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"))
     rules = rules.select("action", "rule").where("action in ('allow', 'block') and rule is not null")
     own = _ruled(df.select("host", "path"), rules)
-    out = df.join(broadcast_if_small(own), ["host", "path"], "left")
+    out = df.join(small(own), ["host", "path"], "left")
     alias = _aliases(redirects, rules) if redirects is not None else None
     if alias is None:
         out = out.withColumn("spread", F.lit(None).cast("string"))
     else:
-        out = out.withColumn("node", node(F.col("url"))).join(broadcast_if_small(alias), "node", "left")
+        out = out.withColumn("node", node(F.col("url"))).join(small(alias), "node", "left")
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict"),
         F.when(F.col("action").isNotNull(), "rule").when(F.col("spread").isNotNull(), "alias").otherwise("default").alias("reason"),
@@ -95,9 +96,9 @@ def _aliases(redirects: DataFrame, rules: DataFrame) -> DataFrame | None:
     of = components(edges)
     host, path = host_and_path(F.concat(F.lit("http://"), F.col("node")))
     places = of.select("node", "component", host.alias("host"), path.alias("path"))
-    decided = places.join(broadcast_if_small(_ruled(places.select("host", "path"), rules)), ["host", "path"])
+    decided = places.join(small(_ruled(places.select("host", "path"), rules)), ["host", "path"])
     spread = staged(decided.groupBy("component").agg(F.min("action").alias("spread")))  # allow sorts before block
-    return staged(of.join(broadcast_if_small(spread), "component").select("node", "spread"))
+    return staged(of.join(small(spread), "component").select("node", "spread"))
 
 
 #: Fixed values of the registered query.
