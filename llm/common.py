@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbline.staging import broadcast_if_small
@@ -20,6 +22,17 @@ def small(stored: DataFrame) -> DataFrame:
     return broadcast_if_small(stored, 8 << 20)
 
 
+class Sent:
+    """An object of this package on its way to all tasks: a broadcast of its pickled bytes."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.sent.value)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of a table's files; 0 where it has no usable figure."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

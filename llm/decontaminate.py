@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ebbline.staging import staged
 from llm import words as W
-from llm.common import ragged, slices
+from llm.common import Sent, ragged, slices
 
 GRAM = 4
 BLOCK_BYTES = 32 << 20
@@ -193,10 +193,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
     parts = []
     for b in range(blocks):
         rows = windows.where(F.pmod("key", F.lit(blocks)) == b).collect()
-        counted = spark.sparkContext.broadcast(_Index(rows))
+        counted = Sent(spark, _Index(rows))
         seen = docs.select("text").mapInArrow(_counter(counted), "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c"))
         counts = {r["t"]: r["c"] for r in seen.collect()}
-        index = spark.sparkContext.broadcast(_Index(rows, counts))
+        index = Sent(spark, _Index(rows, counts))
         parts.append(docs.mapInArrow(_finder(index), HITS))
     if blocks == 1:
         return parts[0]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ebbline.staging import staged
 from llm import words as W
-from llm.common import input_bytes, slices, small
+from llm.common import Sent, input_bytes, slices, small
 
 VOCABULARY = (1 << 18) - 2
 HOT = 512
@@ -351,11 +351,11 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> Data
     below = words.where(F.col("c") == 1).count() if least > 1 else max(0, nr.get(1, 0) - int((counts == 1).sum()))
     tail = int(total["n"]) - int(counts.sum())
     model = _Model(kept, counts, int(total["n"]), int(total["v"]), tail, below, texts, nr, hot)
-    first = spark.sparkContext.broadcast(model)
+    first = Sent(spark, model)
     read = staged(docs.mapInArrow(_reader(first), READ))
     pairs = read.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n")).orderBy("w").toArrow()
     model.pairs, model.pair_counts = np.asarray(pairs["w"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(pairs["n"].combine_chunks()).astype(np.int64)
-    full = spark.sparkContext.broadcast(model)
+    full = Sent(spark, model)
     pieces = min(1 << 12, max(PIECES, input_bytes(docs) // (16 << 20)))
     dealt = docs.mapInArrow(_dealer(full, pieces), "piece int, blob binary, " + FACTS)
     spread = F.when(F.col("piece") < 0, -1 - F.pmod(F.col("key"), F.lit(pieces))).otherwise(F.col("piece")).cast("int")

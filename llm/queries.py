@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import chat, decontaminate, html_text, katz, mixing, ngram_join, quality, secrets, url_filters
+from llm import chat, decontaminate, html_text, katz, mixing, ngram_join, quality, repeats, secrets, url_filters
 from llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op6_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_katz_scoring,
-        op7_html_extraction,
+        op6_sparse_suffix_arrays, op7_html_extraction,
         op8_chat_formatting, op9_secret_scans, op10_quality_rules,
     )
 }
