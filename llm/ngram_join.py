@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbline.staging import broadcast_if_small, staged
+from ebbline.staging import staged
 from llm import words as W
-from llm.common import input_bytes, ragged, slices
+from llm.common import input_bytes, ragged, slices, small
 from llm.components import components
 
 FLUSH = 3_000_000
@@ -33,6 +33,8 @@ COUNTS = "doc_id bigint, n bigint, d1 bigint, d2 bigint, name bigint, shared big
 FACTS = "piece int, blob binary, " + COUNTS
 SETS = "doc_id bigint, n bigint, shared bigint, keys array<bigint>, tokens array<bigint>"
 KEYS = 3
+#: Token ranges, at least; more where the input has over 10 MB for each.
+PIECES = 128
 
 
 def _digest(u: np.ndarray) -> tuple[int, int]:
@@ -193,8 +195,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataF
     gets its component's id if other rows of it have ids, else NULL. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = max(1, min(1 << 16, max(shuffles, input_bytes(docs) // (10 << 20))))
+    pieces = min(1 << 16, max(PIECES, input_bytes(docs) // (10 << 20)))
     met = docs.mapInArrow(_entries(pieces, k), FACTS).groupBy("piece").applyInArrow(_met, COUNTS)
     facts = staged(met)
     named = F.col("n").isNotNull()
@@ -204,7 +205,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataF
     enough = lambda have, n: F.col(have) * den >= num * F.col(n)
     alive = classes.where("doc_id is not null").join(far, "name", "left").withColumn("shared", F.col("near") + F.coalesce("far", F.lit(0)))
     alive = staged(alive.where(enough("shared", "n")).select("doc_id", "d1", "d2", "shared"))
-    fetched = docs.where("doc_id is not null").join(broadcast_if_small(alive), "doc_id")
+    fetched = docs.where("doc_id is not null").join(small(alive), "doc_id")
     sets = staged(fetched.mapInArrow(_sets(k), SETS))
     group = _groups(sets, num, den)
     of = classes.select("n", "d1", "d2", F.col("doc_id").alias("node")).join(group.select(F.col("doc_id").alias("node"), "component"), "node", "left")
@@ -223,17 +224,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(doc_id, component) of sets(doc_id, n, shared, keys, tokens)."""
-    sized = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
-    meta = sets.select("doc_id", "n", F.least(F.col("shared") / F.col("n"), F.lit(1.0)).alias("typical"), F.posexplode("keys").alias("j", "key"))
-    best = F.max(F.struct("typical", (-F.col("doc_id")).alias("o"), "n")).alias("top")
-    tops = staged(meta.groupBy("j", "key").agg(F.count("*").alias("c"), best).where("c > 1").select("j", "key", (-F.col("top.o")).alias("top"), F.col("top.n").alias("top_n")))
-    pairs = meta.join(broadcast_if_small(tops), ["j", "key"]).where((F.col("doc_id") != F.col("top")) & sized(F.col("n"), F.col("top_n")))
-    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("top").alias("b")).distinct()
-    links = staged(_linked(pairs, sets, num, den))
+    sets = sets.withColumn("shared", F.least("shared", "n"))
+    meta = sets.select("doc_id", "n", "shared", F.posexplode("keys").alias("j", "key"))
+    best = F.max(F.struct(F.col("shared") / F.col("n"), (-F.col("doc_id")).alias("o"), "n", "shared")).alias("top")
+    tops = meta.groupBy("j", "key").agg(F.count("*").alias("c"), best).where("c > 1")
+    tops = staged(tops.select("j", "key", (-F.col("top.o")).alias("top"), F.col("top.n").alias("top_n"), F.col("top.shared").alias("top_shared")))
+    pairs = meta.join(small(tops), ["j", "key"]).where(F.col("doc_id") != F.col("top"))
+    pairs = pairs.where(_may_link("n", "shared", "top_n", "top_shared", num, den)).select(F.col("doc_id").alias("a"), F.col("top").alias("b"))
+    links = staged(_linked(staged(pairs.distinct()), sets, num, den))
     group = components(links)
 
     def placed() -> DataFrame:
-        g = sets.select("doc_id", "n").distinct().join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        g = sets.select("doc_id", "n", "shared").distinct().join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         return staged(g.withColumn("component", F.coalesce("component", "doc_id")))
 
     member = placed()
@@ -244,41 +246,58 @@ def _groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     return member.select("doc_id", "component").distinct()
 
 
+def _may_link(n: str, c: str, other_n: str, other_c: str, num: int, den: int):
+    """Two sets of n tokens, of which at most c can be in the other: sizes and overlap allow a link."""
+    sized = den * F.least(n, other_n) >= num * F.greatest(n, other_n)
+    return sized & (num * (F.col(n) + F.col(other_n)) <= (den + num) * F.least(c, other_c))
+
+
 def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) between different groups, or None where no document can have one."""
+    """Links (a, b) between different groups, or None where no document can have one.
+
+    ``c`` of a document is how many of its tokens another group can still match. A partner of size m needs an overlap
+    of num * (n + m) / (den + num), so c limits the partner's size, and a token counts only if some document in another
+    group has it whose size is within that limit. Dropping documents lowers c of others; it is repeated until it stops.
+    """
     need = F.ceil(F.col("n") * num / den)
-    alive, before = member, -1
+    limit = F.floor(F.col("c") * (den + num) / num) - F.col("n")
+    alive, before = member.select("doc_id", "n", "component", F.col("shared").alias("c")), -1
     while True:
-        tokens = sets.select("doc_id", "tokens").join(broadcast_if_small(alive), "doc_id")
-        tokens = tokens.select("doc_id", "n", "component", F.explode("tokens").alias("t"))
+        tokens = sets.select("doc_id", "tokens").join(small(alive), "doc_id")
+        tokens = tokens.select("doc_id", "n", "component", "c", limit.alias("limit"), F.explode("tokens").alias("t"))
         matrix = staged(
-            tokens.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df"))
-            .where("lo <> hi").select("t", "df")
+            tokens.groupBy("t").agg(
+                F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("limit").alias("most"),
+                F.count("*").alias("df"),
+            ).where("lo <> hi").select("t", "least", "most", "df")
         )
-        crossing = tokens.join(broadcast_if_small(matrix), "t").groupBy("doc_id", "n", "component").agg(F.count("*").alias("cross"))
-        alive = staged(crossing.where(F.col("cross") >= need))
+        met = tokens.join(small(matrix), "t").where("least <= limit and n <= most")
+        alive = met.groupBy("doc_id", "n", "component").agg(F.count("*").alias("c"))
+        alive = staged(alive.where(F.col("c") >= need))
         left = alive.count()
         if not left:
             return None
         if left == before:
             break
-        before, alive = left, alive.select("doc_id", "n", "component")
-    alive = staged(crossing.where(F.col("cross") >= need))
-    tokens = sets.select("doc_id", "tokens").join(broadcast_if_small(alive), "doc_id")
-    tokens = tokens.select("doc_id", "n", "component", "cross", F.explode("tokens").alias("t")).join(broadcast_if_small(matrix), "t")
-    tokens = staged(tokens)
+        before = left
+    tokens = sets.select("doc_id", "tokens").join(small(alive), "doc_id")
+    tokens = tokens.select("doc_id", "n", "component", "c", limit.alias("limit"), F.explode("tokens").alias("t")).join(small(matrix), "t")
+    tokens = staged(tokens.where("least <= limit and n <= most").select("doc_id", "n", "component", "c", "t", "df"))
     order = Window.partitionBy("doc_id", "component").orderBy("df", "t")
-    first = tokens.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("cross") - need + 1)
-    first = staged(first.select("t", "doc_id", "n", "component"))
-    sizes = staged(alive.groupBy("component").agg(F.count("*").alias("size")))
-    weight = lambda name, size: sizes.select(F.col("component").alias(name), F.col("size").alias(size))
-    unions = first.select("t", F.col("component").alias("g")).distinct()
-    found = first.join(unions, "t").where("component <> g").select("doc_id", "n", "component", "g").distinct()
-    found = found.join(broadcast_if_small(weight("component", "ours")), "component").join(broadcast_if_small(weight("g", "theirs")), "g")
-    found = staged(found.where("ours > theirs or (ours = theirs and component > g)").select("doc_id", "n", "g"))
-    union = tokens.select("t", F.col("component").alias("g")).distinct()
-    bound = found.join(tokens.select("doc_id", "t"), "doc_id").join(union, ["t", "g"]).groupBy("doc_id", "n", "g").agg(F.count("*").alias("c"))
-    opened = staged(bound.where(F.col("c") >= need).select(F.col("doc_id").alias("a"), "n", "g"))
-    inside = alive.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("g"))
-    pairs = opened.join(inside, "g").where(den * F.least("n", "nb") >= num * F.greatest("n", "nb")).select("a", "b").distinct()
+    first = tokens.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("c") - need + 1).drop("r", "df")
+    size = alive.groupBy("component").agg(F.count("*").alias("size"))
+    size = staged(size)
+    sized = lambda df, name: df.join(small(size.select("component", F.col("size").alias(name))), "component")
+    union = tokens.groupBy("t", "component").agg(F.min("n").alias("n_g"), F.max("n").alias("n_top"), F.max("c").alias("c_g"))
+    union = staged(sized(union, "size_g").withColumnRenamed("component", "g"))
+    first = staged(sized(first, "size"))
+    fits = (num * F.col("n_g") <= den * F.col("n")) & (den * F.col("n_top") >= num * F.col("n"))
+    fits &= num * (F.col("n") + F.greatest("n_g", need)) <= (den + num) * F.least("c", "c_g")
+    ours = (F.col("size") > F.col("size_g")) | ((F.col("size") == F.col("size_g")) & (F.col("component") > F.col("g")))
+    found = first.join(union, "t").where((F.col("component") != F.col("g")) & fits & ours)
+    found = found.groupBy("doc_id", "n", "c", "g").agg(F.count("*").alias("both"), F.min("n_g").alias("n_g"))
+    overlap = F.ceil(num * (F.col("n") + F.greatest("n_g", need)) / (den + num))
+    opened = staged(found.where(F.col("both") + need - 1 >= overlap).select(F.col("doc_id").alias("a"), "n", "c", "g"))
+    inside = alive.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("component").alias("g"))
+    pairs = opened.join(inside, "g").where(_may_link("n", "c", "n_b", "c_b", num, den)).select("a", "b").distinct()
     return staged(_linked(staged(pairs), sets, num, den))
