@@ -83,3 +83,11 @@ def assess(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lost_chars", F.col("word_chars") - F.length(F.regexp_replace("cleaned", SPACE, "")))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
     return df.drop("_t", "_words", "_lines", "_h", "_full", "_win", "_once", "_repeats", "_sorted", "_starts", "_good")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`assess` that are kept.
+
+    The row number keeps the optimizer from moving the condition below the measures, where it would repeat them all.
+    """
+    return assess(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").drop("_row")
