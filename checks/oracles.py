@@ -37,8 +37,10 @@ OBS = eq.observations(MIN_HISTORY)
 DEC = ",".join([BARS, eq.TECH, eq.decomposition(MIN_HISTORY)])
 
 # --- sources ---
-add("history_bars", BARS, "ticker, d, o:r, c:r, v:r",
-    "(select *, row_number() over (partition by ticker order by d desc) as age from bars) where age<=300")
+add("history_bars", BARS, "ticker, d, o:r, c:r, v:r", "bars")
+ORACLES["bar_quarantine"] = """with b as (select 'ORDER_'||cast(o_orderkey as varchar) as t, case when o_orderkey%11=0 then 'no_date' when o_orderkey%13=0 then 'close_not_positive'
+  when o_orderkey%7=0 then 'no_close' when o_totalprice<=0 then 'close_not_positive' end as reason from orders)
+ select reason, count(*) as bars, min(t) as first_ticker, max(t) as last_ticker from b where reason is not null group by reason"""
 add("company_profiles", f"p as ({fx.PROFILE})", "ticker, company_name, quote_price:r, market_cap:r=market_cap/1e9, beta:r, volume:r, average_volume:r, change_pct:r, profile_sector, profile_industry", "p")
 add("ttm_ratios", f"p as ({fx.RATIOS})", "ticker, gross_margin:r, operating_margin:r, pe_ttm:r", "p")
 add("ttm_key_metrics", f"p as ({fx.METRICS})", "ticker, ev_to_ebitda:r, net_debt_ebitda:r, roic:r, fcf_yield:r", "p")
@@ -47,7 +49,7 @@ add("index_strip", "", "symbol, label, value:r, change_pct:r", """(select s.symb
   row_number() over (partition by s.symbol order by o_orderdate desc, o_orderkey desc) as rk from orders
   join (values (0,'SPY','S&P 500'),(1,'QQQ','Nasdaq 100'),(2,'DIA','Dow Jones'),(3,'IWM','Russell 2000')) s(m,symbol,label) on o_orderkey%5=s.m
   where o_orderkey%7<>0) where rk=1""")
-ORACLES["payload_quarantine"] = """with j as (select doc_id, case when doc_id%5=0 then null when doc_id%5>2 and (text is null or trim(text)='') then 'empty'
+ORACLES["payload_quarantine"] = """with j as (select doc_id, case when doc_id%5 in (0,3) then null when doc_id%5=4 and (text is null or trim(text)='') then 'empty'
   when doc_id%5=1 and not regexp_matches(text,'(?i)legacy|subscription|restricted|upgrade|special endpoint|limit reach') then 'provider_error'
   when regexp_matches(text,'(?i)legacy|subscription|restricted|upgrade|special endpoint|limit reach') then 'plan_limit' else 'not_json' end as reason from documents)
  select reason, count(*) as bodies, min(doc_id) as first_id, max(doc_id) as last_id from j group by reason"""
@@ -68,9 +70,10 @@ lk as (select *, case when upper(form_type)='C' then 'offering' when upper(form_
   concat_ws(',', case when not hit then 'title' end, case when accession_number='' then 'accession' end) as unparsed from li)"""
 add("filing_listings", FEED, "company_name, cik, accession_number, filed_at, form_type, kind, filing_path, edgar_url, unparsed", "lk")
 ORACLES["feed_report"] = f"""with {FEED} select 'endpoint' as field from fl where (k//20)%10=9 group by 1
- union select 'entry' from fl where k%23=0 and (k//20)%10<>9 union select 'title' from lk where not hit union select 'accession' from lk where accession_number=''"""
+ union select 'entry' from fl where k%23=0 and (k//20)%10<>9 union select 'title' from lk where not hit union select 'accession' from lk where accession_number=''
+ union select 'feed' from fl where (k//20)%10<>9"""
 add("live_raises", FEED, "company_name, cik, accession_number, filed_at, kind",
-    "(select * from lk where kind in ('offering','amendment') order by filed_at desc, accession_number limit 40)")
+    "(select * from lk where kind in ('offering','amendment'))")
 ORACLES["form_kinds"] = f"""with fl as ({fx.FILINGS}), f as (select regexp_extract(title,'^\\s*([A-Z0-9/-]+)\\s+-\\s+(.+?)\\s*\\((\\d{{7,10}})\\)',1) as form_type from fl)
  select form_type, case when form_type='C' then 'offering' when form_type='C/A' then 'amendment' when form_type like 'C-U%' then 'update'
   when form_type like 'C-AR%' then 'annual_report' when form_type like 'C-W%' then 'withdrawal' else 'other' end as kind, count(*) as filings from f group by 1,2"""
@@ -84,14 +87,14 @@ off as (select lpad(cast(k as varchar),10,'0')||'-26-000001' as accession_number
 add("offering_terms", OFFER, "accession_number, issuer_name, offering_amount:r, maximum_offering_amount:r, security_type, price:r, deadline, jurisdiction, unparsed", "off")
 add("deal_skeletons", FEED + "," + OFFER,
     "deal_id, company_name, country, target_raise:r, tax_wrapper, pre_money:r, founders:i, company_number, unparsed",
-    """(select 'edgar:'||coalesce(nullif(l.accession_number,''),l.cik) as deal_id, coalesce(o.issuer_name,l.company_name) as company_name, 'US' as country,
+    """(select 'edgar:'||coalesce(nullif(l.accession_number,''),nullif(l.cik,''),'link-'||md5(l.edgar_url)) as deal_id, coalesce(o.issuer_name,l.company_name) as company_name, 'US' as country,
   o.offering_amount as target_raise, 'NONE' as tax_wrapper, cast(null as double) as pre_money, 0 as founders, l.cik as company_number,
   case when o.accession_number is null then 'primary_doc' else o.unparsed end as unparsed
   from lk l left join off o on o.accession_number=l.accession_number)""")
-add("deal_listings", FEED + "," + OFFER + ", nl as (select accession_number from lk where kind in ('offering','amendment') order by filed_at desc, accession_number limit 12)",
+add("deal_listings", FEED + "," + OFFER,
     "deal_id, unparsed, form_type, filed_at, filing_path",
-    """(select 'edgar:'||coalesce(nullif(l.accession_number,''),l.cik) as deal_id, case when o.accession_number is null then 'primary_doc' else o.unparsed end as unparsed,
-  form_type, filed_at, filing_path from lk l left join off o on o.accession_number=l.accession_number and o.accession_number in (select accession_number from nl))""")
+    """(select 'edgar:'||coalesce(nullif(l.accession_number,''),nullif(l.cik,''),'link-'||md5(l.edgar_url)) as deal_id, case when o.accession_number is null then 'primary_doc' else o.unparsed end as unparsed,
+  form_type, filed_at, filing_path from lk l left join off o on o.accession_number=l.accession_number)""")
 POS = f"""pe as ({fx.POSITION_EVENTS}),
 tg as (select ticker, count(*) as n, max(row(ts, seq)) as added, max(ts) as added_at from pe where action='toggle' group by ticker having count(*)%2=1),
 en as (select pe.*, row_number() over (partition by pe.ticker order by pe.ts desc, pe.seq desc) as rk from pe join tg on tg.ticker=pe.ticker
@@ -99,7 +102,7 @@ en as (select pe.*, row_number() over (partition by pe.ticker order by pe.ts des
 pos as (select tg.ticker, tg.added_at, case when action='enter' then entry_price end as entry_price, case when action='enter' then size_pct end as size_pct
         from tg left join en on en.ticker=tg.ticker and rk=1)"""
 add("filing_assessments", FEED, "deal_id, verdict, evidence_score:r, opacity_index:r, network_band",
-    """(select 'edgar:'||coalesce(nullif(accession_number,''),cik) as deal_id, 'INSUFFICIENT_DATA' as verdict, 'NONE' as network_band, 0.74 as opacity_index,
+    """(select 'edgar:'||coalesce(nullif(accession_number,''),nullif(cik,''),'link-'||md5(edgar_url)) as deal_id, 'INSUFFICIENT_DATA' as verdict, 'NONE' as network_band, 0.74 as opacity_index,
   floor((22.5e0*74+((0.9e0*3+0.6e0*2.5e0-1)/6.5e0+1)*50*16+50*10)/100*10+0.5e0)/10 as evidence_score from lk)""")
 add("positions_current", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
 
@@ -339,9 +342,8 @@ add("order_value_quantiles", "o as (select o_orderpriority, o_totalprice, cast(o
 for _name, (_ctes, _spec, _source, _digits) in RAISES.items():
     add(_name, _ctes, _spec, _source, _digits)
 add("stream_session_bars", "", "ticker, d, o:r, h:r, l:r, c:r, v:i", """(select event_type as ticker, cast(date_trunc('day', ts) as date) as d, first(value order by ts, event_id) as o, max(value) as h, min(value) as l,
-  last(value order by ts, event_id) as c, count(*) as v from events where value>0 group by 1,2
-  having date_trunc('day', min(ts))+interval 1 day<=(select max(ts)-interval 2 day from events where value>0))""")
-ORACLES["stream_distinct_filings"] = """select distinct lpad(cast(o_custkey as varchar),18,'0') as accession_number,
- case o_custkey%6 when 0 then 'offering' else 'amendment' end as kind from orders where o_custkey%6 in (0,1)"""
+  last(value order by ts, event_id) as c, count(*) as v from events where value>0 group by 1,2)""")
+ORACLES["stream_distinct_filings"] = """select lpad(cast(o_custkey as varchar),18,'0') as accession_number, case o_custkey%6 when 0 then 'offering' else 'amendment' end as kind,
+ cast(min(o_orderdate) as date) as filed_on from orders where o_custkey%6 in (0,1) group by 1, 2"""
 add("stream_positions", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
 add("stream_rescored", LIVE, "ticker, verdict, signal_score:i", "an where ticker in (select ticker from raw where d=(select max(d) from raw) and c<o)")

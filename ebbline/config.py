@@ -61,7 +61,6 @@ INDEX_PROXIES = {"SPY": "S&P 500", "QQQ": "Nasdaq 100", "DIA": "Dow Jones", "IWM
 
 RELIEF_RATE = {"SEIS": 0.5, "EIS": 0.3, "NONE": 0.0}
 MIN_HOLD_YEARS = {"SEIS": 3, "EIS": 3, "NONE": 0}
-ANNUAL_CAP = {"SEIS": 200_000.0, "EIS": 1_000_000.0, "NONE": float("inf")}
 
 # platform -> (fee on the amount invested, carry on profit)
 PLATFORM_FEES = {

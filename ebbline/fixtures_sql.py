@@ -92,7 +92,7 @@ select concat('deal:', cast(c_custkey as varchar(20))) as deal_id, j as pos, con
  case when (c_custkey * 2 + j) % 11 = 0 then true when (c_custkey + j) % 2 = 0 then false else null end as prior_exit,
  case when (c_custkey + 2 * j) % 5 = 0 then null when (c_custkey + j) % 3 < 2 then true else false end as full_time,
  cast(case when (c_custkey + j) % 23 = 0 then 2 + j when (c_custkey + j) % 17 = 0 then 1 else 0 end as integer) as insolvency_count
-from customer join (values (0), (1), (2), (3)) as f(j) on j < c_custkey % 5"""
+from customer join (values (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)) as f(m, j) on m = c_custkey % 5"""
 
 OUTCOMES = """
 select dist_id, multiple, cast(count(*) as double) / sum(count(*)) over (partition by dist_id) as p from (

@@ -221,10 +221,22 @@ def history_bars(i):
     text = i.bars.groupBy("ticker").agg(F.to_json(rows).alias("j"))
     nested = F.concat(F.lit('{"historical":'), "j", F.lit("}"))
     bodies = text.select(F.col("ticker").alias("symbol"), F.when(F.length("ticker") % 2 == 0, F.col("j")).otherwise(nested).alias("body"))
-    good, _ = payloads.split_quarantine(bodies)
+    good, _ = payloads.split_quarantine(bodies, history=True)
     return publish(payloads.history_bars(good), "ticker", "d", "o", "c", "v")
 
 
+@query
+def bar_quarantine(i):
+    """Every order as a bar: some without a date, some without a close, some closing at 0."""
+    k = F.col("o_orderkey")
+    item = F.struct(
+        F.when(k % 11 != 0, F.to_date("o_orderdate")).alias("date"), F.when(k % 13 == 0, 0.0).when(k % 7 != 0, F.col("o_totalprice")).alias("close")
+    )
+    bodies = i.table("orders").select(F.concat(F.lit("ORDER_"), k.cast("string")).alias("symbol"), F.to_json(F.array(item)).alias("body"))
+    good, _ = payloads.split_quarantine(bodies, history=True)
+    return payloads.unusable_bars(good).groupBy("reason").agg(F.count("*").alias("bars"), F.min("ticker").alias("first_ticker"), F.max("ticker").alias("last_ticker"))
+
+
 @query
 def company_profiles(i):
     bodies = _json_body(i.sql(fixtures_sql.PROFILE), "ticker", payloads.PROFILE_NAMES | {"exchange": "ticker"})
@@ -262,12 +274,13 @@ def index_strip(i):
 
 @query
 def payload_quarantine(i):
-    """Every document's whole text as a response: well-formed, as an error message, cut off, or bare."""
+    """Every document's whole text as a response: well-formed, as an error message, cut off, as a name, or bare."""
     k, text = F.col("doc_id"), F.col("text")
     body = (
         F.when(k % 5 == 0, F.to_json(F.array(F.struct(text.alias("note")))))
         .when(k % 5 == 1, F.to_json(F.struct(text.alias("Error Message"))))
         .when(k % 5 == 2, F.concat(F.lit('[{"note": "'), text))
+        .when(k % 5 == 3, F.to_json(F.struct(F.concat(F.lit("Legacy "), text).alias("companyName"))))
         .otherwise(text)
     )
     judged = i.table("documents").select("doc_id", payloads.rejection(body).alias("reason"))
@@ -306,7 +319,9 @@ def filing_listings(i):
 
 @query
 def feed_report(i):
-    return filings.feed_report(i.feeds)
+    """The feeds, and each of them once more cut off after two thirds."""
+    cut = i.feeds.withColumn("body", F.substring("body", F.lit(1), (F.length("body") * 2 / 3).cast("int")))
+    return filings.feed_report(i.feeds.unionByName(cut))
 
 
 @query
@@ -350,12 +365,10 @@ def filing_assessments(i):
 
 @query
 def deal_listings(i):
-    """Back from a deal to the filing it came from; only the newest twelve live raises carry offering detail."""
-    rows = filings.listings(filings.feed_entries(i.feeds))
-    deals = filings.deal_skeletons(rows, filings.offerings(i.offering_documents), detail_limit=12)
-    listed = filings.with_deal_id(rows).drop("unparsed")
-    joined = deals.select("deal_id", F.array_join("unparsed", ",").alias("unparsed")).join(listed, "deal_id")
-    return joined.select("deal_id", "unparsed", "form_type", "filed_at", "filing_path")
+    """Every deal with the filing it came from; all filings are listed by two feeds."""
+    rows = filings.listings(filings.feed_entries(i.feeds.unionByName(i.feeds)))
+    deals = filings.deal_skeletons(filings.distinct_listings(rows), filings.offerings(i.offering_documents))
+    return deals.select("deal_id", F.array_join("unparsed", ",").alias("unparsed"), "form_type", F.col("discovered_at").alias("filed_at"), "filing_path")
 
 
 @query
@@ -908,8 +921,8 @@ def stream_session_bars(i):
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).alias("size")
     )
     out, check = _landing(i, "bars")
-    jobs.write_available(jobs.session_bars(ticks), out, check).awaitTermination()
-    return publish(i.spark.read.parquet(out))
+    jobs.upsert_batches(jobs.session_bars(ticks), out, check).awaitTermination()
+    return publish(jobs.newest_by_key(i.spark.read.parquet(out), "ticker", "d"))
 
 
 @query
@@ -920,8 +933,8 @@ def stream_distinct_filings(i):
         filings.form_kind(F.element_at(F.array(*[F.lit(x) for x in ("C", "C/A", "C-U", "C-AR", "C-W", "C-TR")]), (k % 6 + 1).cast("int"))).alias("kind"),
     )
     out, check = _landing(i, "filings")
-    jobs.write_available(jobs.distinct_filings(rows), out, check).awaitTermination()
-    return i.spark.read.parquet(out).select("accession_number", "kind")
+    jobs.upsert_batches(jobs.filing_states(rows), out, check).awaitTermination()
+    return jobs.newest_by_key(i.spark.read.parquet(out), "accession_number").select("accession_number", "kind", F.to_date("filed_at").alias("filed_on"))
 
 
 @query

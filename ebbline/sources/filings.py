@@ -31,11 +31,27 @@ def unavailable(body: Column) -> Column:
     return body.rlike(HTML_BODY)
 
 
-def feed_entries(documents: DataFrame) -> DataFrame:
-    """One row per feed entry (path, title, href, updated); entries lacking title or link are kept with NULLs."""
+def _parsed_feeds(documents: DataFrame) -> DataFrame:
+    """(path, entry, whole): a feed that is no XML, or cut off, has no entries and is not whole."""
     good = documents.filter(~unavailable(F.col("body")))
-    parsed = good.select("path", F.from_xml("body", FEED_XML).alias("feed"))
-    entries = parsed.select("path", F.explode("feed.entry").alias("e"))
+    parsed = good.select("path", "body", F.from_xml("body", FEED_XML).alias("feed"))
+    return parsed.select("path", F.col("feed.entry").alias("entry"), (F.col("feed").isNotNull() & whole_document(F.col("body"))).alias("whole"))
+
+
+def whole_document(body: Column) -> Column:
+    """An XML text whose last tag closes its first element (or that is one empty element)."""
+    text = F.regexp_replace(body, r"(?s)^\s*(?:<[?!][^>]*>\s*)*", "")
+    root = F.regexp_extract(text, r"^<([A-Za-z_][\w.:-]*)", 1)
+    closed = F.rtrim(F.regexp_replace(text, r"\s+$", "")).endswith(F.concat(F.lit("</"), root, F.lit(">")))
+    return F.coalesce((root != "") & (closed | text.rlike(r"^<[^>]*/>\s*$")), F.lit(False))
+
+
+def feed_entries(documents: DataFrame) -> DataFrame:
+    """One row per feed entry (path, title, href, updated); entries lacking title or link are kept with NULLs.
+
+    Feeds that cannot be read have none; :func:`feed_report` names them.
+    """
+    entries = _parsed_feeds(documents).select("path", F.explode("entry").alias("e"))
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     return entries.select(
         "path", text("e.title").alias("title"), F.get("e.link", F.lit(0))["_href"].alias("href"),
@@ -89,19 +105,19 @@ def listings(entries: DataFrame) -> DataFrame:
 def feed_report(documents: DataFrame) -> DataFrame:
     """What could not be read: one row per distinct field name over all feeds, plus unavailable endpoints."""
     html = documents.filter(unavailable(F.col("body"))).select(F.lit("endpoint").alias("field"))
-    broken = documents.filter(~unavailable(F.col("body")) & ~F.col("body").rlike(r"^\s*<")).select(F.lit("feed").alias("field"))
+    broken = _parsed_feeds(documents).filter("not whole").select(F.lit("feed").alias("field"))
     entries = feed_entries(documents)
     bare = entries.filter(F.col("title").isNull() | F.col("href").isNull()).select(F.lit("entry").alias("field"))
     fields = listings(entries).select(F.explode("unparsed").alias("field"))
     return html.unionByName(broken).unionByName(bare).unionByName(fields).distinct()
 
 
-def live_raises(rows: DataFrame, count: int | None = 40) -> DataFrame:
-    """New offerings and amendments, newest first; ``count`` is capped at 100, None returns all."""
+def live_raises(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """New offerings and amendments; with ``count`` the newest so many, in order."""
     df = rows.filter(F.col("kind").isin(*LIVE_RAISE_KINDS))
     if count is None:
         return df
-    return df.orderBy(F.col("filed_at").desc(), "accession_number").limit(min(count, 100))
+    return df.orderBy(F.col("filed_at").desc(), "accession_number").limit(count)
 
 
 _TAGS = (
@@ -116,10 +132,11 @@ def _tag(tag: str) -> Column:
     Taken by pattern because the tags sit at varying depths of the document.
     """
     def grab(name: str) -> Column:
-        inner = F.regexp_extract("body", rf"<{name}(?:\s[^>]*)?>([^<]*)</", 1)
+        shape = rf"(?s)<{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[(.*?)\]\]>|([^<]*))\s*</{name}\s*>"
+        inner = F.regexp_extract("body", shape, 2)
         for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
             inner = F.replace(inner, F.lit(entity), F.lit(char))
-        return F.nullif(F.trim(inner), F.lit(""))
+        return F.nullif(F.trim(F.concat(F.regexp_extract("body", shape, 1), inner)), F.lit(""))
 
     return F.coalesce(grab(tag), grab(tag.lower()))
 
@@ -131,7 +148,8 @@ def _amount(raw: Column) -> Column:
 def offerings(documents: DataFrame) -> DataFrame:
     """Offering terms per document ``(accession_number, body)``.
 
-    An amount whose text holds no digits is NULL and counts as unparsed.
+    An amount whose text holds no digits is NULL and counts as unparsed, and so does a document that is cut off; what
+    stands in it whole is kept.
     """
     df = documents.withColumns({f"_{t}": _tag(t) for t in _TAGS})
     df = df.withColumns({"offering_amount": _amount(F.col("_offeringAmount")),
@@ -148,6 +166,7 @@ def offerings(documents: DataFrame) -> DataFrame:
             F.array(
                 F.when(F.col("offering_amount").isNull(), "offeringAmount"),
                 F.when(F.col("maximum_offering_amount").isNull(), "maximumOfferingAmount"),
+                F.when(~whole_document(F.col("body")), "document"),
             )
         ).alias("unparsed"),
     )
@@ -180,20 +199,27 @@ def record(part: str, **known: Column) -> Column:
     return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
+def distinct_listings(listing_rows: DataFrame) -> DataFrame:
+    """Each filing once, however many feeds list it: the newest row of an accession number, or of a link without one."""
+    columns = [F.col(c) for c in listing_rows.columns]
+    key = F.coalesce(F.nullif(F.col("accession_number"), F.lit("")), F.col("edgar_url"))
+    newest = F.max(F.struct("filed_at", F.struct(*columns).alias("row"))).alias("top")
+    return listing_rows.groupBy(key.alias("key")).agg(newest).select("top.row.*")
+
+
 def with_deal_id(listing_rows: DataFrame) -> DataFrame:
-    key = F.coalesce(F.nullif(F.col("accession_number"), F.lit("")), F.col("cik"))
+    """The accession number names a deal, else the issuer, else a hash of the link: never an empty name."""
+    named = [F.nullif(F.col(c), F.lit("")) for c in ("accession_number", "cik")]
+    key = F.coalesce(*named, F.concat(F.lit("link-"), F.md5(F.coalesce("edgar_url", F.lit("")))))
     return listing_rows.withColumn("deal_id", F.concat(F.lit("edgar:"), key))
 
 
-def deal_skeletons(listing_rows: DataFrame, offering_rows: DataFrame, detail_limit: int | None = None) -> DataFrame:
+def deal_skeletons(listing_rows: DataFrame, offering_rows: DataFrame) -> DataFrame:
     """Listings with their offering, as deals. A US issuer carries no relief; all else absent stays undisclosed.
 
-    Listings without an offering document carry ``unparsed = ['primary_doc']``. ``detail_limit`` attaches
-    documents to that many of the newest live raises only; by default every listing gets its document.
+    Listings without an offering document carry ``unparsed = ['primary_doc']``. A deal keeps the form, date and path of
+    its filing, so nothing is joined back.
     """
-    if detail_limit is not None:
-        newest = live_raises(listing_rows, None).orderBy(F.col("filed_at").desc(), "accession_number").limit(detail_limit)
-        offering_rows = offering_rows.join(newest.select("accession_number"), "accession_number", "left_semi")
     o = offering_rows.select(
         "accession_number", "issuer_name", "offering_amount", F.col("unparsed").alias("offering_unparsed"),
         F.lit(True).alias("found"),
@@ -212,5 +238,5 @@ def deal_skeletons(listing_rows: DataFrame, offering_rows: DataFrame, detail_lim
                source=F.lit("sec_edgar")).alias("registry"),
         record("network").alias("network"),
         F.when(F.col("found").isNull(), F.array(F.lit("primary_doc"))).otherwise(F.col("offering_unparsed")).alias("unparsed"),
-        F.col("filed_at").alias("discovered_at"),
+        F.col("filed_at").alias("discovered_at"), "form_type", "filing_path",
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbline.config import SESSION_WINDOW
 from ebbline.functions.scalar import finite
 
 # fixed pattern: phrases a provider puts into a refused response
@@ -51,8 +50,9 @@ def _first_char(body: Column) -> Column:
     return F.substring(F.trim(body), 1, 1)
 
 
-def rejection(body: Column) -> Column:
-    """Why a body cannot be used, or NULL."""
+def rejection(body: Column, history: bool = False) -> Column:
+    """Why a body cannot be used, or NULL. Refusals of the ``history`` endpoint can be any object without bars that
+    holds such a phrase; elsewhere an object is refused by its error message only."""
     message = F.get_json_object(body, "$['Error Message']")
     char = _first_char(body)
     listed = F.get_json_object(body, "$.historical").isNotNull()
@@ -62,13 +62,13 @@ def rejection(body: Column) -> Column:
         .when(message.isNotNull(), "provider_error")
         .when(~char.isin("[", "{"), F.when(body.rlike(PLAN_PHRASES), "plan_limit").otherwise("not_json"))
         .when(F.try_parse_json(body).isNull(), F.when(body.rlike(PLAN_PHRASES), "plan_limit").otherwise("not_json"))
-        .when((char == "{") & ~listed & body.rlike(PLAN_PHRASES), "plan_limit")
+        .when(F.lit(history) & (char == "{") & ~listed & body.rlike(PLAN_PHRASES), "plan_limit")
     )
 
 
-def split_quarantine(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_quarantine(payloads: DataFrame, history: bool = False) -> tuple[DataFrame, DataFrame]:
     """(usable, quarantined): usable rows go on, the others keep their reason and whole body."""
-    judged = payloads.withColumn("reason", rejection(F.col("body")))
+    judged = payloads.withColumn("reason", rejection(F.col("body"), history))
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
@@ -83,19 +83,31 @@ def _ddl(fields: str) -> str:
     return ", ".join(f.strip().replace(" ", ":", 1) for f in fields.split(","))
 
 
-def history_bars(usable: DataFrame, sessions: int = SESSION_WINDOW) -> DataFrame:
-    """Daily bars of every symbol, last ``sessions`` of each; rows without a date or positive close are dropped.
+def _bar_rows(usable: DataFrame) -> DataFrame:
+    return usable.select(F.col("symbol").alias("ticker"), F.inline(_rows(F.col("body"), _ddl(BAR_JSON))))
+
+
+def unusable_bars(usable: DataFrame) -> DataFrame:
+    """(ticker, d, c, reason) of the bars that :func:`history_bars` cannot use."""
+    reason = F.when(F.col("date").isNull(), "no_date").when(F.col("close").isNull(), "no_close").when(~(F.col("close") > 0), "close_not_positive")
+    rows = _bar_rows(usable).select("ticker", F.col("date").alias("d"), F.col("close").alias("c"), reason.alias("reason"))
+    return rows.filter(F.col("reason").isNotNull())
+
+
+def history_bars(usable: DataFrame, sessions: int | None = None) -> DataFrame:
+    """Daily bars of every symbol, all or the last ``sessions`` of each; :func:`unusable_bars` has the rest.
 
     Landing tables hold many copies of the same bar (each fetch repeats the history), so copies are reduced to
     one row per (ticker, d) before anything is ordered; of differing copies the greatest row stays.
     """
-    rows = usable.select(F.col("symbol").alias("ticker"), F.inline(_rows(F.col("body"), _ddl(BAR_JSON))))
-    bars = rows.filter(F.col("date").isNotNull() & (F.col("close") > 0)).select(
+    bars = _bar_rows(usable).filter(F.col("date").isNotNull() & (F.col("close") > 0)).select(
         "ticker", F.col("date").alias("d"), finite("open").alias("o"), finite("high").alias("h"),
         finite("low").alias("l"), F.col("close").alias("c"), finite("volume").alias("v"),
     )
     bars = bars.groupBy("ticker", "d").agg(F.max(F.struct("c", "o", "h", "l", "v")).alias("b"))
     bars = bars.select("ticker", "d", "b.o", "b.h", "b.l", "b.c", "b.v")
+    if sessions is None:
+        return bars
     newest = Window.partitionBy("ticker").orderBy(F.col("d").desc())
     return bars.withColumn("_age", F.row_number().over(newest)).filter(F.col("_age") <= sessions).drop("_age")
 

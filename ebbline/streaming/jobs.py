@@ -13,7 +13,10 @@ from ebbline.sources.tables import position_state
 
 
 def session_bars(ticks: DataFrame, session: str = "1 day", lateness: str = "2 days") -> DataFrame:
-    """Sealed bars from ``ticks(ticker, ts, seq, price, size)``; ticks may arrive late by ``lateness``.
+    """Bars from ``ticks(ticker, ts, seq, price, size)``; ticks may arrive late by ``lateness``.
+
+    In append mode (``write_available``) a bar comes once, when it is sealed; in update mode (``upsert_batches``) open
+    sessions are published too, and ``newest_by_key`` over (ticker, d) gives every bar as it stands.
 
     One row of partial state per (session, ticker) and task: a hot ticker is combined before the exchange.
     """
@@ -36,6 +39,15 @@ def distinct_filings(filings: DataFrame, lateness: str = "7 days") -> DataFrame:
     return live.withWatermark("filed_at", lateness).dropDuplicatesWithinWatermark(["accession_number"])
 
 
+def filing_states(filings: DataFrame) -> DataFrame:
+    """Live raises by accession number, for ``upsert_batches``: the first filed row, whatever the order of arrival.
+
+    State is one row per accession number; nothing is late, so nothing is lost.
+    """
+    live = filings.filter(F.col("kind").isin(*LIVE_RAISE_KINDS) & F.col("accession_number").isNotNull())
+    return live.groupBy("accession_number").agg(F.min(F.struct("filed_at", "kind")).alias("s")).select("accession_number", "s.*")
+
+
 def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what is there and stop; files are committed exactly once."""
     return (
@@ -61,10 +73,11 @@ def upsert_batches(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def newest_by_key(versions: DataFrame, key: str = "ticker") -> DataFrame:
-    """Current rows of an ``upsert_batches`` table: the row of the highest batch per key."""
-    cols = [c for c in versions.columns if c not in (key, "batch")]
-    return versions.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("s")).select(key, "s.*")
+def newest_by_key(versions: DataFrame, *key: str) -> DataFrame:
+    """Current rows of an ``upsert_batches`` table: the row of the highest batch per key (by default the ticker)."""
+    key = key or ("ticker",)
+    cols = [c for c in versions.columns if c not in (*key, "batch")]
+    return versions.groupBy(*key).agg(F.max_by(F.struct(*cols), "batch").alias("s")).select(*key, "s.*")
 
 
 def rescore_changed(

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.sources import payloads, tables
+from ebbline.sources import filings, payloads, tables
 from ebbline.streaming import jobs
 
 
@@ -136,3 +136,50 @@ def test_staged_tables_live_in_the_shared_folder(spark, tmp_path):
     assert df.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark).replace("file://", ""))
     assert "ResolvedHint" in broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in broadcast_if_small(df, limit=10)._jdf.queryExecution().analyzed().toString()
+
+
+def test_refusals_follow_the_endpoint(spark):
+    df = bodies(spark, ("name", '{"companyName":"Legacy Housing","price":3.0}'), ("said", '{"note":"Upgrade your plan"}'))
+    assert {r.symbol for r in payloads.split_quarantine(df)[0].collect()} == {"name", "said"}
+    assert {r.reason for r in payloads.split_quarantine(df, history=True)[1].collect()} == {"plan_limit"}
+
+
+def test_full_history_and_unusable_bars(spark):
+    rows = [bar(f"2024-01-{d:02d}", 100.0) for d in range(1, 21)] + [bar("2024-02-01", 0.0), bar(None, 5.0), bar("2024-02-02", None)]
+    df = bodies(spark, ("A", json.dumps(rows)))
+    assert payloads.history_bars(df).count() == 20
+    assert sorted(r.reason for r in payloads.unusable_bars(df).collect()) == ["close_not_positive", "no_close", "no_date"]
+
+
+def test_cut_off_documents_are_reported(spark):
+    whole = '<?xml version="1.0"?><feed><entry><title>C - A Co (0000000001) (Filer)</title><link href="x"/></entry></feed>'
+    feeds = spark.createDataFrame([("a", whole), ("b", whole[:80]), ("c", "plain"), ("d", "<html></html>")], "path string, body string")
+    assert {r.field for r in filings.feed_report(feeds).collect()} == {"feed", "endpoint", "accession"}
+    docs = [
+        ("1", "<d><nameOfIssuer><![CDATA[Acme & Co]]></nameOfIssuer><offeringAmount>5</offeringAmount><maximumOfferingAmount>9</maximumOfferingAmount></d>"),
+        ("2", "<d><nameOfIssuer>B &amp; Co</nameOfIssuer><offeringAmount>5</offer"),
+    ]
+    got = {r.accession_number: r for r in filings.offerings(spark.createDataFrame(docs, "accession_number string, body string")).collect()}
+    assert (got["1"].issuer_name, got["1"].offering_amount, got["1"].unparsed) == ("Acme & Co", 5.0, [])
+    assert (got["2"].issuer_name, got["2"].offering_amount) == ("B & Co", None) and "document" in got["2"].unparsed
+
+
+def test_one_deal_for_each_filing(spark):
+    row = ("", "", "", "2026-01-01", "C", "offering", "", "http://x/{}", [])
+    rows = [(*row[:7], row[7].format(k), row[8]) for k in (1, 2, 3, 3)]
+    schema = "company_name string, cik string, accession_number string, filed_at string, form_type string, kind string, filing_path string, edgar_url string, unparsed array<string>"
+    listed = filings.distinct_listings(spark.createDataFrame(rows, schema))
+    none = spark.createDataFrame([], "accession_number string, issuer_name string, offering_amount double, unparsed array<string>")
+    deals = [r.deal_id for r in filings.deal_skeletons(listed, none).collect()]
+    assert len(deals) == len(set(deals)) == 3
+
+
+def test_filing_states_do_not_depend_on_batches(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, d, 1)
+    schema = "accession_number string, kind string, filed_at timestamp"
+    rows = [("1", "offering", at(9)), ("2", "amendment", at(2)), ("1", "offering", at(1)), ("3", "update", at(3)), ("4", "offering", at(1))]
+    want = [("1", at(1)), ("2", at(2)), ("4", at(1))]
+    for name, batches in {"one": [rows], "each": [[r] for r in rows], "back": [[r] for r in reversed(rows)]}.items():
+        (tmp_path / name).mkdir()
+        got = jobs.newest_by_key(stream(spark, tmp_path / name, schema, batches, jobs.filing_states, jobs.upsert_batches), "accession_number")
+        assert sorted((r.accession_number, r.filed_at) for r in got.collect()) == want
