@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm import chat, decontaminate, html_text, katz, mixing, ngram_join, quality, repeats, secrets, url_filters
 from llm.common import table
+from llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,4 @@ QUERIES = {
         op6_sparse_suffix_arrays, op7_html_extraction,
         op8_chat_formatting, op9_secret_scans, op10_quality_rules,
     )
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file

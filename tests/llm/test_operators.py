@@ -1,0 +1,370 @@
+"""The operators against brute force on whole small tables with hard rows."""
+
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from checks.compare import difference, duck
+from llm import chat, components, decontaminate, html_text, katz, mixing, ngram_join, quality, repeats, secrets, url_filters
+from llm import words as W
+from tests.llm.cases import DIR, hard_documents, lowered, spaced
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return hard_documents(spark).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", ["op1_url_filters", "op3_benchmark_decontamination", "op4_ngram_jaccard_join", "op8_chat_formatting", "op10_quality_rules"])
+def test_queries_equal_sql(spark, name):
+    got = contract.queries()[name](spark, DIR).toPandas()
+    assert difference(got, duck(DIR).sql(contract.oracle_sql()[name]).df()) is None
+
+
+def test_words_and_shingles():
+    texts = ["A b  c", None, "", "x", "a B\tc d e f", "éÉ 東", "a b c"] * 40
+    hashes, at = W.words(pa.array(texts))
+    assert np.diff(at).tolist() == [len(spaced(t)) for t in texts]
+    flat = [w for t in texts for w in spaced(lowered(t))]
+    assert len(set(hashes.tolist())) == len(set(flat)) and len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat))
+    whole, block = hashes.copy(), W.BLOCK
+    try:
+        W.BLOCK = 7
+        assert (W.words(pa.array(texts).slice(0))[0] == whole).all()
+    finally:
+        W.BLOCK = block
+    assert [len(s) for s in W.shingles(pa.array(["a b c d e f", "a b", None]))] == [2, 1, 0]
+
+
+def test_components(spark):
+    edges = [(k, 0) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (None, 3), (7, 0)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {**{k: 0 for k in range(400)}, **{1000 + k: 1000 for k in range(61)}}
+    assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_similar_documents(spark, docs, rows):
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        w = spaced(lowered(t))
+        sets[i].append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    flat = [(i, s) for i, v in sets.items() for s in v if s]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, s) in enumerate(flat):
+        for j, t in flat[:a]:
+            if 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = ngram_join.similar(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), find(i)) for i, v in sets.items() for s in v}
+    assert ngram_join.similar(docs.limit(0)).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    base = [f"b{k}" for k in range(140)]
+    near = [" ".join(base[:p] + [f"n{p}{c}"] + base[p + 1 :]) for c in range(8) for p in range(1, 139, 4)]
+    far = [" ".join(base[: 20 + k] + [f"f{k}{j}" for j in range(60)]) for k in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([" ".join(base), *near, *far])], "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(df).collect()}
+    assert all(got[k] == 0 for k in range(len(near) + 1))
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for t in [" ".join(base), *near, *far]]
+    for k in range(len(near) + 1, len(sets)):
+        linked = [j for j in range(len(sets)) if j != k and 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j])]
+        assert (got[k] == k and not linked) or any(got[j] == got[k] for j in linked)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60_000])
+def test_decontamination(spark, docs, rows, block):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    items += [(900, "One TWO"), (901, None), (902, "..."), (None, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (903, "one"), (900, "words here")]
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    import re
+
+    index = collections.defaultdict(set)
+    for i, t in items:
+        w = re.findall(word, lowered(t))
+        m = min(10, len(w))
+        for s in range(len(w) - m + 1) if m else ():
+            index[tuple(w[s : s + m])].add("" if i is None else str(i))
+    want = collections.Counter()
+    for i, t in rows:
+        w, hit, found = re.findall(word, lowered(t)), set(), set()
+        for m in {len(k) for k in index}:
+            for s in range(len(w) - m + 1):
+                if tuple(w[s : s + m]) in index:
+                    hit.update(range(s, s + m))
+                    found |= index[tuple(w[s : s + m])]
+        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.judged(decontaminate.hits(docs, table, block_bytes=block))
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    assert decontaminate.hits(docs.limit(0), table).count() == 0
+    none = decontaminate.judged(decontaminate.hits(docs, table.limit(0)))
+    assert none.where("contaminated").count() == 0 and none.count() == len(rows)
+
+
+@pytest.mark.parametrize(("vocabulary", "hot"), [(katz.VOCABULARY, 512), (katz.VOCABULARY, 0), (40, 8)])
+def test_katz(spark, docs, rows, vocabulary, hot):
+    texts = [(i, ["\0" + w for w in spaced(lowered(t))] + ["END"]) for i, t in rows]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    u = collections.Counter(w for i, t in texts if not held(i) for w in t)
+    n, v = sum(u.values()), len(u)
+    code = lambda w: int(katz.END) if w == "END" else int(W.words(pa.array([w[1:]]))[0][0])
+    signed = lambda w: code(w) - (code(w) >> 63 << 64)
+    known = sorted(u, key=lambda w: (-u[w], signed(w)))[:vocabulary]
+    hottest = set(sorted(known, key=lambda w: (-u[w], code(w)))[:hot])
+    name = {w: w for w in known}
+    of = lambda w: name.get(w, "TAIL")
+    pairs, history = collections.Counter(), collections.Counter()
+    for i, t in texts:
+        if not held(i):
+            for a, b in zip(["BOS", *t], t, strict=False):
+                a = a if a == "BOS" else of(a)
+                pairs[a, of(b)] += 1
+                history[a] += 1
+    d1, d2 = katz.discounts(collections.Counter(u.values())), katz.discounts(collections.Counter(pairs.values()))
+    low = lambda d, c: d[c] if c <= katz.DISCOUNTED else 1.0
+    p = {w: low(d1, u[w]) * u[w] / n for w in known}
+    p["TAIL"] = 1 - sum(p.values())
+    follow = collections.defaultdict(dict)
+    for (a, b), c in pairs.items():
+        follow[a][b] = c
+    plus = {a: int(a in hottest or all(c > katz.DISCOUNTED for c in s.values())) for a, s in follow.items()}
+    seen = {a: {b: low(d2, c) * c / (history[a] + plus[a]) for b, c in s.items()} for a, s in follow.items()}
+    back = {a: (1 - sum(s.values())) / (1 - sum(p[b] for b in s)) for a, s in seen.items()}
+    for a in seen:
+        assert sum(seen[a].get(b, back[a] * p[b]) for b in p) == pytest.approx(1, abs=1e-9)
+    rare = {w: c for w, c in u.items() if w not in name}
+    single = sum(c == 1 for c in rare.values())
+    want = collections.Counter()
+    for i, t in texts:
+        score = base = 0.0
+        for a, b in zip(["BOS", *t], t, strict=False):
+            a, c = a if a == "BOS" else of(a), of(b)
+            score += math.log10(seen.get(a, {}).get(c, back.get(a, 1.0) * p[c]))
+            if c == "TAIL" and sum(rare.values()) + single:
+                score += math.log10((rare.get(b) or max(single, 1)) / (sum(rare.values()) + single))
+            base += math.log10((u.get(b, 0) + 0.1) / (n + 0.1 * (v + 1)))
+        want[i, held(i), len(t), sum(b in u for b in t), n, round(base, 4), round(score, 4)] += 1
+    got = collections.Counter((*r[:5], round(r[5], 4), round(r[6], 4)) for r in katz.score(docs, vocabulary, hot).collect())
+    near = lambda c: sorted((k[:5], c[k]) for k in c)
+    assert near(got) == near(want)
+    a, b = (sorted((k[0], k[5], k[6]) for k in c) for c in (got, want))
+    assert np.allclose([x[1:] for x in a], [x[1:] for x in b], rtol=1e-6, atol=1e-3)
+
+
+def test_katz_without_training_rows(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id int, text string")
+    assert [(r.score, r.base_score, r.n_known, r.train_tokens) for r in katz.score(df).collect()] == [(0.0, 0.0, 0, 0)] * 2
+    assert katz.score(df.limit(0)).count() == 0
+
+
+def test_repeated_passages(docs, rows):
+    at = collections.defaultdict(set)
+    for i, t in set(rows):
+        w = spaced(lowered(t))
+        for s in range(len(w) - 49):
+            at[tuple(w[s : s + 50])].add((i, s))
+    covered, across = collections.defaultdict(set), set()
+    for v in at.values():
+        for i, s in v if len(v) > 1 else ():
+            covered[i].update(range(s, s + 50))
+            across |= {i} if len({j for j, _ in v}) > 1 else set()
+    got, far = collections.defaultdict(set), set()
+    for r in repeats.passages(docs).collect():
+        got[r.doc_id].update(range(r.start, r.end))
+        far |= {r.doc_id} if r.across else set()
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in covered.items() if v} and far == across
+    assert repeats.passages(docs.limit(0)).count() == 0
+
+
+def test_minimisers_are_leftmost_minima():
+    rng = np.random.default_rng(5)
+    for n in (1, 42, 43, 44, 86, 200, 301):
+        for top in (4, 2**60):
+            g = rng.integers(0, top, n, dtype=np.uint64)
+            want = sorted({s + int(np.argmin(g[s : s + 43])) for s in range(n - 42)})
+            assert repeats.minimisers(g, 43).tolist() == want
+
+
+def test_redirects_carry_decisions(spark):
+    edges = [
+        ("http://a.org/x", "http://b.net/fr/1"), ("http://d.org/q", "HTTP://A.org/x#top"), ("http://h.org/1", "http://www.example.com/en/3"),
+        ("http://h.org/1", "http://example.com/en/4"), (None, "http://z.org/"), ("nothing", "http://z.org/"),
+    ]
+    pages = ["https://a.org/x#f", "http://d.org/q", "http://h.org/1", "http://z.org", None, "nothing", "http://EXAMPLE.com/en/4?x", "http://www.example.com/en/3", "http://b.net/fr/1", "http://b.net/fr/1"]
+    df = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(pages)], "page_id int, url string, rule string, node string")
+    redirects = spark.createDataFrame(edges, "url string, target string")
+    got = {r.page_id: (r.verdict, r.reason) for r in url_filters.judge(df, url_filters.rule_table(spark), redirects).collect()}
+    assert got == {
+        0: ("block", "alias"), 1: ("block", "alias"), 2: ("allow", "alias"), 3: ("allow", "default"), 4: ("allow", "default"), 5: ("allow", "default"),
+        6: ("block", "rule"), 7: ("allow", "rule"), 8: ("block", "rule"), 9: ("block", "rule"),
+    }
+    assert url_filters.judge(df.limit(0), url_filters.rule_table(spark), redirects).count() == 0
+    html = '<head><LINK href="/c/d?x=1&amp;y=2" rel=canonical><meta http-equiv="refresh" content="0; url=//n.org/e"></head>'
+    links = url_filters.link_targets(spark.createDataFrame([("https://k.org/a/b", html), (None, None)], "url string, html string")).collect()
+    assert sorted(r.target for r in links) == ["http://k.org/c/d?x=1&y=2", "http://n.org/e"]
+
+
+def test_html_extraction(spark):
+    page = "<html><body><div class=top>Site name</div><div id=c><h2>T{0}</h2><p>Body {0} one</p><p>two {0} &amp; x</div><div>Copyright stuff</div></body></html>"
+    rows = [(k, f"http://q.org/{k}", page.format(k)) for k in range(6)] + [
+        (7, None, None), (8, "x", ""),
+        (9, "http://r.org/", "<nav>menu</nav><p>a<p>b <i>c</i>d<!-- x --><aside>no</aside><div class='comments'>no</div><form>no</form><script>'</p>'</script>"),
+        (10, "http://r.org/2", "<article><h1>T &lt;&eacute;</h1>\n<p>one\n two<ul><li>x</li><li>y</ul><section class='comment-list'>no</section></article><footer>f</footer>"),
+    ]
+    df = spark.createDataFrame([(*r, "h", 3) for r in rows], "page_id int, url string, html string, host string, shape int")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got == {**{k: f"T{k}\nBody {k} one\ntwo {k} & x" for k in range(6)}, 7: "", 8: "", 9: "a\nb cd", 10: "T <é\none two\nx\ny"}
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_tree_matching():
+    assert html_text.aligned("a(b;c(d;)e;)", "a(b;x;c(y;d;)e;)") == [0, 1, 3, 5, 6]
+    assert html_text.aligned("a;", "b;") == [-1]
+
+
+def test_all_pages_equal_their_articles(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for p in pages.collect():
+        inner = re.search("<article>(.*)</article>", p.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner))
+        assert got[p.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_chat_folds_events(spark):
+    events = [
+        (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", "he"), (1, 3, "delta", 1, None, "llo"), (1, 4, "message", 2, "user", "x"),
+        (1, 5, "regenerate", 1, None, "new"), (1, 6, "delta", 1, None, "er"), (1, 9000, "edit", 0, None, "HI"), (1, 9001, "message", 2, "user", None),
+        (2, 1, "message", 0, None, "a"), (2, 8200, "regenerate", 0, "assistant", "b"), (None, 1, "message", 0, "user", "n"), (3, None, "message", 0, "u", "t"), (3, 1, "odd", 0, "u", "t"),
+    ]
+    df = spark.createDataFrame([(*e, "z") for e in events], "conv_id bigint, seq bigint, kind string, message int, role string, text string, block string")
+    got = sorted(((r.conv_id or -9), r.message, r.role, r.text) for r in chat.fold(df).collect())
+    assert got == [(-9, 0, "user", "n"), (1, 0, "user", "HI"), (1, 1, "assistant", "newer"), (1, 2, "user", ""), (2, 0, "assistant", "b")]
+    assert chat.fold(df.limit(0)).count() == 0
+
+
+def test_chat_reads_back_control_strings(spark):
+    bits = ["</s>", "[INST]", "[/INST]", "<s>", "\\", "<\\s>", "[\\\\INST]", "<\\/s>", "<", "[", "é", "", None, "</s>[INST] ok [/INST]", "\n"]
+    rows = [(k % 7, k // 7, "assistant" if k % 2 else "user[/INST]", (bits[k % len(bits)] or "") + (bits[k * 7 % len(bits)] or "")) for k in range(210)]
+    rows += [(99, None, None, None), (99, 1, "assistant", "b"), (99, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.rendered(chat.fold(chat.events_of_turns(df)))).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or ""))
+        turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine)
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(mine), hashlib.sha256(turns.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_quality(docs, rows):
+    got = quality.assess(docs)
+    want = collections.Counter()
+    for i, t in rows:
+        w = spaced(t)
+        c, covered = collections.Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7)), set()
+        for j in range(len(w) - 7):
+            if c[tuple(w[j : j + 8])] > 1:
+                covered.update(range(j, j + 8))
+        lines = [x for x in (t or "").split("\n") if spaced(x)]
+        want[i, len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(covered)] += 1
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert collections.Counter(tuple(r) for r in got.select(*base).collect()) == want
+    assert got.where("base_failed and kept").count() == 0 and quality.assess(docs.limit(0)).count() == 0
+    kept = quality.accepted(docs.withColumn("kept", F.lit("clash")))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got.where("kept").collect())
+
+
+def test_quality_follows_the_labels(spark):
+    judged = quality.assess(spark.read.parquet(f"{DIR}/documents.parquet")).join(spark.read.parquet(f"{DIR}/labels.parquet"), "doc_id")
+    assert judged.where("quality = 0 and kept").count() == 0
+    assert judged.where("quality = 1 and not base_failed and not kept").count() == 0
+
+
+def test_line_rules(spark):
+    good = "A plain sentence that says something worth keeping in the end of it all, more or less."
+    lines = {
+        good: True, "Home | News | Sport | About": False, "BUY NOW CHEAP WATCHES TODAY!!": False, "w### x&&& y%%% z***": False, "Please accept cookies here.": False,
+        "no end of this line at all in sight or so": False, "go go go go go go go go go go go.": False, "Ends with a code. 12ab": True,
+    }
+    df = spark.createDataFrame([(0, "\n".join([*lines, good]))], "doc_id int, text string")
+    assert quality.assess(df).first().cleaned.split("\n") == [x for x, ok in lines.items() if ok]
+
+
+def test_mixing(spark, docs):
+    u = mixing.units(docs).toPandas()
+    sizes = u.groupby("source").n_tokens.sum()
+    for budget, limit, entropy in ((None, 4.0, None), (int(sizes.sum() * 3), 4.0, 0.9), (5000, 1.0, None), (0, 4.0, None)):
+        got = mixing.mixture(docs, budget=budget, max_repeat=limit, entropy=entropy).toPandas()
+        total = int(sizes.sum()) if budget is None else budget
+        if total == 0:
+            assert len(got) == 0
+            continue
+        w = got.groupby("source").weight.first()
+        for s, took in got.groupby("source").n_tokens.sum().items():
+            share = math.floor(w[s] * total)
+            assert took <= share
+            assert share - took <= u[u.source == s].n_tokens.max()
+            passes = got[got.source == s].groupby("doc_id", dropna=False).epoch.nunique()
+            assert passes.max() - passes.reindex(u[u.source == s].doc_id).fillna(0).min() <= 1
+        assert not got.duplicated(["source", "doc_id", "epoch"]).any()
+    assert mixing.mixture(docs.limit(0)).count() == 0
+
+
+def test_exponent_meets_its_target(spark):
+    sizes = np.array([1000, 100, 10, 1.0])
+    s = sizes / sizes.sum()
+    df = spark.createDataFrame([(float(x),) for x in np.log(s)], "ls double")
+
+    def measures(e):
+        w = s**e / (s**e).sum()
+        return -(w * np.log(w)).sum(), (w / s).max()
+
+    e = mixing.exponent(df, 1.0, 1e9, 0.8)
+    assert measures(e)[0] == pytest.approx(0.8 * math.log(4), abs=1e-4)
+    e = mixing.exponent(df, 2.0, 20.0, None)
+    assert 2 * measures(e)[1] == pytest.approx(20, rel=1e-3)
+    assert mixing.exponent(df, 5.0, 2.0, None) == 1.0
+
+
+def test_secrets(spark):
+    key = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    rows = [(k, f"some words before password={key(k)[:20]} and after it") for k in range(60)]
+    rows += [(100 + k, f"the card number was {int(key(k)[:14], 16):016d} in the list") for k in range(60)]
+    rows += [(200, None), (201, ""), (202, f"a AKIA{key(5)[:16].upper()} b token = \"{key(6)[:40]}\" c"), (203, "x" * 50_000 + "1"), (None, f"secret: {key(9)[:30]}"), (202, None)]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id int, text string, key string")
+    got = secrets.scan(df).collect()
+    texts = dict(rows)
+    assert all(len(texts[r.doc_id][r.start : r.start + r.length]) == r.length for r in got if r.doc_id not in (202,))
+    flagged = {r.doc_id for r in got if r.secret}
+    assert flagged >= {*range(60), 202, None} and not flagged & set(range(100, 160))
+    assert secrets.scan(df.limit(0)).count() == 0
+    lone = secrets.scan(df.where("doc_id = 5")).collect()
+    assert [(r.secret, r.score) for r in lone] == [(True, 1.0)]
+    found = secrets.candidates(df).withColumn("label", (F.col("doc_id") >= 100).cast("double"))
+    assert {r.doc_id for r in secrets.scan(df, found).collect() if r.secret} & set(range(160)) == set(range(100, 160))
