@@ -256,15 +256,16 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
     """Links (a, b) between different groups, or None where no document can have one.
 
     ``c`` of a document is how many of its tokens another group can still match. A partner of size m needs an overlap
-    of num * (n + m) / (den + num), so c limits the partner's size, and a token counts only if some document in another
-    group has it whose size is within that limit. Dropping documents lowers c of others; it is repeated until it stops.
+    of num * (n + m) / (den + num), so c limits the partner's size, and a token counts only if some document has it whose
+    size is within that limit. The least size among those gives the least overlap ``need``; with c below it a document is
+    done. Dropping documents lowers c of others; it is repeated until it stops.
     """
-    need = F.ceil(F.col("n") * num / den)
     limit = F.floor(F.col("c") * (den + num) / num) - F.col("n")
-    alive, before = member.select("doc_id", "n", "component", F.col("shared").alias("c")), -1
+    least_need = F.ceil(num * (F.col("n") + F.greatest(F.col("m"), F.ceil(F.col("n") * num / den))) / (den + num))
+    alive, before = member.select("doc_id", "n", "component", F.col("shared").alias("c"), F.lit(0).cast("bigint").alias("need")), -1
     while True:
         tokens = sets.select("doc_id", "tokens").join(small(alive), "doc_id")
-        tokens = tokens.select("doc_id", "n", "component", "c", limit.alias("limit"), F.explode("tokens").alias("t"))
+        tokens = tokens.select("doc_id", "n", "component", "c", "need", limit.alias("limit"), F.explode("tokens").alias("t"))
         matrix = staged(
             tokens.groupBy("t").agg(
                 F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("limit").alias("most"),
@@ -272,19 +273,17 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
             ).where("lo <> hi").select("t", "least", "most", "df")
         )
         met = tokens.join(small(matrix), "t").where("least <= limit and n <= most")
-        alive = met.groupBy("doc_id", "n", "component").agg(F.count("*").alias("c"))
-        alive = staged(alive.where(F.col("c") >= need))
+        if before == 0:
+            break
+        alive = met.groupBy("doc_id", "n", "component").agg(F.count("*").alias("c"), F.min("least").alias("m"))
+        alive = staged(alive.withColumn("need", least_need).where("c >= need").drop("m"))
         left = alive.count()
         if not left:
             return None
-        if left == before:
-            break
-        before = left
-    tokens = sets.select("doc_id", "tokens").join(small(alive), "doc_id")
-    tokens = tokens.select("doc_id", "n", "component", "c", limit.alias("limit"), F.explode("tokens").alias("t")).join(small(matrix), "t")
-    tokens = staged(tokens.where("least <= limit and n <= most").select("doc_id", "n", "component", "c", "t", "df"))
+        before = 0 if left == before else left
+    tokens = staged(met.select("doc_id", "n", "component", "c", "need", "t", "df"))
     order = Window.partitionBy("doc_id", "component").orderBy("df", "t")
-    first = tokens.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("c") - need + 1).drop("r", "df")
+    first = tokens.withColumn("r", F.row_number().over(order)).where("r <= c - need + 1").drop("r", "df")
     size = alive.groupBy("component").agg(F.count("*").alias("size"))
     size = staged(size)
     sized = lambda df, name: df.join(small(size.select("component", F.col("size").alias(name))), "component")
@@ -292,12 +291,12 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
     union = staged(sized(union, "size_g").withColumnRenamed("component", "g"))
     first = staged(sized(first, "size"))
     fits = (num * F.col("n_g") <= den * F.col("n")) & (den * F.col("n_top") >= num * F.col("n"))
-    fits &= num * (F.col("n") + F.greatest("n_g", need)) <= (den + num) * F.least("c", "c_g")
+    fits &= num * (F.col("n") + F.greatest("n_g", F.ceil(F.col("n") * num / den))) <= (den + num) * F.least("c", "c_g")
     ours = (F.col("size") > F.col("size_g")) | ((F.col("size") == F.col("size_g")) & (F.col("component") > F.col("g")))
     found = first.join(union, "t").where((F.col("component") != F.col("g")) & fits & ours)
-    found = found.groupBy("doc_id", "n", "c", "g").agg(F.count("*").alias("both"), F.min("n_g").alias("n_g"))
-    overlap = F.ceil(num * (F.col("n") + F.greatest("n_g", need)) / (den + num))
-    opened = staged(found.where(F.col("both") + need - 1 >= overlap).select(F.col("doc_id").alias("a"), "n", "c", "g"))
+    found = found.groupBy("doc_id", "n", "c", "need", "g").agg(F.count("*").alias("both"), F.min("n_g").alias("n_g"))
+    overlap = F.ceil(num * (F.col("n") + F.greatest("n_g", F.ceil(F.col("n") * num / den))) / (den + num))
+    opened = staged(found.where(F.col("both") + F.col("need") - 1 >= overlap).select(F.col("doc_id").alias("a"), "n", "c", "g"))
     inside = alive.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("component").alias("g"))
     pairs = opened.join(inside, "g").where(_may_link("n", "c", "n_b", "c_b", num, den)).select("a", "b").distinct()
     return staged(_linked(staged(pairs), sets, num, den))
