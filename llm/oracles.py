@@ -58,7 +58,7 @@ cov as (select row, count(distinct q) as n from (select row, i from g qualify co
 li as (select row, x from d, unnest(string_split(text, chr(10))) as t(x) where regexp_matches(x, '[^\x20\x09-\x0D]')),
 one as (select distinct row, x, {_chars.format('x')} as chars, regexp_extract_all(x, {_SPACED}) as w, {_count.format('x', r'\p{Lu}')} as up, {_count.format('x', r'\p{Ll}')} as low,
   {_count.format('x', '[#*$%&|<>]')} as sym, len(regexp_extract_all(regexp_replace(x, '(\s)', '\1\1', 'g'), '(?:^|\s)[|»›•·/](?:\s|$)')) as nav from li),
-ok as (select row, sum(chars) as kept from one where not (sym * 100 > chars * 10 or nav * 100 > len(w) * 15 or (len(w) >= 5 and up * 100 > (up + low) * 70)
+ok as (select row, sum(chars) as kept from one where not (sym * 100 > chars * 10 or nav * 100 > len(w) * 15 or (len(w) >= 5 and regexp_matches(x, '\p{{Lu}}\p{{Lu}}') and up * 100 > (up + low) * 70)
   or (len(w) >= 8 and not regexp_matches(x, '[\p{{L}}\p{{N}}][.!?…:;]["''”’»)\]]*(?:\s|$)|[。！？]'))
   or (len(w) <= 12 and regexp_matches(lower(x), '\b(?:{"|".join(NOTICES)})\b')) or (len(w) >= 10 and len(list_distinct(w)) * 100 < len(w) * 35)) group by row),
 b as (select d.row, doc_id, len(w) as n_words, {_chars.format('text')} as word_chars, {_count.format('text', '[#*$%&|<>]')} as n_symbols,

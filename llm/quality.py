@@ -27,16 +27,13 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
-def _failing(line: Column) -> Column:
+def _failing(line: Column, words: Column) -> Column:
     """A line with words fails as shouting, symbol noise, navigation, a notice, unfinished text or repetition."""
-    chars = F.length(F.regexp_replace(line, SPACE, ""))
-    words = F.split(F.btrim(line, F.lit(SPACES)), SPACE)
-    n = F.size(words)
-    upper, lower = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{Ll}"))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    noise = symbols * 100 > chars * 10
+    n, symbols = F.size(words), F.regexp_count(line, F.lit(SYMBOLS))
+    noise = (symbols > 0) & (symbols * 100 > F.length(F.regexp_replace(line, SPACE, "")) * 10)
     navigation = F.regexp_count(line, F.lit(r"(?:^|\s)[|»›•·/](?=\s|$)")) * 100 > n * 15
-    shouting = (n >= 5) & (upper * 100 > (upper + lower) * 70)
+    upper, lower = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{Ll}"))
+    shouting = (n >= 5) & F.rlike(line, F.lit(r"\p{Lu}\p{Lu}")) & (upper * 100 > (upper + lower) * 70)
     unfinished = (n >= 8) & ~F.rlike(line, F.lit(r"[\p{L}\p{N}][.!?…:;][\"'”’»)\]]*(?:\s|$)|[。！？]"))
     notice = (n <= 12) & F.rlike(F.lower(line), F.lit(r"\b(?:" + "|".join(NOTICES) + r")\b"))
     repetition = (n >= 10) & (F.size(F.array_distinct(words)) * 100 < n * 35)
@@ -76,13 +73,15 @@ def assess(docs: DataFrame) -> DataFrame:
         "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("bigint"),
         "n_dup_lines": (F.size("_full") - F.size("_once")).cast("bigint"),
         "n_repeat_words": F.coalesce(cover, F.lit(0)).cast("bigint"),
-        "_good": F.filter("_once", lambda x: ~_failing(x)),
+        "_cells": F.transform("_once", lambda x: F.struct(x.alias("x"), F.split(F.btrim(x, F.lit(SPACES)), SPACE).alias("w"))),
     })
+    df = df.withColumn("_good", F.transform(F.filter("_cells", lambda c: ~_failing(c["x"], c["w"])), lambda c: c["x"]))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumn("cleaned", F.array_join("_good", "\n"))
-    df = df.withColumn("lost_chars", F.col("word_chars") - F.length(F.regexp_replace("cleaned", SPACE, "")))
+    lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", SPACE, ""))
+    df = df.withColumn("lost_chars", F.when(F.size("_good") == F.size("_full"), F.lit(0).cast("bigint")).otherwise(lost))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
-    return df.drop("_t", "_words", "_lines", "_h", "_full", "_win", "_once", "_repeats", "_sorted", "_starts", "_good")
+    return df.drop("_t", "_words", "_lines", "_h", "_full", "_win", "_once", "_repeats", "_sorted", "_starts", "_cells", "_good")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
