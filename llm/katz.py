@@ -7,8 +7,9 @@ probability is the class's times its share of the class, by its own count. Every
 * Bigram instances are dealt by history in compressed pieces. A piece counts them, divides by the history's count and
   returns to each document its sum of log10(c(h, w) / c(h)), how often it met pairs of count 1 to 5, and its unseen pairs.
 * Good-Turing discounts follow from all pieces' counts of counts, and a history's back-off weight from its own table
-  row: the mass its seen successors leave, over the unigram mass of the words it was not seen with. Both are exact, so
-  the probabilities after any history sum to 1.
+  row: the mass its seen successors leave, over the unigram mass of the words it was not seen with. One symbol that never
+  occurs keeps 1 / (N + 1) of the unigram mass, so every history leaves some. Both are exact, so the probabilities after
+  any history sum to 1.
 * Pairs of the HOT most frequent words, which may fill a large part of a corpus, are counted before the exchange and
   scored where they are read.
 """
@@ -29,7 +30,7 @@ from llm.common import Sent, input_bytes, slices, small
 VOCABULARY = (1 << 18) - 2
 HOT = 512
 DISCOUNTED = 5
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 PIECES = 32
 END = np.uint64(0x2545F4914F6CDD1D)
 _R = [f"n{r}" for r in range(1, DISCOUNTED + 1)]
@@ -64,9 +65,9 @@ class _Model:
         if p[-1] <= 1e-12:
             p[-1] = 1 / (total + 1)
             p[:-1] *= (1 - p[-1]) / p[:-1].sum()
-        self.p = p
+        self.p = p * (total / (total + 1)) if total else p
         with np.errstate(divide="ignore"):
-            self.log_p = np.log10(np.append(p, 1.0))
+            self.log_p = np.log10(np.append(self.p, 1.0))
         self.history = np.concatenate([self.counts, [tail, texts]])
         rank = np.argsort(-self.counts, kind="stable")[:hot]
         self.hot = np.zeros(self.size + 2, bool)
@@ -370,7 +371,7 @@ def _assembled(read: DataFrame, facts: DataFrame, words: DataFrame, model: _Mode
     seen = facts.where("kind = 0").select("key", (F.col("x") + lows(lambda r: np.log10(d[r]))).alias("s"))
     freed = lows(lambda r: r * (1 - d[r]))
     left = (freed + F.col("key")) / (F.col("n") + F.col("key"))
-    backoff = staged(facts.where("kind = 2 and n > 0").select("h", F.log10(left / (1 - F.col("x"))).alias("alpha")))
+    backoff = staged(facts.where("kind = 2 and n > 0").select("h", F.log10(left / F.greatest(1 - F.col("x"), F.lit(1e-15))).alias("alpha")))
     unseen = facts.where("kind = 1").join(small(backoff), "h").select("key", (F.col("x") + F.col("n") * F.col("alpha")).alias("s"))
     below = model.tail_tokens + model.tail_single
     rare = read.where("kind = 1").select("key", "w", "n").join(words, "w", "left")
