@@ -21,10 +21,15 @@ def member_weight(market_cap):
     return F.when(F.col(market_cap) > 0, F.col(market_cap)).otherwise(F.lit(1.0))
 
 
+def priced_weight():
+    """The weight of a row whose close has a logarithm; others leave numerator and denominator alike."""
+    return F.when(F.col("c") > 0, F.col("weight"))
+
+
 def market_levels(panel: DataFrame) -> DataFrame:
     """(seg, d, market_level) on the sessions all admitted names share (axis-sized)."""
     per_day = panel.groupBy("seg", "d").agg(
-        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n"),
+        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum(priced_weight()).alias("w"), F.count("*").alias("n"),
         F.max("members").alias("members"),
     )
     level = ratio(F.col("s"), F.col("w")).alias("market_level")
@@ -43,7 +48,7 @@ def factor_series(bars: DataFrame, by: list[str] | None = None) -> DataFrame:
     sizes = bars.groupBy(*by, "ticker").count().filter("count > 1").groupBy(*by).agg(F.count("*").alias("members"))
     usable = bars.join(bars.groupBy(*by, "ticker").count().filter("count > 1"), [*by, "ticker"], "left_semi")
     per_day = usable.groupBy(*by, "d").agg(
-        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n")
+        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum(priced_weight()).alias("w"), F.count("*").alias("n")
     )
     joined = per_day.join(sizes, by)
     w = Window.partitionBy(*by).orderBy("d")

@@ -39,14 +39,6 @@ def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Add 1-based ranks with ties averaged, and ``<out>_total``, the group size."""
-    ranks = counted(df, by, value).select(
-        *by, value, (F.col("below") + (F.col("n") + 1) / 2.0).alias(out), F.col("total").alias(f"{out}_total")
-    )
-    return df.join(ranks, [*by, value])
-
-
 def floor_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Lower empirical quantiles: the value at zero-based position floor(q * (n - 1))."""
     c = counted(df, by, value)
