@@ -7,9 +7,10 @@ A document's tokens are the 64-bit hashes of its distinct word shingles. Documen
    entries. A class can only have links if enough of its tokens are shared (75 % at similarity 0.75); the rest go.
 2. *Groups.* The others are put together with the most typical document of each min-hash key, and true links make
    groups of similar documents.
-3. *Matrix.* (token, group) rows hold each group's token union. A document whose tokens in other groups are too few is
-   done. For the rest, the rarest tokens that a link must share find query-group candidates, the overlap with the
-   group's union bounds what any member can have, and only groups over the bound are opened and compared.
+3. *Matrix.* A document with too few tokens in other components is done. The rest are put into groups of at most about
+   MEMBERS documents of nearly one size, and (token, group) rows hold each group's token union. The rarest tokens that
+   a link must share find query-group candidates, the overlap with the group's union bounds what any member can have,
+   and only groups over the bound are opened and their members compared.
 
 All steps are exact: bounds only drop what cannot link. Links inside a group change no component and are not listed.
 """
@@ -28,11 +29,13 @@ from llm import words as W
 from llm.common import input_bytes, ragged, slices, small
 from llm.components import components
 
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 COUNTS = "doc_id bigint, n bigint, d1 bigint, d2 bigint, name bigint, shared bigint"
 FACTS = "piece int, blob binary, " + COUNTS
 SETS = "doc_id bigint, n bigint, shared bigint, keys array<bigint>, tokens array<bigint>"
 KEYS = 3
+#: Documents of a group of the matrix, on average at most.
+MEMBERS = 32
 #: Token ranges, at least; more where the input has over 10 MB for each.
 PIECES = 128
 
@@ -284,19 +287,27 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
     tokens = staged(met.select("doc_id", "n", "component", "c", "need", "t", "df"))
     order = Window.partitionBy("doc_id", "component").orderBy("df", "t")
     first = tokens.withColumn("r", F.row_number().over(order)).where("r <= c - need + 1").drop("r", "df")
-    size = alive.groupBy("component").agg(F.count("*").alias("size"))
-    size = staged(size)
-    sized = lambda df, name: df.join(small(size.select("component", F.col("size").alias(name))), "component")
-    union = tokens.groupBy("t", "component").agg(F.min("n").alias("n_g"), F.max("n").alias("n_top"), F.max("c").alias("c_g"))
-    union = staged(sized(union, "size_g").withColumnRenamed("component", "g"))
-    first = staged(sized(first, "size"))
-    fits = (num * F.col("n_g") <= den * F.col("n")) & (den * F.col("n_top") >= num * F.col("n"))
-    fits &= num * (F.col("n") + F.greatest("n_g", F.ceil(F.col("n") * num / den))) <= (den + num) * F.least("c", "c_g")
-    ours = (F.col("size") > F.col("size_g")) | ((F.col("size") == F.col("size_g")) & (F.col("component") > F.col("g")))
-    found = first.join(union, "t").where((F.col("component") != F.col("g")) & fits & ours)
-    found = found.groupBy("doc_id", "n", "c", "need", "g").agg(F.count("*").alias("both"), F.min("n_g").alias("n_g"))
-    overlap = F.ceil(num * (F.col("n") + F.greatest("n_g", F.ceil(F.col("n") * num / den))) / (den + num))
-    opened = staged(found.where(F.col("both") + F.col("need") - 1 >= overlap).select(F.col("doc_id").alias("a"), "n", "c", "g"))
-    inside = alive.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("component").alias("g"))
-    pairs = opened.join(inside, "g").where(_may_link("n", "c", "n_b", "c_b", num, den)).select("a", "b").distinct()
-    return staged(_linked(staged(pairs), sets, num, den))
+    # matrix groups: at most about MEMBERS documents of nearly one size
+    band = F.floor(F.log("n") * 50).cast("int")
+    bands = staged(alive.groupBy(band.alias("band")).agg(F.ceil(F.count("*") / MEMBERS).alias("parts")))
+    place = alive.withColumn("band", band).join(small(bands), "band").withColumn("g", F.xxhash64("band", F.pmod(F.xxhash64("doc_id"), "parts")))
+    place = staged(place.select("doc_id", "n", "component", "c", "g"))
+    union = tokens.select("doc_id", "component", "t").join(small(place), ["doc_id", "component"])
+    union = staged(union.groupBy("t", "g").agg(F.min("n").alias("n_g"), F.max("n").alias("n_top"), F.max("c").alias("c_g")))
+    floor = F.ceil(F.col("n") * num / den)
+    fits = (F.col("n_g") <= F.col("n")) & (F.col("n_top") >= floor) & (num * (F.col("n") + F.greatest("n_g", floor)) <= (den + num) * F.least("c", "c_g"))
+    found = staged(first).join(union, "t").where(fits).groupBy("doc_id", "component", "n", "c", "need", "g").agg(F.count("*").alias("both"), F.min("n_g").alias("n_g"))
+    overlap = F.ceil(num * (F.col("n") + F.greatest("n_g", floor)) / (den + num))
+    opened = staged(found.where(F.col("both") + F.col("need") - 1 >= overlap).select("doc_id", "component", "n", "c", "g"))
+    inside = place.join(sets.select("doc_id", "n", "tokens"), ["doc_id", "n"])
+    inside = inside.groupBy("g").agg(F.collect_list(F.struct("doc_id", "n", "component", "c", "tokens")).alias("members"))
+    rows = opened.join(sets.select("doc_id", "n", "tokens"), ["doc_id", "n"]).join(inside, "g")
+
+    def links(m):
+        first_of_two = (F.col("n") > m["n"]) | ((F.col("n") == m["n"]) & (F.col("doc_id") > m["doc_id"]))
+        both = num * (F.col("n") + m["n"])
+        able = (den * m["n"] >= num * F.col("n")) & (both <= (den + num) * F.least("c", m["c"]))
+        return (F.col("component") != m["component"]) & first_of_two & able & (F.size(F.array_intersect("tokens", m["tokens"])) * (den + num) >= both)
+
+    found = rows.select("doc_id", F.filter("members", links).alias("x")).where(F.size("x") > 0)
+    return staged(found.select(F.col("doc_id").alias("a"), F.explode("x.doc_id").alias("b")))

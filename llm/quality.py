@@ -81,12 +81,12 @@ def assess(docs: DataFrame) -> DataFrame:
     lost = F.col("word_chars") - F.length(F.regexp_replace("cleaned", SPACE, ""))
     df = df.withColumn("lost_chars", F.when(F.size("_good") == F.size("_full"), F.lit(0).cast("bigint")).otherwise(lost))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
+    # the row number keeps the optimizer from moving a condition on a verdict below the measures, which would repeat them
+    here = F.monotonically_increasing_id() >= 0
+    df = df.withColumns({"base_failed": F.col("base_failed") & here, "kept": F.col("kept") & here})
     return df.drop("_t", "_words", "_lines", "_h", "_full", "_win", "_once", "_repeats", "_sorted", "_starts", "_cells", "_good")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of :func:`assess` that are kept.
-
-    The row number keeps the optimizer from moving the condition below the measures, where it would repeat them all.
-    """
-    return assess(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").drop("_row")
+    """The rows of :func:`assess` that are kept."""
+    return assess(docs).where("kept")
