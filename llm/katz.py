@@ -239,7 +239,7 @@ def _by_document(model: _Model, h, w, r, doc, n: int, plus) -> tuple[np.ndarray,
     below = model.history[h] + plus
     with np.errstate(divide="ignore", invalid="ignore"):
         part = np.where(r > 0, np.log10(r / below), np.where(model.history[h] > 0, 0.0, model.log_p[np.minimum(w, model.tail)]))
-    return np.bincount(doc, part, n), [np.bincount(doc[r == k], minlength=n) for k in range(1, DISCOUNTED + 1)]
+    return np.bincount(doc, part, n).astype(np.float64), [np.bincount(doc[r == k], minlength=n) for k in range(1, DISCOUNTED + 1)]
 
 
 def _no_facts(n: int) -> list[pa.Array]:
@@ -306,7 +306,7 @@ def _tallied(shared, pieces: int):
         seen = all_counts > 0
         hs, at = np.unique(h_all, return_inverse=True)
         low = [np.bincount(at[all_counts == r], minlength=len(hs)) for r in range(1, DISCOUNTED + 1)]
-        mass = np.bincount(at[seen], model.p[w_all[seen]], len(hs))
+        mass = np.bincount(at[seen], model.p[w_all[seen]], len(hs)).astype(np.float64)
         plus = ((sum(low) == 0) | model.hot[hs]).astype(np.int64)
         h, w = h_all[: len(code)], w_all[: len(code)]
         spread = lambda x: np.repeat(x, size)
