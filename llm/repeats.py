@@ -6,9 +6,12 @@ the same place in both. Suffixes whose first GRAM words occur once go. The rest
 is compared with its neighbours, and matches are extended to the right and to the left. One suffix of each
 context is sorted again by the words before it, where neighbours share the longest left side.
 
+Where more than NEAR + 1 suffixes share their GRAM words, neighbours need not hold the longest match. There every window
+of LEAST words is counted by its hash as well. Each window belongs to one minimiser, its leftmost least gram.
+
 Texts of equal words are one class, represented once. The sorts are range-partitioned by whole keys down to class and
-position, so a passage in a third of all documents fills as many tasks as it needs; the first and last suffix of every
-range are compared in a second, small pass.
+position, so a passage in a third of all documents fills as many tasks as it needs; the first and last NEAR suffixes of
+every range are compared in a second, small pass.
 """
 
 from __future__ import annotations
@@ -29,15 +32,20 @@ LEAST = 50
 GRAM = 8
 SPAN = LEAST - GRAM + 1
 LEFT = LEAST - GRAM
-#: Neighbours on either side that a suffix is compared with.
+#: Neighbours on either side that a suffix is compared with; larger groups are settled by their windows.
 NEAR = 6
-SEEN = "doc_id bigint, key bigint, class bigint, n_words bigint, grams array<bigint>, places array<bigint>"
-SUFFIX = "class bigint, pos bigint, ahead binary, behind binary"
+SEEN = "doc_id bigint, key bigint, class bigint, n_words bigint, grams array<bigint>, places array<bigint>, first array<tinyint>, last array<tinyint>"
+SUFFIX = "class bigint, pos bigint, ahead binary, behind binary, start bigint, windows array<bigint>"
 MATCH = "class bigint, lo bigint, hi bigint, across boolean, part int, pos bigint, ahead binary, behind binary"
 
 
 def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Places of the least value (the first of equal ones) of all runs of ``span`` values."""
+    return np.unique(_least(grams, span))
+
+
+def _least(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least value (the first of equal ones) of each run of ``span`` values; never falls."""
     n = len(grams) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -55,7 +63,7 @@ def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
     new[:, :-1] = x[:, :-1] <= behind[:, 1:]
     last = np.minimum.accumulate(np.where(new, place, rows * span)[:, ::-1], 1)[:, ::-1]
     a, b = behind.ravel()[:n], ahead.ravel()[span - 1 : span - 1 + n]
-    return np.unique(np.where(a <= b, last.ravel()[:n], first.ravel()[span - 1 : span - 1 + n]))
+    return np.where(a <= b, last.ravel()[:n], first.ravel()[span - 1 : span - 1 + n])
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -69,16 +77,21 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             hashes, at = W.words(part["text"])
             every = W.windows(hashes, GRAM)
-            classes, grams, places = [], [], []
+            classes, grams, places, first, last = [], [], [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 classes.append(_class(hashes[a:b]))
                 own = every[a : max(a, b - GRAM + 1)]
-                p = minimisers(own)
+                p, at_first, times = np.unique(_least(own, SPAN), return_index=True, return_counts=True)
                 places.append(p)
+                first.append(p - at_first)
+                last.append(p - at_first - times + 1)
                 grams.append(own[p].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["key"], pa.array(classes, pa.int64()), pa.array(np.diff(at)), ragged(grams, np.int64), ragged(places, np.int64)],
-                ["doc_id", "key", "class", "n_words", "grams", "places"],
+                [
+                    part["doc_id"], part["key"], pa.array(classes, pa.int64()), pa.array(np.diff(at)), ragged(grams, np.int64),
+                    ragged(places, np.int64), ragged(first, np.int8), ragged(last, np.int8),
+                ],
+                ["doc_id", "key", "class", "n_words", "grams", "places", "first", "last"],
             )
 
 
@@ -89,18 +102,25 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (hashes >> np.uint64(32)).astype(">u4")
             back = short[::-1].tobytes()
             raw, size = short.tobytes(), len(short)
-            out = [[], [], [], []]
-            for i, (places, cls) in enumerate(zip(part["places"].to_pylist(), part["class"].to_pylist(), strict=True)):
+            every = W.windows(hashes, LEAST).view(np.int64)
+            out, windows = [[], [], [], [], []], []
+            for i, (places, first, last, cls) in enumerate(zip(*(part[c].to_pylist() for c in ("places", "first", "last", "class")), strict=True)):
                 a, b = int(at[i]), int(at[i + 1])
                 if _class(hashes[a:b]) != cls:
                     continue
-                for p in places:
+                for p, f, z in zip(places, first, last, strict=True):
                     q = a + p
                     out[0].append(cls)
                     out[1].append(p)
                     out[2].append(raw[4 * q : 4 * min(b, q + LEAST)])
                     out[3].append(back[4 * (size - q) : 4 * (size - max(a, q - LEFT))])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["class", "pos", "ahead", "behind"])
+                    out[4].append(None if f is None else p - f)
+                    windows.append(every[:0] if f is None else every[q - f : q - z + 1])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(out, types, strict=True)), ragged(windows, np.int64)],
+                ["class", "pos", "ahead", "behind", "start", "windows"],
+            )
 
 
 def _matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +148,7 @@ def _neighbours(edges: bool, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        held, full, opened = None, np.zeros(0, bool), not edges
+        held, full, opened = None, np.zeros(0, bool), 0 if edges else NEAR
 
         def judged(rows: pa.Table, full: np.ndarray, free: int) -> pa.RecordBatch:
             """Matches of each row with the next NEAR; of the first ``free`` rows those that go on."""
@@ -151,9 +171,9 @@ def _neighbours(edges: bool, again: bool):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch.select(["class", "pos", "ahead", "behind"])])
-            if not opened:
-                yield _spans(None, 0, rows.slice(0, 1), part)
-                opened = True
+            if opened < NEAR:
+                yield _spans(None, 0, rows.slice(0, NEAR - opened), part)
+                opened = min(NEAR, opened + rows.num_rows)
             full = np.r_[full, np.zeros(rows.num_rows, bool)]
             rows = rows if held is None else pa.concat_tables([held, rows])
             free = max(0, rows.num_rows - NEAR)
@@ -163,7 +183,7 @@ def _neighbours(edges: bool, again: bool):
             if again:
                 yield _spans(None, 0, held.take(pa.array(np.flatnonzero(~full))), None)
             if edges:
-                yield _spans(None, 0, held.slice(held.num_rows - 1), part)
+                yield _spans(None, 0, held, part)
 
     return run
 
@@ -193,6 +213,21 @@ def _compared(suffixes: DataFrame, order: list, again: bool) -> DataFrame:
     return found.where("part is null or part < 0").union(ends.mapInArrow(_neighbours(False, False), MATCH))
 
 
+#: Two places or more, of the least and largest ones that _ends gives.
+REPEATED = "c0 <> c1 or p0 <> p1"
+
+
+def _ends(place: str) -> list:
+    return [f(c).alias(a) for c, a0, a1 in (("class", "c0", "c1"), (place, "p0", "p1")) for f, a in ((F.min, a0), (F.max, a1))]
+
+
+def _counted(suffixes: DataFrame) -> DataFrame:
+    """Spans of the stored windows that occur at two places or more."""
+    windows = suffixes.select("class", "start", F.posexplode("windows").alias("k", "h")).select("class", "h", (F.col("start") + F.col("k")).alias("lo"))
+    again = staged(windows.groupBy("h").agg(*_ends("lo")).where(REPEATED).select("h", F.expr("c0 <> c1").alias("across")))
+    return windows.join(small(again), "h").select("class", "lo", (F.col("lo") + LEAST).alias("hi"), "across")
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, across): word spans of docs(doc_id, text) covered by passages of LEAST words or more that
     occur twice; ``across`` tells whether in another document (or only in this one).
@@ -205,17 +240,20 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("key", F.xxhash64("text"))
     seen = staged(docs.mapInArrow(_seen, SEEN).where(F.col("n_words") >= LEAST))
     texts = seen.select("doc_id", "key", "class", "n_words").distinct()
-    starts = seen.select("class", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("class", F.col("x.grams").alias("gram"), F.col("x.places").alias("pos"))
-    at = F.struct("class", "pos")
-    twice = staged(starts.groupBy("gram").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("gram"))
-    wanted = starts.join(small(twice), "gram").groupBy("class").agg(F.collect_set("pos").alias("places"))
+    starts = seen.select("class", F.explode(F.arrays_zip("grams", "places", "first", "last")).alias("x"))
+    starts = starts.select("class", F.col("x.grams").alias("gram"), F.col("x.places").alias("pos"), "x.first", "x.last")
+    counted = starts.groupBy("gram").agg(*_ends("pos"), F.count("*").alias("n"))
+    twice = staged(counted.where(REPEATED).select("gram", (F.col("n") > NEAR + 1).alias("many")))
+    own = F.struct("pos", *(F.when(F.col("many"), F.col(c)).alias(c) for c in ("first", "last")))
+    wanted = starts.join(small(twice), "gram").groupBy("class").agg(F.collect_set(own).alias("x"))
+    wanted = wanted.select("class", F.col("x.pos").alias("places"), "x.first", "x.last")
     one = seen.groupBy("class").agg(F.min(F.struct("key", "doc_id")).alias("o")).select("class", F.col("o.key").alias("key"), F.col("o.doc_id").alias("o_id"))
     wanted = staged(wanted.join(one, "class"))
-    fetched = docs.join(small(wanted), "key").where(F.col("doc_id").eqNullSafe(F.col("o_id"))).select("text", "class", "places")
+    fetched = docs.join(small(wanted), "key").where(F.col("doc_id").eqNullSafe(F.col("o_id"))).select("text", "class", "places", "first", "last")
     suffixes = staged(fetched.mapInArrow(_contexts, SUFFIX))
     found = staged(_compared(suffixes, ["ahead", "behind"], True))
     rest = staged(_compared(found.where("part = -1"), [F.substring("ahead", 1, 4 * GRAM), "behind", "ahead"], False))
-    spans = found.where("part is null").union(rest.where("part is null")).select("class", "lo", "hi", "across")
+    spans = found.where("part is null").union(rest.where("part is null")).select("class", "lo", "hi", "across").union(_counted(suffixes))
     ids = texts.groupBy("class").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("ids"), F.max("n_words").alias("n"))
     whole = ids.where("ids > 1").select("class", F.lit(0).cast("bigint").alias("lo"), F.col("n").alias("hi"), F.lit(True).alias("across"))
     merged = spans.union(whole).groupBy("class").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "across"))).alias("s"))

@@ -198,6 +198,37 @@ def test_repeated_passages(docs, rows):
     assert repeats.passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("lines", "n", "per"), [(12, 500, 12), (40, 700, 12)])
+def test_repeated_frequent_lines(spark, lines, n, per):
+    rng = np.random.default_rng(lines)
+    held = [" ".join(f"l{k}w{j}" for j in range(rng.integers(17, 24))) for k in range(lines)]
+    x, y, z = (" ".join(f"{c}{j}" for j in range(20)) for c in "xyz")
+    rows = [(k, "\n".join(held[j] for j in rng.integers(0, lines, per))) for k in range(n)]
+    rows += [(n + k, f"a{k} {x} {y} b{k} c{k} {' '.join(f'd{k}_{j}' for j in range(50))}") for k in range(150)]
+    rows += [(n + 150 + k, f"{' '.join(f'e{k}_{j}' for j in range(50))} {y} {z} f{k}") for k in range(150)]
+    rows += [(n + 300 + k, f"g{k} {x} {y} {z} h{k} {' '.join(f'i{k}_{j}' for j in range(40))}") for k in range(4)]
+    rows += [(n + 400, "\n".join([held[0], held[1], held[2]] * 9))]
+    at = collections.defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for s in range(len(w) - 49):
+            at[tuple(w[s : s + 50])].add((i, s))
+    covered, across = collections.defaultdict(set), set()
+    for v in at.values():
+        for i, s in v if len(v) > 1 else ():
+            covered[i].update(range(s, s + 50))
+            across |= {i} if len({j for j, _ in v}) > 1 else set()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, far = collections.defaultdict(set), set()
+        for r in repeats.passages(spark.createDataFrame(rows, "doc_id int, text string").repartition(5)).collect():
+            got[r.doc_id].update(range(r.start, r.end))
+            far |= {r.doc_id} if r.across else set()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {i: sorted(v) for i, v in got.items() if v} == {i: sorted(v) for i, v in covered.items() if v} and far == across
+
+
 def test_minimisers_are_leftmost_minima():
     rng = np.random.default_rng(5)
     for n in (1, 42, 43, 44, 86, 200, 301):
