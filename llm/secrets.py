@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters with a digit, and private-key headers. The forest sees a candidate's
+Candidates are private-key headers, key formats with a fixed prefix, values of any length and alphabet assigned to a
+credential word, and runs of 16 or more key characters with a digit. The forest sees a candidate's
 length, character transitions, dictionary coverage, path signs and neighbouring words, and is trained from labelled
 findings. DataFrame functions and the JVM's ML library only.
 """
@@ -17,13 +18,29 @@ from ebbline.staging import staged
 
 _KEY = "[A-Za-z0-9+/_-]"
 PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-CANDIDATE = f"{PEM}|(?<!{_KEY})(?={_KEY}{{16}})(?=[A-Za-z+/_-]*+[0-9]){_KEY}++={{0,2}}"
 CONTEXT = 40
 #: At most so many labelled findings train the forest: those with the least hashes.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 24, 6
 #: Words that stand before secrets, and plain words that keys do not hold.
 CREDENTIAL = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
+#: Key formats with a fixed prefix.
+PREFIXED = (
+    r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{35}"
+    r"|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}|npm_[0-9A-Za-z]{36})"
+)
+#: A credential word and the sign of assignment; with a quote at most CONTEXT characters.
+ASSIGN = rf"(?i:{CREDENTIAL})s?(?:[_.-]\w{{1,9}}|[A-Z0-9]\w{{0,9}})?[\\\"'\]]{{0,3}}\s{{0,4}}[=:]{{1,2}}>?\s{{0,4}}"
+_QUOTED = "|".join(rf"(?<={ASSIGN}[bruf]?\\?{q})[^{q}\r\n]+(?={q})" for q in "\"'`")
+VALUE = (
+    r"(?<=[=:>\s\"'`])(?<=[=:]>?\s{0,4}[bruf]?\\?[\"'`]?)"
+    rf"(?:{_QUOTED}|(?<={ASSIGN}[bruf]?\\?[\"'`]?)(?![bruf]?\\?[\"'`])[^\s\"'`]*[^\s\"'`,;.)\]}}])"
+)
+CANDIDATE = f"{PEM}|(?<!{_KEY}){PREFIXED}(?!{_KEY})|{VALUE}|(?<!{_KEY})(?={_KEY}{{16}})(?=[A-Za-z+/_-]*+[0-9]){_KEY}++={{0,2}}"
+#: Assigned values that are no secrets: placeholders, calls and look-ups.
+PLACEHOLDER = (
+    r"(?i)^(?:true|false|null|nil|none|undefined|required|optional|string|str|[*x.-]+|<.*|\$[({\w].*|\{\{.*|%[sd]|(?:your|my)[ _-].*|[a-z_][\w.]*[(\[].*)$"
+)
 DICTIONARY = (
     "access", "account", "address", "article", "build", "change", "class", "client", "commit", "config", "content", "data",
     "default", "document", "domain", "download", "example", "file", "group", "header", "image", "index", "item", "link",
@@ -46,13 +63,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     df = df.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     df = df.withColumns({"key": F.xxhash64("text"), "parts": F.split("text", CANDIDATE), "row": F.monotonically_increasing_id()})
-    df = df.select("doc_id", "key", "row", F.posexplode(F.arrays_zip("found", F.slice("parts", 1, F.size("found")).alias("b"), F.slice("parts", 2, F.size("found")).alias("a"))).alias("ordinal", "x"))
+    df = df.select("doc_id", "key", "row", F.posexplode(F.arrays_zip(
+        "found", F.slice("parts", 1, F.size("found")).alias("b"), F.slice("parts", 2, F.size("found")).alias("a"),
+        F.concat(F.array(F.lit("")), F.slice("found", 1, F.size("found") - 1)).alias("p"),
+    )).alias("ordinal", "x"))
     before = Window.partitionBy("doc_id", "key", "row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("x.found") + F.length("x.b")
     df = df.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)) + F.length("x.b"))
     return df.select(
         "doc_id", "key", "ordinal", "start", F.col("x.found").alias("candidate"),
-        F.right("x.b", F.lit(CONTEXT)).alias("before"), F.left("x.a", F.lit(CONTEXT)).alias("after"),
+        F.right(F.concat("x.p", "x.b"), F.lit(CONTEXT)).alias("before"), F.left("x.a", F.lit(CONTEXT)).alias("after"),
     )
 
 
@@ -88,12 +108,15 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """Labels where a format or the neighbouring words decide, for corpora without reviewed findings; others NULL.
 
     True: key formats with a fixed prefix, key headers, and strings assigned to a credential word. False: digits only,
-    and strings that plain words cover by half.
+    strings that plain words cover by half, placeholders, and plain words of a sentence that goes on after a colon.
     """
-    c, b = F.col("candidate"), F.col("before")
-    true = F.rlike(c, F.lit(rf"^(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_\w{{30,}}|{PEM})$")) | F.rlike(b, F.lit(rf"(?i)\b{CREDENTIAL}[\"']?\s*[=:]\s*[\"']?$"))
+    c, b, a = F.col("candidate"), F.col("before"), F.col("after")
+    format_ = F.rlike(c, F.lit(rf"^(?:{PREFIXED}|{PEM})$"))
+    assigned = F.rlike(b, F.lit(rf"{ASSIGN}[bruf]?\\?[\"'`]?$"))
+    prose = F.rlike(b, F.lit(r":\s+$")) & F.rlike(c, F.lit(r"^\p{L}?\p{Ll}{0,14}$")) & F.rlike(a, F.lit(r"^[,;]?\s+\p{L}"))
+    true = format_ | (assigned & ~F.rlike(c, F.lit(PLACEHOLDER)) & ~prose)
     covered = F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")) * 2 <= F.length(c)
-    false = F.rlike(c, F.lit("^[0-9]+$")) | covered
+    false = F.rlike(c, F.lit("^[0-9]+$")) | covered | (assigned & ~true)
     return found.withColumn("label", F.when(true, 1.0).when(false, 0.0))
 
 
@@ -111,16 +134,18 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """(doc_id, key, ordinal, start, length, score, secret): every candidate with the forest's score.
 
     ``labelled`` are reviewed findings with label 0 or 1 in the form of :func:`candidates`; without them
-    :func:`weak_labels` of the corpus train the forest. Where nothing can be learned (one label or none), no candidate
+    :func:`weak_labels` of the corpus train the forest, and findings that they hold for true have score 1. Where nothing can be learned (one label or none), no candidate
     is removed: score 1. Empty tables give no rows.
     """
     found = staged(candidates(docs))
-    model = trained(labelled if labelled is not None else weak_labels(found))
+    weak = weak_labels(found)
+    model = trained(labelled if labelled is not None else weak)
     if model is None:
         scored = found.withColumn("score", F.lit(1.0))
     else:
-        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found))
-        scored = model.transform(data).withColumn("score", vector_to_array("probability")[1])
+        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(weak))
+        score = vector_to_array("probability")[1]
+        scored = model.transform(data).withColumn("score", score if labelled is not None else F.when(F.col("label") == 1, 1.0).otherwise(score))
     return scored.select(
         "doc_id", "key", "ordinal", "start", F.length("candidate").cast("bigint").alias("length"), F.round("score", 6).alias("score"),
         (F.col("score") >= threshold).alias("secret"),
