@@ -9,8 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbline.staging import broadcast_if_small
+from ebbline.staging import broadcast_if_small, staged
+
+#: Keys that hold over one part in HOT of the rows are joined by broadcast, see ``looked_up``.
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,11 @@ def small(stored: DataFrame) -> DataFrame:
     return broadcast_if_small(stored, 8 << 20)
 
 
+def is_small(stored: DataFrame) -> bool:
+    """The files of a stored table have at most 8 MB."""
+    return 0 < input_bytes(stored) <= 8 << 20
+
+
 class Sent:
     """An object of this package on its way to all tasks: a broadcast of its pickled bytes."""
 
@@ -61,3 +70,19 @@ def ragged(values: list[np.ndarray], dtype) -> pa.Array:
     np.cumsum([len(v) for v in values], out=at[1:])
     flat = np.concatenate(values) if values else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(dtype, copy=False)))
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, count: str = "rows") -> DataFrame:
+    """rows with the columns of their key's row in the stored table ``facts``; rows without one go.
+
+    ``facts`` has one row per key and tells in ``count``, which is dropped, how many rows hold it. A table of at most
+    8 MB is broadcast. Beyond it, the keys that hold over one part in HOT of all rows (so fewer than HOT keys) are
+    broadcast, and the exchange of the others has no large key.
+    """
+    if is_small(facts):
+        return rows.join(F.broadcast(facts.drop(count)), key)
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    common = staged(facts.where(F.col(count) * HOT > total))
+    often = rows.join(F.broadcast(common.drop(count)), key)
+    rest = rows.join(F.broadcast(common.select(key)), key, "left_anti")
+    return often.unionByName(rest.join(facts.where(F.col(count) * HOT <= total).drop(count), key))

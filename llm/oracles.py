@@ -68,7 +68,57 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  word_chars - kept_chars as lost_chars, not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
  and 100 * (word_chars - kept_chars) <= {MAX_LOST_PERCENT} * word_chars as kept from b"""
 
+def _lloyd(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """A chain of tables: the codebook of each round, the parts' nearest entries, their floored means."""
+    steps = [rf"""e as materialized (select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"p as materialized (select row, part, v[len(v) // {parts} * part + 1:len(v) // {parts} * (part + 1)] as x from e, unnest(range({parts})) as t(part))",
+        f"""cb0 as materialized (select part, k as entry, x from p join (select row, row_number() over (order by vec_id nulls last, v) - 1 as k from e) as f
+  on f.row = p.row where k < {entries})"""]
+    square = "list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x)"
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select row, p.part, min(struct_pack(d := {square}, entry := entry)) as m, any_value(p.x) as x
+  from p join cb{r} as c on c.part = p.part group by row, p.part)""")
+        if r < rounds:
+            steps.append(f"""cb{r + 1} as materialized (select c.part, c.entry, coalesce(n.x, c.x) as x from cb{r} as c left join
+  (select part, entry, list(y order by j) as x from (select part, m.entry as entry, j, floor(sum(x[j]) / count(*)) as y
+    from a{r}, unnest(range(1, len(x) + 1)) as t(j) group by part, m.entry, j) as z group by part, entry) as n on n.part = c.part and n.entry = c.entry)""")
+    last = f"a{rounds}"
+    return f"""with {", ".join(steps)},
+o as (select row, string_agg(printf('%02x', m.entry), '' order by part) as code, cast(sum(m.d) as bigint) as error from {last} group by row),
+b as (select sha256(string_agg(cast(cast(y as bigint) as varchar), ',' order by part, entry, j)) as s from (select part, entry, j, x[j] as y from cb{rounds}, unnest(range(1, len(x) + 1)) as t(j)) as z)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, s as codebooks_sha256 from o join e on e.row = o.row cross join b"""
+
+
+OP11 = _lloyd()
+
+
+def _byte_steps() -> list[int]:
+    """The step of each byte of a CRC-32 register, by its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ 0xEDB88320 * (x & 1)
+        out.append(x)
+    return out
+
+
+_crc = "list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i - 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i]) - 1), lambda c, y: xor(c >> 8, steps[xor(c & 255, y) + 1]), cast(4294967295 as bigint))"
+OP12 = rf"""with k as (select cast({_byte_steps()} as bigint[]) as steps),
+d as materialized (select row_number() over () as row, doc_id, regexp_extract_all({_LOW.format(_TEXT)}, {_ALNUM}) as w from documents),
+dw as materialized (select row, unnest(w) as w from d), bw as materialized (select unnest(regexp_extract_all({_LOW.format(_TEXT)}, {_ALNUM})) as w from benchmark),
+v as materialized (select w, xor({_crc}, 4294967295) % 10000 as b from (select distinct w, upper(hex(encode(w))) as h from (select w from dw union all select w from bw) as z) as y, k),
+s as (select b, count(*) as n from dw join v using (w) group by b), t as (select b, count(*) as n from bw join v using (w) group by b),
+g as materialized (select s.b, cast(floor(1000 * ln(cast(coalesce(t.n, 0) + 1 as double) * ((select sum(n) from s) + 10000)
+  / (cast(s.n + 1 as double) * (coalesce((select sum(n) from t), 0) + 10000)))) as bigint) as gain from s left join t on t.b = s.b),
+x as (select d.row, doc_id, len(w) as n, coalesce(q.weight, 0) as weight from d left join (select row, sum(gain) as weight from dw join v using (w) join g using (b) group by row) as q on q.row = d.row),
+y as (select *, upper(sha256('2024:' || coalesce(cast(doc_id as varchar), '')))[1:8] as h from x),
+z as (select *, weight + floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: cast(strpos('0123456789ABCDEF', h[i]) - 1 as bigint)), lambda a, c: a * 16 + c) + 0.5::double) / 4294967296::double))) as score from y),
+r as (select row, row_number() over (order by score desc, doc_id nulls first) as rank, count(*) over () as m from z where n >= 20)
+select doc_id, cast(n as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, case when rank <= 10 * m // 100 then rank end as rank
+from z left join r on r.row = z.row"""
+
 ORACLES = {
     "op1_url_filters": OP1, "op3_benchmark_decontamination": OP3, "op4_ngram_jaccard_join": OP4, "op8_chat_formatting": OP8,
-    "op10_quality_rules": OP10,
+    "op10_quality_rules": OP10, "op11_cover_tree_codes": OP11, "op12_importance_resampling": OP12,
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import chat, decontaminate, html_text, katz, mixing, ngram_join, quality, repeats, secrets, url_filters
+from ebbline.staging import shared_folder
+from llm import chat, decontaminate, html_text, importance, katz, mixing, ngram_join, quality, repeats, secrets, token_cache, url_filters, vector_codes
 from llm.common import table
 from llm.oracles import ORACLES  # noqa: F401
 
@@ -59,11 +63,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept")
 
 
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty, so that every distinct text is encoded."""
+    cache = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    tokenizer = token_cache.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_cache.counted(table(spark, sf_dir, "documents"), tokenizer, cache)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_source_mixing, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_katz_scoring,
         op6_sparse_suffix_arrays, op7_html_extraction,
-        op8_chat_formatting, op9_secret_scans, op10_quality_rules,
+        op8_chat_formatting, op9_secret_scans, op10_quality_rules, op11_cover_tree_codes, op12_importance_resampling, op13_token_counts,
     )
 }
\ No newline at end of file
