@@ -106,6 +106,10 @@ add("filing_assessments", FEED, "deal_id, verdict, evidence_score:r, opacity_ind
   floor((22.5e0*74+((0.9e0*3+0.6e0*2.5e0-1)/6.5e0+1)*50*16+50*10)/100*10+0.5e0)/10 as evidence_score from lk)""")
 add("positions_current", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
 
+add("supplier_walk_forward", ",".join([eq.SUPPLIER_BARS, eq.TECH, eq.decomposition(40)]) + """, obs as (select dec.*, case when price>0 and a.c<>0 then (a.c/price-1)*100 end as fwd_1,
+  case when price>0 and b.c<>0 then (b.c/price-1)*100 end as fwd_3 from dec left join bx a on a.ticker=dec.ticker and a.di=dec.t+1 left join bx b on b.ticker=dec.ticker and b.di=dec.t+3)""",
+    "ticker, as_of, cause, confidence, total_pct:r, market_pct:r, beta_market:r, fwd_1:r, fwd_3:r", "(select * from obs where fwd_1 is not null or fwd_3 is not null)")
+
 # --- technicals ---
 for name, spec in {
     "returns": "ret:r, log_ret:r=lr, dip_pct_day:r, dip_pct_week:r",

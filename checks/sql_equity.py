@@ -156,3 +156,14 @@ obs0 as (select sig.*, {fwd} from sig {joins} where sig.dip_pct_week<0),
 obs as materialized (select * from obs0 where fwd_5 is not null or fwd_20 is not null or fwd_60 is not null),
 long as (select obs.*exclude(fwd_5,fwd_20,fwd_60), h as horizon, case h when 5 then fwd_5 when 20 then fwd_20 else fwd_60 end as fwd_ret
          from obs, (values (5),(20),(60)) hs(h) where (case h when 5 then fwd_5 when 20 then fwd_20 else fwd_60 end) is not null)"""
+
+
+SUPPLIER_BARS = """
+cell as (select l_suppkey as k, cast(date_trunc('month', l_shipdate) as date) as d, ln(sum(l_extendedprice)/sum(l_quantity)) as lp, cast(sum(l_quantity) as double) as v
+  from lineitem group by 1, 2 having not (l_suppkey%10=3 and cast(date_trunc('month', l_shipdate) as date)<date '1993-07-01')
+  and not (l_suppkey%10=7 and cast(date_trunc('month', l_shipdate) as date)>date '1997-06-01')),
+priced as (select k, d, v, round(exp(lp-avg(lp) over (partition by k))*100.0,4) as c from cell),
+bars as materialized (select s_name as ticker, n_name as sector, d, round(c*(month(d)%5+198)/200.0,4) as o, c, v
+  from priced join supplier on s_suppkey=k join nation on s_nationkey=n_nationkey),
+caps as (select s_name as ticker, greatest(s_acctbal,0)/1000.0 as market_cap_b from supplier),
+edges as (select a.s_name as ticker, b.s_name as peer, b.s_suppkey-a.s_suppkey-1 as pos from supplier a join supplier b on b.s_suppkey between a.s_suppkey+1 and a.s_suppkey+3)"""

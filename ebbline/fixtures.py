@@ -86,3 +86,29 @@ def peer_edges(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataF
 
 def capped_bars(spark: SparkSession, sf_dir: str, grain: str = "nation", unit: str = "week") -> DataFrame:
     return bars(spark, sf_dir, grain, unit).join(market_caps(spark, sf_dir, grain), "ticker")
+
+
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars(ticker, sector, d, o, c, v, market_cap_b): one row per supplier and month, so names grow with the data.
+
+    Every tenth supplier lists late, and every tenth stops trading.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    nation = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey)
+    names = s.select("s_suppkey", F.col("s_name").alias("ticker"), F.col("n_name").alias("sector"), (F.greatest("s_acctbal", F.lit(0.0)) / 1000.0).alias("market_cap_b"))
+    cell = li.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("d")).agg(
+        F.ln(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("lp"), F.sum("l_quantity").cast("double").alias("v")
+    )
+    kind = F.col("l_suppkey") % 10
+    cell = cell.filter(~((kind == 3) & (F.col("d") < "1993-07-01")) & ~((kind == 7) & (F.col("d") > "1997-06-01")))
+    c = F.round(F.exp(F.col("lp") - F.avg("lp").over(Window.partitionBy("l_suppkey"))) * 100.0, 4)
+    priced = cell.withColumn("c", c).withColumn("o", F.round(F.col("c") * (F.month("d") % 5 + 198) / 200.0, 4))
+    return priced.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("ticker", "sector", "d", "o", "c", "v", "market_cap_b")
+
+
+def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, peer, pos): the next three suppliers by key."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    mine = s.select(F.col("s_name").alias("ticker"), F.posexplode(F.array(*[F.col("s_suppkey") + j for j in (1, 2, 3)])).alias("pos", "k"))
+    return mine.join(s, F.col("k") == F.col("s_suppkey")).select("ticker", F.col("s_name").alias("peer"), "pos")

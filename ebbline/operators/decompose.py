@@ -41,14 +41,27 @@ def _frame(name: str, newest: int, oldest: int) -> Column:
     return F.coalesce(recent, F.lit(0.0)) - F.coalesce(F.lag(name, oldest).over(in_segment()), F.lit(0.0))
 
 
+def with_reach(rows: DataFrame) -> DataFrame:
+    """How far back the levels in a row's frame go: the factor sessions behind its own level and that at the frame's edge.
+
+    A struct ``reach`` of axis positions; ``frame`` is the edge itself, NULL where the history is shorter than a frame.
+    """
+    w, whole = in_segment(), Window.partitionBy("ticker", "seg")
+    df = rows.withColumn("_peers", F.last(F.when(F.col("peer_level").isNotNull(), F.col("di")), ignorenulls=True).over(up_to_here()))
+    back = DIP_SESSIONS + ESTIMATION_SESSIONS
+    return df.withColumn(
+        "reach",
+        F.struct(
+            F.lag("di", back).over(w).alias("frame"), F.col("market_di").alias("market"),
+            F.coalesce(F.lag("market_di", back).over(w), F.min("market_di").over(whole)).alias("market_base"),
+            F.col("_peers").alias("peers"), F.lag("_peers", back).over(w).alias("peers_edge"), F.min("_peers").over(whole).alias("peers_first"),
+        ),
+    ).drop("_peers")
+
+
 def factor_returns(rows: DataFrame) -> DataFrame:
-    """Forward-fill the levels on the name's own sessions and difference them; 0 before the first level."""
-    df = rows.withColumns(
-        {
-            "market_level": F.last("market_level", ignorenulls=True).over(up_to_here()),
-            "peer_level": F.last("peer_level", ignorenulls=True).over(up_to_here()),
-        }
-    )
+    """Differences of the levels on the name's own sessions, the peers' carried forward; 0 before the first level."""
+    df = rows.withColumn("peer_level", F.last("peer_level", ignorenulls=True).over(up_to_here()))
     zero = F.lit(0.0)
     return df.withColumns(
         {
@@ -56,7 +69,7 @@ def factor_returns(rows: DataFrame) -> DataFrame:
             "r_m": F.coalesce(F.col("market_level") - F.lag("market_level").over(in_segment()), zero),
             "r_p": F.coalesce(F.col("peer_level") - F.lag("peer_level").over(in_segment()), zero),
         }
-    ).drop("market_level", "peer_level")
+    ).drop("market_level", "market_di", "peer_level")
 
 
 def _products(prefix: str, t: Column, m: Column, p: Column) -> dict[str, Column]:
@@ -223,6 +236,6 @@ def cause_note() -> Column:
     )
 
 
-def decompose(rows: DataFrame) -> DataFrame:
-    """``rows`` from ``own_and_peer_rows``: ticker, seg, d, rn, log_ret, gap_share, levels and carried columns."""
-    return classify(resolve(moments(factor_returns(rows))))
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` from ``own_and_peer_rows``: ticker, seg, d, di, rn, log_ret, gap_share, levels and carried columns."""
+    return resolve(moments(factor_returns(rows)))

@@ -8,7 +8,7 @@ also across sessions some member misses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import ratio
@@ -26,14 +26,31 @@ def priced_weight():
     return F.when(F.col("c") > 0, F.col("weight"))
 
 
-def market_levels(panel: DataFrame) -> DataFrame:
-    """(seg, d, market_level) on the sessions all admitted names share (axis-sized)."""
-    per_day = panel.groupBy("seg", "d").agg(
-        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum(priced_weight()).alias("w"), F.count("*").alias("n"),
-        F.max("members").alias("members"),
+def market_levels(indexed: DataFrame, epochs: DataFrame) -> DataFrame:
+    """(seg, di, market_level, market_di): an epoch's level as of each session of its windows, and the session it is from.
+
+    Levels are on the sessions all members have and carried to the next one (axis-sized). Sums per (session, admission)
+    are kept once; an epoch adds up those admitted by its ``since``. No bar is copied.
+    """
+    sums = indexed.groupBy("di", F.col("admitted_di").alias("since")).agg(
+        F.sum(F.col("weight") * F.ln("c")).alias("s"), F.sum(priced_weight()).alias("w"), F.count("*").alias("n")
+    )
+    none = {"seg": F.lit(None).cast("int"), "members": F.lit(None).cast("int")}
+    grid = epochs.filter(F.col("oldest") <= F.col("t_hi")).select(
+        F.explode(F.sequence("oldest", "t_hi")).alias("di"), "since", F.lit(0.0).alias("s"), F.lit(0.0).alias("w"),
+        F.lit(0).cast("bigint").alias("n"), "seg", "members",
     )
-    level = ratio(F.col("s"), F.col("w")).alias("market_level")
-    return per_day.filter(F.col("n") == F.col("members")).select("seg", "d", level)
+    by_admission = Window.partitionBy("di").orderBy("since").rangeBetween(Window.unboundedPreceding, 0)
+    level = ratio(F.sum("s").over(by_admission), F.sum("w").over(by_admission))
+    upto = sums.withColumns(none).unionByName(grid).withColumns({"market_level": level, "here": F.sum("n").over(by_admission)})
+    shared = F.col("here") == F.col("members")
+    carried = Window.partitionBy("seg").orderBy("di").rowsBetween(Window.unboundedPreceding, 0)
+    filled = {
+        "market_level": F.last(F.when(shared, F.col("market_level")), ignorenulls=True).over(carried),
+        "market_di": F.last(F.when(shared, F.col("di")), ignorenulls=True).over(carried),
+    }
+    on_grid = upto.filter(F.col("seg").isNotNull()).withColumns(filled)
+    return on_grid.filter(F.col("market_di").isNotNull()).select("seg", "di", "market_level", "market_di")
 
 
 def factor_series(bars: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -74,7 +91,7 @@ def align_to(targets: DataFrame, factor: DataFrame, keys: list[str] | None = Non
 FOLLOWERS_PER_TASK = 64
 
 
-def followed_bars(panel: DataFrame, peer_edges: DataFrame) -> DataFrame:
+def followed_bars(bars: DataFrame, peer_edges: DataFrame) -> DataFrame:
     """The peers' bars, once per name that lists them.
 
     A peer that very many names list is cut into groups of followers: its bars are repeated per group, so that no
@@ -86,35 +103,75 @@ def followed_bars(panel: DataFrame, peer_edges: DataFrame) -> DataFrame:
     sides = edges.join(groups, "peer").select(
         F.col("ticker").alias("follower"), "peer", F.pmod(F.hash("ticker"), F.col("groups")).alias("part")
     )
-    bars = panel.select(F.col("ticker").alias("peer"), "seg", "d", "c", "enters").join(groups, "peer")
+    bars = bars.select(F.col("ticker").alias("peer"), "di", F.col("admitted_di").alias("since"), "c").join(groups, "peer")
     bars = bars.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     return bars.join(sides, ["peer", "part"])
 
 
-def own_and_peer_rows(panel: DataFrame, peer_edges: DataFrame, market: DataFrame, carried: list[str]) -> DataFrame:
-    """One row per (ticker, seg, d) of the name's own bars with market and peer-basket levels.
+def peer_admissions(indexed: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """(ticker, joined): the admissions of each name's peers, one entry per peer."""
+    names = indexed.select(F.col("ticker").alias("peer"), F.col("admitted_di").alias("since")).distinct()
+    edges = peer_edges.select("ticker", "peer").distinct()
+    return edges.join(names, "peer").groupBy("ticker").agg(F.collect_list("since").alias("joined"))
+
+
+def peer_sums(placed: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """(ticker, di, seg_lo, seg_hi, parts) of each bar: its peers' log prices that session, as (since, s, n) by admission.
 
-    Own bars and peers' bars are stacked and reduced by key, so the peer basket costs no separate join back: a
-    single exchange by (ticker, seg) feeds the aggregation and all windows that follow. ``market`` is a stored
-    axis-sized table and joins before that exchange.
+    Two levels: sums per (name, session, admission), combined before the exchange, then one list per (name, session).
+    Both keys hold the session, so a name whose peers are the whole universe is spread over all tasks.
     """
-    own = panel.join(broadcast_if_small(market), ["seg", "d"], "left").select(
-        "ticker", "seg", "d", F.struct("c", "market_level", *carried).alias("own"), F.lit(None).cast("double").alias("peer_ln"),
-        F.lit(0).alias("enters"),
+    peers = followed_bars(placed, peer_edges).groupBy(F.col("follower").alias("ticker"), "di", "since").agg(
+        F.sum(F.ln("c")).alias("s"), F.count("*").alias("n")
     )
-    peers = followed_bars(panel, peer_edges).select(
-        F.col("follower").alias("ticker"), "seg", "d", F.lit(None).cast(own.schema["own"].dataType).alias("own"),
-        F.ln("c").alias("peer_ln"), F.col("enters").cast("int").alias("enters"),
+    own = placed.select("ticker", "di", F.struct("seg_lo", "seg_hi").alias("own"))
+    part = peers.select("ticker", "di", F.struct("since", "s", "n").alias("part"))
+    both = own.withColumn("part", F.lit(None).cast(part.schema["part"].dataType)).unionByName(
+        part.withColumn("own", F.lit(None).cast(own.schema["own"].dataType))
     )
-    stacked = spread(own.unionByName(peers), "ticker", "seg")
-    merged = stacked.groupBy("ticker", "seg", "d").agg(
-        F.first("own", ignorenulls=True).alias("own"),
-        F.avg("peer_ln").alias("peer_mean"),
-        F.count("peer_ln").alias("peers_here"),
-        F.sum("enters").alias("peers_enter"),
+    lists = both.groupBy("ticker", "di").agg(F.max("own").alias("own"), F.collect_list("part").alias("parts"))
+    return lists.filter(F.col("own").isNotNull()).select("ticker", "di", "own.*", "parts")
+
+
+def basket_level() -> Column:
+    """Mean log price of the peers admitted by ``since``, where all of them have a bar."""
+    fold = lambda f: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.when(p["since"] <= F.col("since"), f(p)).otherwise(0.0))
+    peers = F.size(F.filter("joined", lambda x: x <= F.col("since")))
+    here = fold(lambda p: p["n"].cast("double"))
+    return F.when((peers > 0) & (here == peers), ratio(fold(lambda p: p["s"]), here))
+
+
+def own_and_peer_rows(panel: DataFrame, peers: DataFrame, joined: DataFrame, epochs: DataFrame, market: DataFrame, carried: list[str]) -> DataFrame:
+    """One row per (ticker, seg, d) of the name's own bars with market and peer-basket levels.
+
+    ``panel`` has the bars by epoch, ``peers`` and ``joined`` come from ``peer_sums`` and ``peer_admissions``. Own bars
+    and basket levels are stacked and reduced by key: a single exchange by (ticker, seg) feeds that and all windows
+    that follow. ``market``, ``epochs`` and ``joined`` are stored axis-sized tables and join before it.
+    """
+    own = panel.join(broadcast_if_small(market), ["seg", "di"], "left").select(
+        "ticker", "seg", "di", F.struct("market_level", "market_di", *carried).alias("own"), F.lit(None).cast("double").alias("peer_level")
     )
-    merged = merged.withColumn("peers", F.sum("peers_enter").over(Window.partitionBy("ticker", "seg")))
-    return merged.filter(F.col("own").isNotNull()).select(
-        "ticker", "seg", "d", "own.*",
-        F.when((F.col("peers") > 0) & (F.col("peers_here") == F.col("peers")), F.col("peer_mean")).alias("peer_level"),
+    each = peers.filter(F.col("seg_lo").isNotNull()).withColumn("seg", F.explode(F.sequence("seg_lo", "seg_hi")))
+    each = each.join(broadcast_if_small(epochs.select("seg", "since")), "seg").join(broadcast_if_small(joined), "ticker")
+    each = each.withColumn("peer_level", basket_level()).filter(F.col("peer_level").isNotNull())
+    baskets = each.select("ticker", "seg", "di", F.lit(None).cast(own.schema["own"].dataType).alias("own"), "peer_level")
+    stacked = spread(own.unionByName(baskets), "ticker", "seg")
+    merged = stacked.groupBy("ticker", "seg", "di").agg(
+        F.first("own", ignorenulls=True).alias("own"), F.max("peer_level").alias("peer_level")
     )
+    return merged.select("ticker", "seg", "di", "own.*", "peer_level")
+
+
+def late_rows(late: DataFrame, windows: DataFrame, starts: DataFrame, peers: DataFrame, joined: DataFrame, market: DataFrame, carried: list[str]) -> DataFrame:
+    """``own_and_peer_rows`` of late as-of rows, each in a window of its own (``seg`` below zero): factor sessions before
+    the latest start of the members' windows, or of the peers', do not count."""
+    df = windows.join(broadcast_if_small(market), ["seg", "di"], "left").join(starts, ["ticker", "t"], "left")
+    df = df.join(peers.select("ticker", "di", "parts"), ["ticker", "di"], "left").join(broadcast_if_small(joined), "ticker", "left")
+    inside = F.col("market_di") >= F.col("latest_start")
+    level = F.when(F.col("di") >= F.col("peers_start"), basket_level())
+    return df.withColumns(
+        {
+            "peer_level": level, "market_level": F.when(inside, F.col("market_level")), "market_di": F.when(inside, F.col("market_di")),
+            "seg": -(F.col("t") + 1),
+        }
+    ).select("ticker", "seg", "di", "market_level", "market_di", *carried, "peer_level", "rn0", "t", "as_of")

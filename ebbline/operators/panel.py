@@ -1,17 +1,18 @@
 """Point-in-time panel: which bars each as-of session may see, without materialising one window per session.
 
-A bar of a name is *live* for the as-of sessions from its own date until 300 further bars of that name exist.
-As-of sessions are cut into segments in which
+A name is admitted with its ``min_history``-th bar and stays, with its last close, when it stops trading. As-of sessions
+are cut into *epochs* ("segments" in the code) of constant membership. What an as-of row reads are its name's last 126
+levels, its *frame*; so a bar is copied once per epoch in which it stands in a frame, ``1 + 125 / epoch length`` times.
 
-* the set of admitted names (those with ``min_history`` bars) is constant, and
-* no trailing window starts so late that it would cut into the estimation frame of any name.
+The market of an epoch needs no copies at all: sums per (session, admission) are kept once and added up in the order of
+admission, and an epoch's level on a session is the sum up to its last admission, where every member has a bar.
 
-Inside a segment one factor series and one pass of running sums serve every as-of session; a session that
-breaks the second rule gets a segment of its own, in which the panel holds exactly the bars of its windows.
-Each bar is therefore copied once per segment it is live in (about ``1 + 300 / segment length`` times), not once
-per as-of session, and the results are those of the per-session windows.
+A trailing window starts 299 bars before its as-of row, and a session counts for a factor only if it lies in the window of
+every member. That bound is later than the frame only for names whose frame reaches far back: those that trade rarely,
+and those that have ended. Their as-of rows ("late") get a frame of their own, cut at the bound; all others are
+measured in the epoch. Rows whose window holds no session that all members share have no market by definition.
 
-Tables called "axis-sized" below have at most one row per session (or per session and membership change).
+Tables called "axis-sized" below have at most one row per session, or per epoch and session of its windows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import DIP_SESSIONS, ESTIMATION_SESSIONS, SESSION_WINDOW, WalkForwardConfig
+from ebbline.operators.asof import as_of
 from ebbline.operators.technicals import by_ticker
+from ebbline.staging import broadcast_if_small
 
 # rows before the as-of row that the decomposition may read: 5 + 120 returns, hence one more level
 FRAME_ROWS = DIP_SESSIONS + ESTIMATION_SESSIONS
@@ -44,10 +47,8 @@ def index_bars(df: DataFrame, min_history: int) -> DataFrame:
     return df.withColumns(
         {
             "next_di": F.lead("di").over(w),
-            "expires_di": F.lead("di", SESSION_WINDOW).over(w),
-            "prev_expires_di": F.lead("di", SESSION_WINDOW - 1).over(w),
+            "expires_di": F.lead("di", FRAME_ROWS + 1).over(w),
             "start_di": F.coalesce(F.lag("di", SESSION_WINDOW - 1).over(w), first_di),
-            "edge_di": F.coalesce(F.lag("di", FRAME_ROWS).over(w), first_di),
             "admitted_di": F.max(F.when(F.col("rn") == min_history, F.col("di"))).over(Window.partitionBy("ticker")),
         }
     ).filter(F.col("admitted_di").isNotNull())
@@ -66,77 +67,57 @@ def positions(lo: Column, hi: Column) -> Column:
 
 
 def as_of_stats(indexed: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
-    """Per as-of session: admitted names, latest window start, earliest frame edge (axis-sized)."""
+    """Per as-of session: number of admitted names and the latest start of their windows (axis-sized)."""
     lo, hi = as_of_bounds(cfg)
     valid = positions(
         F.greatest("di", "admitted_di", lo), F.least(F.coalesce(F.col("next_di") - 1, F.col("last_di")), hi)
     )
     return (
         indexed.filter(F.col("rn") >= cfg.min_history)
-        .select(F.explode(valid).alias("t"), "start_di", "edge_di")
+        .select(F.explode(valid).alias("t"), "start_di")
         .groupBy("t")
-        .agg(
-            F.count("*").cast("int").alias("members"),
-            F.max("start_di").alias("latest_start"),
-            F.min("edge_di").alias("earliest_edge"),
-        )
+        .agg(F.count("*").cast("int").alias("members"), F.max("start_di").alias("latest_start"))
         .filter(F.col("members") >= cfg.min_names)
     )
 
 
-def _last_shared(indexed: DataFrame, stats: DataFrame) -> DataFrame:
-    """Latest session at or before ``di`` on which all of the then-admitted names have a bar (axis-sized)."""
-    counts = indexed.groupBy(F.col("di"), F.col("admitted_di").alias("since")).agg(F.count("*").alias("n"))
-    epochs = stats.groupBy("members").agg(
-        F.min("t").alias("since"), F.min("latest_start").alias("lo"), F.max("earliest_edge").alias("hi")
-    )
-    grid = epochs.select(
-        F.explode(positions(F.col("lo"), F.col("hi"))).alias("di"), "since", F.lit(0).cast("long").alias("n"), "members"
-    )
-    stacked = counts.withColumn("members", F.lit(None).cast("int")).unionByName(grid)
-    upto = Window.partitionBy("di").orderBy("since").rangeBetween(Window.unboundedPreceding, 0)
-    present = stacked.withColumn("present", F.sum("n").over(upto)).filter(F.col("members").isNotNull())
-    w = Window.partitionBy("members").orderBy("di")
-    shared = F.when(F.col("present") == F.col("members"), F.col("di"))
-    return present.select("members", "di", F.last(shared, ignorenulls=True).over(w).alias("last_shared"))
-
-
 def segments(indexed: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
-    """(t, seg, members): the segment of each scored as-of session (axis-sized)."""
-    stats = as_of_stats(indexed, cfg)
-    shared = _last_shared(indexed, stats).withColumnRenamed("di", "earliest_edge")
-    df = stats.join(shared, ["members", "earliest_edge"], "left").withColumn(
-        "safe", F.coalesce(F.col("last_shared") >= F.col("latest_start"), F.lit(False))
-    )
+    """(t, seg, members, latest_start): the epoch of each scored as-of session (axis-sized)."""
     w = Window.orderBy("t")
     cut = (
-        ~F.col("safe")
-        | ~F.lag("safe").over(w)
-        | (F.col("members") != F.lag("members").over(w))
+        (F.col("members") != F.lag("members").over(w))
         | (F.col("t") != F.lag("t").over(w) + 1)
         | (F.col("t") % cfg.segment_sessions == 0)
     )
-    df = df.withColumn("_cut", F.coalesce(cut, F.lit(True)).cast("int"))
-    return df.select("t", F.sum("_cut").over(w).cast("int").alias("seg"), "members")
+    df = as_of_stats(indexed, cfg).withColumn("_cut", F.coalesce(cut, F.lit(True)).cast("int"))
+    return df.select("t", F.sum("_cut").over(w).cast("int").alias("seg"), "members", "latest_start")
 
 
 def calendar(axis: DataFrame, segs: DataFrame) -> DataFrame:
-    """The axis with each session's segment, its bounds, and the nearest segments before and after (axis-sized)."""
+    """The axis with each session's epoch, its bounds, and the nearest epochs before and after (axis-sized)."""
     up, down = Window.orderBy("di"), Window.orderBy(F.col("di").desc())
     within = Window.partitionBy("seg")
     return axis.join(segs, axis.di == segs.t, "left").select(
-        "di", "d", "seg", "members",
+        "di", "d", "seg", "members", "latest_start",
         F.min("t").over(within).alias("t_lo"), F.max("t").over(within).alias("t_hi"),
         F.max("seg").over(up).alias("seg_before"), F.min("seg").over(down).alias("seg_after"),
     )
 
 
-def live_panel(indexed: DataFrame, days: DataFrame) -> DataFrame:
-    """Copy each bar into every segment it is live in; mark a name's first bar of a segment (``enters``).
+def epoch_table(days: DataFrame) -> DataFrame:
+    """(seg, since, members, oldest, t_lo, t_hi): members are the names admitted by ``since`` (axis-sized).
+
+    Window starts never move back, so no session before ``oldest`` is in all windows of the epoch.
+    """
+    first = days.filter(F.col("di") == F.col("t_lo"))
+    return first.select("seg", F.col("t_lo").alias("since"), "members", F.col("latest_start").alias("oldest"), "t_lo", "t_hi")
+
+
+def epochs_of_bars(indexed: DataFrame, days: DataFrame) -> DataFrame:
+    """Adds the first and last epoch (``seg_lo``, ``seg_hi``) in which a bar stands in a frame, NULL for bars in none.
 
-    Only lookups in the calendar and one explode: the bars are not exchanged here.
+    Lookups in the calendar only: the bars are not exchanged here.
     """
-    spans = days.filter(F.col("di") == F.col("t_lo")).select("seg", "members", "t_lo", "t_hi")
     df = indexed.withColumns(
         {
             "live_from": F.greatest("di", "admitted_di"),
@@ -145,7 +126,59 @@ def live_panel(indexed: DataFrame, days: DataFrame) -> DataFrame:
     )
     df = df.join(days.select(F.col("di").alias("live_from"), F.col("seg_after").alias("seg_lo")), "live_from")
     df = df.join(days.select(F.col("di").alias("live_to"), F.col("seg_before").alias("seg_hi")), "live_to")
-    df = df.filter(F.col("seg_lo") <= F.col("seg_hi")).withColumn("seg", F.explode(F.sequence("seg_lo", "seg_hi")))
-    # the previous bar of the name is gone by the segment's first session, or there is none
-    enters = (F.col("rn") == 1) | F.coalesce(F.col("prev_expires_di") - 1 < F.col("t_lo"), F.lit(False))
-    return df.join(spans, "seg").withColumn("enters", enters)
+    some = F.col("seg_lo") <= F.col("seg_hi")
+    return df.withColumns({k: F.when(some, F.col(k)) for k in ("seg_lo", "seg_hi")}).drop("live_from", "live_to")
+
+
+def live_panel(placed: DataFrame, epochs: DataFrame) -> DataFrame:
+    """One row per bar and epoch in which it stands in a frame, with the epoch's bounds."""
+    some = placed.filter(F.col("seg_lo").isNotNull())
+    each = some.withColumn("seg", F.explode(F.sequence("seg_lo", "seg_hi"))).drop("seg_lo", "seg_hi")
+    return each.join(broadcast_if_small(epochs.select("seg", "t_lo", "t_hi")), "seg")
+
+
+def at_sessions(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """One row per (ticker, as-of session ``t``): the name's newest row in the session's epoch. Rows that only fill
+    frames vanish here."""
+    here = positions(
+        F.greatest("di", "admitted_di", "t_lo"), F.least(F.coalesce(F.col("next_di") - 1, F.col("t_hi")), "t_hi")
+    )
+    known = days.select(F.col("di").alias("t"), F.col("d").alias("as_of"), "latest_start")
+    return rows.withColumn("t", F.explode(here)).join(known, "t")
+
+
+def without_market(reach: dict[str, Column]) -> Column:
+    """No factor session of the frame is in the windows of all members, or none moves the level inside the frame."""
+    last = reach["market"]
+    return last.isNull() | (last < F.col("latest_start")) | F.coalesce(last <= reach["frame"], F.lit(False))
+
+
+def is_late(reach: dict[str, Column]) -> Column:
+    """The epoch's levels may reach back beyond some member's window in this row's frame."""
+    start, frame = F.col("latest_start"), reach["frame"]
+    moved = lambda last: last.isNotNull() & ~F.coalesce(last <= frame, F.lit(False))
+    market = moved(reach["market"]) & F.coalesce(reach["market_base"] < start, F.lit(False))
+    # the level at the frame's edge is unknown where the epoch holds no earlier row of the name with one
+    unknown = frame.isNotNull() & (F.col("rn") > FRAME_ROWS + 1) & reach["peers_edge"].isNull()
+    base = F.coalesce(reach["peers_edge"], reach["peers_first"])
+    peers = moved(reach["peers"]) & (unknown | F.coalesce(base < start, F.lit(False)))
+    return ~without_market(reach) & (market | peers)
+
+
+def window_rows(late: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The bars of each late row's window: an equi-join on (ticker, block of bar numbers), then the exact range."""
+    block = lambda rn: F.floor(rn / SESSION_WINDOW)
+    blocks = F.array_distinct(F.array(block(F.greatest(F.col("rn0") - SESSION_WINDOW + 1, F.lit(1))), block(F.col("rn0"))))
+    sides = late.withColumn("_block", F.explode(blocks))
+    rows = indexed.withColumn("_block", block(F.col("rn"))).join(sides, ["ticker", "_block"]).drop("_block")
+    return rows.filter((F.col("rn") <= F.col("rn0")) & (F.col("rn") > F.col("rn0") - SESSION_WINDOW))
+
+
+def peer_starts(late: DataFrame, indexed: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """(ticker, t, peers_start): the latest window start among a name's peers, as of session t."""
+    asked = late.select("ticker", "t").join(peer_edges.select("ticker", "peer").distinct(), "ticker")
+    starts = indexed.select("ticker", "di", "start_di")
+    wanted = asked.select(F.col("peer").alias("ticker"), "t").distinct()
+    found = as_of(wanted, starts, ["ticker"], "t", "di", {"start_di": "start_di"})
+    found = found.select(F.col("ticker").alias("peer"), "t", "start_di")
+    return asked.join(found, ["peer", "t"]).groupBy("ticker", "t").agg(F.max("start_di").alias("peers_start"))

@@ -19,7 +19,7 @@ SNAPSHOT = (
     "drawdown_pct", "range_position", "atr_pct", "realized_vol_pct", "dip_z", "support_level", "support_defined",
     "resistance_level", "avg_volume",
 )
-CARRIED = ("di", "rn", "next_di", "log_ret", "gap_share", "admitted_di", "t_lo", "t_hi", *SNAPSHOT)
+CARRIED = ("d", "c", "rn", "next_di", "log_ret", "gap_share", "admitted_di", "t_lo", "t_hi", *SNAPSHOT)
 
 
 def indexed_features(
@@ -48,20 +48,33 @@ def as_of_decompositions(
     ``peer_edges(ticker, peer)``. A name without a bar on the session takes part with its last one.
     """
     axis, indexed = indexed_features(bars, cfg, moves)
+    return decomposed(axis, indexed, peer_edges, cfg), axis
+
+
+def decomposed(axis: DataFrame, indexed: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
+    """The as-of rows of an indexed panel: measured by epoch, the late ones in windows of their own."""
     days = staged(panel.calendar(axis, panel.segments(indexed, cfg)))
-    live = panel.live_panel(indexed, days)
-    market = staged(factors.market_levels(live))
-    rows = dec.decompose(factors.own_and_peer_rows(live, peer_edges, market, list(CARRIED)))
-    # halo rows (needed by frames only) have no as-of session in their segment and vanish here
-    here = panel.positions(
-        F.greatest("di", "admitted_di", "t_lo"), F.least(F.coalesce(F.col("next_di") - 1, F.col("t_hi")), "t_hi")
-    )
-    as_of = (
-        rows.withColumn("t", F.explode(here))
-        .join(days.select(F.col("di").alias("t"), F.col("d").alias("as_of")), "t")
-        .drop("t_lo", "t_hi", "next_di", "admitted_di", "seg", "rn", "log_ret", "c")
+    epochs = staged(panel.epoch_table(days))
+    market = staged(factors.market_levels(indexed, epochs))
+    placed = panel.epochs_of_bars(indexed, days)
+    peers = staged(factors.peer_sums(placed, peer_edges))
+    joined = staged(factors.peer_admissions(indexed, peer_edges))
+    carried = list(CARRIED)
+    rows = factors.own_and_peer_rows(panel.live_panel(placed, epochs), peers, joined, epochs, market, carried)
+    rows = panel.at_sessions(dec.measured(dec.with_reach(rows)), days)
+    reach = {k: F.col(f"reach.{k}") for k in ("frame", "market", "market_base", "peers", "peers_edge", "peers_first")}
+    rows = staged(
+        rows.withColumns({"late": panel.is_late(reach), "has_market": F.col("has_market") & ~panel.without_market(reach)}).drop("reach")
     )
-    return as_of, axis
+    result = rows.filter(~F.col("late")).drop("late", "latest_start")
+    late = rows.filter("late").select("ticker", "t", "as_of", "seg", "latest_start", F.col("rn").alias("rn0"))
+    if not late.isEmpty():
+        late = staged(late.join(epochs.select("seg", "since", "t_lo", "t_hi"), "seg"))
+        windows = panel.window_rows(late, indexed)
+        starts = panel.peer_starts(late, indexed, peer_edges)
+        own = dec.measured(factors.late_rows(late, windows, starts, peers, joined, market, carried))
+        result = result.unionByName(own.filter(F.col("rn") == F.col("rn0")).drop("rn0"))
+    return dec.classify(result).drop("t_lo", "t_hi", "next_di", "admitted_di", "seg", "rn", "log_ret", "c")
 
 
 # fields a past date cannot know, as the constants a run without current fundamentals uses
@@ -91,20 +104,26 @@ def with_overlay(as_of_rows: DataFrame, overlay: DataFrame) -> DataFrame:
     )
 
 
-def forward_closes(bars: DataFrame, axis: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """(ticker, t, close_h ...): the close exactly ``h`` axis sessions after ``t``, where there is one."""
-    legs = [F.struct((F.col("di") - h).alias("t"), F.lit(h).alias("h"), F.col("c").alias("close")) for h in horizons]
-    long = bars.join(axis, "d").select("ticker", F.inline(F.array(*legs)))
-    return long.groupBy("ticker", "t").agg(
-        *[F.max(F.when(F.col("h") == h, F.col("close"))).alias(f"close_{h}") for h in horizons]
+def with_forward_closes(rows: DataFrame, bars: DataFrame, axis: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """``rows(ticker, t, ...)`` with close_h ...: the close exactly ``h`` axis sessions after ``t``, where there is one.
+
+    Bars and rows are stacked on the axis position, and a range frame of one position reads each horizon: one exchange by
+    ticker, no copy of a bar and no join.
+    """
+    packed = rows.select("ticker", F.col("t").alias("_at"), F.struct(*[c for c in rows.columns if c != "ticker"]).alias("_row"))
+    closes = bars.join(axis, "d").select(
+        "ticker", F.col("di").alias("_at"), F.lit(None).cast(packed.schema["_row"].dataType).alias("_row"), F.col("c").alias("_close")
     )
+    stacked = packed.withColumn("_close", F.lit(None).cast("double")).unionByName(closes)
+    w = Window.partitionBy("ticker").orderBy("_at")
+    ahead = {f"close_{h}": F.max("_close").over(w.rangeBetween(h, h)) for h in horizons}
+    return stacked.withColumns(ahead).filter(F.col("_row").isNotNull()).select("ticker", "_row.*", *ahead)
 
 
 def observe(as_of_rows: DataFrame, bars: DataFrame, axis: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
     """Score as-of rows and attach forward returns (%); rows without any measured horizon are dropped."""
     scored = as_of_rows.filter(F.col("dip_pct_week") < 0) if cfg.require_dip else as_of_rows
-    scored = scoring.with_signal_pillars(scored)
-    joined = scored.join(forward_closes(bars, axis, cfg.horizons), ["ticker", "t"], "left")
+    joined = with_forward_closes(scoring.with_signal_pillars(scored), bars, axis, cfg.horizons)
     returns = {}
     for h in cfg.horizons:
         ok = (F.col("price") > 0) & (F.col(f"close_{h}") != 0)

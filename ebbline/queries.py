@@ -647,6 +647,15 @@ def walk_forward_observations(i):
     return publish(i.observations, "ticker", "as_of", "signal_score", "catalyst_score", "dip_character_score", "technical_score", "cause", "dip_pct_week", *[f"fwd_{h}" for h in HORIZONS])
 
 
+@query
+def supplier_walk_forward(i):
+    """The walk-forward at a grain that grows with the data: a name per supplier, a session per month, with late listings
+    and exits."""
+    cfg = WalkForwardConfig(horizons=(1, 3), min_history=40, require_dip=False)
+    obs = walkforward.observations(fixtures.supplier_bars(i.spark, i.sf_dir), fixtures.supplier_edges(i.spark, i.sf_dir), cfg)
+    return publish(obs, "ticker", "as_of", "cause", "confidence", "total_pct", "market_pct", "beta_market", "fwd_1", "fwd_3")
+
+
 @query
 def forward_returns(i):
     return publish(i.long_observations, "ticker", "as_of", "horizon", "fwd_ret")

@@ -60,3 +60,9 @@ def delisted(seed: int = 7) -> pd.DataFrame:
     days = sessions(160)
     day_no = p.d.map({d: i for i, d in enumerate(days)})
     return p[~((p.ticker == "N3") & (day_no > 120))].reset_index(drop=True)
+
+
+def ended(names: int, n: int, last: int, seed: int = 9) -> pd.DataFrame:
+    """Complete names, of which one stops for good after ``last`` sessions."""
+    p = factor_panel(names, n, seed)
+    return p[~((p.ticker == "N1") & (p.d > sessions(n)[last - 1]))].reset_index(drop=True)

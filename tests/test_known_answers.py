@@ -204,7 +204,7 @@ def test_short_histories_are_not_admitted(spark):
 
 def test_popular_peer_is_split_without_changing_rows(spark):
     names = [f"F{k}" for k in range(300)]
-    panel = spark.createDataFrame([("HOT", 1, 1, 2.0, True), ("COLD", 1, 1, 3.0, True)], "ticker string, seg int, d int, c double, enters boolean")
+    panel = spark.createDataFrame([("HOT", 1, 1, 2.0), ("COLD", 1, 1, 3.0)], "ticker string, di int, admitted_di int, c double")
     edges = spark.createDataFrame([(n, "HOT", 0) for n in names] + [("F1", "COLD", 1)], "ticker string, peer string, pos int")
     got = factors.followed_bars(panel, edges)
     assert got.count() == 301 and got.filter("peer = 'HOT'").select("part").distinct().count() == 5

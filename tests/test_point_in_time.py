@@ -58,6 +58,27 @@ def test_equals_explicit_windows(spark, build, min_history):
     assert m.cause.nunique() >= 3
 
 
+def test_an_ended_name_does_not_multiply_the_panel(spark, monkeypatch):
+    """Four names over 1,400 sessions, one of which stops at 500: explicit windows, from under ten copies of a bar."""
+    panel = panels.ended(4, 1400, 500)
+    copies = []
+
+    def counted(fn):
+        def run(*args):
+            out = fn(*args)
+            copies.append(out.count())
+            return out
+
+        return run
+
+    for name in ("live_panel", "window_rows"):
+        monkeypatch.setattr(walkforward.panel, name, counted(getattr(walkforward.panel, name)))
+    rows, _ = walkforward.as_of_decompositions(*frames(spark, panel), WalkForwardConfig(require_dip=False))
+    m = compare(rows.toPandas(), brute_force(panel, 300))
+    assert len(copies) == 2 and sum(copies) < 10 * len(panel)
+    assert m.cause.nunique() >= 3 and len(m) > 4000
+
+
 def test_one_session_segments_agree(spark):
     panel = panels.late_and_gappy(11)
     bars, edges = frames(spark, panel)
