@@ -350,4 +350,4 @@ add("stream_session_bars", "", "ticker, d, o:r, h:r, l:r, c:r, v:i", """(select
 ORACLES["stream_distinct_filings"] = """select lpad(cast(o_custkey as varchar),18,'0') as accession_number, case o_custkey%6 when 0 then 'offering' else 'amendment' end as kind,
  cast(min(o_orderdate) as date) as filed_on from orders where o_custkey%6 in (0,1) group by 1, 2"""
 add("stream_positions", POS, "ticker, added_at, entry_price:r, size_pct:r", "pos")
-add("stream_rescored", LIVE, "ticker, verdict, signal_score:i", "an where ticker in (select ticker from raw where d=(select max(d) from raw) and c<o)")
+add("stream_rescored", LIVE, "ticker, verdict, signal_score:i, dip_pct_week:r, market_pct:r", "an")

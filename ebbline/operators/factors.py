@@ -115,13 +115,13 @@ def peer_admissions(indexed: DataFrame, peer_edges: DataFrame) -> DataFrame:
     return edges.join(names, "peer").groupBy("ticker").agg(F.collect_list("since").alias("joined"))
 
 
-def peer_sums(placed: DataFrame, peer_edges: DataFrame) -> DataFrame:
+def peer_sums(placed: DataFrame, indexed: DataFrame, peer_edges: DataFrame) -> DataFrame:
     """(ticker, di, seg_lo, seg_hi, parts) of each bar: its peers' log prices that session, as (since, s, n) by admission.
 
     Two levels: sums per (name, session, admission), combined before the exchange, then one list per (name, session).
     Both keys hold the session, so a name whose peers are the whole universe is spread over all tasks.
     """
-    peers = followed_bars(placed, peer_edges).groupBy(F.col("follower").alias("ticker"), "di", "since").agg(
+    peers = followed_bars(indexed, peer_edges).groupBy(F.col("follower").alias("ticker"), "di", "since").agg(
         F.sum(F.ln("c")).alias("s"), F.count("*").alias("n")
     )
     own = placed.select("ticker", "di", F.struct("seg_lo", "seg_hi").alias("own"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ebbline.config import MIN_LIVE_SESSIONS, SESSION_WINDOW, WalkForwardConfig
 from ebbline.functions.scalar import finite, finite_or, ratio, text_or
 from ebbline.operators import scoring
-from ebbline.plans.walkforward import as_of_decompositions
-from ebbline.staging import staged
+from ebbline.plans.walkforward import as_of_decompositions, decomposed_newest, indexed_features
+from ebbline.staging import broadcast_if_small, staged
 
 
 def newest_sessions(bars: DataFrame, sessions: int = SESSION_WINDOW) -> DataFrame:
@@ -87,15 +87,38 @@ def last_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").agg(newest.alias("b")).select("ticker", "b.*")
 
 
+CONFIG = WalkForwardConfig(min_history=MIN_LIVE_SESSIONS, min_names=1, last_only=True)
+MOVES = ("exact_day", "exact_week")
+
+
+def market_caps(overlay: DataFrame, profile: DataFrame) -> DataFrame:
+    """(ticker, market_cap_b) of the covered names, 0 where it is unknown."""
+    sized = overlay.select("ticker").join(profile.select("ticker", "market_cap"), "ticker", "left")
+    return sized.select("ticker", (finite_or("market_cap", 0.0) / 1e9).alias("market_cap_b"))
+
+
+def _scored(snap: DataFrame, rows: DataFrame) -> DataFrame:
+    measured = rows.drop("price", "dip_pct_day", "dip_pct_week", "volume_ratio", "avg_volume", "di", "t", "d")
+    return scoring.analyze(snap.join(measured, "ticker"))
+
+
 def analyses(bars: DataFrame, peer_edges: DataFrame, overlay: DataFrame, profile: DataFrame, ratios: DataFrame,
              metrics: DataFrame, sector_pe: DataFrame) -> DataFrame:
     """Every covered name with at least 60 sessions, fully scored on its newest session."""
     series = require_names(staged(display_prices(admitted(newest_sessions(bars)))))
     snap = staged(snapshot(overlay, last_bars(series), profile, ratios, metrics, sector_pe))
     caps = snap.select("ticker", "market_cap_b")
-    cfg = WalkForwardConfig(min_history=MIN_LIVE_SESSIONS, min_names=1, last_only=True)
-    rows, _ = as_of_decompositions(
-        series.join(caps, "ticker").drop("sector"), peer_edges, cfg, moves=("exact_day", "exact_week")
-    )
-    measured = rows.drop("price", "dip_pct_day", "dip_pct_week", "volume_ratio", "avg_volume", "di", "t", "d")
-    return scoring.analyze(snap.join(measured, "ticker"))
+    rows, _ = as_of_decompositions(series.join(caps, "ticker").drop("sector"), peer_edges, CONFIG, moves=MOVES)
+    return _scored(snap, rows)
+
+
+def analyses_of(names: DataFrame, series: DataFrame, axis: DataFrame, levels: DataFrame, peer_edges: DataFrame,
+                overlay: DataFrame, profile: DataFrame, ratios: DataFrame, metrics: DataFrame, sector_pe: DataFrame) -> DataFrame:
+    """``analyses`` of ``names(ticker)`` alone: ``series`` holds the newest sessions of those names and of their peers,
+    ``axis`` and ``levels(d, market_level)`` are those of the whole market."""
+    shown = staged(display_prices(series))
+    own = shown.join(broadcast_if_small(names), "ticker", "left_semi")
+    snap = staged(snapshot(overlay, last_bars(own), profile, ratios, metrics, sector_pe))
+    caps = market_caps(overlay, profile)
+    axis, indexed = indexed_features(shown.join(caps, "ticker").select("ticker", "d", "o", "c", "v", *MOVES, "market_cap_b"), CONFIG, MOVES, axis)
+    return _scored(snap, decomposed_newest(axis, indexed, names, levels, peer_edges))

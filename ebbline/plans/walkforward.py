@@ -12,7 +12,7 @@ from ebbline.functions.scalar import ratio
 from ebbline.operators import decompose as dec
 from ebbline.operators import factors, panel, scoring
 from ebbline.operators.technicals import technicals
-from ebbline.staging import staged
+from ebbline.staging import broadcast_if_small, staged
 
 SNAPSHOT = (
     "price", "dip_pct_day", "dip_pct_week", "volume_ratio", "rsi14", "sma50", "sma200", "high_52w", "low_52w",
@@ -23,10 +23,12 @@ CARRIED = ("d", "c", "rn", "next_di", "log_ret", "gap_share", "admitted_di", "t_
 
 
 def indexed_features(
-    bars: DataFrame, cfg: WalkForwardConfig, moves: tuple[str, str] | None = None
+    bars: DataFrame, cfg: WalkForwardConfig, moves: tuple[str, str] | None = None, axis: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Stage the session axis and the bars with technicals and history positions: one exchange by ticker."""
-    axis = staged(panel.date_axis(bars))
+    """Stage the session axis and the bars with technicals and history positions: one exchange by ticker.
+
+    Bars of some names only come with the ``axis`` of all."""
+    axis = axis or staged(panel.date_axis(bars))
     # levels are read on as-of rows only, and of those only on falls when nothing else is scored
     scored = F.col("rn") >= cfg.min_history
     if cfg.last_only:
@@ -52,12 +54,38 @@ def as_of_decompositions(
 
 
 def decomposed(axis: DataFrame, indexed: DataFrame, peer_edges: DataFrame, cfg: WalkForwardConfig) -> DataFrame:
-    """The as-of rows of an indexed panel: measured by epoch, the late ones in windows of their own."""
+    """The as-of rows of an indexed panel."""
     days = staged(panel.calendar(axis, panel.segments(indexed, cfg)))
     epochs = staged(panel.epoch_table(days))
     market = staged(factors.market_levels(indexed, epochs))
-    placed = panel.epochs_of_bars(indexed, days)
-    peers = staged(factors.peer_sums(placed, peer_edges))
+    return _measured(indexed, indexed, days, epochs, market, peer_edges)
+
+
+def decomposed_newest(axis: DataFrame, indexed: DataFrame, names: DataFrame, levels: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """The newest session's rows of ``names(ticker)`` alone, with the market's stored ``levels(d, market_level)``.
+
+    ``indexed`` holds those names and their peers; levels are on the sessions in all members' windows.
+    """
+    at = axis.join(levels, "d", "left")
+    oldest = at.filter(F.col("market_level").isNotNull()).agg(F.min("di")).first()[0] or 0
+    newest = axis.filter(F.col("di") == F.col("last_di"))
+    segs = newest.select(F.col("di").alias("t"), F.lit(1).alias("seg"), F.lit(0).alias("members"), F.lit(oldest).alias("latest_start"))
+    days = staged(panel.calendar(axis, segs))
+    carried = Window.orderBy("di").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("market_level").isNotNull(), F.col("di"))
+    market = at.select(
+        F.lit(1).alias("seg"), "di", F.last("market_level", ignorenulls=True).over(carried).alias("market_level"),
+        F.last(known, ignorenulls=True).over(carried).alias("market_di"),
+    )
+    own = indexed.join(broadcast_if_small(names), "ticker", "left_semi")
+    edges = peer_edges.join(broadcast_if_small(names), "ticker", "left_semi")
+    return _measured(own, indexed, days, staged(panel.epoch_table(days)), staged(market), edges)
+
+
+def _measured(own: DataFrame, indexed: DataFrame, days: DataFrame, epochs: DataFrame, market: DataFrame, peer_edges: DataFrame) -> DataFrame:
+    """The as-of rows of ``own`` bars: measured by epoch, the late ones in windows of their own."""
+    placed = panel.epochs_of_bars(own, days)
+    peers = staged(factors.peer_sums(placed, indexed, peer_edges))
     joined = staged(factors.peer_admissions(indexed, peer_edges))
     carried = list(CARRIED)
     rows = factors.own_and_peer_rows(panel.live_panel(placed, epochs), peers, joined, epochs, market, carried)
@@ -70,10 +98,10 @@ def decomposed(axis: DataFrame, indexed: DataFrame, peer_edges: DataFrame, cfg:
     late = rows.filter("late").select("ticker", "t", "as_of", "seg", "latest_start", F.col("rn").alias("rn0"))
     if not late.isEmpty():
         late = staged(late.join(epochs.select("seg", "since", "t_lo", "t_hi"), "seg"))
-        windows = panel.window_rows(late, indexed)
+        windows = panel.window_rows(late, own)
         starts = panel.peer_starts(late, indexed, peer_edges)
-        own = dec.measured(factors.late_rows(late, windows, starts, peers, joined, market, carried))
-        result = result.unionByName(own.filter(F.col("rn") == F.col("rn0")).drop("rn0"))
+        again = dec.measured(factors.late_rows(late, windows, starts, peers, joined, market, carried))
+        result = result.unionByName(again.filter(F.col("rn") == F.col("rn0")).drop("rn0"))
     return dec.classify(result).drop("t_lo", "t_hi", "next_di", "admitted_di", "seg", "rn", "log_ret", "c")
 
 

@@ -21,7 +21,7 @@ from ebbline.plans import assess, live, research, walkforward
 from ebbline.session import spread, tuned
 from ebbline.sources import filings, payloads, tables
 from ebbline.staging import shared_folder, staged
-from ebbline.streaming import jobs
+from ebbline.streaming import jobs, rescore
 
 HORIZONS = (5, 20, 60)
 CONFIG = WalkForwardConfig(horizons=HORIZONS, min_history=200, require_dip=False)
@@ -964,15 +964,25 @@ def stream_positions(i):
 
 @query
 def stream_rescored(i):
-    """The last session's falling bars arrive as a stream; only their names are re-scored and written."""
-    fresh = f"{shared_folder(i.spark)}/fresh-{uuid.uuid4().hex}"
-    newest = i.bars.join(i.bars.agg(F.max("d").alias("d")), "d", "left_semi")
-    newest.filter(F.col("c") < F.col("o")).write.parquet(fresh)
-    out, check = _landing(i, "rescored")
-    stream = i.spark.readStream.schema(i.bars.schema).parquet(fresh)
-    jobs.rescore_changed(stream, lambda: i.bars, lambda _: i.analyses, out, check).awaitTermination()
-    rows = jobs.newest_by_key(i.spark.read.parquet(out).select("batch", "ticker", "verdict", "signal_score"))
-    return publish(rows, "ticker", "verdict", "signal_score")
+    """The newest three sessions arrive in four batches, with wrong closes that later batches correct; each batch re-scores
+    what it can change, and the state after the last is the screen of all bars."""
+    days = i.bars.select("d").distinct().orderBy(F.col("d").desc()).limit(3).agg(F.sort_array(F.collect_list("d")).alias("last"))
+    bars = i.bars.select("ticker", "d", "o", "c", "v").crossJoin(F.broadcast(days)).withColumn("k", F.array_position("last", F.col("d")))
+    first = F.substring("ticker", 1, 1) < "K"
+    wrong = bars.withColumn("c", F.col("c") * 0.9).withColumn("seq", F.lit(1))
+    right = bars.withColumn("seq", F.lit(2))
+    batches = (wrong.filter("k = 1"), right.filter((F.col("k") == 2) & first), right.filter((F.col("k") == 2) & ~first).union(right.filter("k = 1")), right.filter("k = 3"))
+    base = f"{shared_folder(i.spark)}/rescore-{uuid.uuid4().hex}"
+    fields = ["ticker", "d", "o", "c", "v", "seq"]
+    for n, batch in enumerate(batches):
+        batch.select(*fields).coalesce(1).write.parquet(f"{base}/new/{n}")
+    screen = rescore.Screen(f"{base}/state", f"{base}/out", i.edges, i.overlay, *(i.sql(getattr(fixtures_sql, k)) for k in ("PROFILE", "RATIOS", "METRICS", "SECTOR_PE")))
+    screen.start(bars.filter("k = 0").withColumn("seq", F.lit(0)).select(*fields))
+    schema = i.spark.read.parquet(f"{base}/new/0").schema
+    stream = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/new")
+    rescore.rescore(stream, screen, f"{base}/checkpoint").awaitTermination()
+    rows = jobs.newest_by_key(i.spark.read.parquet(f"{base}/out").select("batch", "ticker", "verdict", "signal_score", "dip_pct_week", "market_pct"))
+    return publish(rows, "ticker", "verdict", "signal_score", "dip_pct_week", "market_pct")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Structured Streaming jobs: session bars from ticks, filing dedupe, incremental re-scoring, running positions."""
+"""Structured Streaming jobs: session bars from ticks, filing dedupe, running positions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -78,24 +76,3 @@ def newest_by_key(versions: DataFrame, *key: str) -> DataFrame:
     key = key or ("ticker",)
     cols = [c for c in versions.columns if c not in (*key, "batch")]
     return versions.groupBy(*key).agg(F.max_by(F.struct(*cols), "batch").alias("s")).select(*key, "s.*")
-
-
-def rescore_changed(
-    new_bars: DataFrame, stored_bars: Callable[[], DataFrame], score: Callable[[DataFrame], DataFrame],
-    path: str, checkpoint: str,
-) -> StreamingQuery:
-    """Re-score only the names whose bars changed in a batch.
-
-    ``stored_bars()`` reads the bar table; ``score(bars)`` returns one row per ticker. Scoring needs the market
-    and the peers, so it sees all bars; the result is cut to the changed names before anything is written.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.select("ticker").distinct()
-        rows = score(stored_bars()).join(changed, "ticker", "left_semi")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-
-    return (
-        new_bars.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

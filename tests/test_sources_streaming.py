@@ -119,15 +119,6 @@ def test_running_positions_equal_batch(spark, tmp_path):
     assert got == want and [(r.ticker, r.entry_price) for r in got] == [("A", 9.0)]
 
 
-def test_only_changed_names_are_rescored(spark, tmp_path):
-    schema = "ticker string, d date, c double"
-    stored = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("B", dt.date(2024, 1, 1), 2.0)], schema)
-    score = lambda bars: bars.groupBy("ticker").agg(F.sum("c").alias("score"))
-    sink = lambda df, out, check: jobs.rescore_changed(df, lambda: stored, score, out, check)
-    got = stream(spark, tmp_path, schema, [[("B", dt.date(2024, 1, 2), 3.0)]], lambda df: df, sink)
-    assert [(r.ticker, r.score) for r in jobs.newest_by_key(got).collect()] == [("B", pytest.approx(2.0))]
-
-
 def test_staged_tables_live_in_the_shared_folder(spark, tmp_path):
     from ebbline.staging import broadcast_if_small, shared_folder, staged
 
