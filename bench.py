@@ -12,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-STAGES = ("bars", "edges", "technicals", "as_of_rows", "observations", "analyses", "deals", "assessed", "outcomes", "trials")
+STAGES = ("bars", "edges", "technicals", "as_of_rows", "observations", "analyses", "deals", "assessed", "outcomes", "portfolios")
 HEADLINES = (
     "market_factor", "decompositions", "screen_by_score", "horizon_metrics", "cause_metrics", "regime_by_cause",
     "feature_ic", "ic_by_year", "score_buckets", "evidence_signals", "evidence_scores", "deal_verdicts",

@@ -44,7 +44,8 @@ ORACLES["bar_quarantine"] = """with b as (select 'ORDER_'||cast(o_orderkey as va
 add("company_profiles", f"p as ({fx.PROFILE})", "ticker, company_name, quote_price:r, market_cap:r=market_cap/1e9, beta:r, volume:r, average_volume:r, change_pct:r, profile_sector, profile_industry", "p")
 add("ttm_ratios", f"p as ({fx.RATIOS})", "ticker, gross_margin:r, operating_margin:r, pe_ttm:r", "p")
 add("ttm_key_metrics", f"p as ({fx.METRICS})", "ticker, ev_to_ebitda:r, net_debt_ebitda:r, roic:r, fcf_yield:r", "p")
-add("sector_pe_lookup", f"p as ({fx.SECTOR_PE})", "sector, pe:r", "p")
+add("sector_pe_lookup", f"p as ({fx.SECTOR_PE}), o as (select o_orderkey, r_name as sector, cast(o_orderdate as date) as d from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey)",
+    "o_orderkey, sector, d, pe:r, snapshot", "(select o.*, x.pe, x.date as snapshot from o left join lateral (select pe, date from p where p.sector=o.sector and pe is not null and p.date<=o.d order by date desc limit 1) x on true)")
 add("index_strip", "", "symbol, label, value:r, change_pct:r", """(select s.symbol, s.label, o_totalprice as value, o_custkey%21/10.0e0-1 as change_pct,
   row_number() over (partition by s.symbol order by o_orderdate desc, o_orderkey desc) as rk from orders
   join (values (0,'SPY','S&P 500'),(1,'QQQ','Nasdaq 100'),(2,'DIA','Dow Jones'),(3,'IWM','Russell 2000')) s(m,symbol,label) on o_orderkey%5=s.m
@@ -69,9 +70,15 @@ lk as (select *, case when upper(form_type)='C' then 'offering' when upper(form_
   when form_type like 'C-AR%' then 'annual_report' when form_type like 'C-W%' then 'withdrawal' else 'other' end as kind,
   concat_ws(',', case when not hit then 'title' end, case when accession_number='' then 'accession' end) as unparsed from li)"""
 add("filing_listings", FEED, "company_name, cik, accession_number, filed_at, form_type, kind, filing_path, edgar_url, unparsed", "lk")
-ORACLES["feed_report"] = f"""with {FEED} select 'endpoint' as field from fl where (k//20)%10=9 group by 1
- union select 'entry' from fl where k%23=0 and (k//20)%10<>9 union select 'title' from lk where not hit union select 'accession' from lk where accession_number=''
- union select 'feed' from fl where (k//20)%10<>9"""
+ORACLES["feed_report"] = f"""with fl as ({fx.FILINGS}),
+en as (select *, k//20 as g, regexp_matches(title,'^\\s*([A-Z0-9/-]+)\\s+-\\s+(.+?)\\s*\\((\\d{{7,10}})\\)') as hit, regexp_matches(href,'\\d{{10}}-\\d{{2}}-\\d{{6}}|\\d{{18}}') as numbered,
+  '<entry><title>'||replace(title,'&','&amp;')||'</title>'||case when k%23<>0 then '<link rel="alternate" href="'||href||'"/>' else '' end||'<updated>'||updated||'</updated></entry>' as e from fl),
+hd as (select length('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Latest</title>') as h),
+po as (select en.*, h+sum(length(e)) over (partition by g order by e rows unbounded preceding) as pos, h+7+sum(length(e)) over (partition by g) as total from en, hd),
+ea as (select 'feed-'||g as path, po.* from po union all select 'feed-'||g||'-cut', po.* from po where pos<=cast(floor(total*2/3) as bigint))
+ select distinct path, field from (select path, 'entry' as field from ea where g%10<>9 and k%23=0 union all select path, 'title' from ea where g%10<>9 and k%23<>0 and not hit
+ union all select path, 'accession' from ea where g%10<>9 and k%23<>0 and not numbered union all select 'feed-'||g||'-cut', 'feed' from en where g%10<>9
+ union all select 'feed-'||g||x, 'endpoint' from en, (values (''),('-cut')) t(x) where g%10=9) z"""
 add("live_raises", FEED, "company_name, cik, accession_number, filed_at, kind",
     "(select * from lk where kind in ('offering','amendment'))")
 ORACLES["form_kinds"] = f"""with fl as ({fx.FILINGS}), f as (select regexp_extract(title,'^\\s*([A-Z0-9/-]+)\\s+-\\s+(.+?)\\s*\\((\\d{{7,10}})\\)',1) as form_type from fl)
@@ -165,8 +172,7 @@ def share(part: str) -> str:
 
 
 add("decomposition_shares", DEC, "ticker, as_of, label, " + ", ".join(share(p) for p in ("market", "sector", "idio")),
-    """(select *, case cause when 'MARKET_BETA' then 'Market Beta' when 'SECTOR_ROTATION' then 'Sector Rotation'
-  when 'IDIOSYNCRATIC_NO_NEWS' then 'Idiosyncratic / No News' when 'IDIOSYNCRATIC_SHOCK' then 'Idiosyncratic Shock' else 'Undetermined' end as label from dec)""")
+    "(select *, array_to_string(list_transform(string_split(lower(cause),'_'), lambda x: upper(x[1])||x[2:]),' ') as label from dec)")
 
 
 def signed(x: str, digits: int = 1, unit: str = "%%") -> str:
@@ -188,10 +194,11 @@ newest as (select *, (c/lag(c) over (partition by ticker order by d)-1)*100 as e
   (select *, row_number() over (partition by ticker order by d desc) as age, count(*) over (partition by ticker) as nb from raw) where age<=300 and nb>=60),
 bars as materialized (select ticker, sector, d, round(o,2) as o, round(c,2) as c, v, c as exact_close, coalesce(ed,0) as ed, coalesce(ew,0) as ew from newest)"""
 # live: weights and snapshot come from the merged profile; moves from exact closes
-SNAP = f"""ov as ({fx.OVERLAY}), pf as ({fx.PROFILE}), rt as ({fx.RATIOS}), mt as ({fx.METRICS}), spe as ({fx.SECTOR_PE}),
+SNAP = f"""ov as ({fx.OVERLAY}), pf as ({fx.PROFILE}), rt as ({fx.RATIOS}), mt as ({fx.METRICS}), spes as ({fx.SECTOR_PE}),
 lastb as (select * from bars qualify row_number() over (partition by ticker order by d desc)=1),
-sn0 as (select ov.*, pf.*exclude(ticker), rt.*exclude(ticker), mt.*exclude(ticker), lastb.exact_close, lastb.ed, lastb.ew, lastb.v,
+sn0 as (select ov.*, pf.*exclude(ticker), rt.*exclude(ticker), mt.*exclude(ticker), lastb.d as last_d, lastb.exact_close, lastb.ed, lastb.ew, lastb.v,
    coalesce(nullif(profile_sector,''),overlay_sector) as sector from ov join lastb using (ticker) left join pf using (ticker) left join rt using (ticker) left join mt using (ticker)),
+spe as (select ticker, arg_max(pe, date) as pe from sn0 join spes on spes.sector=sn0.sector and date<=last_d where pe is not null group by ticker),
 snap as materialized (select sn0.ticker, sn0.sector, coalesce(nullif(company_name,''),name) as name, coalesce(nullif(profile_industry,''),overlay_industry) as industry,
    coalesce(market_cap,0)/1e9 as market_cap_b, coalesce(quote_price,exact_close) as price, coalesce(change_pct,ed) as dip_pct_day, ew as dip_pct_week,
    coalesce(beta,1) as beta, coalesce(average_volume,0)/1e6 as avg_volume_m,
@@ -199,7 +206,7 @@ snap as materialized (select sn0.ticker, sn0.sector, coalesce(nullif(company_nam
    short_interest_pct, catalyst_type, catalyst_severity, coalesce(pe_ttm,pe_5y_avg) as pe_forward, pe_5y_avg, coalesce(spe.pe,pe_5y_avg*0.9e0) as sector_pe,
    coalesce(ev_to_ebitda,12) as ev_to_ebitda, coalesce(fcf_yield,0)*100 as fcf_yield_pct, coalesce(gross_margin,0)*100 as gross_margin_pct,
    coalesce(operating_margin,0)*100 as op_margin_pct, rev_growth_pct, eps_growth_pct, coalesce(roic,0)*100 as roic_pct,
-   coalesce(net_debt_ebitda,0) as net_debt_to_ebitda, moat, balance_sheet from sn0 left join spe on spe.sector=sn0.sector)"""
+   coalesce(net_debt_ebitda,0) as net_debt_to_ebitda, moat, balance_sheet from sn0 left join spe on spe.ticker=sn0.ticker)"""
 LIVE_TECH = eq.TECH.replace("coalesce((c/pc-1)*100,0) as dip_pct_day, coalesce((c/c5-1)*100,0) as dip_pct_week", "ed as dip_pct_day, ew as dip_pct_week", 1)
 LIVE_DEC = (
     eq.decomposition(60, last_only=True)
@@ -318,7 +325,11 @@ ORACLES["report_lines"] = "with " + OBS + "," + metrics("horizon") + f""", cz as
  union all select 3, p, t from (values (0,'Survivors only; observations overlap and are correlated.'),(1,'No costs or slippage.'),(2,'A measured rank correlation can expose a broken score; it cannot prove an edge.')) c(p,t)"""
 MEANS = "n:i=count(*), " + ", ".join(f"mean_{h}:r=coalesce(avg(fwd_{h}),0)" for h in (5, 20, 60))
 add("cause_metrics", OBS, "cause, " + MEANS, "obs group by cause")
-REG = OBS + "," + factor(CAPW) + """, rg as (select d, case when level>avg(level) over (order by d rows between 199 preceding and current row) then 'ABOVE' else 'BELOW' end as regime from factor),
+CHAIN_INDEX = """ci as (select d, count(lr) as names, sum(w*lr)/sum(case when lr is not null then w end) as r from (select ticker, d, case when market_cap_b>0 then market_cap_b else 1 end as w, ln(c/lag(c) over (partition by ticker order by d)) as lr
+  from bars join caps using (ticker)) group by d),
+factor as (select d, names, 100*exp(coalesce(sum(r) over (order by d),0)) as level from ci)"""
+add("market_index", eq.SUPPLIER_BARS + "," + CHAIN_INDEX, "d, names:i, level:r, regime", "(select *, case when level>avg(level) over (order by d rows between 23 preceding and current row) then 'ABOVE' else 'BELOW' end as regime from factor)")
+REG = OBS + "," + CHAIN_INDEX + """, rg as (select d, case when level>avg(level) over (order by d rows between 199 preceding and current row) then 'ABOVE' else 'BELOW' end as regime from factor),
 known as (select a.d as as_of, last_value(regime ignore nulls) over (order by a.d) as regime from axis a left join rg on rg.d=a.d), obr as (select * from obs join known using (as_of))"""
 add("regime_split", REG, "regime, " + MEANS, "obr group by regime")
 add("regime_by_cause", REG, "regime, cause, " + MEANS, "obr group by regime, cause")

@@ -115,13 +115,9 @@ tm as (select tg.dist_id, tg.tp, multiple, case when multiple=hi then tg.tp when
 tn as (select *, q/sum(q) over (partition by dist_id, tp) as p from tm),
 sens as (select dist_id, tp as tail_p, sum(multiple*p) as expected_gross, sum(p*NET) as expected_net, sum(p*NET)/pow(1.1e0,8) as edge from tn group by dist_id, tp)""".replace("NET", net("multiple", "'SEIS'"))
 GRID = (1, 2, 3, 5, 8, 10, 15, 20, 30, 50, 75, 100)
-ODDS = OUT + f""", st as (select dist_id, multiple, {net('multiple', "'SEIS'")} as nm, sum(p) over (partition by dist_id order by multiple)/sum(p) over (partition by dist_id) as up,
-  row_number() over (partition by dist_id order by multiple) as b, count(*) over (partition by dist_id) as nb from oc),
-dr as (select c_mktsegment as dist_id, c_custkey as trial, k, cast('0x'||substr(md5('42:'||c_custkey||':'||k),1,8) as bigint)/4294967296e0 as u from customer, range(1,101) r(k)),
-bk as (select dr.dist_id, trial, k, max(nb) as nb, coalesce(min(b) filter (where up>=u), max(nb)) as b from dr join st on st.dist_id=dr.dist_id group by dr.dist_id, trial, k),
-dw as (select bk.dist_id, trial, k, nm, multiple>=10 as tail from bk join st on st.dist_id=bk.dist_id and st.b=bk.b),
-tr as materialized (select dist_id, n as positions, trial, sum(nm)/n as m, bool_or(tail) as t from dw join (values {','.join(f'({n})' for n in GRID)}) g(n) on k<=n group by dist_id, n, trial),
-od as materialized (select dist_id, positions, count(*) as trials, avg(m) as mean_multiple, avg(case when m>=pow(1.1e0,8) then 1e0 else 0e0 end) as p_beat_index, avg(case when m<1 then 1e0 else 0e0 end) as p_below_capital,
+ODDS = f"""po as ({fx.POSITIONS}), pk as (select *, {net('multiple', "'SEIS'")} as nm, row_number() over (partition by dist_id, investor order by taken, seq) as k, count(*) over (partition by dist_id, investor) as held from po),
+tr as materialized (select dist_id, n as positions, investor, sum(nm)/n as m, bool_or(multiple>=10) as t from pk join (values {','.join(f'({n})' for n in GRID)}) g(n) on k<=n and n<=held group by dist_id, n, investor),
+od as materialized (select dist_id, positions, count(*) as investors, avg(m) as mean_multiple, avg(case when m>=pow(1.1e0,8) then 1e0 else 0e0 end) as p_beat_index, avg(case when m<1 then 1e0 else 0e0 end) as p_below_capital,
   avg(case when t then 1e0 else 0e0 end) as p_any_tail, list_sort(list(m)) as ms from tr group by dist_id, positions)"""
 
 # name -> (ctes, columns, source, digits)
@@ -143,7 +139,7 @@ RAISES = {
   case when investor_count is not null then 8e0 else 0e0 end as a6, case when investor_count>2000 then 8e0*0.15e0 when investor_count>500 then 8e0*0.45e0 when investor_count is not null then 8e0*0.9e0 else 0e0 end as s6 from dl),
  nx as (select deal_id, a1+a2+a3+a4+a5+a6 as seen, coalesce((s1+s2+s3+s4+s5+s6)/nullif(a1+a2+a3+a4+a5+a6,0)*100,0) as lv from nw)""",
                         "deal_id, network_band=case when seen/100e0<0.3e0 then 'NONE' when lv>=65 then 'HIGH' when lv>=40 then 'MODERATE' else 'LOW' end, network_score:i=floor(lv+0.5e0)", "nx", 4),
-    "research_tasks": (EVID, "deal_id, rank:i, code",
+    "research_tasks": (EVID, "deal_id, rank:i, code, task='undisclosed '||replace(split_part(code,'.',1),'_',' ')||': '||replace(split_part(code,'.',2),'_',' ')",
                        f"(select deal_id, code, row_number() over (partition by deal_id order by weight*pw desc, pp, sp) as rank from sg where missing and {HINTED})", 4),
     "deal_hurdles": (DL, f"deal_id, index_multiple:r=pow(1.1e0,8), hurdle_multiple:r={hurdle('8', 'tax_wrapper', 'platform')}, breakeven_multiple:r={hurdle('0', 'tax_wrapper', 'platform')}, "
                      + f"net_cost_fraction:r=1e0-{relief('tax_wrapper')}, downside_multiple:r={net('0e0', 'tax_wrapper', fee('platform'), carry('platform'))}, notes=case when tax_wrapper='NONE' then 'no_relief' else '' end", "dl", 4),
@@ -165,7 +161,7 @@ RAISES = {
     "gate_sweep": (VETO + "," + OUT + "," + SEGS + ", gw as (select vd.deal_id, evidence_score, strength, multiple, p*exp(strength*greatest(-1e0,least(1e0,(evidence_score-50)/50e0))*ln(1+multiple)) as w from vd join seg using (deal_id) join oc using (dist_id), (values (0e0),(0.35e0),(0.7e0)) g(strength)), ge as (select deal_id, evidence_score, strength, sum(w*"
                    + net("multiple", "'SEIS'") + ")/sum(w)/pow(1.1e0,8) as edge from gw group by all), gg as (select *, evidence_score>=46 as gate_a, edge>=1.25 as gate_b from ge)",
                    "strength:r, gate_a, gate_b, deals:i=count(*), lowest:r=min(evidence_score), highest:r=max(evidence_score)", "gg where gate_a<>gate_b group by strength, gate_a, gate_b", 4),
-    "portfolio_odds": (ODDS, "dist_id, positions:i, trials:i, mean_multiple:r, p_beat_index:r, p_below_capital:r, p_any_tail:r, p10_multiple:r=ms[cast(floor(0.1*(trials-1)) as bigint)+1], median_multiple:r=ms[cast(floor(0.5*(trials-1)) as bigint)+1], p90_multiple:r=ms[cast(floor(0.9*(trials-1)) as bigint)+1], index_multiple:r=pow(1.1e0,8)", "od", 4),
+    "portfolio_odds": (ODDS, "dist_id, positions:i, investors:i, mean_multiple:r, p_beat_index:r, p_below_capital:r, p_any_tail:r, p10_multiple:r=ms[cast(floor(0.1*(investors-1)) as bigint)+1], median_multiple:r=ms[cast(floor(0.5*(investors-1)) as bigint)+1], p90_multiple:r=ms[cast(floor(0.9*(investors-1)) as bigint)+1], index_multiple:r=pow(1.1e0,8)", "od", 4),
     "any_tail_odds": (OUT + ", pt as (select dist_id, sum(case when multiple>=10 then p else 0 end)/sum(p) as pt from oc group by dist_id)", "dist_id, positions:i, p_any_tail:r=1-pow(1-pt,positions)", f"pt, (values {','.join(f'({n})' for n in GRID)}) g(positions)", 6),
     "deployment_plans": (ODDS + ", dp as (select dist_id, min(case when p_beat_index>=0.5 then positions end) as e, min(case when p_below_capital<=0.25 then positions end) as c from od group by dist_id)",
                          "dist_id, positions_for_even_odds:i=e, positions_for_downside_control:i=c, positions:i=18, capital_at_risk:r=4500e0, notes=concat_ws(',', case when 18<e then 'below_even_odds' end, 'relief_redeployable')", "dp", 4),

@@ -34,27 +34,6 @@ SYSTEMATIC_DOMINANT = 0.7
 VERDICTS = ("BUY_THE_DIP", "ACCUMULATE", "WATCHLIST", "FALLING_KNIFE", "AVOID")
 BUY_GRADE_SCORE = 62
 
-CAUSE_LABELS = {
-    "MARKET_BETA": "Market Beta",
-    "SECTOR_ROTATION": "Sector Rotation",
-    "IDIOSYNCRATIC_NO_NEWS": "Idiosyncratic / No News",
-    "IDIOSYNCRATIC_SHOCK": "Idiosyncratic Shock",
-    "UNKNOWN": "Undetermined",
-}
-
-CATALYST_LABELS = {
-    "earnings_miss": "Earnings Miss",
-    "guidance_cut": "Guidance Cut",
-    "macro": "Macro / Rates",
-    "sector_sympathy": "Sector Sympathy",
-    "analyst_downgrade": "Analyst Downgrade",
-    "regulatory": "Regulatory / Legal",
-    "competitive_threat": "Competitive Threat",
-    "structural_decline": "Structural Decline",
-    "cost_shock": "Input Cost Shock",
-    "no_news": "No News / Flow-Driven",
-}
-
 INDEX_PROXIES = {"SPY": "S&P 500", "QQQ": "Nasdaq 100", "DIA": "Dow Jones", "IWM": "Russell 2000"}
 
 # --- fixed values: private-raise desk -------------------------------------------------------------------

@@ -38,8 +38,10 @@ select n_name as ticker, case when n_nationkey % 4 = 2 or n_nationkey % 9 = 8 th
 from customer join nation on c_nationkey = n_nationkey group by n_name, n_nationkey"""
 
 SECTOR_PE = """
-select r_name as sector, case when r_regionkey = 3 then null else 15e0 + 2e0 * count(*) / 5e0 end as pe
-from region join nation on n_regionkey = r_regionkey group by r_name, r_regionkey"""
+select r_name as sector, cast(date_trunc('month', o_orderdate) as date) + 14 as date,
+ case when r_regionkey = 3 then null else 15e0 + cast(count(*) % 11 as double) end as pe
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+group by r_name, r_regionkey, cast(date_trunc('month', o_orderdate) as date) + 14"""
 
 POSITION_EVENTS = """
 select concat('NATION_', cast((o_custkey * 7 + o_orderkey) % 29 as varchar(4))) as ticker, o_orderdate as ts, o_orderkey as seq,
@@ -94,11 +96,13 @@ select concat('deal:', cast(c_custkey as varchar(20))) as deal_id, j as pos, con
  cast(case when (c_custkey + j) % 23 = 0 then 2 + j when (c_custkey + j) % 17 = 0 then 1 else 0 end as integer) as insolvency_count
 from customer join (values (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)) as f(m, j) on m = c_custkey % 5"""
 
-OUTCOMES = """
-select dist_id, multiple, cast(count(*) as double) / sum(count(*)) over (partition by dist_id) as p from (
- select c_mktsegment as dist_id,
+POSITIONS = """
+select c_mktsegment as dist_id, o_custkey as investor, o_orderdate as taken, o_orderkey as seq,
   case when q < 50 then 0e0 when q < 63 then 0.3e0 when q < 80 then 1e0 when q < 90 then 2e0 when q < 96 then 5e0 when q < 99 then 10e0 else 30e0 end as multiple
- from (select c_mktsegment, (o_orderkey * 7919 + o_custkey * 104729) % 100 as q from orders join customer on o_custkey = c_custkey) x) y
+from (select c_mktsegment, o_custkey, o_orderdate, o_orderkey, (o_orderkey * 7919 + o_custkey * 104729) % 100 as q from orders join customer on o_custkey = c_custkey) x"""
+
+OUTCOMES = f"""
+select dist_id, multiple, cast(count(*) as double) / sum(count(*)) over (partition by dist_id) as p from ({POSITIONS}) y
 group by dist_id, multiple"""
 
 FILINGS = """

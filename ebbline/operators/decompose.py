@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import (
-    CAUSE_LABELS,
     DIP_SESSIONS,
     ESTIMATION_SESSIONS,
     GAP_DOMINANT,
@@ -21,7 +20,7 @@ from ebbline.config import (
     SHOCK_Z,
     SYSTEMATIC_DOMINANT,
 )
-from ebbline.functions.scalar import at_least, at_most, log_to_pct, lookup, ratio, signed_pct
+from ebbline.functions.scalar import at_least, at_most, log_to_pct, ratio, signed_pct
 
 NO_VARIANCE = 1e-18
 COLLINEAR = 1e-14
@@ -197,7 +196,8 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def cause_label(c: str = "cause") -> Column:
-    return lookup(c, CAUSE_LABELS)
+    """The code in words."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
 def share_of_total(part: str, total: str = "total_pct") -> Column:

@@ -78,6 +78,26 @@ def factor_series(bars: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def chain_index(bars: DataFrame) -> DataFrame:
+    """(d, names, ret, level): a chain-linked index over changing members, 100 before the first return (axis-sized).
+
+    Each session's return is the weighted mean, over the names with a bar, of their return since their own last bar; the
+    level is carried on from session to session. A listing joins with its second bar and an end leaves without a trace,
+    so neither changes an earlier level; a halted name's move enters when it trades again.
+
+    ``bars`` needs ticker, d, c, weight.
+    """
+    w = Window.partitionBy("ticker").orderBy("d")
+    last = F.lag("c").over(w)
+    moved = bars.withColumn("_r", F.when((F.col("c") > 0) & (last > 0), F.ln(F.col("c") / last)))
+    per_day = moved.groupBy("d").agg(
+        F.count("_r").alias("names"),
+        ratio(F.sum(F.col("weight") * F.col("_r")), F.sum(F.when(F.col("_r").isNotNull(), F.col("weight")))).alias("ret"),
+    )
+    so_far = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    return per_day.withColumn("level", F.exp(F.coalesce(F.sum("ret").over(so_far), F.lit(0.0))) * 100.0)
+
+
 def align_to(targets: DataFrame, factor: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Carry a factor onto each target's sessions: forward-filled, leading gap back-filled, 1 when empty."""
     keys = keys or ["d"]

@@ -1,4 +1,4 @@
-"""Outcome distributions in long form ``(dist_id, multiple, p)`` and portfolio odds drawn from them."""
+"""Outcome distributions in long form ``(dist_id, multiple, p)`` and odds of recorded portfolios."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from ebbline.config import POSITION_GRID, TAIL_GRID, TAIL_MULTIPLE, HurdleTerms,
 from ebbline.functions.raises import edge_vs_index, index_multiple, net_multiple
 from ebbline.functions.scalar import clamp, ratio
 from ebbline.operators.ranking import floor_quantiles
-from ebbline.session import spread
 
 
 def expectations(outcomes: DataFrame, by: list[str], thresholds=(0.0, 1.0), net: Column | None = None) -> DataFrame:
@@ -69,79 +68,40 @@ def flip_points(sensitivity: DataFrame, required_edge: float = 1.25) -> DataFram
     )
 
 
-def uniform(seed: str, *keys) -> Column:
-    """Reproducible uniform in [0, 1) from the row's keys: eight hex digits of an MD5."""
-    text = F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def portfolios(positions: DataFrame, net: Column, grid=POSITION_GRID) -> DataFrame:
+    """Net multiple and tail of each investor's first n positions, per (dist_id, investor, n) with n up to their number.
 
-
-def cumulative(outcomes: DataFrame, net: Column) -> DataFrame:
-    """Per distribution, ascending in the multiple: upper bounds, net multiples, and where the tail starts."""
-    w = Window.partitionBy("dist_id").orderBy("multiple")
-    df = outcomes.withColumns(
-        {"upper": F.sum("p").over(w) / F.sum("p").over(Window.partitionBy("dist_id")), "net": net}
-    )
-    steps = df.groupBy("dist_id").agg(
-        F.array_sort(F.collect_list(F.struct("multiple", "upper", "net"))).alias("s"),
-        F.count(F.when(F.col("multiple") < TAIL_MULTIPLE, 1)).alias("tail_from"),
-    )
-    return steps.select(
-        "dist_id", F.transform("s", lambda x: x["upper"]).alias("uppers"), F.transform("s", lambda x: x["net"]).alias("nets"),
-        "tail_from",
-    )
-
-
-def drawn_step(uppers: Column, u: Column) -> Column:
-    """Zero-based step: how many upper bounds lie below u; the last step catches rounding.
-
-    The one-element array binds u, so that it is computed once per draw and not once per bound.
-    """
-    below = F.transform(F.array(u), lambda x: F.size(F.filter(uppers, lambda b: b < x)))
-    return F.least(F.get(below, F.lit(0)), F.size(uppers) - 1)
-
-
-def trials(investors: DataFrame, outcomes: DataFrame, net: Column, seed: str, grid=POSITION_GRID) -> DataFrame:
-    """Portfolio multiple per (dist_id, trial, number of positions).
-
-    ``investors(dist_id, trial)``; position k of a trial is the same draw for every portfolio size, so 100 draws
-    per trial serve the whole grid. Draws are aggregated inside the task that makes them.
+    ``positions(dist_id, investor, taken, seq, multiple)`` are recorded outcomes in order of (taken, seq). Only the first 100
+    (the largest n) of an investor count, and tasks cut to those before the exchange, so an investor with a large part
+    of all positions fills no partition.
     """
-    top = max(grid)
-    # spread the trials first: drawing and the per-trial sums then share one partitioning
-    base = spread(investors, "dist_id", "trial").join(cumulative(outcomes, net), "dist_id")
-    drawn = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
-    drawn = drawn.withColumn("b", drawn_step(F.col("uppers"), uniform(seed, F.col("trial"), F.col("k"))))
-    drawn = drawn.select(
-        "dist_id", "trial", "k", F.get("nets", F.col("b")).alias("net"), (F.col("b") >= F.col("tail_from")).alias("tail")
-    )
-    aggs = []
+    order = Window.partitionBy("dist_id", "investor").orderBy("taken", "seq")
+    first = positions.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(grid)).withColumn("net", net)
+    aggs = [F.max("k").alias("held")]
     for n in grid:
         inside = F.col("k") <= n
         aggs += [
             (F.sum(F.when(inside, F.col("net")).otherwise(0.0)) / n).alias(f"m_{n}"),
-            F.max(F.when(inside, F.col("tail")).otherwise(False)).alias(f"t_{n}"),
+            F.max(F.when(inside, F.col("multiple") >= TAIL_MULTIPLE).otherwise(False)).alias(f"t_{n}"),
         ]
-    wide = drawn.groupBy("dist_id", "trial").agg(*aggs)
-    cells = [
-        F.struct(F.lit(n).alias("positions"), F.col(f"m_{n}").alias("multiple"), F.col(f"t_{n}").alias("any_tail"))
-        for n in grid
-    ]
-    return wide.select("dist_id", "trial", F.inline(F.array(*cells)))
+    wide = first.groupBy("dist_id", "investor").agg(*aggs)
+    cells = [F.struct(F.lit(n).alias("positions"), F.col(f"m_{n}").alias("multiple"), F.col(f"t_{n}").alias("any_tail")) for n in grid]
+    return wide.select("dist_id", "investor", "held", F.inline(F.array(*cells))).filter("positions <= held").drop("held")
 
 
-def odds(trial_rows: DataFrame, terms: HurdleTerms) -> DataFrame:
+def odds(portfolio_rows: DataFrame, terms: HurdleTerms) -> DataFrame:
     """Median, mean, deciles and probabilities per (dist_id, positions)."""
     by = ["dist_id", "positions"]
     hurdle = index_multiple(terms.years, terms.index_return)
     flag = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
-    summary = trial_rows.groupBy(*by).agg(
-        F.count("*").alias("trials"),
+    summary = portfolio_rows.groupBy(*by).agg(
+        F.count("*").alias("investors"),
         F.avg("multiple").alias("mean_multiple"),
         flag(F.col("multiple") >= hurdle).alias("p_beat_index"),
         flag(F.col("multiple") < 1.0).alias("p_below_capital"),
         flag(F.col("any_tail")).alias("p_any_tail"),
     )
-    points = floor_quantiles(trial_rows, by, "multiple", {"p10_multiple": 0.1, "median_multiple": 0.5, "p90_multiple": 0.9})
+    points = floor_quantiles(portfolio_rows, by, "multiple", {"p10_multiple": 0.1, "median_multiple": 0.5, "p90_multiple": 0.9})
     return summary.join(points, by).withColumn("index_multiple", hurdle)
 
 

@@ -12,7 +12,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.config import CATALYST_LABELS, PILLAR_WEIGHTS, SIGNAL_PILLARS
+from ebbline.config import PILLAR_WEIGHTS, SIGNAL_PILLARS
 from ebbline.functions.scalar import clamp, half_up, lookup, ratio, scale100
 
 c = F.col
@@ -282,7 +282,7 @@ def thesis() -> Column:
     move = F.concat(
         "ticker",
         fmt(" is off %.1f%% on the week (%.1f%% today) on ", F.abs("dip_pct_week"), F.abs("dip_pct_day")),
-        F.lower(lookup("catalyst_type", CATALYST_LABELS, "unknown cause")),
+        F.coalesce(F.replace("catalyst_type", F.lit("_"), F.lit(" ")), F.lit("unknown cause")),
     )
     endings = {
         "BUY_THE_DIP": fmt(": a %.1f sigma dislocation with the earnings case intact.", "dip_z"),

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from ebbline.config import MIN_LIVE_SESSIONS, SESSION_WINDOW, WalkForwardConfig
 from ebbline.functions.scalar import finite, finite_or, ratio, text_or
 from ebbline.operators import scoring
+from ebbline.operators.asof import as_of
 from ebbline.plans.walkforward import as_of_decompositions, decomposed_newest, indexed_features
 from ebbline.staging import broadcast_if_small, staged
 
 
+#: A sector may hold a large part of all names; its snapshots are few.
+SECTOR_SALTS = 8
+
+
 def newest_sessions(bars: DataFrame, sessions: int = SESSION_WINDOW) -> DataFrame:
     """The last N bars of each name."""
     newest = Window.partitionBy("ticker").orderBy(F.col("d").desc())
@@ -45,14 +50,16 @@ def snapshot(overlay: DataFrame, last_bars: DataFrame, profile: DataFrame, ratio
              sector_pe: DataFrame) -> DataFrame:
     """One row per covered name with every field filled from its best source.
 
-    ``last_bars(ticker, exact_close, exact_day, exact_week, v)`` limits the result to names with history. The
-    four attribute tables have one row per name; the sector table one per sector (and is looked up once each).
+    ``last_bars(ticker, last_d, exact_close, exact_day, exact_week, v)`` limits the result to names with history. The
+    attribute tables have one row per name; ``sector_pe(sector, date, pe)`` has snapshots, of which the newest with a
+    value that is not later than the name's last bar counts.
     """
     df = overlay.join(last_bars, "ticker")
     for side in (profile, ratios, metrics):
         df = df.join(side, "ticker", "left")
     df = df.withColumn("sector", text_or("profile_sector", "overlay_sector"))
-    df = df.join(sector_pe.withColumnRenamed("pe", "live_sector_pe"), "sector", "left")
+    known = sector_pe.filter(finite("pe").isNotNull())
+    df = as_of(df, known, ["sector"], "last_d", "date", {"live_sector_pe": "pe"}, salts=SECTOR_SALTS)
     avg = finite_or("average_volume", 0.0)
     today = finite_or("volume", F.col("v"))
     return df.select(
@@ -83,7 +90,7 @@ def snapshot(overlay: DataFrame, last_bars: DataFrame, profile: DataFrame, ratio
 
 def last_bars(bars: DataFrame) -> DataFrame:
     """Newest bar of each name with its exact moves, in one aggregation."""
-    newest = F.max_by(F.struct("exact_close", "exact_day", "exact_week", "v"), "d")
+    newest = F.max_by(F.struct(F.col("d").alias("last_d"), "exact_close", "exact_day", "exact_week", "v"), "d")
     return bars.groupBy("ticker").agg(newest.alias("b")).select("ticker", "b.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import BUY_GRADE_SCORE
-from ebbline.operators.factors import factor_series
+from ebbline.operators.factors import chain_index
 from ebbline.operators.ranking import rank_correlation, stable_positions
 from ebbline.staging import broadcast_if_small, staged
 
@@ -47,9 +47,11 @@ def means_by(obs: DataFrame, keys: list[str], horizons: tuple[int, ...]) -> Data
 
 
 def regimes(bars: DataFrame, sessions: int = 200) -> DataFrame:
-    """(d, regime): is the market factor above its own trailing mean on that session (axis-sized)."""
+    """(d, regime): is the chain-linked market index above its own trailing mean on that session (axis-sized).
+
+    Known on the session: neither later listings nor later ends change it."""
     w = Window.orderBy("d").rowsBetween(-(sessions - 1), 0)
-    f = factor_series(bars).withColumn("mean_level", F.avg("level").over(w))
+    f = chain_index(bars).withColumn("mean_level", F.avg("level").over(w))
     return f.select("d", F.when(F.col("level") > F.col("mean_level"), "ABOVE").otherwise("BELOW").alias("regime"))
 
 

@@ -17,6 +17,7 @@ from ebbline.config import INDEX_PROXIES, PILLAR_WEIGHTS, HurdleTerms, TaxProfil
 from ebbline.functions import raises, scalar
 from ebbline.functions.scalar import rounded
 from ebbline.operators import decompose, evidence, factors, outcomes, ranking, scoring, screen, technicals
+from ebbline.operators.asof import as_of
 from ebbline.plans import assess, live, research, walkforward
 from ebbline.session import spread, tuned
 from ebbline.sources import filings, payloads, tables
@@ -137,9 +138,8 @@ class Inputs:
         return self.table("customer").select(deal.alias("deal_id"), F.col("c_mktsegment").alias("dist_id"))
 
     @cached_property
-    def trials(self) -> DataFrame:
-        investors = self.table("customer").select(F.col("c_mktsegment").alias("dist_id"), F.col("c_custkey").alias("trial"))
-        return staged(outcomes.trials(investors, self.outcomes, outcomes.net_of("SEIS", TaxProfile()), "42"))
+    def portfolios(self) -> DataFrame:
+        return staged(outcomes.portfolios(self.sql(fixtures_sql.POSITIONS), outcomes.net_of("SEIS", TaxProfile())))
 
     @cached_property
     def assessed(self) -> DataFrame:
@@ -172,20 +172,24 @@ class Inputs:
         s = self.table("supplier")
         k, bal = F.col("s_suppkey"), F.abs("s_acctbal")
         part = lambda cond, text: F.when(cond, text).otherwise("")
+        ns = F.when(k % 11 == 5, "f:").otherwise("")
+        price = F.format_string("<price>%d.25</price>", k % 50)
         body = F.concat(
-            F.lit("<?xml version='1.0'?><edgarSubmission><formData><issuerInformation>"),
-            F.when(k % 2 == 0, F.concat(F.lit("<nameOfIssuer>"), "s_name", F.lit(" &amp; Co</nameOfIssuer>")))
+            F.lit("<?xml version='1.0'?><edgarSubmission xmlns:f='urn:form'><"), ns, F.lit("formData><"), ns, F.lit("issuerInformation>"),
+            F.when(k % 10 == 6, F.concat(F.lit("<nameOfIssuer>"), "s_name", F.lit(" &#38; &#x43;o</nameOfIssuer>")))
+            .when(k % 4 == 2, F.concat(F.lit("<nameOfIssuer><![CDATA["), "s_name", F.lit(" & Co]]></nameOfIssuer>")))
+            .when(k % 2 == 0, F.concat(F.lit("<nameOfIssuer>"), "s_name", F.lit(" &amp; Co</nameOfIssuer>")))
             .when(k % 4 == 1, F.concat(F.lit("<issuername>"), "s_name", F.lit("</issuername>"))).otherwise(""),
             part(k % 3 == 0, F.lit("<jurisdictionOrganization>DE</jurisdictionOrganization>")),
-            F.lit("</issuerInformation><offeringInformation>"),
+            F.lit("</"), ns, F.lit("issuerInformation>"), part(k % 8 == 3, F.lit("<!-- <price>1.00</price> </formData> -->")), F.lit("<offeringInformation>"),
             F.when(k % 5 == 0, "").when(k % 5 == 1, "<offeringAmount>n/a</offeringAmount>")
             .when(k % 5 == 2, F.format_string("<offeringamount> $%,d </offeringamount>", F.floor(bal * 10)))
             .otherwise(F.format_string("<offeringAmount>%d.50</offeringAmount>", F.floor(bal * 10))),
             part(k % 4 != 0, F.format_string("<maximumOfferingAmount>%d</maximumOfferingAmount>", F.floor(bal * 100))),
             F.when(k % 2 == 0, "<securityOfferedType>Common Stock</securityOfferedType>").otherwise("<typeOfSecurityOffered>SAFE</typeOfSecurityOffered>"),
-            part(k % 6 != 0, F.format_string("<price>%d.25</price>", k % 50)),
+            part(k % 6 != 0, F.when(k % 9 == 4, F.concat(F.lit("<price>"), price, F.lit("</price>"))).when(k % 9 == 5, F.concat(F.lit("<terms><unit>"), price, F.lit("</unit></terms>"))).otherwise(price)),
             part(k % 7 != 0, F.lit("<deadlineDate>12-31-2026</deadlineDate>")),
-            F.lit("</offeringInformation></formData></edgarSubmission>"),
+            F.lit("</offeringInformation></"), ns, F.lit("formData></edgarSubmission>"),
         )
         acc = F.concat(F.lpad(k.cast("string"), 10, "0"), F.lit("-26-000001"))
         return s.select(acc.alias("accession_number"), body.alias("body"), "s_suppkey")
@@ -239,9 +243,12 @@ def bar_quarantine(i):
 
 @query
 def company_profiles(i):
+    """Responses written as one file each and read back from there."""
     bodies = _json_body(i.sql(fixtures_sql.PROFILE), "ticker", payloads.PROFILE_NAMES | {"exchange": "ticker"})
     cols = ["ticker", "company_name", "quote_price", "market_cap", "beta", "volume", "average_volume", "change_pct", "profile_sector", "profile_industry"]
-    df = payloads.profiles(bodies).withColumn("market_cap", F.col("market_cap") / 1e9)
+    folder = f"{shared_folder(i.spark)}/profiles-{uuid.uuid4().hex}"
+    bodies.write.partitionBy("symbol").text(folder)
+    df = payloads.profiles(payloads.read_bodies(i.spark, folder)).withColumn("market_cap", F.col("market_cap") / 1e9)
     return publish(df, *cols)
 
 
@@ -257,19 +264,27 @@ def ttm_key_metrics(i):
 
 @query
 def sector_pe_lookup(i):
-    return publish(payloads.sector_pe(_json_body(i.sql(fixtures_sql.SECTOR_PE), "sector", {"pe": "pe"})))
+    """Each order with the newest P/E snapshot of its customer's region that is not later than the order."""
+    snapshots = payloads.sector_pe(_json_body(i.sql(fixtures_sql.SECTOR_PE), "sector", {"date": "date", "pe": "pe"}))
+    place = i.table("nation").join(i.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("sector"))
+    buyers = i.table("customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "sector")
+    orders = i.table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "sector", F.to_date("o_orderdate").alias("d"))
+    return publish(as_of(orders, snapshots, ["sector"], "d", "date", {"pe": "pe", "snapshot": "date"}, salts=16))
 
 
 @query
 def index_strip(i):
-    symbols = F.element_at(F.array(*[F.lit(s) for s in (*INDEX_PROXIES, "OTHER")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    """Every order as a quote response; the newest of each index proxy counts."""
+    k = F.col("o_orderkey")
+    symbols = F.element_at(F.array(*[F.lit(s) for s in (*INDEX_PROXIES, "OTHER")]), (k % 5 + 1).cast("int"))
     quotes = i.table("orders").select(
-        symbols.alias("symbol"), F.struct("o_orderdate", "o_orderkey").alias("ts"),
-        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"),
-        (F.col("o_custkey") % 21 / 10.0 - 1.0).alias("change_pct"),
+        symbols.alias("symbol"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), (F.col("o_custkey") % 21 / 10.0 - 1.0).alias("change"),
+        (F.datediff("o_orderdate", F.lit("1970-01-01")) * F.lit(10_000_000_000) + k).alias("at"),
     )
+    bodies = _json_body(quotes, "symbol", {"price": "price", "changePercentage": "change", "timestamp": "at"})
+    good, _ = payloads.split_quarantine(bodies)
     proxies = i.spark.createDataFrame(list(INDEX_PROXIES.items()), "symbol string, label string")
-    return publish(screen.latest_quotes(quotes, proxies))
+    return publish(screen.latest_quotes(payloads.quotes(good), proxies))
 
 
 @query
@@ -283,7 +298,7 @@ def payload_quarantine(i):
         .when(k % 5 == 3, F.to_json(F.struct(F.concat(F.lit("Legacy "), text).alias("companyName"))))
         .otherwise(text)
     )
-    judged = i.table("documents").select("doc_id", payloads.rejection(body).alias("reason"))
+    judged = payloads.judged(i.table("documents").select("doc_id", body.alias("body")))
     return judged.groupBy("reason").agg(F.count("*").alias("bodies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
@@ -312,15 +327,19 @@ def history_cache(i):
 
 @query
 def filing_listings(i):
+    """Feeds written as one file each and read back from there."""
     cols = ["company_name", "cik", "accession_number", "filed_at", "form_type", "kind", "filing_path", "edgar_url"]
-    rows = filings.listings(filings.feed_entries(i.feeds))
+    folder = f"{shared_folder(i.spark)}/feeds-{uuid.uuid4().hex}"
+    i.feeds.write.partitionBy("path").text(folder)
+    rows = filings.listings(filings.feed_entries(filings.read_documents(i.spark, folder)))
     return rows.select(*cols, F.array_join("unparsed", ",").alias("unparsed"))
 
 
 @query
 def feed_report(i):
     """The feeds, and each of them once more cut off after two thirds."""
-    cut = i.feeds.withColumn("body", F.substring("body", F.lit(1), (F.length("body") * 2 / 3).cast("int")))
+    half = F.substring("body", F.lit(1), (F.length("body") * 2 / 3).cast("int"))
+    cut = i.feeds.select(F.concat("path", F.lit("-cut")).alias("path"), half.alias("body"))
     return filings.feed_report(i.feeds.unionByName(cut))
 
 
@@ -676,6 +695,14 @@ def report_lines(i):
     return publish(research.report_lines(i.observations, i.long_observations, HORIZONS))
 
 
+@query
+def market_index(i):
+    """The chain-linked index of all suppliers, with late listings and exits, and its regimes against 24 months."""
+    bars = fixtures.supplier_bars(i.spark, i.sf_dir).withColumn("weight", factors.member_weight("market_cap_b"))
+    index = factors.chain_index(bars).join(research.regimes(bars, 24), "d")
+    return publish(index, "d", "names", "level", "regime")
+
+
 @query
 def regime_split(i):
     obs = research.with_regime(i.observations, i.bars.withColumn("weight", factors.member_weight("market_cap_b")))
@@ -829,7 +856,7 @@ def deal_narratives(i):
 
 @query
 def research_tasks(i):
-    return publish(evidence.research_tasks(i.assessed), "deal_id", "rank", "code")
+    return publish(evidence.research_tasks(i.assessed), "deal_id", "rank", "code", "task")
 
 
 @query
@@ -896,7 +923,7 @@ def tilted_outcomes(i):
 
 @query
 def portfolio_odds(i):
-    return publish(outcomes.odds(i.trials, TERMS))
+    return publish(outcomes.odds(i.portfolios, TERMS))
 
 
 @query
@@ -906,7 +933,7 @@ def any_tail_odds(i):
 
 @query
 def deployment_plans(i):
-    curve = outcomes.odds(i.trials, TERMS)
+    curve = outcomes.odds(i.portfolios, TERMS)
     df = outcomes.deployment(curve, F.lit(9000.0), F.lit(500.0), raises.relief(F.lit("SEIS"), True))
     return publish(df.withColumn("notes", F.array_join("notes", ",")))
 
@@ -964,14 +991,14 @@ def stream_positions(i):
 
 @query
 def stream_rescored(i):
-    """The newest three sessions arrive in four batches, with wrong closes that later batches correct; each batch re-scores
+    """The newest three sessions arrive in three batches, with wrong closes that later batches correct; each batch re-scores
     what it can change, and the state after the last is the screen of all bars."""
     days = i.bars.select("d").distinct().orderBy(F.col("d").desc()).limit(3).agg(F.sort_array(F.collect_list("d")).alias("last"))
     bars = i.bars.select("ticker", "d", "o", "c", "v").crossJoin(F.broadcast(days)).withColumn("k", F.array_position("last", F.col("d")))
-    first = F.substring("ticker", 1, 1) < "K"
+    first = F.xxhash64("ticker") % 2 == 0
     wrong = bars.withColumn("c", F.col("c") * 0.9).withColumn("seq", F.lit(1))
     right = bars.withColumn("seq", F.lit(2))
-    batches = (wrong.filter("k = 1"), right.filter((F.col("k") == 2) & first), right.filter((F.col("k") == 2) & ~first).union(right.filter("k = 1")), right.filter("k = 3"))
+    batches = (wrong.filter("k = 1"), right.filter((F.col("k") == 2) & first), right.filter(((F.col("k") == 2) & ~first) | F.col("k").isin(1, 3)))
     base = f"{shared_folder(i.spark)}/rescore-{uuid.uuid4().hex}"
     fields = ["ticker", "d", "o", "c", "v", "seq"]
     for n, batch in enumerate(batches):

@@ -16,26 +16,20 @@ ACCESSION = r"(\d{10}-\d{2}-\d{6})"
 BARE_ACCESSION = r"(\d{18})"
 HTML_BODY = r"(?i)^\s*(<!doctype html|<html)"
 
-FEED_XML = (
-    "entry array<struct<title: string, link: array<struct<_href: string>>, updated: string>>"
-)
+FEED_XML = "entry array<struct<title: string, link: array<struct<_href: string>>, updated: string>>"
+#: Prefixes do not matter, and a text that is no XML gives NULL.
+XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, body), one row per file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def unavailable(body: Column) -> Column:
     """An HTML page in place of a feed: the endpoint is missing, the data is not at fault."""
-    return body.rlike(HTML_BODY)
-
-
-def _parsed_feeds(documents: DataFrame) -> DataFrame:
-    """(path, entry, whole): a feed that is no XML, or cut off, has no entries and is not whole."""
-    good = documents.filter(~unavailable(F.col("body")))
-    parsed = good.select("path", "body", F.from_xml("body", FEED_XML).alias("feed"))
-    return parsed.select("path", F.col("feed.entry").alias("entry"), (F.col("feed").isNotNull() & whole_document(F.col("body"))).alias("whole"))
+    return F.coalesce(body.rlike(HTML_BODY), F.lit(False))
 
 
 def whole_document(body: Column) -> Column:
@@ -46,17 +40,57 @@ def whole_document(body: Column) -> Column:
     return F.coalesce((root != "") & (closed | text.rlike(r"^<[^>]*/>\s*$")), F.lit(False))
 
 
+def _without_open(body: Column, begin: str, end: str) -> Column:
+    """The text before a comment or character section that does not end."""
+    tail = F.substring_index(body, begin, -1)
+    cut = (F.instr(body, begin) > 0) & (F.instr(tail, end) == 0)
+    return F.when(cut, F.left(body, F.length(body) - F.length(tail) - len(begin))).otherwise(body)
+
+
+def closed(body: Column, element: str = r"[^<>\s]+") -> Column:
+    """A document that is cut off, up to the last whole ``element`` (by default any), with its open elements closed.
+
+    The open elements are a fold over the tags; a whole document stays as it is.
+    """
+    text = _without_open(_without_open(body, "<!--", "-->"), "<![CDATA[", "]]>")
+    kept = F.regexp_extract(text, rf"(?s)^(.*</(?:[\w.-]+:)?{element}\s*>)", 1)
+    bare = F.regexp_replace(kept, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[?!][^>]*>", "")
+    tags = F.regexp_extract_all(bare, F.lit(r"<[^<>]+>"), F.lit(0))
+    name = lambda t: F.regexp_extract(t, r"^<([^\s/>]+)", 1)
+    opened = F.aggregate(
+        tags, F.array().cast("array<string>"),
+        lambda acc, t: F.when(t.startswith("</"), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(t.endswith("/>"), acc).otherwise(F.concat(acc, F.array(name(t)))),
+    )
+    ends = F.array_join(F.transform(F.reverse(opened), lambda n: F.concat(F.lit("</"), n, F.lit(">"))), "")
+    return F.when(whole_document(body), body).otherwise(F.nullif(F.concat(kept, ends), F.lit("")))
+
+
+def _read_xml(documents: DataFrame, body: Column, schema: str) -> DataFrame:
+    """Adds ``xml``, the body as a struct. It comes out of a generator, so each document is parsed once."""
+    return documents.select("*", F.explode(F.array(F.from_xml(body, schema, XML_OPTIONS))).alias("xml"))
+
+
+def _parsed_feeds(documents: DataFrame) -> DataFrame:
+    """(path, entry, whole, html): the entries before the cut of a feed that is cut off, none of one that is no XML."""
+    judged = documents.select("path", "body", unavailable(F.col("body")).alias("html"))
+    text = F.when(~F.col("html"), closed(F.col("body"), "entry"))
+    read = _read_xml(judged, text, FEED_XML)
+    return read.select("path", F.col("xml.entry").alias("entry"), whole_document(F.col("body")).alias("whole"), "html")
+
+
+def _entry_fields(e: Column) -> dict[str, Column]:
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return {"title": text(e["title"]), "href": F.get(e["link"], F.lit(0))["_href"], "updated": text(e["updated"])}
+
+
 def feed_entries(documents: DataFrame) -> DataFrame:
     """One row per feed entry (path, title, href, updated); entries lacking title or link are kept with NULLs.
 
     Feeds that cannot be read have none; :func:`feed_report` names them.
     """
     entries = _parsed_feeds(documents).select("path", F.explode("entry").alias("e"))
-    text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return entries.select(
-        "path", text("e.title").alias("title"), F.get("e.link", F.lit(0))["_href"].alias("href"),
-        text("e.updated").alias("updated"),
-    )
+    return entries.select("path", *[v.alias(k) for k, v in _entry_fields(F.col("e")).items()])
 
 
 def form_kind(form: Column) -> Column:
@@ -103,13 +137,24 @@ def listings(entries: DataFrame) -> DataFrame:
 
 
 def feed_report(documents: DataFrame) -> DataFrame:
-    """What could not be read: one row per distinct field name over all feeds, plus unavailable endpoints."""
-    html = documents.filter(unavailable(F.col("body"))).select(F.lit("endpoint").alias("field"))
-    broken = _parsed_feeds(documents).filter("not whole").select(F.lit("feed").alias("field"))
-    entries = feed_entries(documents)
-    bare = entries.filter(F.col("title").isNull() | F.col("href").isNull()).select(F.lit("entry").alias("field"))
-    fields = listings(entries).select(F.explode("unparsed").alias("field"))
-    return html.unionByName(broken).unionByName(bare).unionByName(fields).distinct()
+    """(path, field): what could not be read of each document. ``endpoint`` stands for an HTML page, ``feed`` for a feed
+    that is no XML or cut off, ``entry`` for entries without title or link. One pass, one parse of each document."""
+
+    def unread(e: Column) -> Column:
+        f = _entry_fields(e)
+        bare = f["title"].isNull() | f["href"].isNull()
+        return F.array_compact(
+            F.array(
+                F.when(bare, "entry"), F.when(~bare & ~f["title"].rlike(TITLE), "title"),
+                F.when(~bare & (accession(f["href"]) == ""), "accession"),
+            )
+        )
+
+    fields = F.concat(
+        F.array_compact(F.array(F.when(F.col("html"), "endpoint"), F.when(~F.col("html") & ~F.col("whole"), "feed"))),
+        F.coalesce(F.flatten(F.transform("entry", unread)), F.array().cast("array<string>")),
+    )
+    return _parsed_feeds(documents).select("path", F.explode(F.array_distinct(fields)).alias("field")).distinct()
 
 
 def live_raises(rows: DataFrame, count: int | None = None) -> DataFrame:
@@ -124,21 +169,33 @@ _TAGS = (
     "nameOfIssuer", "issuerName", "offeringAmount", "maximumOfferingAmount", "securityOfferedType",
     "typeOfSecurityOffered", "deadlineDate", "jurisdictionOrganization", "price",
 )
+#: Elements below the root that hold the tags; the spelling's case does not matter.
+_HOLDERS = ("", "formData", "formData.issuerInformation", "formData.issuerInformation.issuerInfo", "formData.offeringInformation",
+            "issuerInformation", "issuerInformation.issuerInfo", "offeringInformation")
+
+
+def _offering_schema(prefix: str = "") -> str:
+    """Fields of the element ``prefix``: the tags, as lists because they may repeat, and the holders below it."""
+    below = {h.removeprefix(prefix).lstrip(".") for h in _HOLDERS if h.startswith(prefix) and h != prefix}
+    inner = sorted(h for h in below if h and "." not in h)
+    parts = [(t, "array<string>") for t in _TAGS]
+    parts += [(h, f"struct<{_offering_schema(f'{prefix}.{h}'.lstrip('.'))}>") for h in inner]
+    return ", ".join(f"{name}{':' if prefix else ''} {kind}" for name, kind in parts)
+
+
+OFFERING_XML = _offering_schema() + ", _corrupt_record string"
 
 
 def _tag(tag: str) -> Column:
-    """Text of the first element with this name at any depth, else of its lower-case spelling.
+    """Text of the first such element in the holders, or else, for documents that have it in another place, anywhere.
 
-    Taken by pattern because the tags sit at varying depths of the document.
+    An element with elements inside counts with their text.
     """
-    def grab(name: str) -> Column:
-        shape = rf"(?s)<{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[(.*?)\]\]>|([^<]*))\s*</{name}\s*>"
-        inner = F.regexp_extract("body", shape, 2)
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            inner = F.replace(inner, F.lit(entity), F.lit(char))
-        return F.nullif(F.trim(F.concat(F.regexp_extract("body", shape, 1), inner)), F.lit(""))
-
-    return F.coalesce(grab(tag), grab(tag.lower()))
+    found = F.coalesce(*[F.get(F.col(".".join(x for x in ("xml", h, tag) if x)), F.lit(0)) for h in _HOLDERS])
+    named = f"translate(local-name(), '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}') = '{tag.lower()}'"
+    there = F.lower("body").rlike(rf"<(?:[\w.-]+:)?{tag.lower()}[\s>]") & F.col("_whole")
+    anywhere = F.when(there, F.xpath_string("body", F.lit(f"(//*[{named}])[1]")))
+    return F.nullif(F.trim(F.regexp_replace(F.coalesce(found, anywhere), r"<[^>]*>", "")), F.lit(""))
 
 
 def _amount(raw: Column) -> Column:
@@ -146,12 +203,14 @@ def _amount(raw: Column) -> Column:
 
 
 def offerings(documents: DataFrame) -> DataFrame:
-    """Offering terms per document ``(accession_number, body)``.
+    """Offering terms per document ``(accession_number, body)``, each read once by schema.
 
     An amount whose text holds no digits is NULL and counts as unparsed, and so does a document that is cut off; what
-    stands in it whole is kept.
+    stands in it whole is kept. A document that is no XML gives NULLs and counts as unparsed.
     """
-    df = documents.withColumns({f"_{t}": _tag(t) for t in _TAGS})
+    df = _read_xml(documents, closed(F.col("body")), OFFERING_XML)
+    df = df.withColumn("_whole", whole_document(F.col("body")) & F.col("xml").isNotNull() & F.col("xml._corrupt_record").isNull())
+    df = df.withColumns({f"_{t}": _tag(t) for t in _TAGS})
     df = df.withColumns({"offering_amount": _amount(F.col("_offeringAmount")),
                          "maximum_offering_amount": _amount(F.col("_maximumOfferingAmount"))})
     return df.select(
@@ -166,7 +225,7 @@ def offerings(documents: DataFrame) -> DataFrame:
             F.array(
                 F.when(F.col("offering_amount").isNull(), "offeringAmount"),
                 F.when(F.col("maximum_offering_amount").isNull(), "maximumOfferingAmount"),
-                F.when(~whole_document(F.col("body")), "document"),
+                F.when(~F.col("_whole"), "document"),
             )
         ).alias("unparsed"),
     )

@@ -22,8 +22,8 @@ RATIOS_JSON = "grossProfitMarginTTM DOUBLE, operatingProfitMarginTTM DOUBLE, pri
 METRICS_JSON = (
     "evToEBITDATTM DOUBLE, netDebtToEBITDATTM DOUBLE, returnOnInvestedCapitalTTM DOUBLE, freeCashFlowYieldTTM DOUBLE"
 )
-SECTOR_JSON = "pe DOUBLE"
-QUOTE_JSON = "price DOUBLE, changePercentage DOUBLE"
+SECTOR_JSON = "date DATE, pe DOUBLE"
+QUOTE_JSON = "price DOUBLE, changePercentage DOUBLE, timestamp BIGINT"
 
 PROFILE_NAMES = {
     "companyName": "company_name", "price": "quote_price", "marketCap": "market_cap", "beta": "beta",
@@ -41,42 +41,58 @@ METRICS_NAMES = {
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: symbol from the file name, whole body."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_name"))
-    return files.select(F.regexp_extract("path", r"^([^.]+)", 1).alias("symbol"), F.col("value").alias("body"))
+    """One row per file: its whole body, and the symbol from its folder ``symbol=...`` or else from its name."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("path", F.url_decode("_metadata.file_path"))
+    symbol = F.coalesce(*[F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (r"/symbol=([^/]+)/[^/]*$", r"([^/.]+)[^/]*$")])
+    return files.select(symbol.alias("symbol"), F.col("value").alias("body"))
 
 
 def _first_char(body: Column) -> Column:
     return F.substring(F.trim(body), 1, 1)
 
 
-def rejection(body: Column, history: bool = False) -> Column:
+def parsed(payloads: DataFrame) -> DataFrame:
+    """Adds ``json``, the body as a VARIANT, NULL where it is none.
+
+    It comes out of a generator, which expressions over it are not moved through: a body is parsed once, however many
+    checks and fields are read from it.
+    """
+    if "json" in payloads.columns:
+        return payloads
+    return payloads.select("*", F.explode(F.array(F.try_parse_json("body"))).alias("json"))
+
+
+def _rejection(history: bool) -> Column:
     """Why a body cannot be used, or NULL. Refusals of the ``history`` endpoint can be any object without bars that
     holds such a phrase; elsewhere an object is refused by its error message only."""
-    message = F.get_json_object(body, "$['Error Message']")
-    char = _first_char(body)
-    listed = F.get_json_object(body, "$.historical").isNotNull()
+    body, json = F.col("body"), F.col("json")
+    message = F.try_variant_get(json, "$['Error Message']", "string")
+    listed = F.try_variant_get(json, "$.historical", "variant").isNotNull()
+    structured = json.isNotNull() & _first_char(body).isin("[", "{")
     return (
         F.when(body.isNull() | (F.trim(body) == ""), "empty")
         .when(message.rlike(PLAN_PHRASES), "plan_limit")
         .when(message.isNotNull(), "provider_error")
-        .when(~char.isin("[", "{"), F.when(body.rlike(PLAN_PHRASES), "plan_limit").otherwise("not_json"))
-        .when(F.try_parse_json(body).isNull(), F.when(body.rlike(PLAN_PHRASES), "plan_limit").otherwise("not_json"))
-        .when(F.lit(history) & (char == "{") & ~listed & body.rlike(PLAN_PHRASES), "plan_limit")
+        .when(~structured, F.when(body.rlike(PLAN_PHRASES), "plan_limit").otherwise("not_json"))
+        .when(F.lit(history) & (_first_char(body) == "{") & ~listed & body.rlike(PLAN_PHRASES), "plan_limit")
     )
 
 
+def judged(payloads: DataFrame, history: bool = False) -> DataFrame:
+    """The parsed payloads with the ``reason`` for which a body cannot be used, NULL for usable ones."""
+    return parsed(payloads).withColumn("reason", _rejection(history))
+
+
 def split_quarantine(payloads: DataFrame, history: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(usable, quarantined): usable rows go on, the others keep their reason and whole body."""
-    judged = payloads.withColumn("reason", rejection(F.col("body"), history))
-    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
+    """(usable, quarantined): usable rows go on with their parsed body, the others keep their reason and whole body."""
+    rows = judged(payloads, history)
+    return rows.filter(F.col("reason").isNull()).drop("reason"), rows.filter(F.col("reason").isNotNull()).drop("json")
 
 
-def _rows(body: Column, item: str) -> Column:
-    """The array a body holds: bare, under ``historical``, or a single object."""
-    bare = F.from_json(body, f"array<struct<{item}>>")
-    nested = F.from_json(body, f"struct<historical:array<struct<{item}>>>")["historical"]
-    return F.when(_first_char(body) == "[", bare).otherwise(nested)
+def _rows(item: str) -> Column:
+    """The array a body holds: bare, or under ``historical``."""
+    kind = f"array<struct<{item}>>"
+    return F.coalesce(F.try_variant_get("json", "$", kind), F.try_variant_get("json", "$.historical", kind))
 
 
 def _ddl(fields: str) -> str:
@@ -84,7 +100,7 @@ def _ddl(fields: str) -> str:
 
 
 def _bar_rows(usable: DataFrame) -> DataFrame:
-    return usable.select(F.col("symbol").alias("ticker"), F.inline(_rows(F.col("body"), _ddl(BAR_JSON))))
+    return parsed(usable).select(F.col("symbol").alias("ticker"), F.inline(_rows(_ddl(BAR_JSON))))
 
 
 def unusable_bars(usable: DataFrame) -> DataFrame:
@@ -114,11 +130,11 @@ def history_bars(usable: DataFrame, sessions: int | None = None) -> DataFrame:
 
 def first_item(usable: DataFrame, fields: str, names: dict[str, str], key: str = "ticker") -> DataFrame:
     """First element of each response array (or the bare object), renamed; symbols with an empty array drop out."""
-    many = F.from_json("body", f"array<struct<{_ddl(fields)}>>")
-    one = F.from_json("body", f"struct<{_ddl(fields)}>")
-    item = F.when(_first_char(F.col("body")) == "[", F.get(many, F.lit(0))).otherwise(one)
-    parsed = usable.select(F.col("symbol").alias(key), item.alias("x")).filter(F.col("x").isNotNull())
-    return parsed.select(key, *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
+    kind = f"struct<{_ddl(fields)}>"
+    item = F.coalesce(F.try_variant_get("json", "$[0]", kind), F.try_variant_get("json", "$", kind))
+    rows = parsed(usable).select(F.col("symbol").alias(key), F.explode(F.array(item)).alias("x")).filter(F.col("x").isNotNull())
+    return rows.select(key, *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
+
 
 
 def profiles(usable: DataFrame) -> DataFrame:
@@ -134,9 +150,10 @@ def key_metrics(usable: DataFrame) -> DataFrame:
 
 
 def sector_pe(usable: DataFrame) -> DataFrame:
-    """(sector, pe): one lookup per sector; failures are simply absent."""
-    return first_item(usable, SECTOR_JSON, {"pe": "pe"}, key="sector")
+    """(sector, date, pe): the snapshots that have a value; failures are simply absent."""
+    return first_item(usable, SECTOR_JSON, {"date": "date", "pe": "pe"}, key="sector").filter(F.col("pe").isNotNull())
 
 
 def quotes(usable: DataFrame) -> DataFrame:
-    return first_item(usable, QUOTE_JSON, {"price": "price", "changePercentage": "change_pct"}, key="symbol")
+    names = {"price": "price", "changePercentage": "change_pct", "timestamp": "ts"}
+    return first_item(usable, QUOTE_JSON, names, key="symbol")

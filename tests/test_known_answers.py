@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ebbline.config import BASELINE_OUTCOMES, HurdleTerms, TaxProfile, WalkForwardConfig
 from ebbline.functions import raises, scalar
 from ebbline.operators import factors, outcomes, ranking, scoring, technicals
+from ebbline.operators.asof import as_of
 from ebbline.plans import live, research, walkforward
 from tests import panels
 
@@ -93,17 +94,43 @@ def test_retail_moves_mass_to_total_loss(spark):
     assert sum(r.values()) == pytest.approx(1) and r[30.0] == pytest.approx(0.003) and r[0.0] == pytest.approx(0.507)
 
 
-def test_simulated_tail_matches_closed_form(spark):
-    investors = spark.range(4000).select(F.lit("base").alias("dist_id"), F.col("id").alias("trial"))
-    trials = outcomes.trials(investors, baseline(spark), outcomes.net_of("SEIS", TaxProfile()), "7")
-    got = outcomes.odds(trials, HurdleTerms()).select("positions", "p_any_tail", "p_below_capital")
-    exact = outcomes.any_tail_probability(baseline(spark)).select("positions", F.col("p_any_tail").alias("exact"))
-    rows = got.join(exact, "positions").orderBy("positions").collect()
-    assert len(rows) == 12 and all(abs(r.p_any_tail - r.exact) < 0.03 for r in rows)
-    plan = outcomes.deployment(outcomes.odds(trials, HurdleTerms()), F.lit(9000.0), F.lit(500.0), F.lit(0.5)).first()
+def test_odds_of_recorded_portfolios(spark):
+    """The first n positions by time count, and an investor with fewer is in no portfolio of n."""
+    rows = [("base", 1, 5, 0, 0.0), ("base", 1, 2, 1, 12.0), ("base", 1, 2, 0, 0.5), ("base", 2, 1, 0, 30.0), ("base", 3, 1, 0, 0.0), ("base", 3, 2, 0, 4.0)]
+    rows += [("base", 4, k, 0, 0.0 if k < 100 else 30.0) for k in range(150)]
+    positions = spark.createDataFrame(rows, "dist_id string, investor int, taken int, seq int, multiple double")
+    got = {(r.investor, r.positions): (r.multiple, r.any_tail) for r in outcomes.portfolios(positions, F.col("multiple")).collect()}
+    assert got[1, 1] == (0.5, False) and got[1, 2] == (6.25, True) and got[1, 3] == (pytest.approx(12.5 / 3), True) and (1, 5) not in got
+    assert got[2, 1] == (30.0, True) and (2, 2) not in got and got[4, 100] == (0.0, False)
+    curve = {r.positions: r for r in outcomes.odds(outcomes.portfolios(positions, F.col("multiple")), HurdleTerms()).collect()}
+    assert (curve[1].investors, curve[1].p_any_tail, curve[2].investors, curve[2].median_multiple) == (4, 0.25, 3, 2.0)
+    plan = outcomes.deployment(outcomes.odds(outcomes.portfolios(positions, F.col("multiple")), HurdleTerms()), F.lit(9000.0), F.lit(500.0), F.lit(0.5)).first()
     assert (plan.positions, plan.capital_at_risk) == (18, 4500.0)
 
 
+def test_chain_index_ignores_what_comes_later(spark):
+    panel = panels.factor_panel(5, 90, 41)
+    day = panel.d.map({d: k for k, d in enumerate(panels.sessions(90))})
+    frame = lambda p: spark.createDataFrame(p[["ticker", "d", "c"]]).withColumn("weight", F.lit(1.0))
+    before = {r.d: (r.level, r.regime) for r in factors.chain_index(frame(panel[panel.ticker < "N4"])).join(research.regimes(frame(panel[panel.ticker < "N4"]), 20), "d").collect()}
+    late = frame(panel[((panel.ticker < "N4") | (day >= 60)) & ~((panel.ticker == "N0") & (day > 75))])
+    after = {r.d: (r.level, r.regime) for r in factors.chain_index(late).join(research.regimes(late, 20), "d").collect()}
+    days = panels.sessions(90)
+    assert all(before[d][1] == after[d][1] and before[d][0] == pytest.approx(after[d][0], rel=1e-12) for d in days[:61])
+    assert before[days[61]][0] != after[days[61]][0] and len(after) == 90
+    step = np.log(after[days[80]][0] / after[days[79]][0])
+    c = {(r.ticker, r.d): r.c for r in panel.itertuples()}
+    assert step == pytest.approx(np.mean([np.log(c[f"N{k}", days[80]] / c[f"N{k}", days[79]]) for k in (1, 2, 3, 4)]))
+
+
+def test_as_of_join(spark):
+    left = spark.createDataFrame([("A", 5, 1), ("A", 9, 2), ("A", 1, 3), ("B", 5, 4), (None, 5, 5), ("A", None, 6), ("A", 9, 2)], "k string, at int, n int")
+    right = spark.createDataFrame([("A", 5, 10.0), ("A", 5, 11.0), ("A", 8, None), ("A", 12, 13.0), (None, 1, 1.0), ("B", None, 2.0), ("C", 1, 3.0)], "k string, since int, v double")
+    for salts in (1, 4):
+        got = as_of(left, right, ["k"], "at", "since", {"v": "v", "from": "since"}, salts).collect()
+        assert sorted((r.n, r.v, r["from"]) for r in got) == [(1, 11.0, 5), (2, None, 8), (2, None, 8), (3, None, None), (4, None, None), (5, None, None), (6, None, None)]
+
+
 def obs_frame(spark, rows):
     df = spark.createDataFrame(
         [(f"T{k}", dt.date(2024, 1, 1) + dt.timedelta(days=k), s, c, f) for k, (s, c, f) in enumerate(rows)],

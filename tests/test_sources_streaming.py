@@ -39,8 +39,11 @@ def test_history_forms_and_cap(spark):
 
 
 def test_first_item_of_each_response(spark):
-    df = bodies(spark, ("A", '[{"pe": 20.5}, {"pe": 1}]'), ("B", "[]"), ("C", '{"pe": 9}'), ("D", '[{"pe": null}]'))
-    assert {r.sector: r.pe for r in payloads.sector_pe(df).collect()} == {"A": 20.5, "C": 9.0, "D": None}
+    df = bodies(spark, ("A", '[{"pe": 20.5, "date": "2024-01-02"}, {"pe": 1}]'), ("B", "[]"), ("C", '{"pe": 9}'), ("D", '[{"pe": null}]'))
+    assert {r.sector: (r.date, r.pe) for r in payloads.sector_pe(df).collect()} == {"A": (dt.date(2024, 1, 2), 20.5), "C": (None, 9.0)}
+    good, _ = payloads.split_quarantine(df)
+    plan = payloads.sector_pe(good)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
 
 
 def test_read_bodies_takes_whole_files(spark, tmp_path):
@@ -144,8 +147,13 @@ def test_full_history_and_unusable_bars(spark):
 
 def test_cut_off_documents_are_reported(spark):
     whole = '<?xml version="1.0"?><feed><entry><title>C - A Co (0000000001) (Filer)</title><link href="x"/></entry></feed>'
-    feeds = spark.createDataFrame([("a", whole), ("b", whole[:80]), ("c", "plain"), ("d", "<html></html>")], "path string, body string")
-    assert {r.field for r in filings.feed_report(feeds).collect()} == {"feed", "endpoint", "accession"}
+    one = whole.replace("</feed>", "")
+    rows = [("a", whole), ("b", whole[:80]), ("c", "plain"), ("d", "<html></html>"), ("e", one + "<entry><title>C - B Co (00000"), ("f", None), ("g", "<!-- <entry></entry>" + whole[21:])]
+    feeds = spark.createDataFrame(rows, "path string, body string")
+    assert {tuple(r) for r in filings.feed_report(feeds).collect()} == {
+        ("a", "accession"), ("b", "feed"), ("c", "feed"), ("d", "endpoint"), ("e", "feed"), ("e", "accession"), ("f", "feed"), ("g", "feed"),
+    }
+    assert [(r.path, r.title) for r in filings.feed_entries(feeds).orderBy("path").collect()] == [(p, "C - A Co (0000000001) (Filer)") for p in "ae"]
     docs = [
         ("1", "<d><nameOfIssuer><![CDATA[Acme & Co]]></nameOfIssuer><offeringAmount>5</offeringAmount><maximumOfferingAmount>9</maximumOfferingAmount></d>"),
         ("2", "<d><nameOfIssuer>B &amp; Co</nameOfIssuer><offeringAmount>5</offer"),
@@ -155,6 +163,26 @@ def test_cut_off_documents_are_reported(spark):
     assert (got["2"].issuer_name, got["2"].offering_amount) == ("B & Co", None) and "document" in got["2"].unparsed
 
 
+def test_offerings_are_read_by_schema(spark):
+    """Comments, repeated and nested elements, numeric entities, prefixes, spellings, and tags in unusual places."""
+    docs = {
+        "comment": "<e><!-- <price>1</price> --><formData><offeringInformation><price>2</price></offeringInformation></formData></e>",
+        "nested": "<e><formData><offeringInformation><price><price>3</price></price></offeringInformation></formData></e>",
+        "repeated": "<e><offeringInformation><price>4</price><price>5</price></offeringInformation></e>",
+        "entity": "<e><formData><issuerInformation><nameOfIssuer>A &#38; &#x42;</nameOfIssuer></issuerInformation><price>6</price></formData></e>",
+        "prefix": "<f:e xmlns:f='u'><f:formData><f:offeringInformation><f:price>7</f:price></f:offeringInformation></f:formData></f:e>",
+        "spelling": "<e><formdata><issuerinformation><ISSUERNAME>B</ISSUERNAME></issuerinformation><PRICE>8</PRICE></formdata></e>",
+        "deep": "<e><x><y><price>9</price></y></x></e>",
+        "broken": "<e><price>1</price><x></y></e>",
+        "empty": "", "null": None, "cut": "<e><price>10</price><![CDATA[ <price>11</price>",
+    }
+    got = {r.accession_number: r for r in filings.offerings(spark.createDataFrame(list(docs.items()), "accession_number string, body string")).collect()}
+    prices = {k: got[k].price for k in docs}
+    assert prices == {"comment": 2, "nested": 3, "repeated": 4, "entity": 6, "prefix": 7, "spelling": 8, "deep": 9, "broken": None, "empty": None, "null": None, "cut": 10}
+    assert (got["entity"].issuer_name, got["spelling"].issuer_name) == ("A & B", "B")
+    assert {k for k in docs if "document" in got[k].unparsed} == {"broken", "empty", "null", "cut"}
+
+
 def test_one_deal_for_each_filing(spark):
     row = ("", "", "", "2026-01-01", "C", "offering", "", "http://x/{}", [])
     rows = [(*row[:7], row[7].format(k), row[8]) for k in (1, 2, 3, 3)]
