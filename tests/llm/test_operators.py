@@ -55,6 +55,46 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_a_family_of_near_copies_asks_nothing(spark, monkeypatch):
+    """2,000 copies of one text with one to four words changed: what the matrix is asked, against brute force."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for j in rng.choice(150, 1 + k % 4, replace=False):
+            words[j] = f"x{rng.integers(1_000_000)}"
+        texts.append(" ".join(words))
+    first = []
+    across = ngram_join._across
+
+    def watched(sets, member, num, den):
+        largest = member.groupBy("component").count().agg(F.max("count")).first()[0]
+        out = across(sets, member, num, den)
+        first.append((largest, member.count(), 0 if out is None else out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_across", watched)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(table).collect()}
+    ids = {}
+    sets = [np.array([ids.setdefault(tuple(w[j : j + 5]), len(ids)) for j in range(len(w) - 4)]) for w in map(str.split, texts)]
+    has = np.zeros((2000, len(ids)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, s] = 1
+    both, n = has @ has.T, has.sum(1)
+    linked = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    label = np.arange(2000)
+    while True:
+        least = np.where(linked, label[None], 2000).min(1)
+        if (least == label).all():
+            break
+        label = least
+    assert got == dict(enumerate(label.tolist()))
+    largest, members, found = first[0]
+    assert largest > 0.8 * members and found < 0.2 * members
+
+
 def test_similar_documents(spark, docs, rows):
     sets = collections.defaultdict(list)
     for i, t in rows:
