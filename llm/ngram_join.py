@@ -5,8 +5,8 @@ A document's tokens are the 64-bit hashes of its distinct word shingles. Documen
 1. *Tokens met nowhere else.* All (token, class) entries are dealt by token range in compressed form; a token met within
    one task's buffer by several classes is sent once as "shared", so a token of a third of all documents is a few
    entries. A class can only have links if enough of its tokens are shared (75 % at similarity 0.75); the rest go.
-2. *Groups.* The others are put together with the most typical document of each min-hash key, then component by
-   component with other documents of the key; true links make groups of similar documents.
+2. *Groups.* The others are put together with the most typical document of each min-hash key, and true links make
+   groups of similar documents.
 3. *Matrix.* Groups are cut by size into parts of at most about MEMBERS documents, and (token, part) rows hold each
    part's token union. Documents of the smaller of two components ask: those with too few tokens in greater components
    are done; of the others the rarest tokens that a link must share find parts, the overlap with a part's union bounds
@@ -36,8 +36,6 @@ SETS = "doc_id bigint, n bigint, shared bigint, keys array<bigint>, tokens array
 KEYS = 3
 #: Documents of a group of the matrix, on average at most.
 MEMBERS = 32
-#: Further rounds of the key step.
-ROUNDS = 3
 #: Token ranges, at least; more where the input has over 10 MB for each.
 PIECES = 128
 
@@ -230,24 +228,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(doc_id, component) of sets(doc_id, n, shared, keys, tokens).
 
-    First every document meets the most typical one of each of its keys. Then, in a few rounds, one document of each
-    component meets one of another component of its key, both picked by a hash that changes with the round, so that a
-    family of near copies falls together before the matrix. Rounds only save work: the matrix finds whatever is left.
+    Every document meets the most typical one of each of its keys; the matrix finds whatever is left.
     """
     sets = sets.withColumn("shared", F.least("shared", "n"))
-    meta = staged(sets.select("doc_id", "n", "shared", F.posexplode("keys").alias("j", "key")))
+    meta = sets.select("doc_id", "n", "shared", F.posexplode("keys").alias("j", "key"))
     best = F.max(F.struct(F.col("shared") / F.col("n"), (-F.col("doc_id")).alias("o"), "n", "shared")).alias("top")
     tops = meta.groupBy("j", "key").agg(F.count("*").alias("c"), best).where("c > 1")
     tops = staged(tops.select("j", "key", (-F.col("top.o")).alias("top"), F.col("top.n").alias("top_n"), F.col("top.shared").alias("top_shared")))
     pairs = meta.join(small(tops), ["j", "key"]).where(F.col("doc_id") != F.col("top"))
     pairs = pairs.where(_may_link("n", "shared", "top_n", "top_shared", num, den)).select(F.col("doc_id").alias("a"), F.col("top").alias("b"))
     links = staged(_linked(staged(pairs.distinct()), sets, num, den))
-    for r in range(ROUNDS):
-        group = components(links)
-        new = staged(_linked(staged(_met_again(meta, group, r, num, den)), sets, num, den))
-        if new.isEmpty():
-            break
-        links = staged(links.union(new))
     member = _placed(sets, components(links))
     more = _across(sets, member, num, den)
     if more is not None:
@@ -262,18 +252,6 @@ def _placed(sets: DataFrame, group: DataFrame) -> DataFrame:
     return staged(g.withColumn("component", F.coalesce("component", "doc_id")))
 
 
-def _met_again(meta: DataFrame, group: DataFrame, r: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key, one for each component of a key."""
-    here = meta.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pick = F.max(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id", "n", "shared")).alias("x")
-    each = here.groupBy("j", "key", "component").agg(pick, F.count("*").alias("docs"))
-    top = F.max(F.struct("docs", "component", "x")).alias("y")
-    tops = staged(each.groupBy("j", "key").agg(F.count("*").alias("c"), top).where("c > 1").select("j", "key", "y"))
-    both = each.join(small(tops), ["j", "key"]).where(F.col("component") != F.col("y.component"))
-    both = both.select("x.*", F.col("y.x.doc_id").alias("b"), F.col("y.x.n").alias("nb"), F.col("y.x.shared").alias("sb"))
-    return both.where(_may_link("n", "shared", "nb", "sb", num, den)).select(F.col("doc_id").alias("a"), "b").distinct()
-
-
 def _may_link(n: str, c: str, other_n: str, other_c: str, num: int, den: int):
     """Two sets of n tokens, of which at most c can be in the other: sizes and overlap allow a link."""
     sized = den * F.least(n, other_n) >= num * F.greatest(n, other_n)
@@ -283,10 +261,10 @@ def _may_link(n: str, c: str, other_n: str, other_c: str, num: int, den: int):
 def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links (a, b) between different components, one for each two that link, or None where no document can have one.
 
-    Components are ordered by size, and only the smaller one asks: ``c`` of a document is how many of its tokens a greater
-    component holds. So a large family of near copies is there to be found, but asks nothing. A partner of size m needs an
-    overlap of num * (n + m) / (den + num), so c limits the partner's size, and a token counts only if some document has
-    it whose size is within that limit. The least size among those gives the least overlap ``need``; with c below it a
+    Components are ordered by the power of two of their size, then by id, in one number ``rank`` (the id's low 57 bits).
+    Only the lesser one asks: ``c`` of a document is how many of its tokens a greater component holds. So a large family
+    of near copies is there to be found, but asks nothing. A partner of size m needs an overlap of num * (n + m) /
+    (den + num), so c limits the partner's size, and a token counts only if some document has it whose size is within it. The least size among those gives the least overlap ``need``; with c below it a
     document is done.
 
     A matrix group is a part of one component, or of the unlinked documents of one min-hash key, of nearly one size.
@@ -296,19 +274,19 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
     family = F.when(F.col("size") > 1, F.col("component")).otherwise(F.xxhash64(band, "key"))
     member = staged(looked_up(member, sizes, "component").withColumn("family", family))
     many = staged(member.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"), F.count("*").alias("rows")))
-    member = looked_up(member, many, "family").withColumn("rank", F.struct("size", "component"))
+    order = F.shiftleft(F.floor(F.log2("size")).cast("bigint"), 57).bitwiseOR(F.col("component").bitwiseAND((1 << 57) - 1))
+    member = looked_up(member, many, "family").withColumn("rank", order)
     group = F.xxhash64("family", band, F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    place = staged(member.withColumn("g", group).select("doc_id", "n", "shared", "component", "rank", "g"))
+    place = staged(member.withColumn("g", group).select("doc_id", "n", "shared", "rank", "g"))
     limit = F.floor(F.col("shared") * (den + num) / num) - F.col("n")
     tokens = sets.select("doc_id", "n", "tokens").join(small(place), ["doc_id", "n"])
-    tokens = tokens.select("doc_id", "n", "shared", "rank", "g", limit.alias("limit"), F.explode("tokens").alias("t"))
+    tokens = tokens.select("doc_id", "n", "shared", "rank", "g", F.explode("tokens").alias("t"))
     matrix = staged(
         tokens.groupBy("t").agg(
-            F.min("rank.component").alias("lo"), F.max("rank.component").alias("hi"), F.max("rank").alias("top"), F.min("n").alias("least"),
-            F.max("limit").alias("most"), F.count("*").alias("df"),
-        ).where("lo <> hi").select("t", "top", "least", "most", "df")
+            F.min("rank").alias("low"), F.max("rank").alias("top"), F.min("n").alias("least"), F.max(limit).alias("most"), F.count("*").alias("df")
+        ).where("low <> top").drop("low")
     )
-    met = tokens.join(small(matrix), "t").where("top > rank and least <= limit and n <= most")
+    met = tokens.drop("g").join(small(matrix), "t").where((F.col("top") > F.col("rank")) & (F.col("least") <= limit) & (F.col("n") <= F.col("most")))
     own = Window.partitionBy("doc_id", "n", "rank")
     need = F.ceil(num * (F.col("n") + F.greatest(F.min("least").over(own), F.ceil(F.col("n") * num / den))) / (den + num))
     asked = met.withColumns({"c": F.count("*").over(own), "need": need}).where("c >= need")
@@ -316,8 +294,9 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
     first = staged(first.select("doc_id", "n", "rank", "c", "need", "t"))
     if first.isEmpty():
         return None
+    wanted = staged(first.select("t").distinct())
     union = staged(
-        tokens.groupBy("t", "g").agg(F.min("n").alias("n_g"), F.max("n").alias("n_top"), F.max("shared").alias("c_g"), F.max("rank").alias("top"))
+        tokens.join(small(wanted), "t", "left_semi").groupBy("t", "g").agg(F.min("n").alias("n_g"), F.max("n").alias("n_top"), F.max("shared").alias("c_g"), F.max("rank").alias("top"))
     )
     floor = F.ceil(F.col("n") * num / den)
     fits = (F.col("n_g") <= F.floor(F.col("n") * den / num)) & (F.col("n_top") >= floor)
@@ -336,6 +315,6 @@ def _across(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame
         able = sized & (both <= (den + num) * F.least(F.col("c"), m["shared"]))
         return (m["rank"] > F.col("rank")) & able & (F.size(F.array_intersect("tokens", m["tokens"])) * (den + num) >= both)
 
-    found = rows.select("doc_id", F.col("rank.component").alias("asks"), F.filter("members", links).alias("x")).where(F.size("x") > 0)
-    found = found.select("asks", F.explode("x").alias("x"), "doc_id").groupBy("asks", "x.rank.component")
+    found = rows.select("doc_id", "rank", F.filter("members", links).alias("x")).where(F.size("x") > 0)
+    found = found.select("doc_id", F.col("rank").alias("asks"), F.explode("x").alias("x")).groupBy("asks", "x.rank")
     return staged(found.agg(F.min(F.struct(F.col("doc_id").alias("a"), F.col("x.doc_id").alias("b"))).alias("l")).select("l.a", "l.b"))
