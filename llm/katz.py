@@ -1,17 +1,16 @@
-"""Language-model scoring by a Katz back-off bigram model.
-
-Symbols are the ``vocabulary`` most frequent training words and one tail class for all other words; a tail word's
-probability is the class's times its share of the class, by its own count. Every word of the corpus is counted.
-
-* Unigram counts are grouped sums, stored as a table.
-* Bigram instances are dealt by history in compressed pieces. A piece counts them, divides by the history's count and
-  returns to each document its sum of log10(c(h, w) / c(h)), how often it met pairs of count 1 to 5, and its unseen pairs.
-* Good-Turing discounts follow from all pieces' counts of counts, and a history's back-off weight from its own table
-  row: the mass its seen successors leave, over the unigram mass of the words it was not seen with. One symbol that never
-  occurs keeps 1 / (N + 1) of the unigram mass, so every history leaves some. Both are exact, so the probabilities after
-  any history sum to 1.
-* Pairs of the HOT most frequent words, which may fill a large part of a corpus, are counted before the exchange and
-  scored where they are read.
+"""Language-model scoring by a Katz back-off trigram model over all words.
+
+* Word counts are grouped sums, stored as a table. The CACHED most frequent words are held by every task; that only
+  shortens codes and saves joins: a word outside them is carried by its hash and finds its count in the table.
+* Trigram instances are dealt, in compressed pieces, by their middle word, or, where that is one of the HOT most frequent
+  words, by the history, and where both its words are hot, by the trigram. So a piece holds all instances of a trigram
+  and, but for hot histories, all that follows a history and all that follows its second word. Bigrams after a hot word
+  are counted before (at most HOT times CACHED, held by every task, and a table for other words).
+* A piece counts trigrams, bigrams and histories, and evaluates every instance recursively: trigram, else back-off weight
+  and bigram, else back-off weight and unigram. It returns sums per document, and rows for what needs the Good-Turing
+  discounts of the whole corpus, a back-off weight or a rare word's count. Those are joined and summed per document.
+* A history's back-off weight is the mass its seen successors leave over the lower-order mass of the words not seen after
+  it, both exact, so that the probabilities after any history sum to 1 over all words and one unknown word.
 """
 
 from __future__ import annotations
@@ -20,21 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.staging import staged
 from llm import words as W
 from llm.common import Sent, input_bytes, slices, small
 
-VOCABULARY = (1 << 18) - 2
-HOT = 512
+#: Words whose counts every task holds.
+CACHED = (1 << 18) - 1
+#: Most frequent words whose instances are dealt by more than one word; the start symbol is always one of them.
+HOT = 16
 DISCOUNTED = 5
 FLUSH = 1_000_000
 PIECES = 32
-END = np.uint64(0x2545F4914F6CDD1D)
+#: Instances that a piece evaluates at once.
+AT_ONCE = 400_000
+END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _R = [f"n{r}" for r in range(1, DISCOUNTED + 1)]
-FACTS = "kind int, key bigint, h int, n bigint, x double, " + ", ".join(f"{r} bigint" for r in _R)
+_M = [f"m{r}" for r in range(1, DISCOUNTED + 1)]
+_COLUMNS = ["kind", "key", "h", "w", "n", "x", *_R, *_M, "a", "b"]
+FACTS = ", ".join(f"{c} {'int' if c == 'kind' else 'double' if c == 'x' else 'bigint'}" for c in _COLUMNS)
 READ = "kind int, key bigint, doc_id bigint, held boolean, w bigint, n bigint, known bigint, base double"
 
 
@@ -51,39 +56,55 @@ def discounts(counts: dict[int, int]) -> np.ndarray:
 
 
 class _Model:
-    """What every task needs: the vocabulary with counts and unigram probabilities. Bounded by VOCABULARY and HOT."""
+    """What every task holds: the cached words' counts, unigram probabilities, bigram counts after hot words. Bounded by
+    CACHED and HOT."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int, tail: int, single: int, texts: int, nr: dict[int, int], hot: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int, texts: int, nr: dict[int, int], hot: int):
         order = np.argsort(words)
         self.words, self.counts, self.total, self.types = words[order], counts[order].astype(np.int64), total, types
-        self.size = len(words)
-        self.tail, self.start, self.radix = self.size, self.size + 1, np.uint64(self.size + 2)
-        self.tail_tokens, self.tail_single = tail, single
-        d = discounts(nr)[np.where(self.counts <= DISCOUNTED, self.counts, 0)] if self.size else np.zeros(0)
-        p = np.append(d * self.counts, 0.0) / max(total, 1)
-        p[-1] = 1 - p[:-1].sum()
-        if p[-1] <= 1e-12:
-            p[-1] = 1 / (total + 1)
-            p[:-1] *= (1 - p[-1]) / p[:-1].sum()
-        self.p = p * (total / (total + 1)) if total else p
-        with np.errstate(divide="ignore"):
-            self.log_p = np.log10(np.append(self.p, 1.0))
-        self.history = np.concatenate([self.counts, [tail, texts]])
-        rank = np.argsort(-self.counts, kind="stable")[:hot]
-        self.hot = np.zeros(self.size + 2, bool)
-        self.hot[rank] = True
-        self.pairs, self.pair_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size = self.start = len(words)
+        self.radix = self.size + 1
+        self.hashes = np.append(self.words, START)
+        self.history = np.append(self.counts, texts)
+        self.d1 = discounts(nr)
+        freed = sum(nr.get(r, 0) * r * (1 - self.d1[r]) for r in range(1, DISCOUNTED + 1)) / total if total else 1.0
+        self.unknown, self.scale = (freed, 1.0) if freed > 1e-12 else (1 / (total + 1), total / (total + 1))
+        self.p1 = np.append(self.scale * self.d1[np.where(self.counts <= DISCOUNTED, self.counts, 0)] * self.counts / max(total, 1), 0.0)
+        self.hot = np.zeros(self.size + 1, bool)
+        self.hot[np.argsort(-self.counts, kind="stable")[:hot]] = True
+        self.hot[self.start] = True
+        self.pairs, self.pair_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def after_hot(self, pairs: np.ndarray, counts: np.ndarray) -> None:
+        """Codes and counts of the bigrams of a hot word and a cached one; the start comes twice before every text."""
+        pairs, counts = np.append(pairs, self.start * self.radix + self.start), np.append(counts, self.history[self.start])
+        order = np.argsort(pairs)
+        self.pairs, self.pair_counts = pairs[order], counts[order]
+
+    def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Counts of bigrams of a hot and a cached word."""
+        code = first * self.radix + second
+        at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+        return np.where(self.pairs[at] == code, self.pair_counts[at], 0) if len(self.pairs) else np.zeros(len(code), np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == self.size] = 0
-        return np.where(self.words[at] == hashes, at, self.tail)
+        """Places of cached words, -1 for others."""
+        at = np.minimum(np.searchsorted(self.words, hashes), max(self.size - 1, 0))
+        found = np.where(self.words[at] == hashes, at, -1) if self.size else np.full(len(hashes), -1)
+        return np.where(hashes == START, self.start, found)
+
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        return (ids >= 0) & (ids < self.radix) & self.hot[np.clip(ids, 0, self.size)]
 
     def base(self, count):
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
+    def dealt_by(self, a, b, w, hot_a, hot_b) -> np.ndarray:
+        """A hash of what an instance of word hashes (a, b, w) is dealt by."""
+        middle = W.mix(b + np.uint64(1))
+        history = W.mix(middle * W._STEP + a)
+        return np.where(hot_b, np.where(hot_a, W.mix(history * W._STEP + w), history), middle)
+
 
 def _with_ends(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = W.words(part["text"])
@@ -110,21 +131,39 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pairs(model: _Model, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols, and codes of (history, symbol)."""
-    ids = model.ids(tokens)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = model.start
-    return ids, before.astype(np.uint64) * model.radix + ids.astype(np.uint64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def flush():
+        w, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            tokens, at = _with_ends(part)
+            held.append(tokens[np.repeat(~_held(part), np.diff(at))])
+            size += len(held[-1])
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _held(part: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(part["held"].to_numpy(zero_copy_only=False), bool)
 
 
-def _is_hot(model: _Model, codes: np.ndarray) -> np.ndarray:
-    return model.hot[codes // model.radix] & model.hot[codes % model.radix]
+def _before(x: np.ndarray, at: np.ndarray, start) -> np.ndarray:
+    """The element before each one of its text, ``start`` before the first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = start
+    return out
 
 
 def _reader(shared):
-    """Document rows (kind 0), counts of tail words by document (1), counts of hot pairs in training (2)."""
+    """Document rows (kind 0), rare words by document (1), training bigrams of a hot and a cached (2) or rare (3) word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -132,26 +171,31 @@ def _reader(shared):
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, at = _with_ends(part)
-                held = np.asarray(part["held"].to_numpy(zero_copy_only=False), bool)
-                ids, codes = _pairs(model, tokens, at)
-                n, size = len(at) - 1, np.diff(at)
-                known = np.add.reduceat((ids != model.tail).astype(np.int64), at[:-1])
-                sums = np.add.reduceat(base[ids], at[:-1])
-                yield _read(0, n, part["key"], doc_id=part["doc_id"], held=pa.array(held), n=size, known=known, base=sums)
-                rare = np.flatnonzero(ids == model.tail)
-                doc = np.repeat(np.arange(n), size)[rare]
-                order = np.lexsort((tokens[rare], doc))
-                doc, word = doc[order], tokens[rare][order]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.zeros(0, np.int64)
-                keys = np.asarray(part["key"])[doc[first]] if len(doc) else np.zeros(0, np.int64)
-                yield _read(1, len(first), pa.array(keys), w=word[first].view(np.int64), n=np.diff(np.r_[first, len(doc)]))
-                codes = codes[~np.repeat(held, size)]
-                pair, count = np.unique(codes[_is_hot(model, codes)], return_counts=True)
-                yield _read(2, len(pair), pa.nulls(len(pair), pa.int64()), w=pair.view(np.int64), n=count)
+                ids, held, n, size = model.ids(tokens), _held(part), len(at) - 1, np.diff(at)
+                known = np.add.reduceat((ids >= 0).astype(np.int64), at[:-1])
+                yield _read(0, n, part["key"], doc_id=part["doc_id"], held=pa.array(held), n=size, known=known, base=np.add.reduceat(base[ids], at[:-1]))
+                rare = np.flatnonzero(ids < 0)
+                doc, word, count = _runs(np.repeat(np.arange(n), size)[rare], tokens[rare].view(np.int64))
+                yield _read(1, len(doc), pa.array(np.asarray(part["key"])[doc]), w=word, n=count)
+                first = _before(ids, at, model.start)
+                train = ~np.repeat(held, size) & model.is_hot(first)
+                pair, count = np.unique(first[train & (ids >= 0)] * model.radix + ids[train & (ids >= 0)], return_counts=True)
+                yield _read(2, len(pair), pa.nulls(len(pair), pa.int64()), w=pair, n=count)
+                far = train & (ids < 0)
+                hot, word, count = _runs(model.hashes[first[far]].view(np.int64), tokens[far].view(np.int64))
+                yield _read(3, len(hot), pa.array(hot), w=word, n=count)
 
     return run
 
 
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of two columns and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.diff(np.r_[first, len(a)])
+
+
 def _read(kind: int, rows: int, key, **given) -> pa.RecordBatch:
     types = {"doc_id": pa.int64(), "held": pa.bool_(), "w": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64()}
     cols = [pa.array(given[c]).cast(t) if c in given else pa.nulls(rows, t) for c, t in types.items()]
@@ -159,184 +203,283 @@ def _read(kind: int, rows: int, key, **given) -> pa.RecordBatch:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unplanes(b: bytes, n: int, dtype) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype)
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(dtype).itemsize, n).T).view(dtype).ravel()
 
 
-def _piece(history: np.ndarray, pieces: int) -> np.ndarray:
-    return (W.mix(history + np.uint64(1)) % np.uint64(pieces)).astype(np.int64)
-
-
 def _dealer(shared, pieces: int):
+    """Blobs of one piece each: distinct (trigram, document) with their number, cached trigrams as codes, others as hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pack = shared.value, pa.Codec("zstd", 1)
-        held, size = [], 0
+        radix, held, size = np.uint64(model.radix), [], 0
 
         def flush():
-            codes = np.concatenate([c for c, _, _ in held])
-            base = np.cumsum([0] + [len(k) for _, _, k in held])
-            owner = np.concatenate([o + np.uint32(2 * b) for (_, o, _), b in zip(held, base, strict=False)])
-            keys = np.concatenate([k for _, _, k in held])
-            hot = _is_hot(model, codes)
-            yield from _hot_sums(model, codes[hot], owner[hot] >> 1, keys)
-            codes, owner = codes[~hot], owner[~hot]
-            piece = _piece(codes // model.radix, pieces)
-            order = np.lexsort((codes, piece))
-            codes, owner, piece = codes[order], owner[order], piece[order]
-            cut = np.searchsorted(piece, np.arange(pieces + 1))
+            a, b, w, owner = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
+            keys, train = (np.concatenate(x) for x in list(zip(*held, strict=True))[4:])
+            ia, ib, iw = model.ids(a), model.ids(b), model.ids(w)
+            by = model.dealt_by(a, b, w, model.is_hot(ia), model.is_hot(ib))
+            piece = ((by >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+            near = (ia >= 0) & (ib >= 0) & (iw >= 0)
+            code = np.where(near, (ib.astype(np.uint64) * radix + ia.astype(np.uint64)) * radix + iw.astype(np.uint64), 0)
+            sides = []
+            for some, values in ((near, (code,)), (~near, (b, a, w))):
+                at = np.flatnonzero(some)
+                at = at[np.lexsort((owner[at], *(v[at] for v in reversed(values)), piece[at]))]
+                new = np.zeros(len(at), bool)
+                new[:1] = True
+                for v in (owner, *values):
+                    new[1:] |= v[at][1:] != v[at][:-1]
+                first = np.flatnonzero(new)
+                times = np.diff(np.r_[first, len(at)]).astype(np.uint32)
+                at = at[first]
+                sides.append((piece[at], owner[at], times, [v[at] for v in values], np.searchsorted(piece[at], np.arange(pieces + 1))))
             ids, blobs = [], []
-            for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                a, b = cut[p], cut[p + 1]
-                own, local = np.unique(owner[a:b], return_inverse=True)
+            for p in range(pieces):
+                (o1, t1, (c1,)), (o2, t2, far) = (
+                    (o[cut[p] : cut[p + 1]], t[cut[p] : cut[p + 1]], [v[cut[p] : cut[p + 1]] for v in vs]) for _, o, t, vs, cut in sides
+                )
+                if not len(o1) + len(o2):
+                    continue
+                own, local = np.unique(np.concatenate([o1, o2]), return_inverse=True)
                 raw = b"".join((
-                    np.array([b - a, len(own)], np.int64).tobytes(), keys[own >> 1].tobytes(), (own & 1).astype(np.uint8).tobytes(),
-                    _planes(np.diff(codes[a:b], prepend=np.uint64(0))), _planes(local.astype(np.uint32)),
+                    np.array([len(o1), len(o2), len(own)], np.int64).tobytes(), keys[own].tobytes(), train[own].astype(np.uint8).tobytes(),
+                    _planes(np.diff(c1, prepend=np.uint64(0))), *(v.tobytes() for v in far), _planes(local.astype(np.uint32)),
+                    _planes(np.concatenate([t1, t2])),
                 ))
                 ids.append(p)
                 blobs.append(len(raw).to_bytes(8, "little") + pack.compress(raw, asbytes=True))
-            yield _dealt(ids, blobs, *_no_facts(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
 
+        docs = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, at = _with_ends(part)
-                _, codes = _pairs(model, tokens, at)
-                train = ~np.asarray(part["held"].to_numpy(zero_copy_only=False), bool)
-                owner = np.repeat((np.arange(len(train)) * 2 + train).astype(np.uint32), np.diff(at))
-                held.append((codes, owner, np.asarray(part["key"])))
-                size += len(codes)
+                w, at = _with_ends(part)
+                b = _before(w, at, START)
+                owner = np.repeat(np.arange(docs, docs + len(at) - 1, dtype=np.uint32), np.diff(at))
+                held.append((_before(b, at, START), b, w, owner, np.asarray(part["key"]), ~_held(part)))
+                size, docs = size + len(w), docs + len(at) - 1
                 if size > FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    held, size, docs = [], 0, 0
         if size:
             yield from flush()
 
     return run
 
 
-def _hot_sums(model: _Model, codes: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What hot pairs give to each document; seen ones only are hot, others go the way of all pairs."""
-    if not len(codes):
-        return
-    at = np.searchsorted(model.pairs, codes)
-    at[at == len(model.pairs)] = 0
-    seen = model.pairs[at] == codes if len(model.pairs) else np.zeros(len(codes), bool)
-    r = np.where(seen, model.pair_counts[at] if len(model.pairs) else 0, 0)
-    h, w = (codes // model.radix).astype(np.int64), (codes % model.radix).astype(np.int64)
-    n = len(keys)
-    facts = _sums(np.bincount(doc, minlength=n) > 0, keys, *_by_document(model, h, w, r, doc, n, np.ones(len(h), np.int64)))
-    yield _dealt([-1] * len(facts[0]), [None] * len(facts[0]), *facts)
-    lost = ~seen & (model.history[h] > 0)
-    facts = _unseen(model, h[lost], w[lost], doc[lost], keys)
-    yield _dealt([-1] * len(facts[0]), [None] * len(facts[0]), *facts)
-
-
-def _by_document(model: _Model, h, w, r, doc, n: int, plus) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sum of log10(r / c(h)) of seen pairs and of unigram probabilities after unknown histories; numbers of pairs of
-    count 1 to DISCOUNTED."""
-    below = model.history[h] + plus
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = np.where(r > 0, np.log10(r / below), np.where(model.history[h] > 0, 0.0, model.log_p[np.minimum(w, model.tail)]))
-    return np.bincount(doc, part, n).astype(np.float64), [np.bincount(doc[r == k], minlength=n) for k in range(1, DISCOUNTED + 1)]
-
-
-def _no_facts(n: int) -> list[pa.Array]:
-    return [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * DISCOUNTED)]
+class _Piece:
+    """Instances of one piece: cached trigrams by places, others by hashes, in this order."""
+
+    def __init__(self, blobs, model: _Model):
+        pack, radix = pa.Codec("zstd"), np.uint64(model.radix)
+        codes, far, owners, times, keys, trains, docs = [], [], ([], []), ([], []), [], [], 0
+        for blob in blobs:
+            v = memoryview(blob.as_buffer())
+            raw = pack.decompress(v[8:], int.from_bytes(v[:8], "little"), asbytes=True)
+            n1, n2, m = np.frombuffer(raw, np.int64, 3).tolist()
+            keys.append(np.frombuffer(raw, np.int64, m, 24))
+            trains.append(np.frombuffer(raw, np.uint8, m, 24 + 8 * m).astype(bool))
+            at = 24 + 9 * m
+            codes.append(np.cumsum(_unplanes(raw[at : at + 8 * n1], n1, np.uint64), dtype=np.uint64))
+            at += 8 * n1
+            far.append(np.frombuffer(raw, np.uint64, 3 * n2, at).reshape(3, n2) if n2 else np.zeros((3, 0), np.uint64))
+            at += 24 * n2
+            local = _unplanes(raw[at : at + 4 * (n1 + n2)], n1 + n2, np.uint32) + np.uint32(docs)
+            number = _unplanes(raw[at + 4 * (n1 + n2) :], n1 + n2, np.uint32)
+            for k, side in enumerate((slice(0, n1), slice(n1, None))):
+                owners[k].append(local[side])
+                times[k].append(number[side])
+            docs += m
+        keys, self.train = np.concatenate(keys), np.concatenate(trains)
+        self.keys, self.doc = np.unique(keys, return_inverse=True)
+        code = np.concatenate(codes)
+        self.near = len(code)
+        self.owner, self.times = (np.concatenate([*x[0], *x[1]]) for x in (owners, times))
+        far = np.concatenate(far, axis=1)
+        places = [code // radix // radix, code // radix % radix, code % radix]  # b, a, w
+        self.hashes = far
+        self.places = [np.concatenate([p.astype(np.int32), model.ids(h).astype(np.int32)]) for p, h in zip(places, far, strict=True)]
+        b, a, w = (np.concatenate([model.hashes[p[: self.near]], h]) for p, h in zip(self.places, far, strict=True))
+        by = model.dealt_by(a, b, w, model.is_hot(self.places[1]), model.is_hot(self.places[0]))
+        self.parts = -(-len(self.owner) // AT_ONCE)
+        self.part = ((by & np.uint64(0xFFFFFFFF)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
+
+    def select(self, k: int, model: _Model):
+        """(b, a, w, hashes of all ids, owner, times) of one part; ids of rare words follow those of cached ones."""
+        at = np.flatnonzero(self.part == k)
+        rare = at[at >= self.near] - self.near
+        ids = [p[at].astype(np.int64) for p in self.places]
+        shift = len(at) - len(rare)
+        lost = [i[shift:] < 0 for i in ids]
+        words = np.unique(np.concatenate([h[rare][x] for h, x in zip(self.hashes, lost, strict=True)]))
+        for i, h, x in zip(ids, self.hashes, lost, strict=True):
+            tail = i[shift:]
+            tail[x] = model.radix + np.searchsorted(words, h[rare][x])
+        return (*ids, np.concatenate([model.hashes, words]), self.owner[at], self.times[at].astype(np.int64))
+
+
+def _facts(kind: int, rows: int, /, **given) -> pa.RecordBatch:
+    cols = []
+    for c in _COLUMNS[1:]:
+        kind_of = pa.float64() if c == "x" else pa.int64()
+        cols.append(pa.array(given[c]).cast(kind_of) if c in given else pa.nulls(rows, kind_of))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *cols], _COLUMNS)
+
+
+def _low(group: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """Per group, how many members have count 1, 2, ... DISCOUNTED."""
+    return [np.bincount(group[count == r], minlength=n) for r in range(1, DISCOUNTED + 1)]
+
+
+def _of_counts(level: int, count: np.ndarray) -> pa.RecordBatch:
+    low = [int((count == r).sum()) for r in range(1, DISCOUNTED + 2)]
+    return _facts(3, 1, h=[level], n=[low[-1]], **{c: [v] for c, v in zip(_R, low, strict=False)})
+
+
+def history_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(second + np.uint64(3)) * W._STEP + first).view(np.int64)
+
+
+def _evaluated(shared):
+    """The facts of one piece, by kind.
+
+    0: sums of a document (n: trigrams of low counts, m: backed-off bigrams of low counts). 1: backed-off instances by
+    document and history. 2: histories of two words, with the bigram counts of their successors in m, a. 3: counts of
+    counts by order. 4: instances backed off twice by document and middle word. 5: histories of one word. 6: their rare
+    successors. 7: rare unigrams by document. 8: rare words backed off after a hot one. 9: rare successors of a history
+    that ends hot.
+    """
 
+    def run(group: pa.Table) -> pa.Table:
+        model, out = shared.value, []
+        piece = _Piece(group["blob"], model)
+        n = len(piece.keys)
+        x, low3, low2, met = np.zeros(n), np.zeros((DISCOUNTED, n), np.int64), np.zeros((DISCOUNTED, n), np.int64), np.zeros(n, bool)
+        for k in range(piece.parts):
+            out += _part(model, piece, *piece.select(k, model), x, low3, low2, met)
+        low = {c: v[met] for c, v in zip([*_R, *_M], [*low3, *low2], strict=True)}
+        out.append(_facts(0, int(met.sum()), key=piece.keys[met], x=x[met], **low))
+        return pa.Table.from_batches(out)
 
-def _sums(some: np.ndarray, keys: np.ndarray, x: np.ndarray, low: list[np.ndarray]) -> list[pa.Array]:
-    out = _no_facts(int(some.sum()))
-    out[0], out[1], out[4] = pa.array(np.zeros(int(some.sum()), np.int32)), pa.array(keys[some]), pa.array(x[some])
-    out[5:] = [pa.array(c[some].astype(np.int64)) for c in low]
-    return out
+    return run
 
 
-def _unseen(model: _Model, h, w, doc, keys) -> list[pa.Array]:
-    """Unseen pairs by document and history: how many, and their sum of unigram log probabilities."""
-    order = np.lexsort((h, doc))
-    h, w, doc = h[order], w[order], doc[order]
-    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-    out = _no_facts(len(first))
-    if len(first):
-        out[:5] = [
-            pa.array(np.ones(len(first), np.int32)), pa.array(keys[doc[first]]), pa.array(h[first].astype(np.int32)),
-            pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.add.reduceat(model.log_p[np.minimum(w, model.tail)], first)),
-        ]
+def _part(model: _Model, piece: _Piece, b, a, w, hashes, owner, times, x, low3, low2, met) -> list[pa.RecordBatch]:
+    radix = len(hashes)
+    code = (b * radix + a) * radix + w
+    order = np.argsort(code, kind="stable")
+    code, owner, times = code[order], owner[order], times[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    doc, train = piece.doc[owner], piece.train[owner]
+    met[doc] = True
+    # trigrams
+    tri = code[first]
+    b, a, w = tri // radix // radix, tri // radix % radix, tri % radix
+    c3 = np.add.reduceat(times * train, first)
+    hot_a, hot_b = model.is_hot(a), model.is_hot(b)
+    rare = w >= model.radix
+    lw = np.minimum(w, model.size)
+    # histories of two words
+    hs, h = np.unique(tri // radix, return_inverse=True)
+    both = np.zeros(len(hs), bool)
+    both[h] = hot_a & hot_b
+    c_h = np.bincount(h, c3, len(hs)).astype(np.int64)
+    c_h[both] = model.pair(hs[both] % radix, hs[both] // radix)
+    n3 = _low(h, c3, len(hs))
+    plus3 = (both | (sum(n3) == 0)).astype(np.int64)
+    # bigrams and histories of one word: here for cold middle words, held by every task for hot ones
+    bis, bi = np.unique(b * radix + w, return_inverse=True)
+    c2s = np.bincount(bi, c3, len(bis)).astype(np.int64)
+    mids, mid = np.unique(bis // radix, return_inverse=True)
+    hot_mid = model.is_hot(mids)
+    c_mid = np.bincount(mid, c2s, len(mids)).astype(np.int64)
+    c_mid[hot_mid] = model.history[mids[hot_mid]]
+    n2 = _low(mid, c2s, len(mids))
+    plus2 = (hot_mid | (sum(n2) == 0)).astype(np.int64)
+    c2 = np.where(hot_b, 0, c2s[bi])
+    c2[hot_b & ~rare] = model.pair(b[hot_b & ~rare], w[hot_b & ~rare])
+    m = mid[bi]
+    c_b, plus_b = c_mid[m], plus2[m]
+    # an instance's level: trigram, bigram, unigram, or one that needs the table of rare words after hot ones
+    level = np.where(c3 > 0, 3, np.where(hot_b & rare, 0, np.where(c2 > 0, 2, 1)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p1 = np.log10(model.p1[lw])
+        value = np.select([level == 3, level == 2], [np.log10(c3 / (c_h + plus3)[h]), np.log10(c2 / (c_b + plus_b))], 0.0)
+    alone = (level == 1) & (c_b == 0) & ~rare  # an unknown middle word: the unigram alone
+    value[alone] = p1[alone]
+    size = np.diff(np.r_[first, len(code)])
+    each = np.repeat(np.arange(len(tri)), size)
+    docs = len(x)
+    x += np.bincount(doc, value[each] * times, docs)
+    for r in range(1, DISCOUNTED + 1):
+        for low, where in ((low3, (level == 3) & (c3 == r)), (low2, (level == 2) & (c2 == r))):
+            some = where[each]
+            low[r - 1] += np.bincount(doc[some], times[some], docs).astype(np.int64)
+    out = []
+
+    def by_document(kind: int, where: np.ndarray, group: np.ndarray, weigh: np.ndarray | None = None, **named) -> None:
+        """Sums by document and group of the instances of some trigrams."""
+        some = where[each]
+        if not some.any():
+            return
+        t, d, g = times[some], doc[some], group[each][some]
+        o = np.lexsort((g, d))
+        t, d, g = t[o], d[o], g[o]
+        at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1])])
+        given = {c: f(g[at]) for c, f in named.items()} | {"key": piece.keys[d[at]], "n": np.add.reduceat(t, at)}
+        if weigh is not None:
+            given["x"] = np.add.reduceat(weigh[each][some][o] * t, at)
+        out.append(_facts(kind, len(at), **given))
+
+    signed = hashes.view(np.int64)
+    keys = history_key(hashes[hs % radix], hashes[hs // radix])
+    backed = level < 3
+    by_document(1, backed & (c_h[h] > 0), h, h=lambda g: keys[g])
+    uni = level == 1
+    by_document(4, uni & (c_b > 0), b, weigh=np.where(rare, 0.0, p1), h=lambda g: signed[g])
+    by_document(7, uni & rare, w, w=lambda g: signed[g])
+    by_document(8, level == 0, b * radix + w, h=lambda g: signed[g // radix], w=lambda g: signed[g % radix])
+    # histories that were backed off from; a hot one may be so in another piece
+    asked = both & (c_h > 0)
+    asked[h[backed & (c_h[h] > 0)]] = True
+    seen = (c3 > 0) & asked[h]
+    known = seen & ~(hot_b & rare)
+    m_h = _low(h[known], c2[known], len(hs))
+    high = known & (c2 > DISCOUNTED)
+    rest = np.bincount(h[high], c2[high], len(hs)).astype(np.int64)
+    below = np.zeros(len(hs), np.int64)
+    below[h] = c_b + plus_b
+    low = {c: v[asked] for c, v in zip([*_R, *_M], [*n3, *m_h], strict=True)}
+    out.append(_facts(2, int(asked.sum()), h=keys[asked], n=c_h[asked], key=plus3[asked], a=rest[asked], b=below[asked], **low))
+    lost = seen & hot_b & rare
+    out.append(_facts(9, int(lost.sum()), h=keys[h[lost]], key=signed[b[lost]], w=signed[w[lost]]))
+    twice = np.zeros(len(mids), bool)
+    twice[m[uni & (c_b > 0) & ~hot_b]] = True
+    follows = (c2s > 0) & twice[mid]
+    far = bis % radix >= model.radix
+    mass = np.bincount(mid[follows & ~far], model.p1[(bis % radix)[follows & ~far]], len(mids)).astype(np.float64)
+    low = {c: v[twice] for c, v in zip(_R, n2, strict=True)}
+    out.append(_facts(5, int(twice.sum()), h=signed[mids[twice]], n=c_mid[twice], key=plus2[twice], x=mass[twice], **low))
+    some = follows & far
+    out.append(_facts(6, int(some.sum()), h=signed[(bis // radix)[some]], w=signed[(bis % radix)[some]]))
+    out += [_of_counts(3, c3), _of_counts(2, c2s[~model.is_hot(bis // radix)])]
     return out
 
 
-def _dealt(piece, blob, *facts) -> pa.RecordBatch:
-    names = ["piece", "blob", *(x.split()[0] for x in FACTS.split(", "))]
-    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(blob, pa.binary()), *facts], names)
-
-
-def _tallied(shared, pieces: int):
-    """One piece: facts of documents (kind 0), unseen pairs (1), histories (2) and counts of counts (3).
-
-    A history without low counts, and every one of the hot words, leaves one count more to unseen words."""
-    names = [x.split()[0] for x in FACTS.split(", ")]
-
-    def run(group: pa.Table) -> pa.Table:
-        if not group.num_rows or group["piece"][0].as_py() < 0:
-            return group.select(names)
-        model, pack = shared.value, pa.Codec("zstd")
-        codes, owners, trains, keys, base = [], [], [], [], 0
-        for blob in group["blob"]:
-            b = memoryview(blob.as_buffer())
-            raw = pack.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
-            n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            at = 16 + 9 * m
-            keys.append(np.frombuffer(raw, np.int64, m, 16))
-            local = _unplanes(raw[at + 8 * n :], n, np.uint32)
-            codes.append(np.cumsum(_unplanes(raw[at : at + 8 * n], n, np.uint64), dtype=np.uint64))
-            trains.append(np.frombuffer(raw, np.uint8, m, 16 + 8 * m)[local])
-            owners.append(local + np.uint32(base))
-            base += m
-        codes, owners, trains, keys = (np.concatenate(x) for x in (codes, owners, trains, keys))
-        order = np.argsort(codes, kind="stable")
-        codes, owners, trains = codes[order], owners[order], trains[order]
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        size = np.diff(np.r_[first, len(codes)])
-        code, count = codes[first], np.add.reduceat(trains.astype(np.int64), first)
-        mine = _piece(model.pairs // model.radix, pieces) == group["piece"][0].as_py()
-        all_codes, all_counts = np.concatenate([code, model.pairs[mine]]), np.concatenate([count, model.pair_counts[mine]])
-        h_all, w_all = (all_codes // model.radix).astype(np.int64), (all_codes % model.radix).astype(np.int64)
-        seen = all_counts > 0
-        hs, at = np.unique(h_all, return_inverse=True)
-        low = [np.bincount(at[all_counts == r], minlength=len(hs)) for r in range(1, DISCOUNTED + 1)]
-        mass = np.bincount(at[seen], model.p[w_all[seen]], len(hs)).astype(np.float64)
-        plus = ((sum(low) == 0) | model.hot[hs]).astype(np.int64)
-        h, w = h_all[: len(code)], w_all[: len(code)]
-        spread = lambda x: np.repeat(x, size)
-        r, h_each, w_each = spread(count), spread(h), spread(w)
-        docs, doc = np.unique(keys, return_inverse=True)
-        doc = doc[owners]
-        facts = [_sums(np.bincount(doc, minlength=len(docs)) > 0, docs, *_by_document(model, h_each, w_each, r, doc, len(docs), spread(plus[at[: len(code)]])))]
-        lost = (r == 0) & (model.history[h_each] > 0)
-        facts.append(_unseen(model, h_each[lost], w_each[lost], doc[lost], docs))
-        rows = _no_facts(len(hs))
-        rows[0], rows[1], rows[2] = pa.array(np.full(len(hs), 2, np.int32)), pa.array(plus), pa.array(hs.astype(np.int32))
-        rows[3], rows[4] = pa.array(model.history[hs]), pa.array(mass)
-        rows[5:] = [pa.array(c.astype(np.int64)) for c in low]
-        facts.append(rows)
-        ones = _no_facts(1)
-        ones[0], ones[3] = pa.array([3], pa.int32()), pa.array([int((all_counts == DISCOUNTED + 1).sum())], pa.int64())
-        ones[5:] = [pa.array([int((all_counts == r).sum())], pa.int64()) for r in range(1, DISCOUNTED + 1)]
-        facts.append(ones)
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(f, names) for f in facts])
-
-    return run
-
-
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, cached: int = CACHED, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs(doc_id, text).
 
     The model learns from rows whose crc32 of doc_id as text is not divisible by 10; a NULL doc_id counts as '' (held
-    out). Every text ends with one end token; NULL reads as empty. Repeated rows count as often as they come and get
-    equal scores. Equal counts are ordered by word hash. Without training rows every probability is 1. Empty tables
-    give no rows; other columns are ignored.
+    out). Every text ends with one end token; NULL reads as empty; a text of any length is taken whole, a few MB of a
+    batch at a time. Repeated rows count as often as they come and get equal scores. Without training rows every
+    probability is 1. Empty tables give no rows; other columns are ignored. ``cached`` changes no result; ``hot`` only
+    the histories that leave one count more to unseen words: the hot ones, and those without a count to discount.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -346,43 +489,94 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> Data
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = docs.where("not held").count()
     nr = {r["c"]: r["n"] for r in words.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    top = words.orderBy(F.desc("c"), "w").limit(vocabulary).toArrow()
-    kept, counts = np.asarray(top["w"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(top["c"].combine_chunks()).astype(np.int64)
-    least = int(counts.min()) if len(counts) else 0
-    below = words.where(F.col("c") == 1).count() if least > 1 else max(0, nr.get(1, 0) - int((counts == 1).sum()))
-    tail = int(total["n"]) - int(counts.sum())
-    model = _Model(kept, counts, int(total["n"]), int(total["v"]), tail, below, texts, nr, hot)
-    first = Sent(spark, model)
-    read = staged(docs.mapInArrow(_reader(first), READ))
-    pairs = read.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n")).orderBy("w").toArrow()
-    model.pairs, model.pair_counts = np.asarray(pairs["w"].combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(pairs["n"].combine_chunks()).astype(np.int64)
+    top = words.orderBy(F.desc("c"), "w").limit(cached).toArrow()
+    kept, counts = (np.asarray(top[c].combine_chunks()).astype(np.int64) for c in ("w", "c"))
+    model = _Model(kept.view(np.uint64), counts, int(total["n"]), int(total["v"]), texts, nr, hot)
+    read = staged(docs.mapInArrow(_reader(Sent(spark, model)), READ))
+    pairs = read.where("kind = 2").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    model.after_hot(*(np.asarray(pairs[c].combine_chunks()).astype(np.int64) for c in ("w", "n")))
+    far = staged(read.where("kind = 3").groupBy(F.col("key").alias("h"), "w").agg(F.sum("n").alias("c2")))
     full = Sent(spark, model)
     pieces = min(1 << 12, max(PIECES, input_bytes(docs) // (16 << 20)))
-    dealt = docs.mapInArrow(_dealer(full, pieces), "piece int, blob binary, " + FACTS)
-    spread = F.when(F.col("piece") < 0, -1 - F.pmod(F.col("key"), F.lit(pieces))).otherwise(F.col("piece")).cast("int")
-    facts = staged(dealt.withColumn("piece", spread).groupBy("piece").applyInArrow(_tallied(full, pieces), FACTS))
-    return _assembled(read, facts, words, model)
-
-
-def _assembled(read: DataFrame, facts: DataFrame, words: DataFrame, model: _Model) -> DataFrame:
-    nr = facts.where("kind = 3").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_R, "n"]]).first()
-    d = discounts({**{r: nr[f"n{r}"] for r in range(1, DISCOUNTED + 1)}, DISCOUNTED + 1: nr["n"]})
-    lows = lambda weight: sum((F.col(f"n{r}") * float(weight(r)) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
-    seen = facts.where("kind = 0").select("key", (F.col("x") + lows(lambda r: np.log10(d[r]))).alias("s"))
-    freed = lows(lambda r: r * (1 - d[r]))
-    left = (freed + F.col("key")) / (F.col("n") + F.col("key"))
-    backoff = staged(facts.where("kind = 2 and n > 0").select("h", F.log10(left / F.greatest(1 - F.col("x"), F.lit(1e-15))).alias("alpha")))
-    unseen = facts.where("kind = 1").join(small(backoff), "h").select("key", (F.col("x") + F.col("n") * F.col("alpha")).alias("s"))
-    below = model.tail_tokens + model.tail_single
+    dealt = docs.mapInArrow(_dealer(full, pieces), "piece int, blob binary")
+    facts = staged(dealt.groupBy("piece").applyInArrow(_evaluated(full), FACTS))
+    return _assembled(read, facts, words, far, model)
+
+
+def _lows(names: list[str], weight) -> Column:
+    return sum((F.col(c) * float(weight(r)) for r, c in enumerate(names, 1)), F.lit(0.0))
+
+
+def _hot_histories(model: _Model) -> list[tuple]:
+    """(h, n, plus, mass, n1, ...) of each hot word, from its cached successors."""
+    out = []
+    real = model.pairs % model.radix != model.start
+    pairs, counts = model.pairs[real], model.pair_counts[real]
+    for i in np.flatnonzero(model.hot).tolist():
+        some = pairs // model.radix == i
+        low = [int((counts[some] == r).sum()) for r in range(1, DISCOUNTED + 1)]
+        mass = float(model.p1[pairs[some] % model.radix].sum())
+        out.append((int(model.hashes[i].view(np.int64)), int(model.history[i]), 1, mass, *low))
+    return out
+
+
+def _assembled(read: DataFrame, facts: DataFrame, words: DataFrame, far: DataFrame, model: _Model) -> DataFrame:
+    spark, at = read.sparkSession, lambda k: facts.where(F.col("kind") == k)
+    real = model.pairs % model.radix != model.start
+    given = {3: {}, 2: {r: int((model.pair_counts[real] == r).sum()) for r in range(1, DISCOUNTED + 2)}}
+    for row in at(3).groupBy("h").agg(*[F.sum(c).alias(c) for c in [*_R, "n"]]).collect():
+        for r, c in enumerate([*_R, "n"], 1):
+            given[row.h][r] = given[row.h].get(r, 0) + row[c]
+    for row in far.where(F.col("c2") <= DISCOUNTED + 1).groupBy("c2").count().collect():
+        given[2][row.c2] = given[2].get(row.c2, 0) + row["count"]
+    d3, d2 = discounts(given[3]), discounts(given[2])
+    plain = lambda d, c: sum((F.when(F.col(c) == r, float(d[r])).otherwise(0.0) for r in range(1, DISCOUNTED + 1)), F.when(F.col(c) > DISCOUNTED, 1.0).otherwise(0.0))
+    unigram = F.when(F.coalesce("c", F.lit(0)) == 0, model.unknown).otherwise(model.scale * plain(model.d1, "c") * F.col("c") / float(max(model.total, 1)))
+    freed = lambda d: _lows(_R, lambda r: r * (1 - d[r]))
+    # back-off weights of histories of one word
+    hot = spark.createDataFrame(_hot_histories(model), ", ".join(["h bigint", "n bigint", "key bigint", "x double", *(f"{c} bigint" for c in _R)]))
+    ones = at(5).select("h", "n", "key", "x", *_R).union(hot)
+    after_hot = far.select("h", "w", *[F.when(F.col("c2") == r, 1).otherwise(0).cast("bigint").alias(c) for r, c in enumerate(_R, 1)])
+    later = at(6).select("h", "w", *[F.lit(0).cast("bigint").alias(c) for c in _R]).union(after_hot).join(words, "w")
+    later = later.groupBy("h").agg(F.sum(unigram).alias("x"), *[F.sum(c).alias(c) for c in _R])
+    zero = F.lit(None).cast("bigint")
+    ones = ones.union(later.select("h", zero.alias("n"), zero.alias("key"), "x", *_R)).groupBy("h")
+    ones = ones.agg(F.max("n").alias("n"), F.max("key").alias("key"), F.sum("x").alias("x"), *[F.sum(c).alias(c) for c in _R]).where("n > 0")
+    left = (freed(d2) + F.col("key")) / (F.col("n") + F.col("key"))
+    ones = staged(ones.select("h", (F.col("n") + F.col("key")).alias("below"), F.log10(left / F.greatest(1 - F.col("x"), F.lit(1e-15))).alias("alpha")))
+    # back-off weights of histories of two words
+    twos = at(2).select("h", "n", "key", "a", "b", *_R, *_M)
+    met = at(9).select("h", F.col("key").alias("mid"), "w").join(small(far.withColumnRenamed("h", "mid")), ["mid", "w"])
+    met = met.select("h", zero.alias("n"), zero.alias("key"), F.when(F.col("c2") > DISCOUNTED, F.col("c2")).otherwise(0).alias("a"), zero.alias("b"),
+                     *[F.lit(0).cast("bigint").alias(c) for c in _R], *[F.when(F.col("c2") == r, 1).otherwise(0).cast("bigint").alias(c) for r, c in enumerate(_M, 1)])
+    most, sums = [F.max(c).alias(c) for c in ("n", "key", "b")], [F.sum(c).alias(c) for c in ("a", *_R, *_M)]
+    twos = twos.union(met).groupBy("h").agg(*most, *sums)
+    left = (freed(d3) + F.col("key")) / (F.col("n") + F.col("key"))
+    lower = (F.col("a") + _lows(_M, lambda r: r * d2[r])) / F.col("b")
+    twos = staged(twos.select("h", F.log10(left / F.greatest(1 - lower, F.lit(1e-15))).alias("alpha")))
+    # sums by document
+    none, no = F.lit(0.0), F.lit(0).cast("bigint")
+    part = lambda df, s, b=none, k=no: df.select("key", s.alias("s"), b.alias("b"), k.alias("k"))
+    base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / float(model.total + 0.1 * (model.types + 1))) * F.col("n")
     rare = read.where("kind = 1").select("key", "w", "n").join(words, "w", "left")
-    share = F.log10(F.when(F.col("c").isNotNull(), F.col("c")).otherwise(max(model.tail_single, 1)) / float(max(below, 1)))
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / float(model.total + 0.1 * (model.types + 1)))
-    rare = rare.select("key", (F.col("n") * share).alias("s"), (F.col("n") * base).alias("b"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("k"))
-    none = lambda df: df.select("key", "s", F.lit(0.0).alias("b"), F.lit(0).cast("bigint").alias("k"))
-    sums = none(seen).union(none(unseen)).union(rare).groupBy("key").agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("k").alias("k"))
-    rows = read.where("kind = 0")
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    out = rows.drop("w").join(sums.join(copies, "key"), "key")
+    backed = at(8).select("key", "h", "w", "n").join(small(far), ["h", "w"], "left").join(words, "w", "left").join(small(ones), "h", "left")
+    bigram = F.log10(F.col("c2") * plain(d2, "c2") / F.col("below"))
+    backed = backed.withColumn("s", F.col("n") * F.when(F.col("c2").isNotNull(), bigram).otherwise(F.coalesce("alpha", F.lit(0.0)) + F.log10(unigram)))
+    rows = [
+        part(at(0), F.col("x") + _lows(_R, lambda r: np.log10(d3[r])) + _lows(_M, lambda r: np.log10(d2[r]))),
+        part(at(1).select("key", "h", "n").join(small(twos), "h"), F.col("n") * F.col("alpha")),
+        part(at(4).select("key", "h", "n", "x").join(small(ones), "h"), F.col("x") + F.col("n") * F.col("alpha")),
+        part(at(7).select("key", "w", "n").join(words, "w", "left"), F.col("n") * F.log10(unigram)),
+        part(backed, F.col("s")),
+        part(rare, none, base, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)),
+    ]
+    total = rows[0]
+    for more in rows[1:]:
+        total = total.union(more)
+    sums = total.groupBy("key").agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("k").alias("k"))
+    texts = read.where("kind = 0")
+    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
+    out = texts.drop("w").join(sums.join(copies, "key"), "key")
     return out.select(
         "doc_id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.col("k") / F.col("copies")).cast("bigint").alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("b") / F.col("copies")).alias("base_score"),

@@ -162,55 +162,56 @@ def test_decontamination(spark, docs, rows, block):
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
 
-@pytest.mark.parametrize(("vocabulary", "hot"), [(katz.VOCABULARY, 512), (katz.VOCABULARY, 0), (40, 8)])
-def test_katz(spark, docs, rows, vocabulary, hot):
+@pytest.mark.parametrize(("cached", "hot", "at_once"), [(katz.CACHED, 16, 400_000), (katz.CACHED, 0, 900), (60, 8, 900), (0, 0, 400_000)])
+def test_katz(spark, docs, rows, cached, hot, at_once, monkeypatch):
+    """Every probability by the recursion over all words, from counts in dictionaries."""
+    monkeypatch.setattr(katz, "AT_ONCE", at_once)
     texts = [(i, ["\0" + w for w in spaced(lowered(t))] + ["END"]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     u = collections.Counter(w for i, t in texts if not held(i) for w in t)
     n, v = sum(u.values()), len(u)
     code = lambda w: int(katz.END) if w == "END" else int(W.words(pa.array([w[1:]]))[0][0])
     signed = lambda w: code(w) - (code(w) >> 63 << 64)
-    known = sorted(u, key=lambda w: (-u[w], signed(w)))[:vocabulary]
-    hottest = set(sorted(known, key=lambda w: (-u[w], code(w)))[:hot])
-    name = {w: w for w in known}
-    of = lambda w: name.get(w, "TAIL")
-    pairs, history = collections.Counter(), collections.Counter()
+    known = sorted(u, key=lambda w: (-u[w], signed(w)))[:cached]
+    hottest = {"BOS", *sorted(known, key=lambda w: (-u[w], code(w)))[:hot]}
+    grams = {2: collections.Counter(), 3: collections.Counter()}
     for i, t in texts:
         if not held(i):
-            for a, b in zip(["BOS", *t], t, strict=False):
-                a = a if a == "BOS" else of(a)
-                pairs[a, of(b)] += 1
-                history[a] += 1
-    d1, d2 = katz.discounts(collections.Counter(u.values())), katz.discounts(collections.Counter(pairs.values()))
-    low = lambda d, c: d[c] if c <= katz.DISCOUNTED else 1.0
-    p = {w: low(d1, u[w]) * u[w] / n for w in known}
-    p["TAIL"] = 1 - sum(p.values())
-    p = {w: x * n / (n + 1) for w, x in p.items()}
+            grams[2].update(zip(["BOS", *t], t, strict=False))
+            grams[3].update(zip(["BOS", "BOS", *t], ["BOS", *t], t, strict=False))
+    d = {1: katz.discounts(collections.Counter(u.values()))} | {k: katz.discounts(collections.Counter(g.values())) for k, g in grams.items()}
+    low = lambda k, c: d[k][c] if c <= katz.DISCOUNTED else 1.0
+    p1 = {w: low(1, c) * c / n for w, c in u.items()}
+    unknown = 1 - sum(p1.values())
+    assert unknown > 1e-6
     follow = collections.defaultdict(dict)
-    for (a, b), c in pairs.items():
-        follow[a][b] = c
-    plus = {a: int(a in hottest or all(c > katz.DISCOUNTED for c in s.values())) for a, s in follow.items()}
-    seen = {a: {b: low(d2, c) * c / (history[a] + plus[a]) for b, c in s.items()} for a, s in follow.items()}
-    back = {a: (1 - sum(s.values())) / (1 - sum(p[b] for b in s)) for a, s in seen.items()}
-    for a in list(seen)[:30]:
-        assert sum(seen[a].get(b, back[a] * p[b]) for b in p) + back[a] / (n + 1) == pytest.approx(1, abs=1e-9)
-    rare = {w: c for w, c in u.items() if w not in name}
-    single = sum(c == 1 for c in rare.values())
-    want = collections.Counter()
+    for k in (2, 3):
+        for gram, c in grams[k].items():
+            follow[gram[:-1]][gram[-1]] = c
+    seen, back = {}, {}
+
+    def p(w, h):
+        if not h:
+            return p1.get(w, unknown)
+        if h not in follow:
+            return p(w, h[1:])
+        return seen[h][w] if w in seen[h] else back[h] * p(w, h[1:])
+
+    for h in sorted(follow, key=len):
+        s = follow[h]
+        below = sum(s.values()) + (set(h) <= hottest or all(c > katz.DISCOUNTED for c in s.values()))
+        seen[h] = {w: low(len(h) + 1, c) * c / below for w, c in s.items()}
+        back[h] = (1 - sum(seen[h].values())) / (1 - sum(p(w, h[1:]) for w in s))
+    for h in [*list(follow)[:4], *list(follow)[-4:]]:
+        assert sum(p(w, h) for w in u) + p("?", h) == pytest.approx(1, abs=1e-9)
+    want = []
     for i, t in texts:
-        score = base = 0.0
-        for a, b in zip(["BOS", *t], t, strict=False):
-            a, c = a if a == "BOS" else of(a), of(b)
-            score += math.log10(seen.get(a, {}).get(c, back.get(a, 1.0) * p[c]))
-            if c == "TAIL" and sum(rare.values()) + single:
-                score += math.log10((rare.get(b) or max(single, 1)) / (sum(rare.values()) + single))
-            base += math.log10((u.get(b, 0) + 0.1) / (n + 0.1 * (v + 1)))
-        want[i, held(i), len(t), sum(b in u for b in t), n, round(base, 4), round(score, 4)] += 1
-    got = collections.Counter((*r[:5], round(r[5], 4), round(r[6], 4)) for r in katz.score(docs, vocabulary, hot).collect())
-    near = lambda c: sorted((k[:5], c[k]) for k in c)
-    assert near(got) == near(want)
-    a, b = (sorted((k[0], k[5], k[6]) for k in c) for c in (got, want))
-    assert np.allclose([x[1:] for x in a], [x[1:] for x in b], rtol=1e-6, atol=1e-3)
+        score = sum(math.log10(p(w, (a, b))) for a, b, w in zip(["BOS", "BOS", *t], ["BOS", *t], t, strict=False))
+        base = sum(math.log10((u.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        want.append((i, held(i), len(t), sum(w in u for w in t), n, base, score))
+    got = [tuple(r) for r in katz.score(docs, cached, hot).collect()]
+    assert sorted(r[:5] for r in got) == sorted(r[:5] for r in want)
+    assert np.allclose(sorted((r[0], r[5], r[6]) for r in got), sorted((r[0], r[5], r[6]) for r in want), rtol=1e-9, atol=1e-6)
 
 
 def test_katz_without_training_rows(spark):
