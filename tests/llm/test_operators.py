@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -311,6 +312,26 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_names_mislead_and_stray_tags_are_cheap():
+    text = lambda h: html_text.text_of(html_text.parse(h))
+    assert text('<article class="post comments-open"><p>Main text here') == "Main text here"
+    assert text('<div class="wrapper has-sidebar"><p>Main text of it</p><div class=sidebar>no</div></div>') == "Main text of it"
+    assert text('<div class="wrapper has-sidebar"><article><p>Main</p></article><div class=sidebar>no</div></div>') == "Main"
+    assert text("<div id=main><p>The body of the page is here and it is long</p></div><article class=teaser>Short teaser</article>") == "The body of the page is here and it is long"
+    assert text('<article><p>I read the <b class="notice">important</b> word.<span class="share">kept?</span> a<script>x</script>b</article>') == "I read the important word.kept? ab"
+    assert text("<article><p>one</p><p hidden>no</p><aside>no</aside>two</article><article>" + "long " * 40 + "</article>") == " ".join(["long"] * 40)
+    start = time.time()
+    assert text("<div>" * 20_000 + "</b>" * 2000 + "<p>x" * 2000 + "é" * 3_000_000).startswith("x\nx\n")
+    assert time.time() - start < 10
+
+
+def test_copies_make_no_template(spark):
+    page = "<body><div class=top>Site</div><p>Body {} text</p></body>"
+    rows = [(k, "http://h.org/", page.format(k if k > 3 else "same")) for k in range(7)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {k: f"Body {k if k > 3 else 'same'} text" for k in range(7)}
+
+
 def test_tree_matching():
     assert html_text.aligned("a(b;c(d;)e;)", "a(b;x;c(y;d;)e;)") == [0, 1, 3, 5, 6]
     assert html_text.aligned("a;", "b;") == [-1]

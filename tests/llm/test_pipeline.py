@@ -60,6 +60,17 @@ def test_nulls_pass(spark):
     assert docs.where(F.col("doc_id").isNull()).count() == 2
 
 
+def test_further_columns_and_repeated_ids(spark):
+    """Columns that the operators name inside, and documents that repeat an id, pass every stage."""
+    text = ". ".join(f"Word{k} and another{k} make a sentence" for k in range(30)) + "."
+    rows = [(1, text, "en", "a", 1, 5, "x"), (1, text + " More of it.", "en", "a", 1, 6, "y"), (2, text.replace("Word", "Term"), "en", "b", 1, 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, key string")
+    for stage in (pipeline.near_duplicates, pipeline.decontamination, pipeline.secret_scans):
+        out = stage(spark, docs, DIR)
+        assert set(out.columns) == set(docs.columns) and sorted(r.doc_id for r in out.collect()) in ([1, 2], [1, 1, 2])
+    assert sorted((r.doc_id, r.row) for r in pipeline.near_duplicates(spark, docs, DIR).collect()) == [(1, 5), (2, 7)]
+
+
 def test_registered():
     queries = contract.queries()
-    assert "pipeline" in queries and sum(k.startswith("op") and k[2].isdigit() for k in queries) == 10
+    assert "pipeline" in queries and sum(k.startswith("op") and k[2].isdigit() for k in queries) == 13
