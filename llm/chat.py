@@ -60,14 +60,9 @@ def fold(events: DataFrame) -> DataFrame:
 
 def _latest() -> Column:
     """A message's text: what follows its last message, edit or regenerate event, that event included."""
-    last = F.aggregate("log", F.lit(0), lambda a, x: a + F.when(x["r"] < 3, 1).otherwise(0))
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("t"))
-    step = lambda a, x: F.struct(
-        (a["k"] + F.when(x["r"] < 3, 1).otherwise(0)).alias("k"),
-        F.when(a["k"] + F.when(x["r"] < 3, 1).otherwise(0) == last, F.concat(a["t"], F.array(x["text"]))).otherwise(a["t"]).alias("t"),
-    )
-    many = F.array_join(F.aggregate("log", start, step, lambda a: a["t"]), "")
-    return F.when(F.size("log") == 1, F.element_at("log", 1)["text"]).otherwise(many)
+    starts = F.transform("log", lambda x, i: F.when(x["r"] < 3, i + 1).otherwise(1))
+    kept = F.slice("log", F.array_max(starts), F.size("log"))
+    return F.array_join(F.transform(kept, lambda x: x["text"]), "")
 
 
 def rendered(messages: DataFrame) -> DataFrame:

@@ -361,6 +361,17 @@ def test_chat_folds_events(spark):
     assert chat.fold(df.limit(0)).count() == 0
 
 
+def test_long_messages_are_folded_in_linear_time(spark):
+    """40,000 deltas with an edit in between, and a text of three million characters."""
+    rows = [(1, 0, "message", 0, "assistant", "gone")] + [(1, k, "delta", 0, None, f"{k} ") for k in range(1, 40_001)]
+    rows += [(1, 20_000, "edit", 0, None, "NEW "), (2, 0, "message", 0, "user", "é" * 3_000_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, seq bigint, kind string, message int, role string, text string")
+    start = time.time()
+    got = {r.conv_id: r.text for r in chat.fold(df).collect()}
+    assert got == {1: "NEW " + "".join(f"{k} " for k in range(20_000, 40_001)), 2: "é" * 3_000_000}
+    assert time.time() - start < 20
+
+
 def test_chat_reads_back_control_strings(spark):
     bits = ["</s>", "[INST]", "[/INST]", "<s>", "\\", "<\\s>", "[\\\\INST]", "<\\/s>", "<", "[", "é", "", None, "</s>[INST] ok [/INST]", "\n"]
     rows = [(k % 7, k // 7, "assistant" if k % 2 else "user[/INST]", (bits[k % len(bits)] or "") + (bits[k * 7 % len(bits)] or "")) for k in range(210)]
