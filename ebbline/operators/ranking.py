@@ -1,8 +1,10 @@
 """Exact ranks and order statistics without gathering a group in one task.
 
-Values are first reduced to distinct ones with their counts (a value that fills a third of the table is one row),
-then spread over value ranges by a fixed monotone function; ranges get offsets from their totals, and ordering
-happens inside a range only. A rank is offset + position, exactly what one global sort would give.
+Values are first reduced to distinct ones with their counts (a value that fills a third of the table is one row), then
+spread over value ranges whose borders come from a mergeable quantile sketch of the data, so that every range holds about
+as many rows whatever the scale or spread of the column; ranges get offsets from their totals, and ordering happens
+inside a range only. A rank is offset + position, exactly what one global sort would give: the sketch decides how the
+work is dealt, not the result.
 """
 
 from __future__ import annotations
@@ -11,32 +13,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import ratio
+from ebbline.staging import broadcast_if_small, staged
 
-RANGES_PER_UNIT = 256
+#: Ranges of a group, found in two steps of SPLIT borders each.
+SPLIT = 16
+RANGES = SPLIT * SPLIT
 
 
-def value_range(x: Column) -> Column:
-    """Monotone range number: fine around zero, logarithmic in the tails."""
-    return F.floor(F.asinh(x.cast("double")) * RANGES_PER_UNIT)
+def borders(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, borders): RANGES - 1 ascending quantiles of each group, from one sketch per group and task, merged (stored).
+
+    A group without usable values has none."""
+    points = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    sketch = df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
+    found = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", points))
+    return staged(sketch.select(*by, F.sort_array(F.coalesce(found, F.array().cast("array<double>"))).alias("borders")))
+
+
+def value_range(x: Column, cuts: Column) -> Column:
+    """Number of borders below a value: first among every SPLIT-th, then among those between two of them."""
+    every = F.filter(cuts, lambda _, i: (i + 1) % SPLIT == 0)
+    coarse = F.size(F.filter(every, lambda b: b < x)) * SPLIT
+    return coarse + F.size(F.filter(F.slice(cuts, coarse + 1, F.lit(SPLIT - 1)), lambda b: b < x))
 
 
 def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values per group with count ``n``, rows below ``below`` and group size ``total``."""
-    distinct = df.groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("_range", value_range(F.col(value)))
-    sizes = distinct.groupBy(*by, "_range").agg(F.sum("n").alias("_size"))
+    """Distinct values per group with count ``n``, rows below ``below`` and group size ``total``. NULL comes first."""
+    cuts = broadcast_if_small(borders(df, by, value))
+    distinct = df.groupBy(*by, value).agg(F.count("*").alias("n")).join(cuts, by)
+    distinct = distinct.withColumn("_range", F.coalesce(value_range(F.col(value).cast("double"), F.col("borders")), F.lit(-1))).drop("borders")
+    inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = staged(distinct.withColumn("_inside", F.coalesce(F.sum("n").over(inner), F.lit(0))))
     ordered = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns(
+    sizes = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_size")).withColumns(
         {
             "_offset": F.coalesce(F.sum("_size").over(ordered), F.lit(0)),
             "total": F.sum("_size").over(Window.partitionBy(*by)),
         }
     )
-    inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        distinct.join(sizes, [*by, "_range"])
-        .withColumn("below", F.col("_offset") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .drop("_range", "_size", "_offset")
-    )
+    joined = placed.join(broadcast_if_small(staged(sizes)), [*by, "_range"])
+    return joined.withColumn("below", F.col("_offset") + F.col("_inside")).drop("_range", "_size", "_offset", "_inside")
 
 
 def floor_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -51,13 +67,16 @@ def floor_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str,
 
 
 def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Spearman correlation per group (0 below three rows or without variation) and the row count."""
-    pairs = df.groupBy(*by, x, y).agg(F.count("*").alias("_pairs"))
+    """Spearman correlation per group (0 below three rows or without variation) and the row count, over the rows that
+    have both values."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = staged(both.groupBy(*by, x, y).agg(F.count("*").alias("_pairs")))
 
     def ranks(value, out):
-        return counted(df, by, value).select(
+        ranked = counted(both, by, value).select(
             *by, value, (F.col("below") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0).alias(out)
         )
+        return broadcast_if_small(staged(ranked))
 
     joined = pairs.join(ranks(x, "_rx"), [*by, x]).join(ranks(y, "_ry"), [*by, y])
     n, rx, ry = F.col("_pairs"), F.col("_rx"), F.col("_ry")

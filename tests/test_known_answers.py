@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbline.config import BASELINE_OUTCOMES, HurdleTerms, TaxProfile, WalkForwardConfig
 from ebbline.functions import raises, scalar
-from ebbline.operators import factors, outcomes, ranking, scoring, technicals
+from ebbline.operators import factors, outcomes, ranking, scoring, screen, technicals
 from ebbline.operators.asof import as_of
 from ebbline.plans import live, research, walkforward
 from tests import panels
@@ -123,6 +123,30 @@ def test_chain_index_ignores_what_comes_later(spark):
     assert step == pytest.approx(np.mean([np.log(c[f"N{k}", days[80]] / c[f"N{k}", days[79]]) for k in (1, 2, 3, 4)]))
 
 
+def test_ranges_follow_the_data(spark):
+    """A column in a narrow band far from zero fills all ranges evenly, and ranks are those of a plain sort."""
+    rng = np.random.default_rng(2)
+    v = np.r_[1e6 + rng.random(6000) * 1e-3, np.full(3000, 1e6 + 5e-4)]
+    df = spark.createDataFrame([("g", float(x)) for x in v], "g string, v double").repartition(5)
+    cuts = ranking.borders(df, ["g"], "v")
+    got = df.distinct().join(cuts, "g").groupBy(ranking.value_range(F.col("v"), F.col("borders")).alias("r")).count().collect()
+    assert len(got) > 150 and max(r["count"] for r in got) < 120
+    below = {r.v: (r.below, r.n, r.total) for r in ranking.counted(df, ["g"], "v").collect()}
+    order = np.sort(v)
+    assert all(below[x] == (np.searchsorted(order, x), np.searchsorted(order, x, "right") - np.searchsorted(order, x), 9000) for x in set(v.tolist()))
+    nulls = spark.createDataFrame([("g", None), ("g", 1.0), ("g", float("nan")), ("h", None)], "g string, v double")
+    assert sorted((r.g, str(r.v), r.below, r.total) for r in ranking.counted(nulls, ["g"], "v").collect()) == [("g", "1.0", 1, 3), ("g", "None", 0, 3), ("g", "nan", 2, 3), ("h", "None", 0, 1)]
+
+
+def test_buy_grade_names_are_ranked(spark):
+    """A fall that the market explains, on an oversold name of good quality, is a buy; the best ones come first."""
+    rows = [(f"T{k}", s, c, o) for k, (s, c, o) in enumerate([(70, 82, 60), (62, 60, 45), (90, 82, 80), (62, 59, 60), (61, 82, 60), (70, 82, 44)])]
+    df = spark.createDataFrame(rows, "ticker string, signal_score int, catalyst_score int, overlay_score int").withColumn("dip_pct_week", F.lit(-5.0))
+    judged = df.withColumn("verdict", scoring.verdict(F.col("signal_score"), F.col("catalyst_score"), F.col("overlay_score")))
+    assert [(r.ticker, r.signal_score) for r in screen.top_of(judged, ("BUY_THE_DIP",), 2).collect()] == [("T2", 90), ("T0", 70)]
+    assert {r.ticker: r.verdict for r in judged.collect()} == {"T0": "BUY_THE_DIP", "T1": "BUY_THE_DIP", "T2": "BUY_THE_DIP", "T3": "ACCUMULATE", "T4": "ACCUMULATE", "T5": "WATCHLIST"}
+
+
 def test_as_of_join(spark):
     left = spark.createDataFrame([("A", 5, 1), ("A", 9, 2), ("A", 1, 3), ("B", 5, 4), (None, 5, 5), ("A", None, 6), ("A", 9, 2)], "k string, at int, n int")
     right = spark.createDataFrame([("A", 5, 10.0), ("A", 5, 11.0), ("A", 8, None), ("A", 12, 13.0), (None, 1, 1.0), ("B", None, 2.0), ("C", 1, 3.0)], "k string, since int, v double")
