@@ -21,27 +21,29 @@ RANGES = SPLIT * SPLIT
 
 
 def borders(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, borders): RANGES - 1 ascending quantiles of each group, from one sketch per group and task, merged (stored).
+    """(by, coarse, fine): ascending quantiles of each group, from one sketch per group and task, merged (stored).
 
-    A group without usable values has none."""
+    ``coarse`` has every SPLIT-th of the RANGES - 1 borders, ``fine`` those between two of them. A group without usable
+    values has none."""
     points = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
     sketch = df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
     found = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", points))
-    return staged(sketch.select(*by, F.sort_array(F.coalesce(found, F.array().cast("array<double>"))).alias("borders")))
+    cuts = sketch.select(*by, F.sort_array(F.coalesce(found, F.array().cast("array<double>"))).alias("q"))
+    parts = F.array(*[F.slice("q", k * SPLIT + 1, SPLIT - 1) for k in range(SPLIT)])
+    return staged(cuts.select(*by, F.filter("q", lambda _, i: (i + 1) % SPLIT == 0).alias("coarse"), parts.alias("fine")))
 
 
-def value_range(x: Column, cuts: Column) -> Column:
-    """Number of borders below a value: first among every SPLIT-th, then among those between two of them."""
-    every = F.filter(cuts, lambda _, i: (i + 1) % SPLIT == 0)
-    coarse = F.size(F.filter(every, lambda b: b < x)) * SPLIT
-    return coarse + F.size(F.filter(F.slice(cuts, coarse + 1, F.lit(SPLIT - 1)), lambda b: b < x))
+def value_range(x: Column) -> Column:
+    """Number of borders below a value, in rows that carry ``coarse`` and ``fine``."""
+    at = F.size(F.filter("coarse", lambda b: b < x))
+    return at * SPLIT + F.size(F.filter(F.get("fine", at), lambda b: b < x))
 
 
 def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values per group with count ``n``, rows below ``below`` and group size ``total``. NULL comes first."""
     cuts = broadcast_if_small(borders(df, by, value))
     distinct = df.groupBy(*by, value).agg(F.count("*").alias("n")).join(cuts, by)
-    distinct = distinct.withColumn("_range", F.coalesce(value_range(F.col(value).cast("double"), F.col("borders")), F.lit(-1))).drop("borders")
+    distinct = distinct.withColumn("_range", F.coalesce(value_range(F.col(value).cast("double")), F.lit(-1))).drop("coarse", "fine")
     inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = staged(distinct.withColumn("_inside", F.coalesce(F.sum("n").over(inner), F.lit(0))))
     ordered = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +53,7 @@ def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
             "total": F.sum("_size").over(Window.partitionBy(*by)),
         }
     )
-    joined = placed.join(broadcast_if_small(staged(sizes)), [*by, "_range"])
+    joined = placed.join(sizes, [*by, "_range"])  # at most RANGES rows a group: broadcast at run time
     return joined.withColumn("below", F.col("_offset") + F.col("_inside")).drop("_range", "_size", "_offset", "_inside")
 
 
@@ -73,10 +75,9 @@ def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     pairs = staged(both.groupBy(*by, x, y).agg(F.count("*").alias("_pairs")))
 
     def ranks(value, out):
-        ranked = counted(both, by, value).select(
+        return counted(both, by, value).select(
             *by, value, (F.col("below") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0).alias(out)
         )
-        return broadcast_if_small(staged(ranked))
 
     joined = pairs.join(ranks(x, "_rx"), [*by, x]).join(ranks(y, "_ry"), [*by, y])
     n, rx, ry = F.col("_pairs"), F.col("_rx"), F.col("_ry")
