@@ -24,9 +24,9 @@ def newest_sessions(bars: DataFrame, sessions: int = SESSION_WINDOW) -> DataFram
 
 
 def admitted(bars: DataFrame, min_sessions: int = MIN_LIVE_SESSIONS) -> DataFrame:
-    """Only names with enough history."""
-    counts = bars.groupBy("ticker").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_sessions)
-    return bars.join(counts.select("ticker"), "ticker", "left_semi")
+    """Only names with enough history; the input is read once, and by the exchange of the windows around it."""
+    counted = bars.withColumn("_n", F.count("*").over(Window.partitionBy("ticker")))
+    return counted.filter(F.col("_n") >= min_sessions).drop("_n")
 
 
 def require_names(bars: DataFrame) -> DataFrame:

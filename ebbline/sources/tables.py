@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import SESSION_WINDOW
+from ebbline.staging import staged
 
 OVERLAY_SCHEMA = (
     "ticker STRING, name STRING, sector STRING, industry STRING, "
@@ -35,8 +36,9 @@ def peer_edges(overlay: DataFrame) -> DataFrame:
 
 
 def with_enough_history(bars: DataFrame, min_history: int = SESSION_WINDOW) -> DataFrame:
-    counts = bars.groupBy("ticker").agg(F.count("*").alias("n")).filter(F.col("n") >= min_history)
-    return bars.join(counts.select("ticker"), "ticker", "left_semi")
+    """Bars of the names that have so many; the input is read once."""
+    many = bars.withColumn("_n", F.count("*").over(Window.partitionBy("ticker")))
+    return many.filter(F.col("_n") >= min_history).drop("_n")
 
 
 def cached_history(spark: SparkSession, path: str, build, refresh: bool = False, min_history: int = SESSION_WINDOW) -> DataFrame:
@@ -53,6 +55,17 @@ def cached_history(spark: SparkSession, path: str, build, refresh: bool = False,
     return spark.read.parquet(path).drop("year")
 
 
+def append_history(spark: SparkSession, path: str, fresh: DataFrame) -> None:
+    """Adds bars to a written cache, replacing those of the same (ticker, d). Only the years of ``fresh`` are written anew."""
+    fresh = staged(fresh.withColumn("year", F.year("d")))
+    years = [r.year for r in fresh.select("year").distinct().collect()]
+    stored = spark.read.schema(fresh.schema).parquet(path).filter(F.col("year").isin(years))
+    merged = staged(stored.join(fresh.select("ticker", "d"), ["ticker", "d"], "left_anti").unionByName(fresh))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = merged.repartitionByRange(n, "year", "ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("year").parquet(path)
+
+
 def position_state() -> list:
     """Aggregates that keep a ticker's state whatever the number of its events (partial sums, no event lists)."""
     at = F.struct("ts", "seq")

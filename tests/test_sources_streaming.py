@@ -68,6 +68,18 @@ def test_history_cache_writes_once(spark, tmp_path):
     assert calls == [1, 1]
 
 
+def test_appended_history_rewrites_touched_years(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "ticker string, d date, c double"
+    rows = [("L", dt.date(2023, 12, 26) + dt.timedelta(days=k), float(k)) for k in range(12)]
+    tables.cached_history(spark, path, lambda: spark.createDataFrame(rows, schema), min_history=5)
+    files = lambda year: {str(f) for f in (tmp_path / "cache" / f"year={year}").glob("*.parquet")}
+    before = files(2023), files(2024)
+    tables.append_history(spark, path, spark.createDataFrame([("L", dt.date(2024, 1, 2), 99.0), ("M", dt.date(2024, 5, 1), 1.0)], schema))
+    assert files(2023) == before[0] and not files(2024) & before[1]
+    got = {(r.ticker, r.d): r.c for r in tables.cached_history(spark, path, None).collect()}
+    assert got == {(t, d): c for t, d, c in rows} | {("L", dt.date(2024, 1, 2)): 99.0, ("M", dt.date(2024, 5, 1)): 1.0}
+
+
 def test_positions(spark):
     t = dt.datetime(2024, 1, 1)
     ev = [("A", 1, "toggle", None), ("A", 2, "enter", 10.0), ("B", 1, "toggle", None), ("B", 2, "toggle", None), ("C", 1, "enter", 5.0), ("C", 2, "toggle", None),
