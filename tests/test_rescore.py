@@ -30,7 +30,7 @@ def market(spark):
     ratios = empty("ticker string, gross_margin double, operating_margin double, pe_ttm double")
     metrics = empty("ticker string, ev_to_ebitda double, net_debt_ebitda double, roic double, fcf_yield double")
     edges = spark.createDataFrame(panels.edges_of(p))
-    sides = (edges, overlay, profile, ratios, metrics, empty("sector string, pe double"))
+    sides = (edges, overlay, profile, ratios, metrics, empty("sector string, date date, pe double"))
     return p, tuple(df.cache() for df in sides)
 
 
