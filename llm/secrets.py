@@ -2,8 +2,8 @@
 
 Candidates are private-key headers, key formats with a fixed prefix, values of any length and alphabet assigned to a
 credential word, and runs of 16 or more key characters with a digit. The forest sees a candidate's
-length, character transitions, dictionary coverage, path signs and neighbouring words, and is trained from labelled
-findings. DataFrame functions and the JVM's ML library only.
+length, character transitions, coverage by words of the corpus, path signs and neighbouring words, and is trained from
+labelled findings; it decides on every candidate. DataFrame functions and the JVM's ML library only.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.staging import staged
+from llm import findings
+from llm.common import looked_up, small
 
 _KEY = "[A-Za-z0-9+/_-]"
 PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 CONTEXT = 40
 #: At most so many labelled findings train the forest: those with the least hashes.
 TRAIN_ROWS = 20_000
-TREES, DEPTH = 24, 6
+TREES, DEPTH = 32, 9
 #: Words that stand before secrets, and plain words that keys do not hold.
 CREDENTIAL = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
 #: Key formats with a fixed prefix.
@@ -41,16 +43,16 @@ CANDIDATE = f"{PEM}|(?<!{_KEY}){PREFIXED}(?!{_KEY})|{VALUE}|(?<!{_KEY})(?={_KEY}
 PLACEHOLDER = (
     r"(?i)^(?:true|false|null|nil|none|undefined|required|optional|string|str|[*x.-]+|<.*|\$[({\w].*|\{\{.*|%[sd]|(?:your|my)[ _-].*|[a-z_][\w.]*[(\[].*)$"
 )
-DICTIONARY = (
-    "access", "account", "address", "article", "build", "change", "class", "client", "commit", "config", "content", "data",
-    "default", "document", "domain", "download", "example", "file", "group", "header", "image", "index", "item", "link",
-    "list", "message", "method", "model", "module", "name", "number", "object", "order", "page", "path", "product", "public",
-    "query", "release", "report", "request", "result", "sample", "section", "server", "service", "session", "source",
-    "state", "string", "system", "table", "test", "time", "title", "type", "update", "user", "value", "version",
-)
+#: A dictionary word stands in one document of so many, and in two different texts.
+DICTIONARY_PART = 50_000
+#: Planted lines that train the forest where no reviewed findings are given (``llm/findings.py``).
+PLANTED = 12_000
+_WORD = r"(?<![\w/+=@-])\p{L}{4,30}(?![\w/+=@-])"
+_PIECE = "[A-Z]?[a-z]{3,}|[A-Z]{4,}"
 FEATURES = [
     "length", "transitions", "case_turns", "digit_share", "upper_share", "lower_share", "other_share", "hex", "digits_only",
-    "distinct_share", "dictionary_share", "path_signs", "credential_before", "assigned", "quoted", "words_before", "pem",
+    "distinct_share", "dictionary_share", "path_signs", "credential_before", "credential_assigned", "assigned", "quoted", "words_before",
+    "words_after", "colon", "format", "placeholder",
 ]
 
 
@@ -76,14 +78,37 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(word): words of four letters or more that stand alone in one document of DICTIONARY_PART, and in two different
+    texts, in lower case; counted over all documents. The words of ``findings.WORDS`` belong to it."""
+    key = F.xxhash64("text")
+    texts = docs.select(F.lower(F.col("text").cast("string")).alias("text")).where("text is not null")
+    words = texts.select(key.alias("key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+    own = docs.sparkSession.createDataFrame([(w,) for w in findings.WORDS], "word string")
+    often = counts.where((F.col("first") < F.col("last")) & (F.col("n") * DICTIONARY_PART >= docs.count())).select("word")
+    return staged(often.union(own).distinct())
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with the characters of each candidate that dictionary words cover, as ``covered``.
+
+    Found once per distinct candidate; candidates and words that fill a large part of the rows are joined by broadcast."""
+    each = staged(found.groupBy("candidate").agg(F.count("*").alias("rows")))
+    pieces = staged(each.select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit(_PIECE), F.lit(0))).alias("word")).withColumn("word", F.lower("word")))
+    known = staged(pieces.groupBy("word").agg(F.count("*").alias("rows")).join(small(words), "word", "left_semi"))
+    sums = looked_up(pieces, known, "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("covered"))
+    facts = staged(each.join(sums, "candidate", "left").withColumn("covered", F.coalesce("covered", F.lit(0))))
+    return looked_up(found, facts, "candidate")
+
+
+def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     c, b, a = F.col("candidate"), F.col("before"), F.col("after")
     n = F.length(c)
     count = lambda pattern: F.regexp_count(c, F.lit(pattern))
-    plain = F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     features: dict[str, Column] = {
-        "length": F.least(n, F.lit(200)).cast("double"),
+        "length": n.cast("double"),
         "transitions": count("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])") / n,
         "case_turns": count("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
         "digit_share": count("[0-9]") / n,
@@ -92,61 +117,58 @@ def with_features(found: DataFrame) -> DataFrame:
         "other_share": count("[^A-Za-z0-9]") / n,
         "hex": flag(F.rlike(c, F.lit("^[0-9a-f]+$")) | F.rlike(c, F.lit("^[0-9A-F]+$"))),
         "digits_only": flag(F.rlike(c, F.lit("^[0-9]+$"))),
-        "distinct_share": F.size(F.array_distinct(F.split(F.left(c, F.lit(200)), ""))) / F.least(n, F.lit(200)),
-        "dictionary_share": 1 - F.length(plain) / n,
+        "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / n,
+        "dictionary_share": F.col("covered") / n,
         "path_signs": count("/") + flag(F.rlike(b, F.lit(r"[/\\.]$"))) + flag(F.rlike(a, F.lit(r"^[/\\.]\w"))),
         "credential_before": flag(F.rlike(b, F.lit(rf"(?i)\b{CREDENTIAL}\W{{0,6}}$"))),
+        "credential_assigned": flag(F.rlike(b, F.lit(rf"{ASSIGN}[bruf]?\\?[\"'`]?$"))),
         "assigned": flag(F.rlike(b, F.lit(r"[=:]\s*[\"']?$"))),
         "quoted": flag(F.rlike(b, F.lit("[\"'`]$")) & F.rlike(a, F.lit("^[\"'`]"))),
         "words_before": F.regexp_count(b, F.lit(r"\p{L}{2,}")).cast("double"),
-        "pem": flag(F.rlike(c, F.lit(f"^{PEM}$"))),
+        "words_after": F.regexp_count(a, F.lit(r"^[,;]?\s+\p{L}+")).cast("double"),
+        "colon": flag(F.rlike(b, F.lit(r":\s+$"))),
+        "format": flag(F.rlike(c, F.lit(rf"^(?:{PREFIXED}|{PEM})$"))),
+        "placeholder": flag(F.rlike(c, F.lit(PLACEHOLDER))),
     }
-    return found.withColumns({k: F.coalesce(v, F.lit(0.0)).cast("double") for k, v in features.items()})
+    return covered(found, words).withColumns({k: F.coalesce(v, F.lit(0.0)).cast("double") for k, v in features.items()})
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """Labels where a format or the neighbouring words decide, for corpora without reviewed findings; others NULL.
+def planted(spark: SparkSession, rows: int = PLANTED) -> DataFrame:
+    """Labelled findings in the form of :func:`candidates`: all candidates of the planted lines."""
+    lines = staged(findings.lines(spark, rows))
+    return candidates(lines).join(lines.select("doc_id", "label"), "doc_id")
 
-    True: key formats with a fixed prefix, key headers, and strings assigned to a credential word. False: digits only,
-    strings that plain words cover by half, placeholders, and plain words of a sentence that goes on after a colon.
-    """
-    c, b, a = F.col("candidate"), F.col("before"), F.col("after")
-    format_ = F.rlike(c, F.lit(rf"^(?:{PREFIXED}|{PEM})$"))
-    assigned = F.rlike(b, F.lit(rf"{ASSIGN}[bruf]?\\?[\"'`]?$"))
-    prose = F.rlike(b, F.lit(r":\s+$")) & F.rlike(c, F.lit(r"^\p{L}?\p{Ll}{0,14}$")) & F.rlike(a, F.lit(r"^[,;]?\s+\p{L}"))
-    true = format_ | (assigned & ~F.rlike(c, F.lit(PLACEHOLDER)) & ~prose)
-    covered = F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), "")) * 2 <= F.length(c)
-    false = F.rlike(c, F.lit("^[0-9]+$")) | covered | (assigned & ~true)
-    return found.withColumn("label", F.when(true, 1.0).when(false, 0.0))
-
-
-def trained(findings: DataFrame, rows: int = TRAIN_ROWS):
-    """A forest from findings(doc_id, ordinal, candidate, before, after, label); None unless both labels occur."""
-    known = with_features(findings.where("label is not null")).select("doc_id", "ordinal", "key", "label", *FEATURES)
-    known = staged(known.orderBy(F.xxhash64("key", "ordinal", "doc_id"), "key", "ordinal", "doc_id").limit(rows))
+
+def trained(labelled: DataFrame, words: DataFrame, rows: int = TRAIN_ROWS):
+    """A forest from labelled(doc_id, key, ordinal, candidate, before, after, label); None unless both labels occur."""
+    known = staged(labelled.where("label is not null").orderBy(F.xxhash64("key", "ordinal", "doc_id"), "key", "ordinal", "doc_id").limit(rows))
     if known.select("label").distinct().count() < 2:
         return None
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
+    # One order for every run: the forest draws its samples by place.
+    data = with_features(known, words).select("doc_id", "ordinal", "key", "label", *FEATURES).orderBy("key", "ordinal", "doc_id").coalesce(1)
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(staged(data))
     return RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(data)
 
 
+def scored(found: DataFrame, model, words: DataFrame) -> DataFrame:
+    """``found`` with the forest's probability of a secret as ``score``."""
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, words))
+    return model.transform(data).withColumn("score", vector_to_array("probability")[1])
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, key, ordinal, start, length, score, secret): every candidate with the forest's score.
+    """(doc_id, key, ordinal, start, length, score, secret): every candidate with the forest's score, which alone decides.
 
-    ``labelled`` are reviewed findings with label 0 or 1 in the form of :func:`candidates`; without them
-    :func:`weak_labels` of the corpus train the forest, and findings that they hold for true have score 1. Where nothing can be learned (one label or none), no candidate
-    is removed: score 1. Empty tables give no rows.
+    ``labelled`` are reviewed findings with label 0 or 1 in the form of :func:`candidates`; without them the planted ones
+    train the forest. Where reviewed findings have one label or none, no candidate is removed: score 1. NULL and empty
+    texts have no candidates; repeated rows give theirs each; texts and candidates are taken whole; empty tables give no
+    rows.
     """
     found = staged(candidates(docs))
-    weak = weak_labels(found)
-    model = trained(labelled if labelled is not None else weak)
-    if model is None:
-        scored = found.withColumn("score", F.lit(1.0))
-    else:
-        data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(weak))
-        score = vector_to_array("probability")[1]
-        scored = model.transform(data).withColumn("score", score if labelled is not None else F.when(F.col("label") == 1, 1.0).otherwise(score))
-    return scored.select(
+    words = dictionary(docs)
+    model = trained(labelled if labelled is not None else planted(docs.sparkSession), words)
+    out = found.withColumn("score", F.lit(1.0)) if model is None else scored(found, model, words)
+    return out.select(
         "doc_id", "key", "ordinal", "start", F.length("candidate").cast("bigint").alias("length"), F.round("score", 6).alias("score"),
         (F.col("score") >= threshold).alias("secret"),
     )
