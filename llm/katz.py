@@ -274,41 +274,51 @@ def _dealer(shared, pieces: int):
 
 
 class _Piece:
-    """Instances of one piece: cached trigrams by places, others by hashes, in this order."""
+    """Instances of one piece: cached trigrams by places, others by hashes, in this order. Blobs are decoded one at a
+    time; what is kept takes 24 bytes an instance, and 24 more where a word is not cached."""
 
     def __init__(self, blobs, model: _Model):
         pack, radix = pa.Codec("zstd"), np.uint64(model.radix)
-        codes, far, owners, times, keys, trains, docs = [], [], ([], []), ([], []), [], [], 0
+        # b, a, w, owner, times and the hash of what an instance is dealt by
+        sides, keys, trains, docs, hashes = ([[] for _ in range(6)], [[] for _ in range(6)]), [], [], 0, []
         for blob in blobs:
             v = memoryview(blob.as_buffer())
             raw = pack.decompress(v[8:], int.from_bytes(v[:8], "little"), asbytes=True)
             n1, n2, m = np.frombuffer(raw, np.int64, 3).tolist()
-            keys.append(np.frombuffer(raw, np.int64, m, 24))
+            keys.append(np.frombuffer(raw, np.int64, m, 24).copy())
             trains.append(np.frombuffer(raw, np.uint8, m, 24 + 8 * m).astype(bool))
             at = 24 + 9 * m
-            codes.append(np.cumsum(_unplanes(raw[at : at + 8 * n1], n1, np.uint64), dtype=np.uint64))
+            code = np.cumsum(_unplanes(raw[at : at + 8 * n1], n1, np.uint64), dtype=np.uint64)
             at += 8 * n1
-            far.append(np.frombuffer(raw, np.uint64, 3 * n2, at).reshape(3, n2) if n2 else np.zeros((3, 0), np.uint64))
+            far = np.frombuffer(raw, np.uint64, 3 * n2, at).reshape(3, n2).copy()
             at += 24 * n2
             local = _unplanes(raw[at : at + 4 * (n1 + n2)], n1 + n2, np.uint32) + np.uint32(docs)
             number = _unplanes(raw[at + 4 * (n1 + n2) :], n1 + n2, np.uint32)
-            for k, side in enumerate((slice(0, n1), slice(n1, None))):
-                owners[k].append(local[side])
-                times[k].append(number[side])
+            history = code // radix
+            near = [p.astype(np.int32) for p in (history // radix, history % radix, code % radix)]
+            for side, ids, words, part in (
+                (sides[0], near, [model.hashes[p] for p in near], slice(0, n1)), (sides[1], [model.ids(h).astype(np.int32) for h in far], far, slice(n1, None)),
+            ):
+                by = model.dealt_by(words[1], words[0], words[2], model.is_hot(ids[1]), model.is_hot(ids[0]))
+                for held, x in zip(side, (*ids, local[part].copy(), number[part].copy(), by.astype(np.uint32)), strict=True):
+                    held.append(x)
+            hashes.append(far)
             docs += m
-        keys, self.train = np.concatenate(keys), np.concatenate(trains)
-        self.keys, self.doc = np.unique(keys, return_inverse=True)
-        code = np.concatenate(codes)
-        self.near = len(code)
-        self.owner, self.times = (np.concatenate([*x[0], *x[1]]) for x in (owners, times))
-        far = np.concatenate(far, axis=1)
-        places = [code // radix // radix, code // radix % radix, code % radix]  # b, a, w
-        self.hashes = far
-        self.places = [np.concatenate([p.astype(np.int32), model.ids(h).astype(np.int32)]) for p, h in zip(places, far, strict=True)]
-        b, a, w = (np.concatenate([model.hashes[p[: self.near]], h]) for p, h in zip(self.places, far, strict=True))
-        by = model.dealt_by(a, b, w, model.is_hot(self.places[1]), model.is_hot(self.places[0]))
+
+        def whole(k: int) -> np.ndarray:
+            out = np.concatenate([*sides[0][k], *sides[1][k]])
+            sides[0][k] = sides[1][k] = None
+            return out
+
+        self.near, self.hashes = sum(map(len, sides[0][0])), np.concatenate(hashes, axis=1)
+        self.keys, self.doc = np.unique(np.concatenate(keys), return_inverse=True)
+        self.train = np.concatenate(trains)
+        self.places, self.owner, self.times, by = [whole(k) for k in range(3)], whole(3), whole(4), whole(5)
         self.parts = -(-len(self.owner) // AT_ONCE)
-        self.part = ((by & np.uint64(0xFFFFFFFF)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
+        by = by.astype(np.uint64)
+        by *= np.uint64(self.parts)
+        by >>= np.uint64(32)
+        self.part = by.astype(np.int32)
 
     def select(self, k: int, model: _Model):
         """(b, a, w, hashes of all ids, owner, times) of one part; ids of rare words follow those of cached ones."""
@@ -356,16 +366,15 @@ def _evaluated(shared):
     that ends hot.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        model, out = shared.value, []
-        piece = _Piece(group["blob"], model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        piece = _Piece((blob for batch in batches for blob in batch["blob"]), model)
         n = len(piece.keys)
-        x, low3, low2, met = np.zeros(n), np.zeros((DISCOUNTED, n), np.int64), np.zeros((DISCOUNTED, n), np.int64), np.zeros(n, bool)
+        x, low3, low2, met = np.zeros(n), np.zeros((DISCOUNTED, n), np.int32), np.zeros((DISCOUNTED, n), np.int32), np.zeros(n, bool)
         for k in range(piece.parts):
-            out += _part(model, piece, *piece.select(k, model), x, low3, low2, met)
+            yield from _part(model, piece, *piece.select(k, model), x, low3, low2, met)
         low = {c: v[met] for c, v in zip([*_R, *_M], [*low3, *low2], strict=True)}
-        out.append(_facts(0, int(met.sum()), key=piece.keys[met], x=x[met], **low))
-        return pa.Table.from_batches(out)
+        yield _facts(0, int(met.sum()), key=piece.keys[met], x=x[met], **low)
 
     return run
 
@@ -420,7 +429,7 @@ def _part(model: _Model, piece: _Piece, b, a, w, hashes, owner, times, x, low3,
     for r in range(1, DISCOUNTED + 1):
         for low, where in ((low3, (level == 3) & (c3 == r)), (low2, (level == 2) & (c2 == r))):
             some = where[each]
-            low[r - 1] += np.bincount(doc[some], times[some], docs).astype(np.int64)
+            low[r - 1] += np.bincount(doc[some], times[some], docs).astype(np.int32)
     out = []
 
     def by_document(kind: int, where: np.ndarray, group: np.ndarray, weigh: np.ndarray | None = None, **named) -> None:

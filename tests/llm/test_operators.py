@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -222,6 +223,25 @@ def test_katz_without_training_rows(spark):
     assert katz.score(df.limit(0)).count() == 0
 
 
+def test_katz_decodes_a_piece_blob_by_blob(monkeypatch):
+    """What a task holds of a piece, at its highest, stays under 60 bytes an instance (twice that before)."""
+    monkeypatch.setattr(katz, "FLUSH", 1)
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    hashes = W.words(pa.array([" ".join(vocabulary)]))[0][:2900]
+    model = katz._Model(hashes, np.arange(1, 2901), 10**7, 3000, 10, {1: 1}, 16)
+    text = lambda: pa.array([" ".join(vocabulary[rng.integers(0, 3000, 1500)]) for _ in range(30)])
+    batches = [pa.record_batch([text(), pa.array(range(30 * k, 30 * k + 30)), pa.array([False] * 30)], ["text", "key", "held"]) for k in range(12)]
+    shared = type("Shared", (), {"value": model})
+    blobs = [blob for out in katz._dealer(shared, 1)(iter(batches)) for blob in out["blob"]]
+    tracemalloc.start()
+    piece = katz._Piece(blobs, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blobs) == 12 and piece.times.sum() == 12 * 30 * 1501
+    assert peak < 60 * len(piece.owner)
+
+
 def test_repeated_passages(docs, rows):
     at = collections.defaultdict(set)
     for i, t in set(rows):
