@@ -4,11 +4,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ebbline import queries
 from ebbline.operators import evidence
 from ebbline.plans import assess
 from ebbline.sources import filings
+from ebbline.staging import staged
 
 AS_OF = "2026-07-01"
+DIR = "/root/testdata/sf0.001"
 FULL = {
     "founders": [("Ada", 10.0, True, True, True, 0), ("Bo", 4.0, False, False, True, 0)],
     "traction": (400000.0, 120.0, 70.0, 18.0, 4.0, 1.0),
@@ -147,3 +150,14 @@ def test_skeletons_state_nothing_that_was_not_filed(spark):
     assert beta.unparsed == ["primary_doc"] and beta.terms.target_raise is None and deals["edgar:1234569" if "edgar:1234569" in deals else "edgar:0001234569"].founders == []
     verdicts = assess.assess(filings.deal_skeletons(filings.listings(filings.feed_entries(docs)), offers), AS_OF)
     assert {r.verdict for r in verdicts.select(F.col("verdict")).collect()} <= {"INSUFFICIENT_DATA", "ELIGIBLE_WITH_FLAGS"}
+
+
+def test_assessments_compute_only_what_a_query_takes(spark, monkeypatch):
+    """Hurdles and the gate sweep need neither signal texts nor vetoes; nothing but the deals and outcomes is stored."""
+    stored = []
+    monkeypatch.setattr(queries, "staged", lambda df: stored.append(df.columns) or staged(df))
+    monkeypatch.setattr(queries, "_INPUTS", {})
+    for name in ("deal_hurdles", "gate_sweep"):
+        plan = queries.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Not disclosed" not in plan and "no_advance_assurance" not in plan
+    assert len(stored) == 2 and not any("vetoes" in columns for columns in stored)
