@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ebbline import queries
@@ -152,6 +153,16 @@ def test_skeletons_state_nothing_that_was_not_filed(spark):
     assert {r.verdict for r in verdicts.select(F.col("verdict")).collect()} <= {"INSUFFICIENT_DATA", "ELIGIBLE_WITH_FLAGS"}
 
 
+def test_pillar_scores_are_the_grouped_signals_without_an_exchange(spark):
+    profiled = evidence.with_profile(queries.Inputs(spark, DIR).deals, queries.AS_OF)
+    direct = evidence.pillar_scores(profiled)
+    assert "Exchange" not in direct._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(df.select("deal_id", "pillar", "score", "opacity", "weight").collect())
+    got, want = rows(direct), rows(evidence.pillar_rows(evidence.signal_rows(profiled)))
+    assert len(got) == 6 * profiled.count() and [r[:2] for r in got] == [r[:2] for r in want]
+    assert [list(r[2:]) for r in got] == [pytest.approx(list(r[2:]), abs=1e-9) for r in want]
+
+
 def test_assessments_compute_only_what_a_query_takes(spark, monkeypatch):
     """Hurdles and the gate sweep need neither signal texts nor vetoes; nothing but the deals and outcomes is stored."""
     stored = []
