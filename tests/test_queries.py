@@ -1,9 +1,12 @@
 """Registered queries against their SQL on the smallest data folder."""
 
+import itertools
+
 import pytest
 
 import __spark_entry__ as contract
 from checks.compare import difference, duck
+from ebbline import fixtures
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -32,3 +35,14 @@ def test_every_sql_has_a_query():
 def test_flagship(spark):
     df = contract.entry(spark)
     assert df.columns[:4] == ["ticker", "as_of", "signal_score", "cause"] and df.count() > 100
+
+
+def test_lines_are_joined_to_orders_that_know_their_nation(spark):
+    """The join with the customers holds no order lines: those would move once more."""
+    plan = fixtures.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    tops = [k for k, line in enumerate(plan) if "Join Inner" in line and "c_custkey" in line]
+    assert tops
+    for k in tops:
+        below = itertools.takewhile(lambda line: depth(line) > depth(plan[k]), plan[k + 1 :])
+        assert not any("l_shipdate" in line for line in below)
