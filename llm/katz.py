@@ -55,16 +55,36 @@ def discounts(counts: dict[int, int]) -> np.ndarray:
     return out
 
 
+class _Found:
+    """Places of hashes among some sorted ones; the first bits of a hash tell where to look from."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(4, len(hashes).bit_length())
+        self.size, self.shift = len(hashes), np.uint64(64 - bits)
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each one, -1 where it is none of them."""
+        at = self.first[hashes >> self.shift]
+        after = np.flatnonzero(self.hashes[at] < hashes)
+        while len(after):
+            at[after] += 1
+            after = after[self.hashes[at[after]] < hashes[after]]
+        at[(self.hashes[at] != hashes) | (at == self.size)] = -1
+        return at
+
+
 class _Model:
     """What every task holds: the cached words' counts, unigram probabilities, bigram counts after hot words. Bounded by
     CACHED and HOT."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int, texts: int, nr: dict[int, int], hot: int):
         order = np.argsort(words)
-        self.words, self.counts, self.total, self.types = words[order], counts[order].astype(np.int64), total, types
+        self.counts, self.total, self.types = counts[order].astype(np.int64), total, types
         self.size = self.start = len(words)
         self.radix = self.size + 1
-        self.hashes = np.append(self.words, START)
+        self.hashes, self.found = np.append(words[order], START), _Found(words[order])
         self.history = np.append(self.counts, texts)
         self.d1 = discounts(nr)
         freed = sum(nr.get(r, 0) * r * (1 - self.d1[r]) for r in range(1, DISCOUNTED + 1)) / total if total else 1.0
@@ -89,9 +109,7 @@ class _Model:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Places of cached words, -1 for others."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(self.size - 1, 0))
-        found = np.where(self.words[at] == hashes, at, -1) if self.size else np.full(len(hashes), -1)
-        return np.where(hashes == START, self.start, found)
+        return np.where(hashes == START, self.start, self.found.places(hashes))
 
     def is_hot(self, ids: np.ndarray) -> np.ndarray:
         return (ids >= 0) & (ids < self.radix) & self.hot[np.clip(ids, 0, self.size)]
@@ -99,11 +117,20 @@ class _Model:
     def base(self, count):
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.types + 1)))
 
-    def dealt_by(self, a, b, w, hot_a, hot_b) -> np.ndarray:
-        """A hash of what an instance of word hashes (a, b, w) is dealt by."""
-        middle = W.mix(b + np.uint64(1))
-        history = W.mix(middle * W._STEP + a)
-        return np.where(hot_b, np.where(hot_a, W.mix(history * W._STEP + w), history), middle)
+
+def _middle(hashes: np.ndarray) -> np.ndarray:
+    return W.mix(hashes + np.uint64(1))
+
+
+def _dealt_by(hashes: np.ndarray, middle: np.ndarray, hot: np.ndarray, b: np.ndarray, a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of what each instance is dealt by; b, a, w are places in the word hashes, whose ``_middle``
+    is taken before; hot tells which of them are."""
+    by = middle[b]
+    at = np.flatnonzero(hot[b])
+    by[at] = W.mix(by[at] * W._STEP + hashes[a[at]])
+    at = at[hot[a[at]]]
+    by[at] = W.mix(by[at] * W._STEP + hashes[w[at]])
+    return by
 
 
 def _with_ends(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +230,7 @@ def _read(kind: int, rows: int, key, **given) -> pa.RecordBatch:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return b"".join((x >> x.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(x.itemsize))
 
 
 def _unplanes(b: bytes, n: int, dtype) -> np.ndarray:
@@ -212,6 +239,29 @@ def _unplanes(b: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(dtype).itemsize, n).T).view(dtype).ravel()
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _in_order(b: np.ndarray, a: np.ndarray, w: np.ndarray, owner: np.ndarray, words: int, docs: int) -> list[np.ndarray]:
+    """Numbers below words (b, a, w) and docs (owner, ascending) sorted by (b, a, w, owner): as one number where that fits."""
+    if words**3 * docs >= 1 << 64:
+        order = np.lexsort((w, a, b))
+        return [x[order] for x in (b, a, w, owner)]
+    code, out = b.astype(np.uint64), []
+    for x, radix in ((a, words), (w, words), (owner, docs)):
+        code *= np.uint64(radix)
+        code += x.astype(np.uint64)
+    code.sort()
+    for radix in (docs, words, words):
+        left = code // np.uint64(radix)
+        code -= left * np.uint64(radix)
+        out.append(code.astype(np.int64))
+        code = left
+    return [code.astype(np.int64), *out[::-1]]
+
+
 def _dealer(shared, pieces: int):
     """Blobs of one piece each: distinct (trigram, document) with their number, cached trigrams as codes, others as hashes."""
 
@@ -220,53 +270,54 @@ def _dealer(shared, pieces: int):
         radix, held, size = np.uint64(model.radix), [], 0
 
         def flush():
-            a, b, w, owner = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
-            keys, train = (np.concatenate(x) for x in list(zip(*held, strict=True))[4:])
-            ia, ib, iw = model.ids(a), model.ids(b), model.ids(w)
-            by = model.dealt_by(a, b, w, model.is_hot(ia), model.is_hot(ib))
-            piece = ((by >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
-            near = (ia >= 0) & (ib >= 0) & (iw >= 0)
-            code = np.where(near, (ib.astype(np.uint64) * radix + ia.astype(np.uint64)) * radix + iw.astype(np.uint64), 0)
-            sides = []
-            for some, values in ((near, (code,)), (~near, (b, a, w))):
-                at = np.flatnonzero(some)
-                at = at[np.lexsort((owner[at], *(v[at] for v in reversed(values)), piece[at]))]
-                new = np.zeros(len(at), bool)
-                new[:1] = True
-                for v in (owner, *values):
-                    new[1:] |= v[at][1:] != v[at][:-1]
-                first = np.flatnonzero(new)
-                times = np.diff(np.r_[first, len(at)]).astype(np.uint32)
-                at = at[first]
-                sides.append((piece[at], owner[at], times, [v[at] for v in values], np.searchsorted(piece[at], np.arange(pieces + 1))))
-            ids, blobs = [], []
+            tokens, length, keys, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            # words by their places among those of this block, in order of hashes and so of codes; the start comes last
+            hashes = _distinct(tokens)
+            w = _Found(hashes).places(tokens)
+            hashes, n, docs = np.append(hashes, START), len(hashes) + 1, len(length)
+            at = np.r_[0, np.cumsum(length)]
+            b = _before(w, at, n - 1)
+            b, a, w, owner = _in_order(b, _before(b, at, n - 1), w, np.repeat(np.arange(docs), length), n, docs)
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.r_[first, len(w)]).astype(np.uint32)
+            b, a, w, owner = b[first], a[first], w[first], owner[first]
+            ids = model.ids(hashes)
+            by = _dealt_by(hashes, _middle(hashes), model.is_hot(ids), b, a, w)
+            side = ((by >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.uint16) * np.uint16(2)
+            known = ids >= 0
+            side += ~(known[b] & known[a] & known[w])
+            order = np.argsort(side, kind="stable")
+            cut = np.searchsorted(side[order], np.arange(2 * pieces + 1))
+            b, a, w, owner, times = b[order], a[order], w[order], owner[order], times[order]
+            place, local = ids.astype(np.uint64), np.empty(docs, np.uint32)
+            at_pieces, blobs = [], []
             for p in range(pieces):
-                (o1, t1, (c1,)), (o2, t2, far) = (
-                    (o[cut[p] : cut[p + 1]], t[cut[p] : cut[p + 1]], [v[cut[p] : cut[p + 1]] for v in vs]) for _, o, t, vs, cut in sides
-                )
-                if not len(o1) + len(o2):
+                near, far = slice(cut[2 * p], cut[2 * p + 1]), slice(cut[2 * p + 1], cut[2 * p + 2])
+                n1, n2 = near.stop - near.start, far.stop - far.start
+                if not n1 + n2:
                     continue
-                own, local = np.unique(np.concatenate([o1, o2]), return_inverse=True)
+                code = (place[b[near]] * radix + place[a[near]]) * radix + place[w[near]]
+                own = _distinct(owner[near.start : far.stop])
+                local[own] = np.arange(len(own), dtype=np.uint32)
                 raw = b"".join((
-                    np.array([len(o1), len(o2), len(own)], np.int64).tobytes(), keys[own].tobytes(), train[own].astype(np.uint8).tobytes(),
-                    _planes(np.diff(c1, prepend=np.uint64(0))), *(v.tobytes() for v in far), _planes(local.astype(np.uint32)),
-                    _planes(np.concatenate([t1, t2])),
+                    np.array([n1, n2, len(own)], np.int64).tobytes(), keys[own].tobytes(), train[own].astype(np.uint8).tobytes(),
+                    _planes(np.diff(code, prepend=np.uint64(0))), *(hashes[v[far]].tobytes() for v in (b, a, w)), _planes(local[owner[near.start : far.stop]]),
+                    _planes(times[near.start : far.stop]),
                 ))
-                ids.append(p)
+                at_pieces.append(p)
                 blobs.append(len(raw).to_bytes(8, "little") + pack.compress(raw, asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(at_pieces, pa.int32()), pa.array(blobs, pa.binary())], ["piece", "blob"])
 
-        docs = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                w, at = _with_ends(part)
-                b = _before(w, at, START)
-                owner = np.repeat(np.arange(docs, docs + len(at) - 1, dtype=np.uint32), np.diff(at))
-                held.append((_before(b, at, START), b, w, owner, np.asarray(part["key"]), ~_held(part)))
-                size, docs = size + len(w), docs + len(at) - 1
+                tokens, at = _with_ends(part)
+                held.append((tokens, np.diff(at), np.asarray(part["key"]), ~_held(part)))
+                size += len(tokens)
                 if size > FLUSH:
                     yield from flush()
-                    held, size, docs = [], 0, 0
+                    held, size = [], 0
         if size:
             yield from flush()
 
@@ -278,7 +329,7 @@ class _Piece:
     time; what is kept takes 24 bytes an instance, and 24 more where a word is not cached."""
 
     def __init__(self, blobs, model: _Model):
-        pack, radix = pa.Codec("zstd"), np.uint64(model.radix)
+        pack, radix, middle = pa.Codec("zstd"), np.uint64(model.radix), _middle(model.hashes)
         # b, a, w, owner, times and the hash of what an instance is dealt by
         sides, keys, trains, docs, hashes = ([[] for _ in range(6)], [[] for _ in range(6)]), [], [], 0, []
         for blob in blobs:
@@ -296,10 +347,12 @@ class _Piece:
             number = _unplanes(raw[at + 4 * (n1 + n2) :], n1 + n2, np.uint32)
             history = code // radix
             near = [p.astype(np.int32) for p in (history // radix, history % radix, code % radix)]
-            for side, ids, words, part in (
-                (sides[0], near, [model.hashes[p] for p in near], slice(0, n1)), (sides[1], [model.ids(h).astype(np.int32) for h in far], far, slice(n1, None)),
+            words = far.ravel()
+            far_ids = model.ids(words).astype(np.int32)
+            for side, ids, part, by in (
+                (sides[0], near, slice(0, n1), _dealt_by(model.hashes, middle, model.hot, *near)),
+                (sides[1], far_ids.reshape(3, n2), slice(n1, None), _dealt_by(words, _middle(words), model.is_hot(far_ids), *np.arange(3 * n2).reshape(3, n2))),
             ):
-                by = model.dealt_by(words[1], words[0], words[2], model.is_hot(ids[1]), model.is_hot(ids[0]))
                 for held, x in zip(side, (*ids, local[part].copy(), number[part].copy(), by.astype(np.uint32)), strict=True):
                     held.append(x)
             hashes.append(far)
@@ -370,16 +423,16 @@ def _evaluated(shared):
         model = shared.value
         piece = _Piece((blob for batch in batches for blob in batch["blob"]), model)
         n = len(piece.keys)
-        x, low3, low2, met = np.zeros(n), np.zeros((DISCOUNTED, n), np.int32), np.zeros((DISCOUNTED, n), np.int32), np.zeros(n, bool)
+        x, low, met = np.zeros(n), np.zeros((2 * DISCOUNTED, n), np.int32), np.zeros(n, bool)
         for k in range(piece.parts):
-            yield from _part(model, piece, *piece.select(k, model), x, low3, low2, met)
-        low = {c: v[met] for c, v in zip([*_R, *_M], [*low3, *low2], strict=True)}
+            yield from _part(model, piece, *piece.select(k, model), x, low, met)
+        low = {c: v[met] for c, v in zip([*_R, *_M], low, strict=True)}
         yield _facts(0, int(met.sum()), key=piece.keys[met], x=x[met], **low)
 
     return run
 
 
-def _part(model: _Model, piece: _Piece, b, a, w, hashes, owner, times, x, low3, low2, met) -> list[pa.RecordBatch]:
+def _part(model: _Model, piece: _Piece, b, a, w, hashes, owner, times, x, low, met) -> list[pa.RecordBatch]:
     radix = len(hashes)
     code = (b * radix + a) * radix + w
     order = np.argsort(code, kind="stable")
@@ -426,10 +479,13 @@ def _part(model: _Model, piece: _Piece, b, a, w, hashes, owner, times, x, low3,
     each = np.repeat(np.arange(len(tri)), size)
     docs = len(x)
     x += np.bincount(doc, value[each] * times, docs)
-    for r in range(1, DISCOUNTED + 1):
-        for low, where in ((low3, (level == 3) & (c3 == r)), (low2, (level == 2) & (c2 == r))):
-            some = where[each]
-            low[r - 1] += np.bincount(doc[some], times[some], docs).astype(np.int32)
+    row = np.full(len(tri), -1)
+    for count, lower, of in ((c3, 0, level == 3), (c2, DISCOUNTED, level == 2)):
+        of &= count <= DISCOUNTED
+        row[of] = lower + count[of] - 1
+    row = row[each]
+    some = np.flatnonzero(row >= 0)
+    np.add.at(low.reshape(-1), row[some] * docs + doc[some], times[some].astype(np.int32))
     out = []
 
     def by_document(kind: int, where: np.ndarray, group: np.ndarray, weigh: np.ndarray | None = None, **named) -> None:

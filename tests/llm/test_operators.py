@@ -242,6 +242,42 @@ def test_katz_decodes_a_piece_blob_by_blob(monkeypatch):
     assert peak < 60 * len(piece.owner)
 
 
+def test_katz_looks_a_word_up_once_a_block(monkeypatch):
+    """Dealing 60,100 instances of 31 words looks up the words of a block (three words an instance before)."""
+    words = [f"w{k}" for k in range(40)]
+    model = katz._Model(W.words(pa.array([" ".join(words[:30])]))[0], np.arange(1, 31), 10**5, 40, 10, {1: 1}, 4)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(100)]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(100)), pa.array([False] * 100)], ["text", "key", "held"])
+    asked, ids = [], katz._Model.ids
+    monkeypatch.setattr(katz._Model, "ids", lambda self, hashes: asked.append(len(hashes)) or ids(self, hashes))
+    shared = type("Shared", (), {"value": model})
+    blobs = [blob for out in katz._dealer(shared, 3)(iter([batch])) for blob in out["blob"]]
+    assert sum(asked) <= 42
+    assert sum(katz._Piece([blob], model).times.sum() for blob in blobs) == 100 * 601
+
+
+def test_katz_orders_instances_alike_in_one_number_and_in_columns():
+    rng = np.random.default_rng(6)
+    b, a, w = (rng.integers(0, 50, 4000) for _ in range(3))
+    b[:2000], a[:2000], w[:2000] = 3, rng.integers(0, 2, 2000), 49
+    owner = np.sort(rng.integers(0, 20, 4000))
+    want = sorted(zip(b.tolist(), a.tolist(), w.tolist(), owner.tolist(), strict=True))
+    for words, docs in ((50, 20), (2**20 - 1, 15), (2**20, 2**20)):
+        assert list(zip(*(x.tolist() for x in katz._in_order(b, a, w, owner, words, max(docs, 20))), strict=True)) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_katz_finds_places(n):
+    rng = np.random.default_rng(7)
+    held = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    crowded = np.unique(np.r_[held, np.arange(n, dtype=np.uint64)])  # many that begin alike
+    for hashes in (held, crowded):
+        asked = np.r_[hashes, hashes + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]
+        at = {int(h): k for k, h in enumerate(hashes)}
+        assert katz._Found(hashes).places(asked).tolist() == [at.get(int(h), -1) for h in asked]
+
+
 def test_repeated_passages(docs, rows):
     at = collections.defaultdict(set)
     for i, t in set(rows):
